@@ -36,7 +36,11 @@ def verdict_result(verdict: Column, is_shuffled: Column) -> Column:
 
 def majority(votes: Column) -> Column:
     """Most frequent verdict of a vote list; the smallest label among equals."""
-    counts = {v: F.size(F.filter(votes, lambda x, v=v: x == v)) for v in VERDICTS}
+
+    def count_of(verdict):
+        return F.size(F.filter(votes, lambda vote: vote == verdict))
+
+    counts = {v: count_of(v) for v in VERDICTS}
     top = F.greatest(*counts.values())
     return F.coalesce(*[F.when(n == top, v) for v, n in counts.items()])
 

@@ -50,13 +50,16 @@ def write_instances(rows: DataFrame, path, mode="errorifexists") -> None:
 
 
 def write_csv_table(df: DataFrame, path, mode="errorifexists") -> None:
-    """CSV with header; cells are quoted so that line breaks survive."""
+    """CSV with header; line breaks, quotes and outer white space survive.
+
+    As usual for CSV, an empty text and null are both an empty cell.
+    """
     (
         df.write.mode(mode)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("emptyValue", '""')
-        .option("quoteAll", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
