@@ -33,6 +33,22 @@ def board(long: DataFrame, languages) -> DataFrame:
     )
 
 
+def wide_board(long: DataFrame, languages) -> DataFrame:
+    """The published layout, `model, model_type, avg, std` and a column per language.
+
+    Averages and language columns come from one aggregation.
+    """
+    others = [code for code in languages if code != ENGLISH]
+    score = F.when(F.col("language").isin(others), F.col("score"))
+    present = F.count(score)
+    return long.groupBy("model").agg(
+        F.min_by("model_type", "language").alias("model_type"),
+        metrics.complete_only(F.avg(score), present, len(others)).alias("avg"),
+        metrics.complete_only(F.stddev_pop(score), present, len(others)).alias("std"),
+        *[F.max(F.when(F.col("language") == code, F.col("score"))).alias(code) for code in languages],
+    )
+
+
 def sorted_board(frame: DataFrame) -> DataFrame:
     """By model type, then average, both descending."""
     return frame.orderBy(F.desc("model_type"), F.desc_nulls_last("avg_multilingual"), "model")

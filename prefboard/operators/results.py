@@ -52,22 +52,44 @@ def overall_score(categories: DataFrame, strict=True) -> DataFrame:
     return categories.groupBy(*RUN).agg(F.when(complete, F.avg("score")).alias("score"))
 
 
+def _category_aggregates(strict):
+    """Weighted category averages as aggregates over weighted subset rows."""
+    columns = {}
+    for category in fixed.CATEGORIES:
+        n_subsets = sum(1 for _, c, _ in fixed.SUBSETS if c == category)
+        inside = F.col("category") == category
+        total = F.sum(F.when(inside, F.col("accuracy") * F.col("weight")))
+        average = total / F.sum(F.when(inside, F.col("weight")))
+        present = F.count(F.when(inside, F.col("accuracy")))
+        columns[category] = F.when(present == n_subsets, average) if strict else average
+    return columns
+
+
+def score_columns(subsets: DataFrame, strict=True) -> DataFrame:
+    """One row per run: its metadata, `Overall` and a column per category.
+
+    All five scores come from one aggregation of the subset rows.
+    """
+    weighted = subsets.join(lookups.subset_weights(subsets.sparkSession), "subset")
+    wide = weighted.groupBy(*RUN).agg(*[c.alias(name) for name, c in _category_aggregates(strict).items()])
+    return wide.withColumn("Overall", _mean_of_categories(strict))
+
+
+def _mean_of_categories(strict):
+    """Unweighted mean of the four category columns; `strict` needs all of them."""
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in fixed.CATEGORIES), F.lit(0.0))
+    present = sum((F.col(c).isNotNull().cast("int") for c in fixed.CATEGORIES), F.lit(0))
+    if strict:
+        return F.when(present == len(fixed.CATEGORIES), total / len(fixed.CATEGORIES))
+    return total / F.nullif(present, F.lit(0))
+
+
 def all_scores(subsets: DataFrame, strict=True) -> DataFrame:
     """Long frame with the four categories and `Overall` of every run."""
     wide = score_columns(subsets, strict)
     return wide.unpivot(RUN, ["Overall", *fixed.CATEGORIES], "category", "score")
 
 
-def score_columns(subsets: DataFrame, strict=True) -> DataFrame:
-    """One row per run: its metadata, `Overall` and a column per category."""
-    categories = category_scores(subsets, strict)
-    complete = F.count("score") == len(fixed.CATEGORIES) if strict else F.lit(True)
-    return categories.groupBy(*RUN).agg(
-        F.when(complete, F.avg("score")).alias("Overall"),
-        *[F.max(F.when(F.col("category") == c, F.col("score"))).alias(c) for c in fixed.CATEGORIES],
-    )
-
-
 def score_map(scores: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """One map column per run from long score rows.
 
@@ -86,24 +108,22 @@ def result_documents(results: DataFrame, dataset="preference-set", core_dataset=
     one document would put a whole run into one row.
     """
     subsets = subset_accuracy(results)
-    totals = (
-        subsets.groupBy(*RUN)
-        .agg(
-            F.sum("num_correct").alias("num_correct"),
-            F.sum("num_total").alias("num_total"),
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct("subset", "accuracy")))).alias("by_subset"),
-        )
-        .withColumn("accuracy", F.col("num_correct") / F.col("num_total"))
+    weighted = subsets.join(lookups.subset_weights(results.sparkSession), "subset", "left")
+    sections = [x for name, c in _category_aggregates(strict=False).items() for x in (F.lit(name), c)]
+    runs = weighted.groupBy(*RUN).agg(
+        F.sum("num_correct").alias("num_correct"),
+        F.sum("num_total").alias("num_total"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("subset", "accuracy")))).alias("by_subset"),
+        F.map_filter(F.create_map(*sections), lambda _, v: v.isNotNull()).alias("leaderboard"),
     )
-    sections = score_map(category_scores(subsets, strict=False), "category", "score", "leaderboard")
-    joined = totals.join(sections, RUN, "left")
+    runs = runs.withColumn("accuracy", F.col("num_correct") / F.col("num_total"))
     generative = F.startswith(F.col("model_type"), F.lit("Generative"))
 
     def only(condition, column):
         return F.when(condition, column)
 
     scores = F.struct("accuracy", "num_correct", "num_total")
-    return joined.select(
+    return runs.select(
         "language",
         "model_type",
         only(generative, F.lit(dataset)).alias("dataset"),
@@ -203,11 +223,8 @@ def document_scores(classified: DataFrame, strict=True) -> DataFrame:
         stored = F.try_element_at("stored_categories", F.lit(category))
         columns[category] = F.when(F.col("stored_categories").isNotNull(), stored).otherwise(computed)
     wide = classified.select(*RUN, *[c.alias(name) for name, c in columns.items()])
-    present = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in fixed.CATEGORIES), F.lit(0))
-    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in fixed.CATEGORIES), F.lit(0.0))
-    mean = total / F.nullif(present, F.lit(0))
-    overall = F.when(present == len(fixed.CATEGORIES), mean) if strict else mean
-    return wide.withColumn("Overall", overall).unpivot(RUN, ["Overall", *fixed.CATEGORIES], "category", "score")
+    wide = wide.withColumn("Overall", _mean_of_categories(strict))
+    return wide.unpivot(RUN, ["Overall", *fixed.CATEGORIES], "category", "score")
 
 
 def flat_documents(documents: DataFrame) -> DataFrame:

@@ -327,6 +327,5 @@ from (select * from board where category = 'Overall') b
 join (select model, {_PIVOT} from overall_acc group by model) p on p.model = b.model""",
 )
 def order_columns(spark, folder):
-    wide = lb.pivot_languages(overall_long(spark, folder), LANGUAGES)
-    average = overall_board(spark, folder).select("model", F.col("avg_multilingual").alias("avg"))
-    return _rounded(lb.order_columns(wide.join(average, "model"), LANGUAGES), ["avg", *LANGUAGES])
+    wide = lb.wide_board(overall_long(spark, folder), LANGUAGES)
+    return _rounded(lb.order_columns(wide, LANGUAGES), ["avg", *LANGUAGES])

@@ -115,19 +115,14 @@ def bilingual_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def judgements(spark: SparkSession, folder: str) -> DataFrame:
     """Results of every model in every language for every document."""
-    grid = [
-        F.struct(
-            F.lit(model).alias("model"),
-            F.lit(model_type).alias("model_type"),
-            F.lit(language).alias("language"),
-            F.lit(m).alias("model_idx"),
-            F.lit(n).alias("lang_idx"),
-        )
+    grid = ", ".join(
+        f"named_struct('model', '{model}', 'model_type', '{model_type}', 'language', '{language}', "
+        f"'model_idx', {m}, 'lang_idx', {n})"
         for m, (model, model_type) in enumerate(MODELS)
         for n, language in enumerate(LANGUAGE_CODES)
         if (model, language) != ABSENT
-    ]
-    cells = table(spark, folder, "documents").select("doc_id", F.inline(F.array(*grid)))
+    )
+    cells = table(spark, folder, "documents").selectExpr("doc_id", f"inline(array({grid}))")
     scored = cells.withColumn(
         "h",
         F.expr(
