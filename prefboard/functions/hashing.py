@@ -22,3 +22,8 @@ def coin(seed, *keys) -> Column:
 def bucket(key: Column) -> Column:
     """Leading digits of an order key as text; sorts like the key itself."""
     return F.substring(key, 1, BUCKET_DIGITS)
+
+
+def part(seed, parts, *keys) -> Column:
+    """Number from 0 to `parts - 1` that splits all keys evenly."""
+    return F.pmod(F.xxhash64(F.lit(str(seed)), *keys), F.lit(parts))

@@ -11,21 +11,27 @@ from pyspark.sql import functions as F
 from prefboard.functions import fixed, metrics
 
 
-def label_pairs(labels: DataFrame) -> DataFrame:
+def label_pairs(labels: DataFrame, languages) -> DataFrame:
     """Each non-English label next to the model's English label of the instance.
 
-    One exchange by instance serves the pairing here and the aggregation per
-    instance behind it: an instance's rows (models x languages) stay together. A
-    self-join would shuffle the label rows twice and the aggregation once more.
+    The labels of one model and instance are laid side by side by an aggregation,
+    one column per language. It combines before the exchange, so copies of a row
+    and an instance that is repeated very often shrink in the tasks that read
+    them, and it needs no self-join.
     """
-    english = F.max(F.when(F.col("language") == fixed.ENGLISH, F.col("label")))
-    return (
-        labels.select("model", "language", "instance_id", "label")
-        .where(F.col("label").isin(*metrics.LABELS))
-        .repartition("instance_id")
-        .withColumn("label_eng", english.over(W.partitionBy("instance_id", "model")))
-        .where((F.col("language") != fixed.ENGLISH) & F.col("label_eng").isNotNull())
+    codes = [code for code in languages if code != fixed.ENGLISH]
+
+    def label_in(code):
+        return F.max(F.when(F.col("language") == code, F.col("label")))
+
+    known = labels.where(F.col("label").isin(*metrics.LABELS))
+    side_by_side = known.groupBy("instance_id", "model").agg(
+        label_in(fixed.ENGLISH).alias("label_eng"), *[label_in(code).alias(code) for code in codes]
     )
+    judged_in_english = side_by_side.where(F.col("label_eng").isNotNull())
+    return judged_in_english.unpivot(
+        ["instance_id", "model", "label_eng"], codes, "language", "label"
+    ).where(F.col("label").isNotNull())
 
 
 def kappa_by(pairs: DataFrame, *keys) -> DataFrame:
@@ -34,20 +40,20 @@ def kappa_by(pairs: DataFrame, *keys) -> DataFrame:
     return sums.select(*keys, metrics.kappa_from_sums().alias("kappa"))
 
 
-def instance_kappa(labels: DataFrame) -> DataFrame:
+def instance_kappa(labels: DataFrame, languages) -> DataFrame:
     """Agreement of all models' labels in a language with English, per instance."""
-    return kappa_by(label_pairs(labels), "instance_id", "language").where(F.col("kappa").isNotNull())
+    return kappa_by(label_pairs(labels, languages), "instance_id", "language").where(F.col("kappa").isNotNull())
 
 
-def model_kappa(labels: DataFrame) -> DataFrame:
+def model_kappa(labels: DataFrame, languages) -> DataFrame:
     """Agreement over all instances, per model and language."""
-    return kappa_by(label_pairs(labels), "model", "language").where(F.col("kappa").isNotNull())
+    return kappa_by(label_pairs(labels, languages), "model", "language").where(F.col("kappa").isNotNull())
 
 
-def innermodel_agreement(labels: DataFrame) -> DataFrame:
+def innermodel_agreement(labels: DataFrame, languages) -> DataFrame:
     """Mean and deviation over languages of each model's kappa, lowest first."""
     return (
-        model_kappa(labels)
+        model_kappa(labels, languages)
         .groupBy("model")
         .agg(F.avg("kappa").alias("mean_kappa"), F.stddev_samp("kappa").alias("std_kappa"))
         .orderBy("mean_kappa", "model")

@@ -36,10 +36,10 @@ def unswap(preference: Column, swapped: Column) -> Column:
     )
 
 
-def join_annotations(key: DataFrame, annotations: DataFrame, drop_missing=False) -> DataFrame:
+def join_annotations(key: DataFrame, annotations: DataFrame, drop_missing=False, keys=("id",)) -> DataFrame:
     """Answer key with human, gold and model preference per row."""
-    answers = annotations.select("id", "human_preference", "notes")
-    joined = key.join(answers, "id").withColumns(
+    answers = annotations.select(*keys, "human_preference", "notes")
+    joined = key.join(answers, list(keys)).withColumns(
         {
             "gold_preference": F.lit("A"),
             "model_preference": F.when(F.col("scores") == 1, "A").otherwise("B"),

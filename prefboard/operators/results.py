@@ -281,7 +281,7 @@ def model_results(results: DataFrame, model: str, language=None) -> DataFrame:
     found = results.where(F.col("model") == model)
     if language is not None:
         found = found.where(F.col("language") == language)
-    if found.limit(1).count() == 0:
+    if found.isEmpty():
         raise ValueError(f"no results of model '{model}'" + (f" in {language}" if language else ""))
     return found
 

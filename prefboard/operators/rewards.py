@@ -32,9 +32,10 @@ def reward_stats(scores: DataFrame) -> DataFrame:
 def reward_histogram(scores: DataFrame, bins=30) -> DataFrame:
     """Counts of `bins` equal bins between each column's own minimum and maximum.
 
-    The four bounds are scalar subqueries of one aggregation; the binned rows are
-    counted per task before the exchange. The last bin is closed. A column with a
-    single value gets a range of one around it.
+    The bounds are one row per column; the binned rows are counted per task before
+    the exchange. Bins are half-open, the last one is closed; a value next to an
+    edge is placed by comparison with the edge itself, as NumPy does. A column
+    with a single value gets a range of one around it.
     """
     columns = ["chosen", "rejected"]
     long = scores.unpivot([], columns, "side", "score").where(
@@ -49,11 +50,20 @@ def reward_histogram(scores: DataFrame, bins=30) -> DataFrame:
     )
     # two rows, one per score column
     ranged = long.join(F.broadcast(ends), "side")
+    step = (F.col("high") - F.col("low")) / bins
     share = (F.col("score") - F.col("low")) / (F.col("high") - F.col("low"))
-    place = F.least(F.floor(share * bins).cast("int"), F.lit(bins - 1))
-    return ranged.groupBy("side", place.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.col("low") + place * (F.col("high") - F.col("low")) / bins).alias("bin_low"),
+    ranged = ranged.withColumns(
+        {"step": step, "bin": F.least(F.floor(share * bins).cast("int"), F.lit(bins - 1))}
+    )
+
+    def edge(number):
+        return number * F.col("step") + F.col("low")
+
+    below = F.col("score") < edge(F.col("bin"))
+    above = (F.col("score") >= edge(F.col("bin") + 1)) & (F.col("bin") < bins - 1)
+    ranged = ranged.withColumn("bin", F.col("bin") - below.cast("int") + above.cast("int"))
+    return ranged.groupBy("side", "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.min(edge(F.col("bin"))).alias("bin_low")
     )
 
 

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefboard.functions import text
+from prefboard.functions.hashing import part
 from prefboard.operators.shape import is_code, require_columns
+from prefboard.session import spread
+from prefboard.sources.readers import has_files
+from prefboard.sources.writers import append_translated
 
 SEGMENTERS = {
     "lines": (text.lines, text.join_lines),
@@ -81,6 +85,26 @@ def translate_columns(
     return merged.drop(*[f"_new_{c}" for c in columns]).withColumn("target_language", F.lit(target_language))
 
 
+def run_translation(
+    pairs, path, columns, translate, target_language, parts=1, tasks=None, fmt="json", **options
+) -> None:
+    """Translates what `path` lacks and appends it; a stopped job can be run again.
+
+    Pairs are worked off in `parts` even parts by a hash of the id. Each part is
+    committed on its own, so a job that ends early loses one part at most. Files
+    written before are read for their ids only and never rewritten.
+    """
+    spark = pairs.sparkSession
+    id_type = pairs.schema["id"].dataType.simpleString()
+    for number in range(parts):
+        rows = pairs.where(part(0, parts, "id") == number) if parts > 1 else pairs
+        if has_files(spark, path):
+            written = spark.read.format(fmt).schema(f"id {id_type}, target_language string").load(path)
+            rows = untranslated(rows, written, target_language)
+        translated = translate_columns(spread(rows, tasks), columns, translate, target_language, **options)
+        append_translated(translated, path, fmt)
+
+
 def translate_bilingual(pairs: DataFrame, translate, target_language: str, batch_size=32) -> DataFrame:
     """Turn-based pairs translated from the English columns of bilingual pairs.
 

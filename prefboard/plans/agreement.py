@@ -15,7 +15,7 @@ from prefboard.sources import derived
     "select model, language, instance_id, label, label_eng from label_pairs",
 )
 def align_english(spark, folder):
-    return agreement.label_pairs(derived.judgements(spark, folder))
+    return agreement.label_pairs(derived.judgements(spark, folder), derived.LANGUAGE_CODES)
 
 
 @query(
@@ -24,7 +24,7 @@ def align_english(spark, folder):
     "select instance_id, language, round(kappa, 6) as kappa from kappa where kappa is not null",
 )
 def cohen_kappa(spark, folder):
-    return agreement.instance_kappa(derived.judgements(spark, folder)).withColumn("kappa", r6("kappa"))
+    return agreement.instance_kappa(derived.judgements(spark, folder), derived.LANGUAGE_CODES).withColumn("kappa", r6("kappa"))
 
 
 @query(
@@ -34,12 +34,12 @@ def cohen_kappa(spark, folder):
 from model_kappa where kappa is not null group by model""",
 )
 def innermodel_agreement(spark, folder):
-    rows = agreement.innermodel_agreement(derived.judgements(spark, folder))
+    rows = agreement.innermodel_agreement(derived.judgements(spark, folder), derived.LANGUAGE_CODES)
     return rows.withColumns({c: r6(c) for c in ("mean_kappa", "std_kappa")})
 
 
 def _kappa_with_pairs(spark, folder):
-    kappa = agreement.instance_kappa(derived.judgements(spark, folder))
+    kappa = agreement.instance_kappa(derived.judgements(spark, folder), derived.LANGUAGE_CODES)
     return agreement.kappa_with_pairs(kappa, derived.pairs(spark, folder))
 
 
@@ -62,7 +62,7 @@ _BIN = "least(floor((kappa + 1.0) / 0.1::double), 19)::int"
     f"select language, {_BIN} as bin, count(*) as n, round({_BIN} * 0.1::double - 1.0, 6) as low from kappa where kappa is not null group by language, 2, 4",
 )
 def kappa_histogram(spark, folder):
-    kappa = agreement.instance_kappa(derived.judgements(spark, folder))
+    kappa = agreement.instance_kappa(derived.judgements(spark, folder), derived.LANGUAGE_CODES)
     return agreement.kappa_histogram(kappa).withColumn("low", r6("low"))
 
 

@@ -269,11 +269,13 @@ def reward_stats(spark, folder):
 @query(
     "reward_histogram",
     "rewards",
-    """select side, least(floor((score - low) / (high - low) * 30), 29)::int as bin, count(*) as n,
- round(min(low + least(floor((score - low) / (high - low) * 30), 29)::int * (high - low) / 30), 6) as bin_low
-from (select side, score, min(score) over (partition by side) as low, max(score) over (partition by side) as high
- from (select 'chosen' as side, chosen as score from rewards union all select 'rejected', rejected from rewards))
-group by 1, 2""",
+    """select side, bin, count(*) as n, round(min(bin * step + low), 6) as bin_low
+from (select side, low, step, b0 - (score < b0 * step + low)::int
+  + (score >= (b0 + 1) * step + low and b0 < 29)::int as bin
+ from (select *, (high - low) / 30 as step, least(floor((score - low) / (high - low) * 30), 29)::int as b0
+  from (select side, score, min(score) over (partition by side) as low, max(score) over (partition by side) as high
+   from (select 'chosen' as side, chosen as score from rewards union all select 'rejected', rejected from rewards))))
+group by side, bin""",
 )
 def reward_histogram(spark, folder):
     bins = rewards.reward_histogram(derived.rewards(spark, folder))

@@ -138,12 +138,12 @@ def sink_append(spark, folder):
     """A job that was stopped after the labelled documents and is run again."""
     path = fresh_path(spark, "appended")
     pairs = derived.pairs(spark, folder).select(*_PAIR_COLUMNS)
-    first = _translated(pairs.join(derived.done(spark, folder).select("id"), "id", "left_semi"))
-    writers.append_translated(first, path)
-    written = spark.read.schema(first.schema).json(path)
-    rest = translate.untranslated(pairs, written, "deu_Latn")
-    writers.append_translated(_translated(rest), path)
-    return spark.read.schema(first.schema).json(path)
+    columns = ["prompt", "chosen", "rejected"]
+    first = pairs.join(derived.done(spark, folder).select("id"), "id", "left_semi")
+    translate.run_translation(first, path, columns, translate.dictionary_translator, "deu_Latn")
+    translate.run_translation(pairs, path, columns, translate.dictionary_translator, "deu_Latn", parts=2)
+    schema = pairs.schema.add("target_language", "string")
+    return spark.read.schema(schema).json(path)
 
 
 @query(

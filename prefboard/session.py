@@ -57,3 +57,12 @@ def materialise(df: DataFrame, name="stage") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, tasks=None) -> DataFrame:
+    """Rows dealt evenly to `tasks` tasks, for a costly function behind it.
+
+    Input splits are cut by bytes; a model call per row needs more and evener
+    tasks than that. Without `tasks` nothing is moved.
+    """
+    return df.repartition(tasks) if tasks else df

@@ -68,3 +68,9 @@ def read_rewards(spark: SparkSession, path, schema=schemas.REWARD) -> DataFrame:
 def read_instances(spark: SparkSession, path, schema=schemas.INSTANCE_RESULT) -> DataFrame:
     """Per-instance results written by `writers.write_instances`."""
     return spark.read.schema(schema).json(path)
+
+
+def has_files(spark: SparkSession, path) -> bool:
+    """Whether anything was written below `path` yet."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)

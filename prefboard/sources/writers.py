@@ -12,19 +12,19 @@ def write_json(df: DataFrame, path, mode="errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def write_translated(df: DataFrame, path, mode="errorifexists") -> None:
+def write_translated(df: DataFrame, path, mode="errorifexists", fmt="json") -> None:
     """Translated pairs in one folder per target language and subset.
 
     Rebalancing gives every folder few files of even size and splits a folder that
     holds much of the data over several tasks.
     """
     keys = [F.col("target_language"), F.col("subset")]
-    df.hint("rebalance", *keys).write.mode(mode).partitionBy("target_language", "subset").json(path)
+    df.hint("rebalance", *keys).write.mode(mode).partitionBy("target_language", "subset").format(fmt).save(path)
 
 
-def append_translated(df: DataFrame, path) -> None:
+def append_translated(df: DataFrame, path, fmt="json") -> None:
     """Adds newly translated pairs; files written before are not touched."""
-    write_translated(df, path, mode="append")
+    write_translated(df, path, "append", fmt)
 
 
 def write_result_documents(documents: DataFrame, path, mode="errorifexists") -> None:
