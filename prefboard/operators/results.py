@@ -99,10 +99,13 @@ def score_map(scores: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return scores.groupBy(*RUN).agg(F.map_from_entries(entries).alias(name))
 
 
-def result_documents(results: DataFrame, dataset="preference-set", core_dataset=True) -> DataFrame:
+def result_documents(
+    results: DataFrame, dataset="preference-set", core_dataset=True, ref_model=None, tokenizer=None, chat_template=None
+) -> DataFrame:
     """One result document per model and language, without the instance list.
 
-    Generative runs and classifier / implicit-reward runs have different fields;
+    `ref_model`, `tokenizer` and `chat_template` are texts or columns over the
+    run's model, type and language. Generative runs and classifier / implicit-reward runs have different fields;
     the fields of the other kind are null and thereby absent from the JSON. The
     instance results stay rows (`writers.write_instances`): a list of them inside
     one document would put a whole run into one row.
@@ -122,19 +125,23 @@ def result_documents(results: DataFrame, dataset="preference-set", core_dataset=
     def only(condition, column):
         return F.when(condition, column)
 
+    def given(value):
+        return value if isinstance(value, Column) else F.lit(value).cast("string")
+
     scores = F.struct("accuracy", "num_correct", "num_total")
     return runs.select(
         "language",
         "model_type",
         only(generative, F.lit(dataset)).alias("dataset"),
         "model",
-        F.lit(None).cast("string").alias("chat_template"),
+        given(chat_template).alias("chat_template"),
         only(generative, scores).alias("scores"),
         only(generative, F.col("leaderboard")).alias("leaderboard"),
         only(generative, F.col("by_subset")).alias("subset"),
         only(~generative, F.col("accuracy")).alias("accuracy"),
         only(~generative, F.col("num_total")).alias("num_prompts"),
-        only(F.col("model_type") == "DPO", F.concat("model", F.lit("-ref"))).alias("ref_model"),
+        only(~generative, given(ref_model)).alias("ref_model"),
+        only(~generative, given(tokenizer)).alias("tokenizer"),
         only(~generative & F.lit(core_dataset), F.col("by_subset")).alias("extra_results"),
         only(~generative, F.col("by_subset")).alias("subset_results"),
     )
@@ -160,6 +167,7 @@ def document_json(documents: DataFrame) -> DataFrame:
             "accuracy",
             "num_prompts",
             "ref_model",
+            "tokenizer",
             "extra_results",
             "subset_results",
         )

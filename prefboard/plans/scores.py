@@ -83,6 +83,11 @@ def metadata_with_scores(spark, folder):
     return wide.select(*results.RUN, *[r6(c, name) for c, name in names.items()])
 
 
+def _documents(spark, folder):
+    reference = F.when(F.col("model_type") == "DPO", F.concat("model", F.lit("-ref")))
+    return results.result_documents(derived.judgements(spark, folder), ref_model=reference)
+
+
 @query(
     "result_document",
     "category_acc",
@@ -102,7 +107,7 @@ join (select model, language, max(score) filter (category = 'Chat') as chat, max
  from category_acc group by model, language) c on c.model = t.model and c.language = t.language""",
 )
 def result_document(spark, folder):
-    documents = results.result_documents(derived.judgements(spark, folder))
+    documents = _documents(spark, folder)
     subsets = F.coalesce("subset", "subset_results")
 
     def section(name):
@@ -128,7 +133,7 @@ def result_document(spark, folder):
 
 def _stored(spark, folder):
     """Documents as a reader sees them: JSON text parsed with the common schema."""
-    documents = results.result_documents(derived.judgements(spark, folder))
+    documents = _documents(spark, folder)
     return readers.parse_documents(results.document_json(documents))
 
 
@@ -224,7 +229,7 @@ def explode_scores(spark, folder):
 )
 def scan_results(spark, folder):
     path = fresh_path(spark, "documents")
-    writers.write_result_documents(results.result_documents(derived.judgements(spark, folder)), path)
+    writers.write_result_documents(_documents(spark, folder), path)
     classified = results.classify_documents(readers.read_result_documents(spark, path))
     return results.document_scores(classified).withColumn("score", r6("score"))
 

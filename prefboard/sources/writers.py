@@ -49,13 +49,14 @@ def write_instances(rows: DataFrame, path, mode="errorifexists") -> None:
     rows.write.mode(mode).json(path)
 
 
-def write_csv_table(df: DataFrame, path, mode="errorifexists") -> None:
+def write_csv_table(df: DataFrame, path, mode="errorifexists", partition_by=()) -> None:
     """CSV with header; line breaks, quotes and outer white space survive.
 
     As usual for CSV, an empty text and null are both an empty cell.
     """
     (
         df.write.mode(mode)
+        .partitionBy(*partition_by)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
