@@ -181,7 +181,7 @@ def language_stats(long: DataFrame) -> DataFrame:
 def with_language_metadata(frame: DataFrame, metadata: DataFrame) -> DataFrame:
     """Adds resource class, family and script; languages without metadata drop out."""
     columns = ["language", "resource_type", "family", "script"]
-    return frame.join(F.broadcast(metadata.select(*columns)), "language")
+    return frame.join(metadata.select(*columns), "language")
 
 
 def linguistic_dimensions(stats: DataFrame) -> DataFrame:

@@ -300,6 +300,10 @@ def instance_rows(documents: DataFrame) -> DataFrame:
 
 
 def attach_results(pairs: DataFrame, results: DataFrame) -> DataFrame:
-    """Adds one model's result as `scores`, joined by language and stored position."""
+    """Adds one model's result as `scores`, joined by language and stored position.
+
+    The result rows are narrow; select the pair columns that are needed, as they
+    are what the join moves.
+    """
     scored = results.select("language", "position", F.col("result").alias("scores"))
     return pairs.join(scored, ["language", "position"])

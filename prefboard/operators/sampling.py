@@ -43,17 +43,25 @@ def _take_per_stratum(df: DataFrame, groups, strata, cap, key_columns, seed) ->
     )
     literal = collect_if_small(edges, MAX_LITERAL_STRATA)
     if literal is not None:
-        spark = df.sparkSession
-        small = F.broadcast(spark.createDataFrame(literal, edges.schema))
-        candidates = keyed.join(small, by).where(F.col("_bucket") <= F.col("_edge"))
-        inside = F.col("_bucket") < F.col("_edge")
+        small = F.broadcast(df.sparkSession.createDataFrame(literal, edges.schema))
+        reaching = keyed.join(small, by)
+        whole = reaching.where(F.col("_bucket") < F.col("_edge"))
+        border = reaching.where(F.col("_bucket") == F.col("_edge"))
+        most = max((row["_room"] for row in literal), default=0)
     else:
         # Many strata: join on stratum and bucket, so that no stratum is one hot key.
-        candidates = keyed.join(reached.select(*by, "_bucket", "_room", "_size"), [*by, "_bucket"])
-        inside = F.col("_room") >= F.col("_size")
-    rank = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy("_key", *key_columns))
-    taken = candidates.withColumn("_rank", rank).where(inside | (F.col("_rank") <= F.col("_room")))
-    return taken.select(*df.columns)
+        reaching = keyed.join(reached.select(*by, "_bucket", "_room", "_size"), [*by, "_bucket"])
+        whole = reaching.where(F.col("_room") >= F.col("_size"))
+        border = reaching.where(F.col("_room") < F.col("_size"))
+        most = None
+    # Whole buckets need no rank and no shuffle. A literal limit on the rank lets
+    # Spark drop rows of the border bucket before they are shuffled.
+    rank = F.row_number().over(W.partitionBy(*by).orderBy("_key", *key_columns))
+    ranked = border.withColumn("_rank", rank)
+    if most is not None:
+        ranked = ranked.where(F.col("_rank") <= most)
+    taken = ranked.where(F.col("_rank") <= F.col("_room"))
+    return whole.select(*df.columns).unionByName(taken.select(*df.columns))
 
 
 def stratified_sample(df: DataFrame, n: int, column="scores", groups=("language",), keys=("language", "id"), seed=42):

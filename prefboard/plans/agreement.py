@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from prefboard import runs
 from prefboard.functions import lookups
 from prefboard.operators import agreement, annotate, sampling
 from prefboard.plans.registry import query, r6
-from prefboard.plans.scores import scored_pairs
+from prefboard.plans.scores import model_rows, scored_pairs
 from prefboard.sources import derived
 
 
@@ -95,8 +96,8 @@ _SCORED = """scored as (select p.id, p.language, p.subset, p.prompt, j.result as
 where r <= cap""",
 )
 def stratified_sample(spark, folder):
-    scored = scored_pairs(spark, folder).select("id", "language", "subset", "prompt", "scores")
-    return sampling.stratified_sample(scored, 60)
+    sample = runs.sampled_pairs(derived.pairs(spark, folder), model_rows(spark, folder), 60)
+    return sample.select("id", "language", "subset", "prompt", "scores")
 
 
 @query(

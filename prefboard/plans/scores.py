@@ -254,7 +254,12 @@ def attach_results(spark, folder):
     return scored_pairs(spark, folder).select("id", "language", "subset", "prompt", "chosen", "rejected", "scores")
 
 
+def model_rows(spark, folder):
+    """The instance results of one model."""
+    rows = derived.judgements(spark, folder).where(F.col("model") == "org/model-1")
+    return rows.select("language", F.col("instance_id").alias("position"), "result")
+
+
 def scored_pairs(spark, folder):
     """Pairs with the results of one model as `scores`."""
-    rows = derived.judgements(spark, folder).where(F.col("model") == "org/model-1")
-    return results.attach_results(derived.pairs(spark, folder), rows.withColumnRenamed("instance_id", "position"))
+    return results.attach_results(derived.pairs(spark, folder), model_rows(spark, folder))

@@ -7,10 +7,12 @@ A run's folder holds `documents` (one JSON document per model and language) and
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefboard.functions import lookups
 from prefboard.operators import annotate, judging, leaderboard, naming, results, rewards, sampling, shape
 from prefboard.session import materialise, spread
 from prefboard.sources import readers, writers
 
+MAX_BROADCAST_SAMPLE = 100_000
 INSTANCE_COLUMNS = ["model", "model_type", "language", "subset", "id", "position", "result"]
 
 
@@ -82,16 +84,28 @@ def leaderboard_tables(spark: SparkSession, documents_path, languages, strict=Tr
     }
 
 
+def sampled_pairs(pairs: DataFrame, instances: DataFrame, sample_size: int, seed=42) -> DataFrame:
+    """Pairs with `scores`, equally many per language and score.
+
+    The sample is drawn from ids and scores; texts are fetched for sampled rows
+    only, by a broadcast of the sample unless it is large.
+    """
+    keys = ["language", "position"]
+    scored = results.attach_results(pairs.select(*keys, "id"), instances)
+    sample = sampling.stratified_sample(scored, sample_size, seed=seed).select(*keys, "scores")
+    return pairs.join(lookups.broadcast_if_small(sample, MAX_BROADCAST_SAMPLE), keys)
+
+
 def annotation_files(pairs: DataFrame, folder, instances=None, sample_size=None, seed=42) -> DataFrame:
     """Writes `answer_key` and `annotation` CSV folders, one part per language.
 
     With `instances` (one model's results) the sample has equally many wins,
     losses and ties per language.
     """
-    if instances is not None:
+    if instances is not None and sample_size:
+        pairs = sampled_pairs(pairs, instances, sample_size, seed)
+    elif instances is not None:
         pairs = results.attach_results(pairs, instances)
-        if sample_size:
-            pairs = sampling.stratified_sample(pairs, sample_size, seed=seed)
     key = annotate.answer_key(pairs, seed)
     writers.write_csv_table(key, f"{folder}/answer_key", partition_by=("language",))
     writers.write_csv_table(annotate.annotation_task(key), f"{folder}/annotation", partition_by=("language",))
