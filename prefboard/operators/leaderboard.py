@@ -54,10 +54,10 @@ def sorted_board(frame: DataFrame) -> DataFrame:
     return frame.orderBy(F.desc("model_type"), F.desc_nulls_last("avg_multilingual"), "model")
 
 
-def sort_scores(frame: DataFrame, column: str, ascending=False) -> DataFrame:
-    """By one score column; nulls last, equal scores by model."""
+def sort_scores(frame: DataFrame, column: str, ascending=False, ties=("model",)) -> DataFrame:
+    """By one score column; nulls last, equal scores by the `ties` columns."""
     order = F.asc_nulls_last(column) if ascending else F.desc_nulls_last(column)
-    return frame.orderBy(order, "model")
+    return frame.orderBy(order, *ties)
 
 
 def pivot_languages(long: DataFrame, languages) -> DataFrame:
@@ -79,6 +79,12 @@ def unpivot_languages(wide: DataFrame, languages, keys=("model",)) -> DataFrame:
     return wide.unpivot(list(keys), list(languages), "language", "score").where(F.col("score").isNotNull())
 
 
+def long_from_wide(wide: DataFrame, languages, category="Overall") -> DataFrame:
+    """A published wide leaderboard as long `model, model_type, language, category, score`."""
+    long = unpivot_languages(wide, languages, ("model", "model_type"))
+    return long.withColumn("category", F.lit(category))
+
+
 def order_columns(wide: DataFrame, languages, first=("model", "avg")) -> DataFrame:
     """Leading columns, then the language columns in alphabetical order."""
     return wide.select(*first, *sorted(languages))

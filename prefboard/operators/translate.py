@@ -5,6 +5,8 @@ lines or sentences and put together again by native columns; only the segments
 of the columns to translate travel to Python, in Arrow batches.
 """
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +32,25 @@ def untranslated(pairs: DataFrame, done: DataFrame, target_language: str) -> Dat
     return pairs.join(written, "id", "left_anti")
 
 
-def _translated_segments(translate, target_language, batch_size):
-    """Column function: array of segments -> array of translated segments."""
+def _translated_segments(translate, target_language, batch_size, normalize):
+    """Column function: array of segments -> array of translated segments.
+
+    With `normalize` every segment is brought to NFKC without line breaks. The
+    separators put between segments never combine with their neighbours, so this
+    equals normalising the joined text and saves a second way to Python.
+    """
+
+    def finish(translated):
+        if not normalize:
+            return list(translated)
+        return [unicodedata.normalize("NFKC", t.replace("\n", "")) for t in translated]
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(cells: pd.Series) -> pd.Series:
         segments = [s for cell in cells if cell is not None for s in cell]
         out = []
         for start in range(0, len(segments), batch_size):
-            out.extend(translate(segments[start : start + batch_size], target_language))
+            out.extend(finish(translate(segments[start : start + batch_size], target_language)))
         if len(out) != len(segments):
             raise ValueError("the translate function must return one text per text")
         result, at = [], 0
@@ -65,19 +77,19 @@ def translate_columns(
 ) -> DataFrame:
     """Translates `columns`, passes the others through, adds `target_language`.
 
-    Rows of code subsets have only their prompt translated.
+    Rows of code subsets have only their prompt translated. `normalize` brings
+    translated texts to NFKC.
     """
     require_columns(pairs, columns)
     split, rejoin = SEGMENTERS[segment]
-    run = _translated_segments(translate, target_language, batch_size)
+    run = _translated_segments(translate, target_language, batch_size, normalize)
     untouched = is_code() if code_prompt_only and "subset" in pairs.columns else F.lit(False)
 
     def translated(name) -> Column:
         cell = split(F.col(name))
         if name != "prompt":
             cell = F.when(~untouched, cell)
-        result = rejoin(run(cell))
-        return text.normalize_nfkc(result) if normalize else result
+        return rejoin(run(cell))
 
     done = pairs.withColumns({f"_new_{c}": translated(c) for c in columns})
     kept = {c: F.col(c) if c == "prompt" else F.when(untouched, F.col(c)) for c in columns}

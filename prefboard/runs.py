@@ -7,7 +7,7 @@ A run's folder holds `documents` (one JSON document per model and language) and
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefboard.functions import lookups
+from prefboard.functions import fixed, lookups
 from prefboard.operators import annotate, judging, leaderboard, naming, results, rewards, sampling, shape
 from prefboard.session import materialise, spread
 from prefboard.sources import readers, writers
@@ -84,6 +84,38 @@ def leaderboard_tables(spark: SparkSession, documents_path, languages, strict=Tr
     }
 
 
+def main_table(wide: DataFrame, languages, n=10) -> DataFrame:
+    """The `n` best models in percent: average, variance and short language columns.
+
+    Both Chinese scripts count as one language; English is left out. `wide` is the
+    overall leaderboard with `model, model_type, avg` and a column per language.
+    """
+    best = leaderboard.top_models(wide, n, by="avg")
+    long = leaderboard.long_from_wide(best, languages)
+    merged = leaderboard.merge_scripts(long).where(F.col("language") != fixed.ENGLISH)
+    labelled = naming.short_language(shape.to_percent(merged))
+    present = sorted({code.split("_")[0] for code in languages if code != fixed.ENGLISH})
+    columns = [fixed.LANGUAGE_LABELS.get(code, code) for code in present]
+    scores = leaderboard.pivot_languages(labelled, columns)
+    variance = leaderboard.language_variance(long).select("model", "variance")
+    average = shape.to_percent(best.select("model", "avg"))
+    table = average.join(variance, "model", "left").join(scores, "model", "left")
+    return naming.display_model(leaderboard.sort_scores(table, "avg"))
+
+
+def linguistic_table(wide: DataFrame, metadata: DataFrame, languages, n=None, order=("model",)) -> DataFrame:
+    """Mean score and deviation per resource class, family and script, best first.
+
+    `n` keeps the first models by an explicit `order`.
+    """
+    chosen = leaderboard.top_in_order(wide, n, order) if n else wide
+    stats = leaderboard.language_stats(leaderboard.long_from_wide(chosen, languages))
+    table = leaderboard.linguistic_dimensions(leaderboard.with_language_metadata(stats, metadata))
+    # resource classes by descending class, the other dimensions by score
+    by_class = F.when(F.col("dimension") == "resource_type", F.col("value"))
+    return table.orderBy("dimension", F.desc_nulls_last(by_class), F.desc_nulls_last("avg"))
+
+
 def sampled_pairs(pairs: DataFrame, instances: DataFrame, sample_size: int, seed=42) -> DataFrame:
     """Pairs with `scores`, equally many per language and score.
 
@@ -91,7 +123,8 @@ def sampled_pairs(pairs: DataFrame, instances: DataFrame, sample_size: int, seed
     only, by a broadcast of the sample unless it is large.
     """
     keys = ["language", "position"]
-    scored = results.attach_results(pairs.select(*keys, "id"), instances)
+    # the sample reads these narrow rows three times; the join runs once
+    scored = materialise(results.attach_results(pairs.select(*keys, "id"), instances), "scored-ids")
     sample = sampling.stratified_sample(scored, sample_size, seed=seed).select(*keys, "scores")
     return pairs.join(lookups.broadcast_if_small(sample, MAX_BROADCAST_SAMPLE), keys)
 

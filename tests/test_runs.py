@@ -1,5 +1,7 @@
 """Runs from pairs to leaderboards and human reports."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,57 @@ def test_leaderboard_without_one_language(spark, folder):
     assert all(r.avg is None and r.std is None for r in tables["overall"].collect())
 
 
+ALL = list(fixed.LANGUAGE_NAMES)
+
+
+def published(n=14):
+    """A wide leaderboard in the layout of the published file."""
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame(rng.uniform(0.3, 0.9, (n, len(ALL))), columns=ALL)
+    names = list(fixed.MODEL_TITLES) + [f"org/m{i}" for i in range(n)]
+    data.insert(0, "model", names[:n])
+    data.insert(1, "model_type", "DPO")
+    data["avg"] = data[ALL].drop(columns="eng_Latn").mean(axis=1)
+    return data
+
+
+def test_main_table_against_pandas(spark):
+    data = published()
+    best = data.sort_values("avg", ascending=False).head(10)
+    wanted = best[[*ALL, "avg"]].drop(columns="eng_Latn") * 100
+    wanted["zho"] = wanted[["zho_Hans", "zho_Hant"]].mean(axis=1)
+    wanted = wanted.drop(columns=["zho_Hans", "zho_Hant"]).rename(columns=lambda c: c.split("_")[0])
+    wanted["variance"] = wanted[list(fixed.LANGUAGE_LABELS)].var(axis=1)
+    wanted = wanted.rename(columns=fixed.LANGUAGE_LABELS)
+    found = runs.main_table(spark.createDataFrame(data), ALL).toPandas()
+    assert found["model"].tolist() == [fixed.MODEL_TITLES.get(m, m) for m in best["model"]]
+    assert set(found.columns) == {"model", *wanted.columns} and len(wanted.columns) == 24
+    assert np.allclose(found[wanted.columns].to_numpy(), wanted.to_numpy())
+
+
+def test_linguistic_table_against_pandas(spark):
+    data = published()
+    metadata = pd.DataFrame(
+        [(c, f"Class-{i % 6}", f"f{i % 4}" if i else None, f"s{i % 3}") for i, c in enumerate(ALL) if c != "pol_Latn"],
+        columns=["language", "resource_type", "family", "script"],
+    )
+    first = data.sort_values("model").head(6)
+    scores = first[[c for c in ALL if c != "eng_Latn"]].T
+    combined = metadata.set_index("language").join(
+        pd.DataFrame({"avg": scores.mean(axis=1) * 100, "std": scores.std(axis=1) * 100}), how="inner"
+    )
+    combined = combined[combined["resource_type"] != "Class-0"]
+    wanted = {
+        (dim, value): tuple(row)
+        for dim in ("resource_type", "family", "script")
+        for value, row in combined.groupby(dim)[["avg", "std"]].mean().iterrows()
+    }
+    table = runs.linguistic_table(spark.createDataFrame(data), spark.createDataFrame(metadata), ALL, n=6).collect()
+    assert {(r.dimension, r.value): (pytest.approx(r.avg), pytest.approx(r["std"])) for r in table} == wanted
+    classes = [r.value for r in table if r.dimension == "resource_type"]
+    assert classes == sorted(classes, reverse=True)
+
+
 def test_schemas_parse(spark):
     for text in (schemas.PAIR, schemas.TRANSLATED_PAIR, schemas.DOCUMENT, schemas.leaderboard(CODES)):
         assert spark.createDataFrame([], text).columns
