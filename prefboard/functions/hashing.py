@@ -6,7 +6,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BUCKET_DIGITS = 4  # hex digits of the order key that name a bucket: 65,536 buckets
+BUCKET_DIGITS = 3  # hex digits of the order key that name a bucket: 4,096 buckets
 
 
 def order_key(seed, *keys) -> Column:

@@ -299,11 +299,19 @@ def instance_rows(documents: DataFrame) -> DataFrame:
     return documents.select("language", "model", F.posexplode(F.col("scores")["results"]).alias("position", "result"))
 
 
-def attach_results(pairs: DataFrame, results: DataFrame) -> DataFrame:
+def attach_results(pairs: DataFrame, results: DataFrame, strict=True) -> DataFrame:
     """Adds one model's result as `scores`, joined by language and stored position.
 
-    The result rows are narrow; select the pair columns that are needed, as they
-    are what the join moves.
+    `strict`: a pair without a result fails the job; otherwise it drops out. The
+    result rows are narrow; select the pair columns that are needed, as they are
+    what the join moves.
     """
-    scored = results.select("language", "position", F.col("result").alias("scores"))
-    return pairs.join(scored, ["language", "position"])
+    keys = ["language", "position"]
+    scored = results.select(*keys, F.col("result").alias("scores"), F.lit(True).alias("_found"))
+    if not strict:
+        return pairs.join(scored, keys).drop("_found")
+    missing = F.raise_error(
+        F.concat(F.lit("no result for position "), F.col("position").cast("string"), F.lit(" in "), F.col("language"))
+    )
+    joined = pairs.join(scored, keys, "left")
+    return joined.withColumn("scores", F.when(F.col("_found"), F.col("scores")).otherwise(missing)).drop("_found")

@@ -4,7 +4,7 @@ Rows are ordered by an md5 key of seed and row key. The first `cap` rows of a
 stratum are found in two steps: counts per leading digits of the key give the
 bucket in which the cap falls; all rows of earlier buckets are taken and only the
 rows inside that bucket are ranked. A stratum with a third of all rows is thus
-spread over 65,536 buckets.
+spread over 4,096 buckets.
 """
 
 from pyspark.sql import DataFrame

@@ -3,6 +3,7 @@
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,9 +78,15 @@ def route_code(df: DataFrame) -> DataFrame:
     return df.withColumn("route", F.when(is_code(), "prompt_only").otherwise("all_columns"))
 
 
-def first_rows(df: DataFrame, n: int, order="position") -> DataFrame:
-    """The first `n` rows in input order (a debugging sample)."""
-    return df.orderBy(order).limit(n)
+def first_rows(df: DataFrame, n: int, order="position", groups=()) -> DataFrame:
+    """The first `n` rows in input order, of all rows or of every group.
+
+    A debugging sample; both forms cut to `n` rows per task before anything moves.
+    """
+    if not groups:
+        return df.orderBy(order).limit(n)
+    place = F.row_number().over(W.partitionBy(*groups).orderBy(order))
+    return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
 def drop_missing(df: DataFrame, subset=None) -> DataFrame:

@@ -1,7 +1,8 @@
 """Whole runs: judging, scoring, leaderboards, annotation tasks and their reports.
 
 A run's folder holds `documents` (one JSON document per model and language) and
-`instances` (one JSON line per pair). Runs of several models share a folder.
+`instances` (one JSON line per pair). Runs of several models share a folder; a
+run that is repeated replaces its earlier files.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +23,14 @@ def run_judges(
     """Judges all pairs with one judge or an odd ensemble and stores the run.
 
     `judges` maps model names to judge functions. The prompt family follows from
-    the name of a single judge; an ensemble uses the default prompts.
+    the name of a single judge; an ensemble uses the default prompts. `sample`
+    takes the first rows of every language.
     """
     spark = pairs.sparkSession
     names = list(judges)
     given = F.array(*[F.lit(n) for n in names])
     family = spark.range(1).select(naming.prompt_family(F.lit(names[0]))).first()[0] if len(names) == 1 else None
-    chosen = shape.first_rows(pairs, sample) if sample else pairs
+    chosen = shape.first_rows(pairs, sample, groups=("language",)) if sample else pairs
     judged = judging.judge_pairs(
         spread(shape.dialogues(chosen), tasks), list(judges.values()), family, src_lang, tgt_lang, seed
     )
@@ -56,19 +58,19 @@ def run_scorer(
 
 
 def _store(rows, folder, dataset, **options):
-    writers.write_instances(rows, f"{folder}/instances", mode="append")
+    writers.replace_instances(rows, f"{folder}/instances")
     documents = results.result_documents(rows, dataset, **options)
-    writers.write_result_documents(documents, f"{folder}/documents", mode="append")
+    writers.write_result_documents(documents, f"{folder}/documents")
     return rows
 
 
-def score_table(spark: SparkSession, documents_path, strict=True, multi_line=False) -> DataFrame:
+def score_table(spark: SparkSession, documents_path, strict=True, multi_line=True) -> DataFrame:
     """Long overall and category scores of all stored documents."""
     documents = readers.read_result_documents(spark, documents_path, multi_line)
     return results.document_scores(results.classify_documents(documents), strict)
 
 
-def leaderboard_tables(spark: SparkSession, documents_path, languages, strict=True, multi_line=False) -> dict:
+def leaderboard_tables(spark: SparkSession, documents_path, languages, strict=True, multi_line=True) -> dict:
     """The published tables of one folder of documents.
 
     `boards` has the five leaderboards in long form, `overall` the wide overall

@@ -19,10 +19,11 @@ def read_pairs(spark: SparkSession, path, language=None, split="filtered", fmt="
     return pairs
 
 
-def read_result_documents(spark: SparkSession, path, multi_line=False) -> DataFrame:
-    """Result documents of every language folder below `path`.
+def read_result_documents(spark: SparkSession, path, multi_line=True) -> DataFrame:
+    """Result documents of every language folder below `path`, one per file.
 
-    The language is the folder's name, either `spa_Latn` or `language=spa_Latn`.
+    The language is the value of a `language=` folder or else the name of the
+    folder that holds the file.
     """
     documents = (
         spark.read.schema(schemas.DOCUMENT)
@@ -31,8 +32,10 @@ def read_result_documents(spark: SparkSession, path, multi_line=False) -> DataFr
         .option("pathGlobFilter", "*.{json,txt}")
         .json(path)
     )
-    language = F.regexp_extract("_metadata.file_path", r"/(?:language=)?([a-z]{3}_[A-Z][a-z]{3})/[^/]*(?:/[^/]*)?$", 1)
-    return documents.withColumn("language", language)
+    file_path = F.col("_metadata.file_path")
+    named = F.regexp_extract(file_path, "/language=([^/]+)/", 1)
+    parent = F.element_at(F.split(file_path, "/"), -2)
+    return documents.withColumn("language", F.when(named != "", named).otherwise(parent))
 
 
 def parse_documents(texts: DataFrame, column="document") -> DataFrame:
@@ -66,7 +69,7 @@ def read_rewards(spark: SparkSession, path, schema=schemas.REWARD) -> DataFrame:
 
 
 def read_instances(spark: SparkSession, path, schema=schemas.INSTANCE_RESULT) -> DataFrame:
-    """Per-instance results written by `writers.write_instances`."""
+    """Per-instance rows written by `writers.write_instances` or `replace_instances`."""
     return spark.read.schema(schema).json(path)
 
 

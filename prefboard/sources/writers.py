@@ -27,21 +27,15 @@ def append_translated(df: DataFrame, path, fmt="json") -> None:
     write_translated(df, path, "append", fmt)
 
 
-def write_result_documents(documents: DataFrame, path, mode="errorifexists") -> None:
-    """One JSON document per model and language.
+def write_result_documents(documents: DataFrame, path) -> None:
+    """One JSON document per model and language; a repeated run replaces its own.
 
     Folders are `language=<code>/model_key=<model with / as ___>`. Each run is one
     row after its aggregation, so each folder receives one file.
     """
     texts = document_json(documents).withColumn("model_key", result_key(F.col("model")))
-    (
-        texts.select("language", "model_key", F.col("document").alias("value"))
-        .write.mode(mode)
-        .partitionBy("language", "model_key")
-        .option("compression", "none")
-        .format("text")
-        .save(path)
-    )
+    runs = texts.select("language", "model_key", F.col("document").alias("value"))
+    _replace(runs, ["language", "model_key"], "text", path)
 
 
 def write_instances(rows: DataFrame, path, mode="errorifexists") -> None:
@@ -49,6 +43,27 @@ def write_instances(rows: DataFrame, path, mode="errorifexists") -> None:
     rows.write.mode(mode).json(path)
 
 
+def replace_instances(rows: DataFrame, path) -> None:
+    """Per-instance rows in one folder per language and model.
+
+    A repeated run replaces its own rows. Rebalancing gives a run few even files
+    and splits a large run over several tasks.
+    """
+    keyed = rows.withColumn("model_key", result_key(F.col("model")))
+    keys = ["language", "model_key"]
+    _replace(keyed.hint("rebalance", *[F.col(k) for k in keys]), keys, "json", path)
+
+
+def _replace(df, keys, fmt, path):
+    (
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*keys)
+        .format(fmt)
+        .save(path)
+    )
+
+
 def write_csv_table(df: DataFrame, path, mode="errorifexists", partition_by=()) -> None:
     """CSV with header; line breaks, quotes and outer white space survive.
 

@@ -71,7 +71,30 @@ def test_judge_and_scorer_agree_but_for_ties(spark, folder):
 
 def test_sampled_run(spark, pairs, tmp_path):
     rows = runs.run_judges(pairs, {"org/m": judging.length_judge()}, str(tmp_path / "r"), "set", sample=10)
-    assert rows.count() == 10
+    assert rows.groupBy("language").count().collect() and rows.count() == 30
+    assert rows.agg(F.max("position")).first()[0] == 9
+
+
+def test_a_repeated_run_replaces_its_files(spark, pairs, tmp_path):
+    folder = str(tmp_path / "r")
+    other = pairs.where("language <> 'eng_Latn'")
+    runs.run_judges(pairs, {"org/m": judging.length_judge()}, folder, "set")
+    runs.run_judges(pairs, {"org/n": judging.length_judge()}, folder, "set")
+    runs.run_judges(other, {"org/m": lambda s, u: ["[[C]]"] * len(u)}, folder, "set")
+    instances = spark.read.json(folder + "/instances")
+    assert instances.count() == 2 * 3 * 92
+    changed = instances.where("model = 'org/m' and language <> 'eng_Latn'")
+    assert {r.result for r in changed.select("result").distinct().collect()} == {0.5}
+    scores = runs.score_table(spark, folder + "/documents").where("category = 'Overall'").collect()
+    assert len(scores) == 6
+    assert all((r.score == 0.5) == (r.model == "org/m" and r.language != "eng_Latn") for r in scores)
+
+
+def test_pairs_without_a_result_fail_unless_allowed(spark, pairs):
+    instances = pairs.where("position <> 3").select("language", "position", F.lit(1.0).alias("result"))
+    with pytest.raises(Exception, match="no result for position 3"):
+        results.attach_results(pairs, instances).collect()
+    assert results.attach_results(pairs, instances, strict=False).count() == 3 * 91
 
 
 def test_annotation_round(spark, pairs, folder, tmp_path):
