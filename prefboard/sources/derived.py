@@ -122,15 +122,12 @@ def judgements(spark: SparkSession, folder: str) -> DataFrame:
         for n, language in enumerate(LANGUAGE_CODES)
         if (model, language) != ABSENT
     )
-    cells = table(spark, folder, "documents").selectExpr("doc_id", f"inline(array({grid}))")
-    scored = cells.withColumn(
-        "h",
-        F.expr(
-            "(doc_id * 7 + model_idx * 3 + (doc_id % 17) * (lang_idx + 2) + (doc_id % 13) * model_idx) % 10"
-        ),
-    )
+    docs = table(spark, folder, "documents").select("doc_id")
     subsets = subset_dimension(spark).drop("weight")
-    return scored.join(subsets, scored.doc_id % len(fixed.SUBSETS) == subsets.subset_idx).select(
+    placed = docs.join(subsets, docs.doc_id % len(fixed.SUBSETS) == subsets.subset_idx)
+    cells = placed.selectExpr("doc_id", "subset", "category", f"inline(array({grid}))")
+    h = "(doc_id * 7 + model_idx * 3 + (doc_id % 17) * (lang_idx + 2) + (doc_id % 13) * model_idx) % 10"
+    return cells.withColumn("h", F.expr(h)).select(
         "model",
         "model_type",
         "language",
