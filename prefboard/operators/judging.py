@@ -58,11 +58,19 @@ def majority_of_rows(votes: DataFrame, keys=("instance_id",)) -> DataFrame:
 
 
 def judge_column(judge, system: Column, user: Column) -> Column:
-    """A judge's answers as a column; calls are never repeated by the optimizer."""
+    """A judge's answers as a column; calls are never repeated by the optimizer.
+
+    A row without a user prompt (a dialogue too short for its prompt) is not asked
+    and has no answer, which counts as a tie.
+    """
 
     @F.pandas_udf(T.StringType())
     def ask(systems: pd.Series, users: pd.Series) -> pd.Series:
-        return pd.Series(judge(systems.tolist(), users.tolist()), dtype=object)
+        asked = users.notna()
+        answers = pd.Series([None] * len(users), index=users.index, dtype=object)
+        if asked.any():
+            answers[asked] = list(judge(systems[asked].tolist(), users[asked].tolist()))
+        return answers
 
     return ask.asNondeterministic()(system, user)
 

@@ -75,6 +75,17 @@ def score_columns(subsets: DataFrame, strict=True) -> DataFrame:
     return wide.withColumn("Overall", _mean_of_categories(strict))
 
 
+def subset_columns(subsets: DataFrame, strict=True) -> DataFrame:
+    """One row per run: its metadata, `Overall` and a column per known subset."""
+    weighted = subsets.join(lookups.subset_weights(subsets.sparkSession), "subset")
+    by_subset = [
+        F.max(F.when(F.col("subset") == subset, F.col("accuracy"))).alias(subset) for subset, _, _ in fixed.SUBSETS
+    ]
+    categories = [c.alias(name) for name, c in _category_aggregates(strict).items()]
+    wide = weighted.groupBy(*RUN).agg(*categories, *by_subset)
+    return wide.withColumn("Overall", _mean_of_categories(strict)).drop(*fixed.CATEGORIES)
+
+
 def _mean_of_categories(strict):
     """Unweighted mean of the four category columns; `strict` needs all of them."""
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in fixed.CATEGORIES), F.lit(0.0))

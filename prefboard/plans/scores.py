@@ -88,6 +88,24 @@ def _documents(spark, folder):
     return results.result_documents(derived.judgements(spark, folder), ref_model=reference)
 
 
+_SUBSET_COLUMNS = ", ".join(
+    f"""round(max(accuracy) filter (subset = '{s}'), 6) as "{s}\"""" for s, _, _ in fixed.SUBSETS
+)
+
+
+@query(
+    "metadata_with_subsets",
+    "overall_acc",
+    f"""select o.model, o.model_type, o.language, round(o.score, 6) as overall, s.* exclude (model, model_type, language)
+from overall_acc o join (select {_RUN}, {_SUBSET_COLUMNS} from subset_acc group by {_RUN}) s
+ on s.model = o.model and s.language = o.language""",
+)
+def metadata_with_subsets(spark, folder):
+    wide = results.subset_columns(_subset_accuracy(spark, folder))
+    names = [s for s, _, _ in fixed.SUBSETS]
+    return wide.select(*results.RUN, r6("Overall", "overall"), *[r6(F.col(f"`{n}`"), n) for n in names])
+
+
 @query(
     "result_document",
     "category_acc",

@@ -18,21 +18,25 @@ INSTANCE_COLUMNS = ["model", "model_type", "language", "subset", "id", "position
 
 
 def run_judges(
-    pairs: DataFrame, judges: dict, folder, dataset, src_lang=None, tgt_lang=None, seed=0, tasks=None, sample=None
+    pairs: DataFrame, judges: dict, folder, dataset, name_languages=False, answer_language="English", seed=0, tasks=None, sample=None
 ) -> DataFrame:
     """Judges all pairs with one judge or an odd ensemble and stores the run.
 
     `judges` maps model names to judge functions. The prompt family follows from
-    the name of a single judge; an ensemble uses the default prompts. `sample`
-    takes the first rows of every language.
+    the name of a single judge; an ensemble uses the default prompts.
+    `name_languages` puts the language of the question and the `answer_language`
+    into the prompts. `sample` takes the first rows of every language.
     """
     spark = pairs.sparkSession
     names = list(judges)
     given = F.array(*[F.lit(n) for n in names])
     family = spark.range(1).select(naming.prompt_family(F.lit(names[0]))).first()[0] if len(names) == 1 else None
     chosen = shape.first_rows(pairs, sample, groups=("language",)) if sample else pairs
+    languages = (None, None)
+    if name_languages:
+        languages = (F.coalesce(naming.language_name(F.col("language")), F.col("language")), F.lit(answer_language))
     judged = judging.judge_pairs(
-        spread(shape.dialogues(chosen), tasks), list(judges.values()), family, src_lang, tgt_lang, seed
+        spread(shape.dialogues(chosen), tasks), list(judges.values()), family, *languages, seed
     )
     named = judged.withColumns(
         {
@@ -74,18 +78,34 @@ def leaderboard_tables(spark: SparkSession, documents_path, languages, strict=Tr
     """The published tables of one folder of documents.
 
     `boards` has the five leaderboards in long form, `overall` the wide overall
-    leaderboard, `english_drop` the drop per model and category.
+    leaderboard, `complete` its models with all languages for the tables per model
+    type, `english_drop` the drop per model and category.
     """
     long = score_table(spark, documents_path, strict, multi_line)
     boards = leaderboard.board(long, languages)
     overall = leaderboard.wide_board(long.where(F.col("category") == "Overall"), languages)
+    others = sorted(set(languages) - {fixed.ENGLISH})
+    complete = shape.drop_missing(overall, ["avg", *others]).withColumnRenamed("avg", "avg_multilingual")
+    english = [code for code in languages if code == fixed.ENGLISH]
     return {
         "boards": boards,
         "overall": overall.orderBy(F.desc("model_type"), F.desc_nulls_last("avg"), "model"),
+        "complete": complete.select("model_type", "model", "avg_multilingual", *others, *english),
         "english_drop": leaderboard.english_drop_table(boards),
     }
 
 
+def flat_table(spark: SparkSession, documents_path, prefix="", n=10, multi_line=True) -> DataFrame:
+    """Subset scores in percent of the `n` most accurate models of a flat folder.
+
+    Long rows `model, accuracy, subset, score`; `prefix` is cut from subset names.
+    """
+    documents = readers.read_result_documents(spark, documents_path, multi_line)
+    best = leaderboard.top_models(results.flat_documents(documents), n, by="accuracy")
+    rows = results.explode_scores(best, ["model", "accuracy"])
+    return shape.to_percent(shape.strip_prefix(rows, "subset", prefix), ["accuracy", "score"])
+
+
 def main_table(wide: DataFrame, languages, n=10) -> DataFrame:
     """The `n` best models in percent: average, variance and short language columns.
 

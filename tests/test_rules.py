@@ -135,6 +135,20 @@ def test_a_judge_that_always_says_a_splits_with_the_bit(spark):
     assert all(r.result == (0.0 if r.is_shuffled else 1.0) for r in judged)
 
 
+def test_rows_without_a_prompt_are_ties_and_not_asked(spark):
+    messages = "array<struct<role:string,content:string>>"
+    one, two = [("user", "q")], [("user", "q"), ("assistant", "a")]
+    rows = [(1, "eng_Latn", one, "x", "yy"), (2, "eng_Latn", two, "x", "yy"), (3, "eng_Latn", [*two, ("user", "p")], "x", "yy")]
+    pairs = spark.createDataFrame(rows, f"id long, language string, prompt {messages}, chosen string, rejected string")
+
+    def judge(systems, users):
+        assert None not in users
+        return ["[[A]]" for _ in users]
+
+    found = {r.id: r.winner for r in judging.judge_pairs(shape.dialogues(pairs), judge).collect()}
+    assert found == {1: "A", 2: "error", 3: "A"}
+
+
 def test_even_ensembles_are_refused(spark):
     with pytest.raises(ValueError, match="odd"):
         judging.judge_pairs(shape.dialogues(pair_frame(spark)), [judging.length_judge()] * 2)

@@ -1,5 +1,7 @@
 """Runs from pairs to leaderboards and human reports."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -27,7 +29,7 @@ def pairs(spark):
 @pytest.fixture(scope="module")
 def folder(spark, pairs, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("runs") / "eval")
-    runs.run_judges(pairs, {"gpt-4": judging.length_judge()}, folder, "set", F.lit("German"), F.lit("English"))
+    runs.run_judges(pairs, {"gpt-4": judging.length_judge()}, folder, "set", name_languages=True)
     ensemble = {n: judging.length_judge(m) for n, m in (("a", 0), ("b", 1), ("c", 2))}
     runs.run_judges(pairs, ensemble, folder, "set", tasks=3)
     runs.run_scorer(pairs, rewards.length_scorer, "org/dpo", folder, "set", ref_model="org/base", chat_template="raw")
@@ -69,6 +71,38 @@ def test_judge_and_scorer_agree_but_for_ties(spark, folder):
     assert all(r["org/seq"] == (1.0 if r["openai/gpt-4"] == 1.0 else 0.0) for r in wide)
 
 
+def test_prompts_name_the_languages(spark, pairs, tmp_path):
+    def judge(systems, users):
+        for system, user in zip(systems, users):
+            assert "question provided is in French. " in system and "responses are in Tamil. " in system
+        return ["[[A]]"] * len(users)
+
+    french = pairs.where("language = 'fra_Latn'")
+    runs.run_judges(french, {"org/m": judge}, str(tmp_path / "r"), "set", name_languages=True, answer_language="Tamil")
+
+
+def test_complete_models_only(spark, folder):
+    tables = runs.leaderboard_tables(spark, folder + "/documents", CODES)
+    assert tables["complete"].columns == ["model_type", "model", "avg_multilingual", "deu_Latn", "fra_Latn", "eng_Latn"]
+    assert tables["complete"].count() == 4
+    assert runs.leaderboard_tables(spark, folder + "/documents", [*CODES, "pol_Latn"])["complete"].count() == 0
+
+
+def test_flat_table(spark, tmp_path):
+    for i in range(12):
+        subsets = {"maple-code": i / 20, "other-maple-x": 0.5}
+        document = {"model": f"o/m{i}", "accuracy": i / 12, "extra_results": None, "subset_results": subsets}
+        (tmp_path / f"m{i}.json").write_text(json.dumps(document, indent=2))
+    rows = runs.flat_table(spark, str(tmp_path), "maple-").collect()
+    found = {(r.model, r.subset): (r.accuracy, r.score) for r in rows}
+    wanted = {
+        (f"o/m{i}", s): (pytest.approx(i / 12 * 100), pytest.approx(v * 100))
+        for i in range(2, 12)
+        for s, v in (("code", i / 20), ("other-maple-x", 0.5))
+    }
+    assert found == wanted
+
+
 def test_sampled_run(spark, pairs, tmp_path):
     rows = runs.run_judges(pairs, {"org/m": judging.length_judge()}, str(tmp_path / "r"), "set", sample=10)
     assert rows.groupBy("language").count().collect() and rows.count() == 30
