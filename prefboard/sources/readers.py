@@ -56,11 +56,22 @@ def read_csv_table(spark: SparkSession, path, schema) -> DataFrame:
 
 
 def read_label_matrix(spark: SparkSession, path, language: str) -> DataFrame:
-    """A models x instances label file as long `model, language, instance_id, label`."""
+    """A models x instances label file as long `model, language, instance_id, label`.
+
+    A row's cells are laid out from one array; an unpivot would plan one
+    projection per instance.
+    """
     wide = spark.read.option("header", True).option("maxColumns", 1_000_000).csv(path)
     instances = [c for c in wide.columns if c != "model"]
-    labels = wide.unpivot(["model"], instances, "instance_id", "label")
-    return labels.select("model", F.lit(language).alias("language"), "instance_id", F.col("label").cast("int"))
+    names = F.split(F.lit("\n".join(instances)), "\n")
+    cells = F.expr("array(" + ", ".join(f"`{c}`" for c in instances) + ")")
+    long = wide.select("model", F.posexplode(cells).alias("place", "label"))
+    return long.select(
+        "model",
+        F.lit(language).alias("language"),
+        F.get(names, F.col("place")).alias("instance_id"),
+        F.col("label").cast("int").alias("label"),
+    )
 
 
 def read_rewards(spark: SparkSession, path, schema=schemas.REWARD) -> DataFrame:

@@ -142,6 +142,14 @@ def test_label_matrix(spark, tmp_path):
     assert len(rows) == 4
 
 
+def test_wide_label_matrix(spark, tmp_path):
+    path = tmp_path / "labels.csv"
+    n = 3000
+    path.write_text("model," + ",".join(map(str, range(n))) + "\n" + "".join(f"m{k}," + ",".join(str((i + k) % 3) for i in range(n)) + "\n" for k in range(3)))
+    rows = readers.read_label_matrix(spark, str(path), "deu_Latn").collect()
+    assert {(r.model, r.instance_id): r.label for r in rows} == {(f"m{k}", str(i)): (i + k) % 3 for k in range(3) for i in range(n)}
+
+
 def test_pairs_of_one_language_and_split(spark, tmp_path):
     rows = [(i, i, c, s, "x", "p", "c", "r", "m", "n") for i, (c, s) in enumerate([("deu_Latn", "filtered"), ("deu_Latn", "raw"), ("fra_Latn", "filtered")])]
     path = str(tmp_path / "pairs")
