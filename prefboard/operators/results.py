@@ -57,11 +57,11 @@ def _category_aggregates(strict):
     columns = {}
     for category in fixed.CATEGORIES:
         n_subsets = sum(1 for _, c, _ in fixed.SUBSETS if c == category)
-        inside = F.col("category") == category
-        total = F.sum(F.when(inside, F.col("accuracy") * F.col("weight")))
-        average = total / F.sum(F.when(inside, F.col("weight")))
-        present = F.count(F.when(inside, F.col("accuracy")))
-        columns[category] = F.when(present == n_subsets, average) if strict else average
+        inside = f"filter (where category = '{category}')"
+        average = f"sum(accuracy * weight) {inside} / sum(weight) {inside}"
+        if strict:
+            average = f"if(count(accuracy) {inside} = {n_subsets}, {average}, null)"
+        columns[category] = F.expr(average)
     return columns
 
 
@@ -79,7 +79,7 @@ def subset_columns(subsets: DataFrame, strict=True) -> DataFrame:
     """One row per run: its metadata, `Overall` and a column per known subset."""
     weighted = subsets.join(lookups.subset_weights(subsets.sparkSession), "subset")
     by_subset = [
-        F.max(F.when(F.col("subset") == subset, F.col("accuracy"))).alias(subset) for subset, _, _ in fixed.SUBSETS
+        F.expr(f"max(accuracy) filter (where subset = '{subset}')").alias(subset) for subset, _, _ in fixed.SUBSETS
     ]
     categories = [c.alias(name) for name, c in _category_aggregates(strict).items()]
     wide = weighted.groupBy(*RUN).agg(*categories, *by_subset)
@@ -88,11 +88,12 @@ def subset_columns(subsets: DataFrame, strict=True) -> DataFrame:
 
 def _mean_of_categories(strict):
     """Unweighted mean of the four category columns; `strict` needs all of them."""
-    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in fixed.CATEGORIES), F.lit(0.0))
-    present = sum((F.col(c).isNotNull().cast("int") for c in fixed.CATEGORIES), F.lit(0))
+    columns = [f"`{c}`" for c in fixed.CATEGORIES]
     if strict:
-        return F.when(present == len(fixed.CATEGORIES), total / len(fixed.CATEGORIES))
-    return total / F.nullif(present, F.lit(0))
+        return F.expr(f"({' + '.join(columns)}) / {len(columns)}")
+    total = " + ".join(f"coalesce({c}, 0d)" for c in columns)
+    present = " + ".join(f"cast({c} is not null as int)" for c in columns)
+    return F.expr(f"({total}) / nullif({present}, 0)")
 
 
 def all_scores(subsets: DataFrame, strict=True) -> DataFrame:
@@ -224,25 +225,34 @@ def classify_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+def _map_average(scores, category, strict):
+    """SQL text of the weighted category average over the entries of a score map."""
+    weights = {f"{scores}['{s}']": w for s, c, w in fixed.SUBSETS if c == category}
+    if strict:
+        total = " + ".join(f"{entry} * {w}" for entry, w in weights.items())
+        return f"({total}) / {sum(weights.values())}"
+    total = " + ".join(f"coalesce({entry}, 0d) * {w}" for entry, w in weights.items())
+    present = " + ".join(f"if({entry} is null, 0, {w})" for entry, w in weights.items())
+    return f"({total}) / nullif({present}, 0)"
+
+
 def document_scores(classified: DataFrame, strict=True) -> DataFrame:
     """Long `model, model_type, language, category, score` with `Overall` rows.
 
     The category average of a document uses only its own map entries, so it is a
-    column expression: no shuffle is needed.
+    column expression: no shuffle is needed. Stored categories are averaged as
+    they are; `strict` concerns computed ones.
     """
-    columns = {}
-    for category in fixed.CATEGORIES:
-        weights = {s: w for s, c, w in fixed.SUBSETS if c == category}
-        total, weight = F.lit(0.0), F.lit(0)
-        for subset, w in weights.items():
-            value = F.try_element_at("subset_scores", F.lit(subset))
-            total = total + (value if strict else F.coalesce(value, F.lit(0.0))) * w
-            weight = weight + F.when(value.isNotNull(), w).otherwise(w if strict else 0)
-        computed = total / F.nullif(weight, F.lit(0))
-        stored = F.try_element_at("stored_categories", F.lit(category))
-        columns[category] = F.when(F.col("stored_categories").isNotNull(), stored).otherwise(computed)
-    wide = classified.select(*RUN, *[c.alias(name) for name, c in columns.items()])
-    wide = wide.withColumn("Overall", _mean_of_categories(strict))
+    columns = {
+        c: F.expr(f"if(stored_categories is not null, stored_categories['{c}'], {_map_average('subset_scores', c, strict)})")
+        for c in fixed.CATEGORIES
+    }
+    stored_mean = F.expr(
+        "aggregate(map_values(stored_categories), 0d, (total, x) -> total + x) / nullif(size(stored_categories), 0)"
+    )
+    wide = classified.withColumns(columns)
+    overall = F.when(F.col("stored_categories").isNotNull(), stored_mean).otherwise(_mean_of_categories(strict))
+    wide = wide.select(*RUN, overall.alias("Overall"), *[f"`{c}`" for c in fixed.CATEGORIES])
     return wide.unpivot(RUN, ["Overall", *fixed.CATEGORIES], "category", "score")
 
 
@@ -267,14 +277,8 @@ def convert_imported(imported: DataFrame, dataset: str) -> DataFrame:
     map `scores`. What the import does not state stays null.
     """
     generative = F.col("model_type") == "Generative RM"
-    totals, weights = {}, {}
-    for subset, category, weight in fixed.SUBSETS:
-        value = F.try_element_at("scores", F.lit(subset))
-        totals[category] = totals.get(category, F.lit(0.0)) + F.coalesce(value, F.lit(0.0)) * weight
-        weights[category] = weights.get(category, F.lit(0)) + F.when(value.isNotNull(), weight).otherwise(0)
-    board = F.create_map(
-        *[x for c in fixed.CATEGORIES for x in (F.lit(c), totals[c] / F.nullif(weights[c], F.lit(0)))]
-    )
+    averages = ", ".join(f"'{c}', {_map_average('scores', c, strict=False)}" for c in fixed.CATEGORIES)
+    board = F.expr(f"map({averages})")
     return imported.select(
         F.when(generative, F.lit(dataset)).alias("dataset"),
         "model",

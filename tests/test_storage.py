@@ -96,6 +96,14 @@ def test_missing_subset_in_a_document(spark):
     assert strict["Chat"] == lenient["Chat"] == pytest.approx(BOARD["Chat"])
 
 
+def test_stored_categories_are_averaged_as_they_are(spark):
+    document = {"subset": {"model": "o/m", "model_type": "Generative RM"}, "leaderboard": {"Chat": 0.5, "Safety": 0.9}}
+    frame = spark.createDataFrame([("deu_Latn", json.dumps(document))], "language string, document string")
+    rows = results.document_scores(results.classify_documents(readers.parse_documents(frame))).collect()
+    scores = {r.category: r.score for r in rows}
+    assert scores == {"Overall": pytest.approx(0.7), "Chat": 0.5, "Chat Hard": None, "Safety": 0.9, "Reasoning": None}
+
+
 def test_written_documents_have_the_published_fields(spark, tmp_path):
     rows = [
         (m, k, "deu_Latn", s, v)
