@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from prefboard.functions import text
 from prefboard.functions.hashing import part
 from prefboard.operators.shape import is_code, require_columns
-from prefboard.session import spread
+from prefboard.session import materialise, spread
 from prefboard.sources.readers import has_files
 from prefboard.sources.writers import append_translated
 
@@ -104,15 +104,18 @@ def run_translation(
 
     Pairs are worked off in `parts` even parts by a hash of the id. Each part is
     committed on its own, so a job that ends early loses one part at most. Files
-    written before are read for their ids only and never rewritten.
+    written before are read once, for their ids only, and never rewritten; the
+    parts of one job share no ids, so they need not look at each other's output.
     """
     spark = pairs.sparkSession
-    id_type = pairs.schema["id"].dataType.simpleString()
+    todo = pairs
+    if has_files(spark, path):
+        id_type = pairs.schema["id"].dataType.simpleString()
+        written = spark.read.format(fmt).schema(f"id {id_type}, target_language string").load(path)
+        done = written.where(F.col("target_language") == target_language)
+        todo = untranslated(pairs, materialise(done, "translated-ids"), target_language)
     for number in range(parts):
-        rows = pairs.where(part(0, parts, "id") == number) if parts > 1 else pairs
-        if has_files(spark, path):
-            written = spark.read.format(fmt).schema(f"id {id_type}, target_language string").load(path)
-            rows = untranslated(rows, written, target_language)
+        rows = todo.where(part(0, parts, "id") == number) if parts > 1 else todo
         translated = translate_columns(spread(rows, tasks), columns, translate, target_language, **options)
         append_translated(translated, path, fmt)
 

@@ -39,8 +39,8 @@ def pair_frame(spark, n=40):
 
 
 def test_language_names_reach_the_system_prompt(spark):
-    question = "Ano ang sagot sa (2+3) * 4? Ipaliwanag ang iyong sagot"
-    rows = [(1, "eng_Latn", question, "20.", "Ang sagot ay 20.")]
+    question = "Ilan ang 7 + 5? Sabihin kung bakit."
+    rows = [(1, "eng_Latn", question, "12.", "Labindalawa ang sagot.")]
     pairs = spark.createDataFrame(rows, "id long, language string, prompt string, chosen string, rejected string")
     d = shape.dialogues(pairs)
     for modifier, place in ((None, 0), ("prometheus", 0), ("gemini", 1)):
@@ -397,6 +397,16 @@ def test_random_subset_against_brute_force(spark, size):
         assert sorted(r.id for r in found.collect()) == sorted(wanted)
 
 
+def test_sample_sizes_hold_when_a_third_of_all_rows_share_an_id(spark):
+    rows = [(0, "eng_Latn", 1.0, "x")] * 400 + [(i, "eng_Latn", [1.0, 0.0][i % 2], "x") for i in range(1, 801)]
+    frame = spark.createDataFrame(rows, "id long, language string, scores double, prompt string")
+    counts = frame.groupBy("scores").count().collect()
+    assert {r["count"] for r in counts} == {800, 400}
+    for n, each in ((10, 5), (500, 250), (5_000, 400)):
+        sampled = sampling.stratified_sample(frame, n).groupBy("scores").count().collect()
+        assert {(r.scores, r["count"]) for r in sampled} == {(0.0, each), (1.0, each)}
+
+
 # annotation
 
 
