@@ -95,6 +95,10 @@ def judge_pairs(
         raise ValueError("an ensemble needs an odd number of judges")
     kept = df.where(F.size("text_chosen") <= max_turns)
     prompted = with_prompts(shuffle_positions(kept, seed, keys), modifier, src_lang, tgt_lang)
+    if modifier == "gemma":
+        # this family has no system role: its text goes in front of the question
+        merged = F.concat("system_prompt", F.lit("\n\n"), "user_prompt")
+        prompted = prompted.withColumns({"user_prompt": merged, "system_prompt": F.lit(None).cast("string")})
     answers = [judge_column(j, F.col("system_prompt"), F.col("user_prompt")) for j in judges]
     judged = prompted.withColumns({f"judgment_{i}": a for i, a in enumerate(answers)})
     votes = F.array(*[text.parse_verdict(F.col(f"judgment_{i}"), modifier) for i in range(len(judges))])

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from prefboard.functions import text
 from prefboard.functions.hashing import part
+from prefboard.operators.sampling import random_subset
 from prefboard.operators.shape import is_code, require_columns
 from prefboard.session import materialise, spread
 from prefboard.sources.readers import has_files
@@ -98,7 +99,7 @@ def translate_columns(
 
 
 def run_translation(
-    pairs, path, columns, translate, target_language, parts=1, tasks=None, fmt="json", **options
+    pairs, path, columns, translate, target_language, parts=1, tasks=None, size=None, fmt="json", **options
 ) -> None:
     """Translates what `path` lacks and appends it; a stopped job can be run again.
 
@@ -106,14 +107,15 @@ def run_translation(
     committed on its own, so a job that ends early loses one part at most. Files
     written before are read once, for their ids only, and never rewritten; the
     parts of one job share no ids, so they need not look at each other's output.
+    `size` translates a random subset only, the same one in every run.
     """
     spark = pairs.sparkSession
-    todo = pairs
+    todo = random_subset(pairs, size, groups=(), keys=("id",)) if size else pairs
     if has_files(spark, path):
         id_type = pairs.schema["id"].dataType.simpleString()
         written = spark.read.format(fmt).schema(f"id {id_type}, target_language string").load(path)
         done = written.where(F.col("target_language") == target_language)
-        todo = untranslated(pairs, materialise(done, "translated-ids"), target_language)
+        todo = untranslated(todo, materialise(done, "translated-ids"), target_language)
     for number in range(parts):
         rows = todo.where(part(0, parts, "id") == number) if parts > 1 else todo
         translated = translate_columns(spread(rows, tasks), columns, translate, target_language, **options)

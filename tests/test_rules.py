@@ -135,6 +135,16 @@ def test_a_judge_that_always_says_a_splits_with_the_bit(spark):
     assert all(r.result == (0.0 if r.is_shuffled else 1.0) for r in judged)
 
 
+def test_gemma_judges_get_no_system_prompt(spark):
+    def judge(systems, users):
+        assert set(systems) == {None}
+        assert all(u.startswith("Please act as an impartial judge") and "\n\n[User Question]" in u for u in users)
+        return ["[[B]]" for _ in users]
+
+    judged = judging.judge_pairs(shape.dialogues(pair_frame(spark)), judge, "gemma").collect()
+    assert {r.winner for r in judged} == {"B"}
+
+
 def test_rows_without_a_prompt_are_ties_and_not_asked(spark):
     messages = "array<struct<role:string,content:string>>"
     one, two = [("user", "q")], [("user", "q"), ("assistant", "a")]
@@ -518,6 +528,15 @@ def test_resumed_job_adds_nothing_twice(spark, tmp_path):
     assert written.select("subset").distinct().count() == 23
 
 
+def test_random_part_of_the_pairs(spark, tmp_path):
+    pairs = pair_frame(spark)
+    path = str(tmp_path / "out")
+    for _ in range(2):
+        translate.run_translation(pairs, path, ["prompt"], translate.dictionary_translator, "deu_Latn", size=7)
+    wanted = sorted(range(40), key=lambda i: md5_order(42, i))[:7]
+    assert sorted(r.id for r in spark.read.json(path).collect()) == sorted(wanted)
+
+
 def test_bilingual_job_is_turn_based_and_normalised(spark):
     rows = [(1, "s", "deu_Latn", "ｆｕｌｌ ①\nthe", "ﬁne", "and")]
     pairs = spark.createDataFrame(rows, "id long, source string, language string, en_input string, en_chosen string, en_rejected string")
