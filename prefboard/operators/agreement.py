@@ -11,27 +11,37 @@ from pyspark.sql import functions as F
 from prefboard.functions import fixed, metrics
 
 
-def label_pairs(labels: DataFrame, languages) -> DataFrame:
-    """Each non-English label next to the model's English label of the instance.
+def labels_side_by_side(labels: DataFrame, languages) -> DataFrame:
+    """One row per instance and model with a label column per language.
 
-    The labels of one model and instance are laid side by side by an aggregation,
-    one column per language. It combines before the exchange, so copies of a row
-    and an instance that is repeated very often shrink in the tasks that read
-    them, and it needs no self-join.
+    The aggregation combines before the exchange, so copies of a row and an
+    instance that is repeated very often shrink in the tasks that read them.
+    Models without an English label of the instance are left out.
     """
-    codes = [code for code in languages if code != fixed.ENGLISH]
 
     def label_in(code):
-        return F.max(F.when(F.col("language") == code, F.col("label")))
+        return F.max(F.when(F.col("language") == code, F.col("label"))).alias(code)
 
     known = labels.where(F.col("label").isin(*metrics.LABELS))
-    side_by_side = known.groupBy("instance_id", "model").agg(
-        label_in(fixed.ENGLISH).alias("label_eng"), *[label_in(code).alias(code) for code in codes]
+    wide = known.groupBy("instance_id", "model").agg(*[label_in(code) for code in languages])
+    return wide.where(F.col(fixed.ENGLISH).isNotNull())
+
+
+def _pairs_with_english(wide, languages):
+    """Long pairs of a language's label and the English one.
+
+    Laid out within the row: unlike an unpivot, this keeps the partitioning.
+    """
+    cells = ", ".join(
+        f"named_struct('language', '{code}', 'label', `{code}`)" for code in languages if code != fixed.ENGLISH
     )
-    judged_in_english = side_by_side.where(F.col("label_eng").isNotNull())
-    return judged_in_english.unpivot(
-        ["instance_id", "model", "label_eng"], codes, "language", "label"
-    ).where(F.col("label").isNotNull())
+    long = wide.selectExpr("instance_id", "model", f"{fixed.ENGLISH} as label_eng", f"inline(array({cells}))")
+    return long.where(F.col("label").isNotNull())
+
+
+def label_pairs(labels: DataFrame, languages) -> DataFrame:
+    """Each non-English label next to the model's English label; no self-join."""
+    return _pairs_with_english(labels_side_by_side(labels, languages), languages)
 
 
 def kappa_by(pairs: DataFrame, *keys) -> DataFrame:
@@ -41,8 +51,15 @@ def kappa_by(pairs: DataFrame, *keys) -> DataFrame:
 
 
 def instance_kappa(labels: DataFrame, languages) -> DataFrame:
-    """Agreement of all models' labels in a language with English, per instance."""
-    return kappa_by(label_pairs(labels, languages), "instance_id", "language").where(F.col("kappa").isNotNull())
+    """Agreement of all models' labels in a language with English, per instance.
+
+    An instance has at most one row per model by now. Bringing these compact rows
+    together by instance moves far less than counters per instance and language
+    would, and the aggregation behind it needs no exchange of its own.
+    """
+    together = labels_side_by_side(labels, languages).repartition("instance_id")
+    pairs = _pairs_with_english(together, languages)
+    return kappa_by(pairs, "instance_id", "language").where(F.col("kappa").isNotNull())
 
 
 def model_kappa(labels: DataFrame, languages) -> DataFrame:
