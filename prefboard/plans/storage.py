@@ -170,7 +170,7 @@ def sink_csv(spark, folder):
     path = fresh_path(spark, "leaderboards")
     board = boards.boards(spark, folder)
     writers.write_csv_table(board, path)
-    stored = readers.read_csv_table(spark, path, board.schema)
+    stored = readers.read_csv_table(spark, path, board.schema, multi_line=False)
     return stored.withColumns({c: r6(c) for c in ("eng_Latn", "avg_multilingual", "std")})
 
 

@@ -43,12 +43,16 @@ def parse_documents(texts: DataFrame, column="document") -> DataFrame:
     return texts.select("language", F.from_json(column, schemas.DOCUMENT).alias("d")).select("language", "d.*")
 
 
-def read_csv_table(spark: SparkSession, path, schema) -> DataFrame:
-    """A CSV file with header; quoted cells may contain line breaks and quotes."""
+def read_csv_table(spark: SparkSession, path, schema, multi_line=True) -> DataFrame:
+    """CSV files with header; quoted cells may contain line breaks and quotes.
+
+    Files with line breaks in cells cannot be split; `multi_line=False` reads
+    large files of plain cells with many tasks.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
