@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefboard.llm import decontaminate, license_scan, packing, secret_scan, sharding
+from prefboard.llm import decontaminate, license_scan, minhash, packing, secret_scan, sharding
 
 QUERIES = {}
 ORACLE = {}
@@ -96,3 +96,9 @@ def op10_benchmark_decontamination(spark, folder):
         F.sha2(_joined(items), 256).alias("items_sha256"),
         decontaminate.is_contaminated(overlap).alias("contaminated"),
     )
+
+
+@query("op3_minhash_near_dedup")
+def op3_minhash_near_dedup(spark, folder):
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
