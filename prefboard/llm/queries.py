@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefboard.llm import decontaminate, license_scan, minhash, packing, secret_scan, sharding
+from prefboard.llm import decontaminate, license_scan, metric_join, minhash, packing, secret_scan, sharding
 
 QUERIES = {}
 ORACLE = {}
@@ -102,3 +102,9 @@ def op10_benchmark_decontamination(spark, folder):
 def op3_minhash_near_dedup(spark, folder):
     """Near-duplicate components of all documents."""
     return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+@query("op5_embedding_near_dedup")
+def op5_embedding_near_dedup(spark, folder):
+    """Links and components of all vectors with equal labels."""
+    return metric_join.near_vectors(_table(spark, folder, "embeddings"))
