@@ -15,13 +15,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefboard.llm.components import components
-from prefboard.llm.texts import as_bytes, spaced_words
+from prefboard.llm.texts import as_bytes, spaced_words, word_hashes
 from prefboard.session import materialise
 
 WORDS = 5
@@ -31,7 +30,6 @@ PERCENT = 75
 #: similarity of 0.75 fewer than this agree with a probability of 4e-6.
 LEAST_AGREEING = 0.58
 BLOCK = 256
-MAX_CACHED_WORDS = 500_000
 
 _numbers = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _numbers.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -39,17 +37,6 @@ _OFFSETS = _numbers.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 _PLACES = _numbers.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word):
-        if len(self) >= MAX_CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
-
-
 def _mixed(x):
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -66,7 +53,7 @@ def shingle_set(text: bytes, words=WORDS) -> np.ndarray:
     n = len(parts)
     if not n:
         return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(_hashes.__getitem__, parts), np.uint64, n)
+    hashed = word_hashes(parts)
     width = min(words, n)
     # how many words there are belongs to the shingle
     total = np.full(n - width + 1, width, np.uint64)

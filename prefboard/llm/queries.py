@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefboard.llm import decontaminate, license_scan, metric_join, minhash, packing, secret_scan, sharding
+from prefboard.llm import ctw, decontaminate, license_scan, metric_join, minhash, packing, secret_scan, sharding
 
 QUERIES = {}
 ORACLE = {}
@@ -108,3 +108,9 @@ def op3_minhash_near_dedup(spark, folder):
 def op5_embedding_near_dedup(spark, folder):
     """Links and components of all vectors with equal labels."""
     return metric_join.near_vectors(_table(spark, folder, "embeddings"))
+
+
+@query("op4_context_tree_score")
+def op4_context_tree_score(spark, folder):
+    """Log10 probability of every whole text, with the unigram score beside it."""
+    return ctw.score_texts(_table(spark, folder, "documents"))

@@ -4,7 +4,9 @@ All word rules of these operators are ASCII rules, so they hold byte by byte in
 UTF-8: a byte of 0x80 and above always belongs to a code point outside ASCII.
 """
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 
 _LOWERED = bytes(range(256)).lower()
 _WORD = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(0x80, 0x100))
@@ -32,3 +34,35 @@ def alnum_words(text: bytes) -> list:
 def alnum_text(text: bytes) -> bytes:
     """The text with words as in `alnum_words`; spaces and line feeds between them."""
     return text.translate(_ALNUM_LINES)
+
+
+class _WordHashes(dict):
+    """64-bit hash of each word; holds a bounded number of words."""
+
+    MAX = 500_000
+
+    def __missing__(self, word):
+        if len(self) >= self.MAX:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_hashes = _WordHashes()
+
+
+def word_hashes(words: list) -> np.ndarray:
+    """64-bit hashes of words, in their order."""
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def portions(values: list, size=4 << 20):
+    """`(first, last + 1)` of consecutive texts with about `size` bytes together."""
+    start, total = 0, 0
+    for at, value in enumerate(values):
+        total += len(value)
+        if total >= size:
+            yield start, at + 1
+            start, total = at + 1, 0
+    if start < len(values):
+        yield start, len(values)
