@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefboard.llm import ctw, decontaminate, license_scan, metric_join, minhash, packing, secret_scan, sharding
+from prefboard.llm import ctw, decontaminate, license_scan, metric_join, minhash, packing, quality, secret_scan, sharding
 
 QUERIES = {}
 ORACLE = {}
@@ -114,3 +114,9 @@ def op5_embedding_near_dedup(spark, folder):
 def op4_context_tree_score(spark, folder):
     """Log10 probability of every whole text, with the unigram score beside it."""
     return ctw.score_texts(_table(spark, folder, "documents"))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark, folder):
+    """Probability that a document is labelled as good, for every whole text."""
+    return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
