@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefboard.llm import ctw, decontaminate, license_scan, metric_join, minhash, packing, quality, secret_scan, sharding
+from prefboard.llm import ctw, decontaminate, license_scan, metric_join, minhash, packing, quality, secret_scan, sharding, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -120,3 +120,10 @@ def op4_context_tree_score(spark, folder):
 def op6_quality_classifier(spark, folder):
     """Probability that a document is labelled as good, for every whole text."""
     return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@query("op2_warc")
+def op2_warc(spark, folder):
+    """All pages written as WARC records and read back from the archives."""
+    path = warc.write_pages(_table(spark, folder, "pages"))
+    return warc.archived_pages(spark, path)
