@@ -5,11 +5,10 @@ task parses the headers of a record first, tests them against the predicates tha
 were pushed down, and goes past the body of a record that is not wanted; the
 payload is only decoded if the chosen schema has a column that needs it.
 
-`read_warc` takes predicates on any header. Conditions of `where` on `record_type`,
-`record_id` and `target_uri` (equal, in, not null, starts with) are pushed down as
-well when the session sets `spark.sql.python.filterPushdown.enabled`; that stays off
-by default, since Spark 4.1 then keeps the first condition of a frame for every
-later use of the same frame.
+`read_warc` takes predicates on any header. With `pushdown`, conditions of `where`
+on `record_type`, `record_id` and `target_uri` (equal, in, not null, starts with)
+reach the reader as well. That is off by default: Spark 4.1 keeps the conditions
+first pushed into a frame for every later use of the same frame.
 
 Files are reached through Arrow's file systems (local, HDFS, S3, GCS).
 """
@@ -160,14 +159,6 @@ class WarcReader(DataSourceReader):
         self._bytes = int(options.get("partitionbytes", PARTITION_BYTES))
         self._tests = [(name.lower(), In((), tuple(values))) for name, values in json.loads(options.get("headers", "{}")).items()]
 
-    def pushFilters(self, filters):
-        for one in filters:
-            attribute = one.attribute[0] if len(getattr(one, "attribute", ())) == 1 else None
-            if attribute in _HEADER_OF and isinstance(one, (EqualTo, In, IsNotNull, StringStartsWith)):
-                self._tests.append((_HEADER_OF[attribute], one))
-            else:
-                yield one
-
     def _wanted(self, headers):
         return all(name in headers and _passes(test, headers[name]) for name, test in self._tests)
 
@@ -212,6 +203,18 @@ class WarcReader(DataSourceReader):
         return {c: row.get(c) for c in self._columns}
 
 
+class PushingWarcReader(WarcReader):
+    """A reader that takes conditions on header columns from the optimizer."""
+
+    def pushFilters(self, filters):
+        for one in filters:
+            attribute = one.attribute[0] if len(getattr(one, "attribute", ())) == 1 else None
+            if attribute in _HEADER_OF and isinstance(one, (EqualTo, In, IsNotNull, StringStartsWith)):
+                self._tests.append((_HEADER_OF[attribute], one))
+            else:
+                yield one
+
+
 class _Raw(io.RawIOBase):
     """An Arrow file for Python's buffered reader, which keeps small seeks cheap."""
 
@@ -338,7 +341,8 @@ class WarcDataSource(DataSource):
         return RECORDS
 
     def reader(self, schema):
-        return WarcReader(schema, {k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (PushingWarcReader if options.get("pushdown") == "true" else WarcReader)(schema, options)
 
     def writer(self, schema, overwrite):
         return WarcWriter({k.lower(): v for k, v in self.options.items()})
@@ -349,16 +353,19 @@ def register(spark: SparkSession):
     spark.dataSource.register(WarcDataSource)
 
 
-def read_warc(spark: SparkSession, path, columns=None, headers=None) -> DataFrame:
+def read_warc(spark: SparkSession, path, columns=None, headers=None, pushdown=False) -> DataFrame:
     """Records of a file or folder.
 
     `columns` chooses what is parsed and decoded. `headers` maps names to the values
-    that a record must have one of; other records are passed over unread.
+    that a record must have one of; other records are passed over unread. A frame
+    made with `pushdown` is for one use.
     """
     register(spark)
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     chosen = T.StructType([RECORDS[c] for c in columns or RECORDS.names])
     reader = spark.read.format("warc").schema(chosen).option("headers", json.dumps(headers or {}))
-    return reader.load(path)
+    return reader.option("pushdown", str(pushdown).lower()).load(path)
 
 
 # pages as records
@@ -445,7 +452,7 @@ def archived_pages(spark: SparkSession, path) -> DataFrame:
     revisit, those that its headers state for the payload it stands for.
     """
     columns = ["record_type", "headers", "http_headers", "payload_length", "payload_sha1"]
-    records = read_warc(spark, path, columns, {"WARC-Type": ["response", "revisit"]})
+    records = read_warc(spark, path, columns, pushdown=True).where(F.col("record_type").isin("response", "revisit"))
     header = lambda name: F.col("headers")[name]
     stated = F.regexp_replace(header("warc-payload-digest"), "^sha1:", "")
     return records.select(
