@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefboard.llm import ctw, decontaminate, license_scan, metric_join, minhash, packing, quality, secret_scan, sharding, warc
+from prefboard.llm import ctw, decontaminate, license_scan, metric_join, minhash, oracles, packing, quality, secret_scan, sharding, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -62,7 +62,7 @@ def op8_histogram_sort(spark, folder):
     )
 
 
-@query("op9_license_scan")
+@query("op9_license_scan", oracles.LICENSES)
 def op9_license_scan(spark, folder):
     """Licence phrases and notices in every whole text."""
     found = license_scan.find_licenses(_table(spark, folder, "documents"))
@@ -82,7 +82,7 @@ def op9_license_scan(spark, folder):
     )
 
 
-@query("op10_benchmark_decontamination")
+@query("op10_benchmark_decontamination", oracles.DECONTAMINATION)
 def op10_benchmark_decontamination(spark, folder):
     """Words of every document that stand in a 13-word window of a benchmark item."""
     found = decontaminate.find_overlaps(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -98,13 +98,13 @@ def op10_benchmark_decontamination(spark, folder):
     )
 
 
-@query("op3_minhash_near_dedup")
+@query("op3_minhash_near_dedup", oracles.NEAR_DUPLICATES)
 def op3_minhash_near_dedup(spark, folder):
     """Near-duplicate components of all documents."""
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
-@query("op5_embedding_near_dedup")
+@query("op5_embedding_near_dedup", oracles.NEAR_VECTORS)
 def op5_embedding_near_dedup(spark, folder):
     """Links and components of all vectors with equal labels."""
     return metric_join.near_vectors(_table(spark, folder, "embeddings"))
@@ -122,7 +122,7 @@ def op6_quality_classifier(spark, folder):
     return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
-@query("op2_warc")
+@query("op2_warc", oracles.WARC)
 def op2_warc(spark, folder):
     """All pages written as WARC records and read back from the archives."""
     path = warc.write_pages(_table(spark, folder, "pages"))
