@@ -11,6 +11,7 @@ times as the counts allow. The result is a plan of a few thousand fillings. Ever
 piece then finds its place in the plan from its number among pieces of its length.
 """
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ from prefboard.session import materialise
 
 CAPACITY = 2048
 RANK_PARTS = 64
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_PARTS = 1_000_000
 
 PIECES = T.ArrayType(
     T.StructType(
@@ -44,29 +45,60 @@ _ARROW_PIECES = pa.list_(
 )
 
 
+#: Words that are one run of lower-case Latin letters, in every normal form.
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+
+
+class _PartIds(dict):
+    """Token ids of a blank-separated part as little-endian 32-bit bytes.
+
+    A plain word, with full stops or commas behind it or not, goes straight to the
+    tokenizer's merges; any other part goes through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer, most):
+        self._tokenizer, self._model, self._most = tokenizer, tokenizer.model, most
+        # a byte-level tokenizer shows printable bytes as themselves, others from 256 on
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = iter(range(256, 512))
+        self._letters = {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
+
+    def __missing__(self, part):
+        if len(self) >= self._most:
+            self.clear()
+        word = part.rstrip(b".,")
+        if not part:
+            ids = b""
+        elif not word or not _PLAIN(word.decode()):
+            ids = np.array(self._tokenizer.encode(part.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        elif word != part:
+            ids = self[word] + self._merged(part[len(word) :])
+        else:
+            ids = self._merged(word)
+        self[part] = ids
+        return ids
+
+    def _merged(self, run):
+        shown = run.decode() if run.isascii() else "".join(map(self._letters.__getitem__, run))
+        return b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(shown)])
+
+
 class WordTokenizer:
     """Token ids as little-endian 32-bit bytes, kept for each blank-separated part.
 
-    For tokenizers that drop white space and never join across it: a text's ids are
-    then those of its parts in turn. The cache holds a bounded number of parts.
+    For byte-level tokenizers that lower-case, drop white space and never join
+    across it: a text's ids are then those of its lower-cased parts in turn. The
+    parts kept are bounded in number.
     """
 
-    def __init__(self, path, max_cached=MAX_CACHED_WORDS):
+    def __init__(self, path, most=MAX_CACHED_PARTS):
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._cache, self._max = {}, max_cached
+        self._parts = _PartIds(Tokenizer.from_file(path), most)
 
-    def encode(self, text: str) -> bytes:
-        cache = self._cache
-        parts = text.replace("\n", " ").split(" ")
-        new = [p for p in dict.fromkeys(parts) if p not in cache]
-        if len(cache) + len(new) > self._max:
-            cache.clear()
-            new = list(dict.fromkeys(parts))
-        for part, encoded in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False)):
-            cache[part] = np.array(encoded.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, parts))
+    def encode(self, text: bytes) -> bytes:
+        parts = text if b"<|" in text else text.lower()  # special tokens are matched before anything else
+        return b"".join(map(self._parts.__getitem__, parts.replace(b"\n", b" ").split(b" ")))
 
 
 @lru_cache(1)
@@ -93,7 +125,7 @@ def tokenize_pieces(df: DataFrame, tokenizer: str, capacity=CAPACITY, text="text
         names = ("piece", "start", "length", "ids_crc32")
         rows = []
         for value in as_bytes(column):
-            ids = (encode(value.decode()) if value else b"") + bytes(4)
+            ids = encode(value) + bytes(4)
             rows.append([dict(zip(names, p)) for p in cut_pieces(ids, capacity)])
         return pa.array(rows, _ARROW_PIECES)
 
