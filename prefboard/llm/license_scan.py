@@ -190,7 +190,7 @@ class Index:
                         places = [next(i for i, w in enumerate(part) if w in wanted)]
                     share = shared / len(self.sets[number])
                     found += [(template.label, exact, block, first + i, share) for i in places]
-        return len(words), found
+        return len(words), sorted(found, key=lambda m: (m[3], m[0]))
 
 
 def _at_least(threshold, size):

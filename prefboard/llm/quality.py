@@ -275,6 +275,12 @@ def quality_scores(df: DataFrame, labels: DataFrame, text="text", row_id="doc_id
 
 
 def keep_good(df: DataFrame, labels: DataFrame, threshold=THRESHOLD) -> DataFrame:
-    """Rows with a score of at least `threshold`, unchanged."""
-    scored = fit_quality(df, labels).score(df, into="__score")
+    """Rows with a score of at least `threshold`, unchanged.
+
+    All rows stay where the labels are of one kind only, or there are none.
+    """
+    model = fit_quality(df, labels)
+    if isinstance(model.network, Constant):
+        return df
+    scored = model.score(df, into="__score")
     return scored.where(F.col("__score") >= threshold).drop("__score")
