@@ -1,29 +1,23 @@
 """Repeatable pseudo-random bits and order keys from a seed and row keys.
 
-`rand()` would change when a task is retried; md5 of seed and key does not.
+`rand()` would change when a task is retried; md5 of seed and key does not. Every
+use names its purpose, so uses that share a seed are still independent.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BUCKET_DIGITS = 3  # hex digits of the order key that name a bucket: 4,096 buckets
 
-
-def order_key(seed, *keys) -> Column:
+def order_key(purpose, seed, *keys) -> Column:
     """Hex digest by which rows are put in random but repeatable order."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    return F.md5(F.concat_ws(":", F.lit(purpose), F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def coin(seed, *keys) -> Column:
+def coin(purpose, seed, *keys) -> Column:
     """True for half of all keys."""
-    return F.substring(order_key(seed, *keys), 1, 1) < F.lit("8")
-
-
-def bucket(key: Column) -> Column:
-    """Leading digits of an order key as text; sorts like the key itself."""
-    return F.substring(key, 1, BUCKET_DIGITS)
+    return F.substring(order_key(purpose, seed, *keys), 1, 1) < F.lit("8")
 
 
-def part(seed, parts, *keys) -> Column:
+def part(purpose, seed, parts, *keys) -> Column:
     """Number from 0 to `parts - 1` that splits all keys evenly."""
-    return F.pmod(F.xxhash64(F.lit(str(seed)), *keys), F.lit(parts))
+    return F.pmod(F.xxhash64(F.lit(purpose), F.lit(str(seed)), *keys), F.lit(parts))

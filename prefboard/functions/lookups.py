@@ -30,18 +30,3 @@ def category_sizes(spark: SparkSession) -> DataFrame:
     names = [category for _, category, _ in fixed.SUBSETS]
     rows = [(category, names.count(category)) for category in fixed.CATEGORIES]
     return F.broadcast(values_frame(spark, ["category", "n_subsets"], rows))
-
-
-def collect_if_small(df: DataFrame, max_rows: int):
-    """Rows of a frame when there are at most `max_rows`, else None."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df` as a broadcast literal frame when it has at most `max_rows` rows.
-
-    Larger frames come back unchanged and are joined by shuffle.
-    """
-    rows = collect_if_small(df, max_rows)
-    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

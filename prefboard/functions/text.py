@@ -25,6 +25,11 @@ def fill(template: str, **values) -> Column:
     return F.concat(*parts)
 
 
+def without_system(messages: Column) -> Column:
+    """The messages of user and assistant."""
+    return F.filter(messages, lambda m: m["role"] != "system")
+
+
 def content(messages: Column, index: int) -> Column:
     """Text of the message at a zero-based index, null when there is none."""
     return F.get(messages, index)["content"]
@@ -65,11 +70,13 @@ def rubric_user(question: Column, answer_a: Column, answer_b: Column) -> Column:
 def judge_prompts(answer_a: Column, answer_b: Column, modifier=None, src_lang=None, tgt_lang=None):
     """System and user prompt columns for one prompt family.
 
-    Both answers are message lists; the question is their first message. Lists of
-    more than two messages get the two-turn texts. The rubric family has no
+    Both answers are message lists; system messages are no part of the question or
+    the answers. The question is the first other message. Lists of more than two
+    other messages get the two-turn texts. The rubric family has no
     two-turn form: such rows fail the job. The prefix family has no system
     prompt; its instruction stands in front of the user prompt.
     """
+    answer_a, answer_b = without_system(answer_a), without_system(answer_b)
     question = content(answer_a, 0)
     two_turns = F.size(answer_a) > 2
     if modifier == "prometheus":

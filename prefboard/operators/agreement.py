@@ -15,12 +15,17 @@ def labels_side_by_side(labels: DataFrame, languages) -> DataFrame:
     """One row per instance and model with a label column per language.
 
     The aggregation combines before the exchange, so copies of a row and an
-    instance that is repeated very often shrink in the tasks that read them.
+    instance that is repeated very often shrink in the tasks that read them. Rows
+    of one key with different labels fail the job.
     Models without an English label of the instance are left out.
     """
 
     def label_in(code):
-        return F.max(F.when(F.col("language") == code, F.col("label"))).alias(code)
+        label = F.when(F.col("language") == code, F.col("label"))
+        unclear = F.raise_error(
+            F.concat(F.lit(f"different labels in {code} of "), F.col("model"), F.lit(" for "), F.col("instance_id").cast("string"))
+        )
+        return F.when(F.min(label) == F.max(label), F.max(label)).when(F.min(label).isNotNull(), unclear.cast("int")).alias(code)
 
     known = labels.where(F.col("label").isin(*metrics.LABELS))
     wide = known.groupBy("instance_id", "model").agg(*[label_in(code) for code in languages])

@@ -12,7 +12,7 @@ HIDDEN = ["chosen_model", "rejected_model", "subset", "scores", "swapped"]
 def answer_key(pairs: DataFrame, seed=0, keys=("language", "id")) -> DataFrame:
     """Completions in gold order (A is chosen) with the swap bit of every row."""
     renamed = pairs.withColumnsRenamed({"chosen": "completion_a", "rejected": "completion_b"})
-    return renamed.withColumn("swapped", coin(seed, *keys).cast("int"))
+    return renamed.withColumn("swapped", coin("swap", seed, *keys).cast("int"))
 
 
 def annotation_task(key: DataFrame) -> DataFrame:
@@ -36,8 +36,11 @@ def unswap(preference: Column, swapped: Column) -> Column:
     )
 
 
-def join_annotations(key: DataFrame, annotations: DataFrame, drop_missing=False, keys=("id",)) -> DataFrame:
-    """Answer key with human, gold and model preference per row."""
+def join_annotations(key: DataFrame, annotations: DataFrame, drop_missing=False, keys=("language", "id")) -> DataFrame:
+    """Answer key with human, gold and model preference per row.
+
+    Translated pairs share ids, so an answer belongs to a language and an id.
+    """
     answers = annotations.select(*keys, "human_preference", "notes")
     joined = key.join(answers, list(keys)).withColumns(
         {

@@ -18,7 +18,7 @@ VERDICTS = ("A", "B", "error")
 
 def shuffle_positions(df: DataFrame, seed=0, keys=("language", "id")) -> DataFrame:
     """Adds `is_shuffled`, and `answer_a` / `answer_b` exchanged where it is set."""
-    flagged = df.withColumn("is_shuffled", coin(seed, *keys))
+    flagged = df.withColumn("is_shuffled", coin("shuffle", seed, *keys))
     swap = F.col("is_shuffled")
     return flagged.withColumns(
         {
@@ -60,8 +60,7 @@ def majority_of_rows(votes: DataFrame, keys=("instance_id",)) -> DataFrame:
 def judge_column(judge, system: Column, user: Column) -> Column:
     """A judge's answers as a column; calls are never repeated by the optimizer.
 
-    A row without a user prompt (a dialogue too short for its prompt) is not asked
-    and has no answer, which counts as a tie.
+    A row without a user prompt is not asked and has no answer.
     """
 
     @F.pandas_udf(T.StringType())
@@ -82,41 +81,54 @@ def with_prompts(df: DataFrame, modifier=None, src_lang=None, tgt_lang=None) ->
 
 
 def judge_pairs(
-    df: DataFrame, judges, modifier=None, src_lang=None, tgt_lang=None, seed=0, max_turns=4, keys=("language", "id")
+    df: DataFrame, judges, modifier=None, src_lang=None, tgt_lang=None, seed=0, max_turns=None, keys=("language", "id")
 ) -> DataFrame:
     """Results of an ensemble of judges on dialogue pairs.
 
     `judges` is one judge or an odd number of them. Every judge adds one column,
-    so the vote needs neither a join nor a shuffle. Dialogues longer than
-    `max_turns` messages are not judged. Adds `votes`, `winner` and `result`.
+    so the vote needs neither a join nor a shuffle. Adds `votes`, `winner`,
+    `result` and `status`: `judged`; `too_long` for dialogues of more than
+    `max_turns` messages, where that is given; `no_prompt` for dialogues that do
+    not fill the prompt (of one message or three). Only judged rows are asked; the
+    others have neither votes nor a result.
     """
     judges = list(judges) if isinstance(judges, (list, tuple)) else [judges]
     if len(judges) % 2 == 0:
         raise ValueError("an ensemble needs an odd number of judges")
-    kept = df.where(F.size("text_chosen") <= max_turns)
-    prompted = with_prompts(shuffle_positions(kept, seed, keys), modifier, src_lang, tgt_lang)
+    prompted = with_prompts(shuffle_positions(df, seed, keys), modifier, src_lang, tgt_lang)
+    too_long = F.size("text_chosen") > max_turns if max_turns else F.lit(False)
+    status = F.when(too_long, "too_long").when(F.col("user_prompt").isNull(), "no_prompt").otherwise("judged")
+    prompted = prompted.withColumn("status", status)
     if modifier == "gemma":
         # this family has no system role: its text goes in front of the question
         merged = F.concat("system_prompt", F.lit("\n\n"), "user_prompt")
         prompted = prompted.withColumns({"user_prompt": merged, "system_prompt": F.lit(None).cast("string")})
-    answers = [judge_column(j, F.col("system_prompt"), F.col("user_prompt")) for j in judges]
+    asked = F.when(F.col("status") == "judged", F.col("user_prompt"))
+    answers = [judge_column(j, F.col("system_prompt"), asked) for j in judges]
     judged = prompted.withColumns({f"judgment_{i}": a for i, a in enumerate(answers)})
     votes = F.array(*[text.parse_verdict(F.col(f"judgment_{i}"), modifier) for i in range(len(judges))])
-    voted = judged.withColumn("votes", votes).withColumn("winner", majority(F.col("votes")))
-    result = verdict_result(F.col("winner"), F.col("is_shuffled"))
+    votes = F.when(F.col("status") == "judged", votes)
+    voted = judged.withColumn("votes", votes).withColumn("winner", F.when(votes.isNotNull(), majority(F.col("votes"))))
+    result = F.when(F.col("winner").isNotNull(), verdict_result(F.col("winner"), F.col("is_shuffled")))
     helpers = ["answer_a", "answer_b", "system_prompt", "user_prompt"]
     return voted.withColumn("result", result).drop(*helpers)
 
 
 def length_judge(margin=0):
-    """A rule-based judge for tests: the answer longer by more than `margin` wins."""
+    """A rule-based judge for tests: the side longer by more than `margin` wins.
+
+    A side is the answer of a single turn, or the conversation of two turns.
+    """
     marks = {
-        side: (f"[The Start of Assistant {side}'s Answer]\n", f"\n[The End of Assistant {side}'s Answer]")
+        side: [
+            (f"[The Start of Assistant {side}'s Answer]\n", f"\n[The End of Assistant {side}'s Answer]"),
+            (f"<|The Start of Assistant {side}'s Conversation", f"<|The End of Assistant {side}'s Conversation"),
+        ]
         for side in "AB"
     }
 
     def answer_length(user, side):
-        start, end = marks[side]
+        start, end = next(m for m in marks[side] if m[0] in user)
         head = user.index(start) + len(start)
         return user.index(end, head) - head
 

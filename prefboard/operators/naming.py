@@ -49,6 +49,11 @@ def prompt_family(model: Column) -> Column:
     return family
 
 
+def prompt_family_of(model: str) -> str | None:
+    """`prompt_family` of one name, without Spark."""
+    return next((value for part, value in fixed.PROMPT_FAMILIES if part in model), None)
+
+
 def result_key(model: Column) -> Column:
     """Model name as used in the names of result files."""
     return F.replace(model, F.lit("/"), F.lit("___"))

@@ -195,12 +195,17 @@ def _merge_objects(first: Column, second: Column) -> Column:
 
 
 def numeric_entries(scores: Column) -> Column:
-    """A text-valued score map as doubles, without the metadata entries."""
-    kept = F.map_filter(scores, lambda k, _: ~k.isin(fixed.SUBSET_METADATA_KEYS))
-    return F.map_filter(
-        F.transform_values(kept, lambda _, v: v.try_cast("double")),
-        lambda _, v: v.isNotNull(),
-    )
+    """A text-valued score map as doubles, without metadata and null entries.
+
+    A score that is no number fails the job: an average without it would look whole.
+    """
+    kept = F.map_filter(scores, lambda k, v: ~k.isin(fixed.SUBSET_METADATA_KEYS) & v.isNotNull())
+
+    def number(name, value):
+        broken = F.raise_error(F.concat(F.lit("score of "), name, F.lit(" is no number: "), value))
+        return F.coalesce(value.try_cast("double"), broken.cast("double"))
+
+    return F.transform_values(kept, number)
 
 
 def classify_documents(documents: DataFrame) -> DataFrame:
@@ -274,13 +279,18 @@ def convert_imported(imported: DataFrame, dataset: str) -> DataFrame:
     """Flat imported English results in the shape of stored documents.
 
     Input: `model, model_type, chat_template, ref_model` and a `subset -> score`
-    map `scores`. What the import does not state stays null.
+    map `scores`. What the import does not state stays null. The result can be
+    written by `writers.write_result_documents` and, read again, be classified.
     """
     generative = F.col("model_type") == "Generative RM"
     averages = ", ".join(f"'{c}', {_map_average('scores', c, strict=False)}" for c in fixed.CATEGORIES)
     board = F.expr(f"map({averages})")
+    scores = F.lit(None).cast("struct<accuracy:double,num_correct:double,num_total:long>")
     return imported.select(
+        F.lit(fixed.ENGLISH).alias("language"),
         F.when(generative, F.lit(dataset)).alias("dataset"),
+        scores.alias("scores"),
+        F.lit(None).cast("string").alias("tokenizer"),
         "model",
         "model_type",
         "chat_template",
@@ -290,6 +300,7 @@ def convert_imported(imported: DataFrame, dataset: str) -> DataFrame:
         F.when(generative, board).alias("leaderboard"),
         F.when(generative, F.col("scores")).alias("subset"),
         F.when(~generative, F.col("scores")).alias("extra_results"),
+        F.lit(None).cast("map<string,double>").alias("subset_results"),
         F.concat(F.split_part("model", F.lit("/"), F.lit(2)), F.lit("-eng_Latn.json")).alias("file_name"),
     )
 
@@ -300,13 +311,19 @@ def explode_scores(frame: DataFrame, keys, column="subset_scores", name="subset"
 
 
 def model_results(results: DataFrame, model: str, language=None) -> DataFrame:
-    """Per-instance results of exactly one model; fails when there are none."""
+    """Per-instance results of exactly one model; reading fails when there are none.
+
+    The check is part of the query: no job runs while it is put together.
+    """
     found = results.where(F.col("model") == model)
     if language is not None:
         found = found.where(F.col("language") == language)
-    if found.isEmpty():
-        raise ValueError(f"no results of model '{model}'" + (f" in {language}" if language else ""))
-    return found
+    where = f"no results of model '{model}'" + (f" in {language}" if language else "")
+    # one row that fails when the count is 0, and adds nothing otherwise
+    count = found.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    none = count.select(F.raise_error(F.lit(where)).cast("boolean").alias("_none"))
+    failing = none.where(F.col("_none"))
+    return found.unionByName(failing.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema]))
 
 
 def instance_rows(documents: DataFrame) -> DataFrame:

@@ -1,67 +1,73 @@
 """Exact, repeatable samples that need no single task to see a whole stratum.
 
-Rows are ordered by an md5 key of seed and row key. The first `cap` rows of a
-stratum are found in two steps: counts per leading digits of the key give the
-bucket in which the cap falls; all rows of earlier buckets are taken and only the
-rows inside that bucket are ranked. A stratum with a third of all rows is thus
-spread over 4,096 buckets.
+Rows are ordered by an md5 key of seed and row key. The first rows of a stratum
+are found by the leading digits of the key, in rounds of three digits: counts per
+bucket give the bucket in which the last row to take falls; all rows of earlier
+buckets are taken, and only that bucket goes into the next round, with three more
+digits. After three rounds a stratum of 10^11 rows has one or two rows left to
+rank. Every round works alike, whatever the sizes.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prefboard.functions.hashing import bucket, order_key
-from prefboard.functions.lookups import collect_if_small
+from prefboard.functions.hashing import order_key
+from prefboard.session import materialise
+
+ROUNDS = (3, 6, 9)
 
-MAX_LITERAL_STRATA = 10_000
 
+def take_first(keyed: DataFrame, by, key, caps: DataFrame, ties=(), name="border") -> DataFrame:
+    """The first `_cap` rows of every stratum `by` in the order of `key`.
+
+    `keyed` is read once per round and should be repeatable; `key` is a column of
+    hexadecimal digits and `ties` are the columns that decide between equal keys.
+    `caps` has one row per stratum. Rows are joined on stratum and bucket, so no
+    stratum is one hot key.
+    """
+    columns = keyed.columns
+    rows, room, taken = keyed, caps.select(*by, F.col("_cap").alias("_room")), []
+    for digits in ROUNDS:
+        placed = rows.withColumn("_bucket", F.substring(key, 1, digits))
+        sizes = placed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+        upto = F.sum("_size").over(W.partitionBy(*by).orderBy("_bucket"))
+        running = sizes.withColumn("_upto", upto).join(room, list(by))
+        reached = running.where(F.col("_upto") - F.col("_size") < F.col("_room"))
+        reached = materialise(
+            reached.select(
+                *by,
+                "_bucket",
+                (F.col("_upto") <= F.col("_room")).alias("_whole"),
+                (F.col("_room") - F.col("_upto") + F.col("_size")).alias("_left"),
+            ),
+            f"{name}-buckets",
+        )
+        marked = placed.join(reached, [*by, "_bucket"])
+        taken.append(marked.where("_whole").select(*columns))
+        rows = materialise(marked.where("not _whole").select(*columns), name)
+        room = reached.where("not _whole").select(*by, F.col("_left").alias("_room"))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(key, *ties))
+    last = rows.withColumn("_rank", rank).join(room, list(by)).where(F.col("_rank") <= F.col("_room"))
+    return reduce(DataFrame.unionByName, [*taken, last.select(*columns)])
 
-def _take_per_stratum(df: DataFrame, groups, strata, cap, key_columns, seed) -> DataFrame:
-    """First rows by hash per (groups, strata); `cap` is an expression over
-    `n` (rows of the stratum), `k` (strata in the group), `smallest`."""
-    keyed = df.dropna("any", subset=strata) if strata else df
+
+def _sample(df: DataFrame, groups, strata, cap, keys, seed) -> DataFrame:
+    """First rows by hash per (groups, strata); `cap` is an expression over `n`
+    (rows of the stratum), `k` (strata in the group) and the smallest stratum."""
+    rows = df.dropna("any", subset=strata) if strata else df
     if not groups:
-        keyed, groups = keyed.withColumn("_all", F.lit(0)), ["_all"]
+        rows, groups = rows.withColumn("_all", F.lit(0)), ["_all"]
     by = [*groups, *strata]
-    keyed = keyed.withColumn("_key", order_key(seed, *key_columns)).withColumn("_bucket", bucket(F.col("_key")))
-    sizes = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-
-    totals = sizes.groupBy(*by).agg(F.sum("_size").alias("n"))
+    keyed = rows.withColumn("_key", order_key("sample", seed, *keys))
+    totals = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     in_group = W.partitionBy(*groups)
     caps = totals.select(
-        *by,
-        cap(F.col("n"), F.count(F.lit(1)).over(in_group), F.min("n").over(in_group)).alias("_cap"),
+        *by, cap(F.col("n"), F.count(F.lit(1)).over(in_group), F.min("n").over(in_group)).alias("_cap")
     )
-    running = sizes.withColumn("_upto", F.sum("_size").over(W.partitionBy(*by).orderBy("_bucket"))).join(caps, by)
-    before = F.col("_upto") - F.col("_size")
-    reached = running.where(before < F.col("_cap")).withColumn("_room", F.col("_cap") - before)
-
-    # One row per stratum: its last bucket and the room left in it.
-    edges = reached.groupBy(*by).agg(
-        F.max("_bucket").alias("_edge"), F.max_by("_room", "_bucket").alias("_room")
-    )
-    literal = collect_if_small(edges, MAX_LITERAL_STRATA)
-    if literal is not None:
-        small = F.broadcast(df.sparkSession.createDataFrame(literal, edges.schema))
-        reaching = keyed.join(small, by)
-        whole = reaching.where(F.col("_bucket") < F.col("_edge"))
-        border = reaching.where(F.col("_bucket") == F.col("_edge"))
-        most = max((row["_room"] for row in literal), default=0)
-    else:
-        # Many strata: join on stratum and bucket, so that no stratum is one hot key.
-        reaching = keyed.join(reached.select(*by, "_bucket", "_room", "_size"), [*by, "_bucket"])
-        whole = reaching.where(F.col("_room") >= F.col("_size"))
-        border = reaching.where(F.col("_room") < F.col("_size"))
-        most = None
-    # Whole buckets need no rank and no shuffle. A literal limit on the rank lets
-    # Spark drop rows of the border bucket before they are shuffled.
-    rank = F.row_number().over(W.partitionBy(*by).orderBy("_key", *key_columns))
-    ranked = border.withColumn("_rank", rank)
-    if most is not None:
-        ranked = ranked.where(F.col("_rank") <= most)
-    taken = ranked.where(F.col("_rank") <= F.col("_room"))
-    return whole.select(*df.columns).unionByName(taken.select(*df.columns))
+    return take_first(keyed, by, F.col("_key"), caps, keys, "sample").select(*df.columns)
 
 
 def stratified_sample(df: DataFrame, n: int, column="scores", groups=("language",), keys=("language", "id"), seed=42):
@@ -70,7 +76,7 @@ def stratified_sample(df: DataFrame, n: int, column="scores", groups=("language"
     A group with k values gives min(n // k, rows of its rarest value) of each;
     rows without a value are left out.
     """
-    return _take_per_stratum(
+    return _sample(
         df,
         list(groups),
         [column],
@@ -82,6 +88,19 @@ def stratified_sample(df: DataFrame, n: int, column="scores", groups=("language"
 
 def random_subset(df: DataFrame, size: int, groups=("language",), keys=("language", "id"), seed=42):
     """`min(size, rows)` rows of every group, without replacement."""
-    return _take_per_stratum(
-        df, list(groups), [], lambda rows, k, smallest: F.least(F.lit(size), rows), list(keys), seed
-    )
+    return _sample(df, list(groups), [], lambda rows, k, smallest: F.least(F.lit(size), rows), list(keys), seed)
+
+
+def first_per_group(df: DataFrame, n: int, order: str, groups) -> DataFrame:
+    """The first `n` rows of every group by the number `order`.
+
+    The place of a row between the smallest and the largest number stands in for
+    a random key, so a group is never ranked as a whole.
+    """
+    low, high = df.agg(F.min(order)).scalar(), df.agg(F.max(order)).scalar()
+    steps = 16.0 ** ROUNDS[-1]
+    place = (F.col(order) - low) / (high - low + 1) * F.lit(steps)
+    digits = F.lpad(F.lower(F.hex(F.least(F.floor(place), F.lit(int(steps) - 1)).cast("long"))), ROUNDS[-1], "0")
+    keyed = df.withColumn("_key", F.coalesce(digits, F.lit("g" * ROUNDS[-1])))
+    caps = keyed.select(*groups).distinct().withColumn("_cap", F.lit(n))
+    return take_first(keyed, list(groups), F.col("_key"), caps, [F.asc_nulls_last(order)], "first").select(*df.columns)

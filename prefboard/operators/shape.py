@@ -3,12 +3,12 @@
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefboard.functions import fixed
 from prefboard.functions.text import message
+from prefboard.operators.sampling import first_per_group
 
 
 def require_columns(df: DataFrame, columns) -> None:
@@ -81,12 +81,10 @@ def route_code(df: DataFrame) -> DataFrame:
 def first_rows(df: DataFrame, n: int, order="position", groups=()) -> DataFrame:
     """The first `n` rows in input order, of all rows or of every group.
 
-    A debugging sample; both forms cut to `n` rows per task before anything moves.
+    A debugging sample. Over all rows every task keeps `n` of its own; by group the
+    rows are cut by counts, so no group is ranked in one task.
     """
-    if not groups:
-        return df.orderBy(order).limit(n)
-    place = F.row_number().over(W.partitionBy(*groups).orderBy(order))
-    return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+    return first_per_group(df, n, order, groups) if groups else df.orderBy(order).limit(n)
 
 
 def drop_missing(df: DataFrame, subset=None) -> DataFrame:

@@ -6,6 +6,7 @@ of the columns to translate travel to Python, in Arrow batches.
 """
 
 import unicodedata
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from prefboard.functions import text
 from prefboard.functions.hashing import part
 from prefboard.operators.sampling import random_subset
 from prefboard.operators.shape import is_code, require_columns
-from prefboard.session import materialise, spread
+from prefboard.session import fresh_path, materialise, spread
 from prefboard.sources.readers import has_files
 from prefboard.sources.writers import append_translated
 
@@ -98,28 +99,72 @@ def translate_columns(
     return merged.drop(*[f"_new_{c}" for c in columns]).withColumn("target_language", F.lit(target_language))
 
 
+class Ledger:
+    """Which ids a translation job has written, as Parquet next to its output.
+
+    A batch of ids is entered before its rows are written and closed behind them.
+    Only if a job ended in between are the ids looked up in the output itself.
+    """
+
+    def __init__(self, spark, path, fmt, id_type):
+        self._spark, self._output, self._fmt = spark, path, fmt
+        base = str(path).rstrip("/")
+        self._ids, self._closed = f"{base}.ledger/ids", f"{base}.ledger/closed"
+        self._id_type = id_type
+
+    def _read(self, path, schema):
+        if has_files(self._spark, path):
+            return self._spark.read.schema(schema).parquet(path)
+        return self._spark.createDataFrame([], schema)
+
+    def done(self) -> DataFrame:
+        """`id, target_language` of all rows written so far."""
+        entered = self._read(self._ids, f"id {self._id_type}, target_language string, batch string")
+        closed = self._read(self._closed, "batch string")
+        finished = entered.join(closed, "batch", "left_semi").select("id", "target_language")
+        open_batches = entered.join(closed, "batch", "left_anti")
+        known = has_files(self._spark, self._ids)
+        if not has_files(self._spark, self._output) or (known and open_batches.isEmpty()):
+            return finished
+        written = self._spark.read.format(self._fmt).schema(f"id {self._id_type}, target_language string")
+        return written.load(self._output).select("id", "target_language")
+
+    def enter(self, rows: DataFrame, target_language: str) -> str:
+        batch = uuid.uuid4().hex
+        ids = rows.select("id", F.lit(target_language).alias("target_language"), F.lit(batch).alias("batch"))
+        ids.write.mode("append").parquet(self._ids)
+        return batch
+
+    def close(self, batch: str) -> None:
+        self._spark.createDataFrame([(batch,)], "batch string").write.mode("append").parquet(self._closed)
+
+
 def run_translation(
     pairs, path, columns, translate, target_language, parts=1, tasks=None, size=None, fmt="json", **options
 ) -> None:
     """Translates what `path` lacks and appends it; a stopped job can be run again.
 
-    Pairs are worked off in `parts` even parts by a hash of the id. Each part is
-    committed on its own, so a job that ends early loses one part at most. Files
-    written before are read once, for their ids only, and never rewritten; the
-    parts of one job share no ids, so they need not look at each other's output.
-    `size` translates a random subset only, the same one in every run.
+    What is to do is found and written once, in `parts` even parts by a hash of the
+    id; every part is then read from its own folder and committed on its own, so a
+    job that ends early loses one part at most. Ids done are kept in a ledger next
+    to the output. `size` translates a random subset only, the same in every run.
     """
     spark = pairs.sparkSession
+    ledger = Ledger(spark, path, fmt, pairs.schema["id"].dataType.simpleString())
     todo = random_subset(pairs, size, groups=(), keys=("id",)) if size else pairs
-    if has_files(spark, path):
-        id_type = pairs.schema["id"].dataType.simpleString()
-        written = spark.read.format(fmt).schema(f"id {id_type}, target_language string").load(path)
-        done = written.where(F.col("target_language") == target_language)
-        todo = untranslated(todo, materialise(done, "translated-ids"), target_language)
+    todo = untranslated(todo, materialise(ledger.done(), "translated-ids"), target_language)
+    stored = fresh_path(spark, "to-translate")
+    numbered = todo.withColumn("_part", part("part", 0, parts, "id").cast("int"))
+    numbered.hint("rebalance", F.col("_part")).write.partitionBy("_part").parquet(stored)
     for number in range(parts):
-        rows = todo.where(part(0, parts, "id") == number) if parts > 1 else todo
+        folder = f"{stored}/_part={number}"
+        if not has_files(spark, folder):
+            continue
+        rows = spark.read.schema(todo.schema).parquet(folder)
+        batch = ledger.enter(rows, target_language)
         translated = translate_columns(spread(rows, tasks), columns, translate, target_language, **options)
         append_translated(translated, path, fmt)
+        ledger.close(batch)
 
 
 def translate_bilingual(pairs: DataFrame, translate, target_language: str, batch_size=32) -> DataFrame:
@@ -142,15 +187,15 @@ def translate_bilingual(pairs: DataFrame, translate, target_language: str, batch
     )
 
 
-# A replacement list for tests; it works inside words, so segments do not matter.
+# A replacement list for tests.
 SAMPLE_DICTIONARY = [("the", "der"), ("and", "und"), ("tion", "zion"), ("ou", "u")]
 
 
 def dictionary_translator(texts, target_language):
-    """A rule-based translate function for tests."""
+    """A rule-based translate function for tests; it marks every segment it is given."""
     out = []
     for t in texts:
         for word, other in SAMPLE_DICTIONARY:
             t = t.replace(word, other)
-        out.append(t)
+        out.append(f"<{t}>")
     return out

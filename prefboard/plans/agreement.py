@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from prefboard import runs
 from prefboard.functions import lookups
-from prefboard.operators import agreement, annotate, sampling
+from prefboard.operators import agreement, annotate, results, sampling
 from prefboard.plans.registry import query, r6
-from prefboard.plans.scores import model_rows, scored_pairs
+from prefboard.plans.scores import model_rows
+from prefboard.session import fresh_path
 from prefboard.sources import derived
 
 
@@ -85,11 +86,14 @@ _SCORED = """scored as (select p.id, p.language, p.subset, p.prompt, j.result as
  from pairs p join judgements j on j.language = p.language and j.instance_id = p.position and j.model = 'org/model-1')"""
 
 
+_SCORED_TWO = _SCORED.replace("from pairs p", "from two_languages p").replace("p.prompt", "p.chosen, p.rejected")
+
+
 @query(
     "stratified_sample",
     "pairs judgements",
     f"""select id, language, subset, prompt, scores from (
- select s.*, row_number() over (partition by s.language, s.scores order by md5('42:' || s.language || ':' || s.id), s.language, s.id) as r, c.cap
+ select s.*, row_number() over (partition by s.language, s.scores order by md5('sample:42:' || s.language || ':' || s.id), s.language, s.id) as r, c.cap
  from (with {_SCORED} select * from scored) s
  join (with {_SCORED} select language, least(60 // count(*), min(n)) as cap
   from (select language, scores, count(*) as n from scored group by 1, 2) group by language) c on c.language = s.language)
@@ -104,15 +108,46 @@ def stratified_sample(spark, folder):
     "random_subset",
     "pairs",
     """select id, language, subset, prompt from (
- select *, row_number() over (partition by language order by md5('42:' || language || ':' || id), language, id) as r from pairs)
+ select *, row_number() over (partition by language order by md5('sample:42:' || language || ':' || id), language, id) as r from pairs)
 where r <= 50""",
 )
 def random_subset(spark, folder):
     return sampling.random_subset(derived.pairs(spark, folder).select("id", "language", "subset", "prompt"), 50)
 
 
-def _answer_key(spark, folder):
-    return annotate.answer_key(scored_pairs(spark, folder), seed=7)
+def answer_key(spark, folder):
+    pairs = derived.in_two_languages(derived.pairs(spark, folder))
+    return annotate.answer_key(results.attach_results(pairs, model_rows(spark, folder)), seed=7)
+
+
+@query(
+    "annotation_files",
+    "two_languages judgements",
+    f"""select id, language, scores, swapped, case when swapped = 1 then rejected else chosen end as shown_a,
+ case when swapped = 1 then chosen else rejected end as shown_b from (
+ select s.*, case when substring(md5('swap:42:' || s.language || ':' || s.id), 1, 1) < '8' then 1 else 0 end as swapped,
+  row_number() over (partition by s.language, s.scores order by md5('sample:42:' || s.language || ':' || s.id)) as r, c.cap
+ from (with {_SCORED_TWO} select * from scored) s
+ join (with {_SCORED_TWO} select language, least(300 // count(*), min(n)) as cap
+  from (select language, scores, count(*) as n from scored group by 1, 2) group by language) c on c.language = s.language)
+where r <= cap""",
+)
+def annotation_files(spark, folder):
+    """A whole annotation round: sample, answer key, blind task, both read back."""
+    path = fresh_path(spark, "annotation")
+    pairs = derived.in_two_languages(derived.pairs(spark, folder))
+    runs.annotation_files(pairs, path, model_rows(spark, folder), 300)
+    key = _read_back(spark, f"{path}/answer_key", "scores double, swapped int")
+    task = _read_back(spark, f"{path}/annotation", "completion_a string, completion_b string")
+    shown = task.withColumnsRenamed({"completion_a": "shown_a", "completion_b": "shown_b"})
+    return key.join(shown, ["language", "id"]).select("id", "language", "scores", "swapped", "shown_a", "shown_b")
+
+
+def _read_back(spark, path, columns):
+    """The named columns of a CSV folder by language, found by its header."""
+    header = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    names = [part.split() for part in columns.split(", ")]
+    return header.select("language", F.col("id").cast("long").alias("id"), *[F.col(n).cast(t).alias(n) for n, t in names])
 
 
 @query(
@@ -123,7 +158,7 @@ def _answer_key(spark, folder):
  case when swapped = 1 then completion_a else completion_b end as shown_b from answer_key""",
 )
 def annotation_swap(spark, folder):
-    key = _answer_key(spark, folder).withColumns(
+    key = answer_key(spark, folder).withColumns(
         {"key_a": F.col("completion_a"), "key_b": F.col("completion_b"), "swap_bit": F.col("swapped")}
     )
     task = annotate.annotation_task(key)
@@ -139,7 +174,7 @@ def annotation_swap(spark, folder):
 
 
 def joined_annotations(spark, folder, drop_missing=False):
-    return annotate.join_annotations(_answer_key(spark, folder), derived.annotations(spark, folder), drop_missing)
+    return annotate.join_annotations(answer_key(spark, folder), derived.annotations(spark, folder), drop_missing)
 
 
 @query(

@@ -4,13 +4,15 @@ import string
 
 from pyspark.sql import functions as F
 
+from prefboard import runs
 from prefboard.functions import prompt_texts as P
 from prefboard.functions import text
 from prefboard.functions.hashing import coin
 from prefboard.operators import judging, rewards, shape
 from prefboard.plans.registry import query, r6
 from prefboard.plans.views import quote
-from prefboard.sources import derived
+from prefboard.session import fresh_path
+from prefboard.sources import derived, readers
 
 
 def _sql_fill(template, **values):
@@ -23,7 +25,7 @@ def _sql_fill(template, **values):
     return " || ".join(parts)
 
 
-_COIN = "substring(md5('3:' || language || ':' || id), 1, 1) < '8'"
+_COIN = "substring(md5('shuffle:3:' || language || ':' || id), 1, 1) < '8'"
 _SHUFFLED = f"""(select id, language, subset, prompt, {_COIN} as is_shuffled,
  case when {_COIN} then rejected else chosen end as a, case when {_COIN} then chosen else rejected end as b from pairs)"""
 _SINGLE_USER = _sql_fill(P.JUDGE_USER, question="prompt", answer_a="a", answer_b="b")
@@ -64,9 +66,9 @@ _TWO_TURN_USER = _sql_fill(
     "judge_prompt_multi",
     "multi_turn",
     f"""select id, n_messages,
- case when n_messages > 2 then {quote(P.TWO_TURN_SYSTEM)} else {quote(P.JUDGE_SYSTEM)} end as system_prompt,
- case when n_messages > 2 then {_TWO_TURN_USER} else {_sql_fill(P.JUDGE_USER, question="a[1]", answer_a="a[2]", answer_b="b[2]")} end as user_prompt
-from (select id, n_messages, texts as a, list_append(texts[1:-2], '[alt] ' || texts[-1]) as b from multi_turn)""",
+ case when len(a) > 2 then {quote(P.TWO_TURN_SYSTEM)} else {quote(P.JUDGE_SYSTEM)} end as system_prompt,
+ case when len(a) > 2 then {_TWO_TURN_USER} else {_sql_fill(P.JUDGE_USER, question="a[1]", answer_a="a[2]", answer_b="b[2]")} end as user_prompt
+from (select id, n_messages, talk as a, list_append(talk[1:-2], '[alt] ' || talk[-1]) as b from multi_turn)""",
 )
 def judge_prompt_multi(spark, folder):
     d = shape.dialogues(derived.multi_turn_pairs(spark, folder))
@@ -189,12 +191,12 @@ def shuffle_positions(spark, folder):
     "verdict_score",
     "verdicts",
     f"""select id, verdict, case when verdict = 'error' then 0.5
- when (verdict = 'B') = (substring(md5('5:' || id), 1, 1) < '8') then 1.0 else 0.0 end::double as result
+ when (verdict = 'B') = (substring(md5('shuffle:5:' || id), 1, 1) < '8') then 1.0 else 0.0 end::double as result
 from (select id, {_VERDICT} as verdict from verdicts)""",
 )
 def verdict_score(spark, folder):
     parsed = derived.verdicts(spark, folder).select("id", text.parse_verdict(F.col("judgment")).alias("verdict"))
-    return parsed.withColumn("result", judging.verdict_result(F.col("verdict"), coin(5, "id")))
+    return parsed.withColumn("result", judging.verdict_result(F.col("verdict"), coin("shuffle", 5, "id")))
 
 
 @query(
@@ -233,6 +235,33 @@ def judge_pairs(spark, folder):
     return judged.select("id", "language", "is_shuffled", "winner", "result")
 
 
+@query(
+    "run_judges",
+    "multi_turn",
+    """select 'eng_Latn' as language, count(*) filter (n_messages <= 6) as num_total,
+ sum(case when len(talk) > 4 then 0.5 else 0.0 end) filter (n_messages <= 6) as num_correct,
+ round(avg(case when len(talk) > 4 then 0.5 else 0.0 end) filter (n_messages <= 6), 6) as accuracy,
+ count(*) filter (n_messages > 6) as not_judged from multi_turn""",
+)
+def run_judges(spark, folder):
+    """A whole judging run over dialogues of one or several turns, from stored documents.
+
+    The sample judge prefers the longer last answer, here always the rejected one;
+    where the prompt does not show the last answer both are equal: half a point.
+    """
+    path = fresh_path(spark, "judged")
+    pairs = derived.multi_turn_pairs(spark, folder).withColumns(
+        {"language": F.lit("eng_Latn"), "subset": F.lit("alpacaeval-easy"), "position": F.col("id")}
+    )
+    rows = runs.run_judges(pairs, {"org/by-length": judging.length_judge()}, path, "dialogues", max_turns=6)
+    documents = readers.read_result_documents(spark, f"{path}/documents")
+    left_out = rows.where("status <> 'judged'").groupBy("language").agg(F.count(F.lit(1)).alias("not_judged"))
+    scores = documents.select("language", "scores.*").join(left_out, "language", "left")
+    return scores.select(
+        "language", "num_total", "num_correct", r6("accuracy", "accuracy"), F.coalesce("not_judged", F.lit(0)).alias("not_judged")
+    )
+
+
 @query(
     "score_pairs",
     "pairs",

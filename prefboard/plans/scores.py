@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from prefboard.functions import fixed
+from prefboard.functions import fixed, lookups
 from prefboard.operators import results, shape
 from prefboard.plans.registry import query, r6
-from prefboard.session import fresh_path
+from prefboard.session import fresh_path, materialise
 from prefboard.sources import derived, readers, writers
 
 _RUN = "model, model_type, language"
@@ -206,16 +206,7 @@ from (select model, model_type, max(score) filter (category = 'Chat') as chat, m
  from category_acc where language = 'eng_Latn' group by model, model_type) t""",
 )
 def convert_results(spark, folder):
-    """Imported results are English ones; they are flat maps of subset scores."""
-    english = derived.judgements(spark, folder).where(F.col("language") == fixed.ENGLISH)
-    flat = results.score_map(results.subset_accuracy(english), "subset", "accuracy", "scores").select(
-        "model",
-        "model_type",
-        F.lit(None).cast("string").alias("chat_template"),
-        F.when(F.col("model_type") == "DPO", F.concat("model", F.lit("-ref"))).alias("ref_model"),
-        "scores",
-    )
-    converted = results.convert_imported(flat, "upstream-set")
+    converted = _converted(spark, folder)
     return converted.select(
         "model",
         "model_type",
@@ -230,6 +221,58 @@ def convert_results(spark, folder):
     )
 
 
+def _converted(spark, folder):
+    """Imported results are English ones; they are flat maps of subset scores."""
+    english = derived.judgements(spark, folder).where(F.col("language") == fixed.ENGLISH)
+    flat = results.score_map(results.subset_accuracy(english), "subset", "accuracy", "scores").select(
+        "model",
+        "model_type",
+        F.lit(None).cast("string").alias("chat_template"),
+        F.when(F.col("model_type") == "DPO", F.concat("model", F.lit("-ref"))).alias("ref_model"),
+        "scores",
+    )
+    return results.convert_imported(flat, "upstream-set")
+
+
+@query(
+    "stored_imports",
+    "subset_acc category_acc",
+    """select a.model, a.model_type, a.language, a.subset, round(a.accuracy, 6) as score, round(c.score, 6) as category_score
+from subset_acc a join dim_subsets s on s.subset = a.subset
+join category_acc c on c.model = a.model and c.language = a.language and c.category = s.category where a.language = 'eng_Latn'""",
+)
+def stored_imports(spark, folder):
+    """Converted imports written as documents, read again and classified."""
+    path = fresh_path(spark, "imports")
+    writers.write_result_documents(_converted(spark, folder), path)
+    classified = materialise(results.classify_documents(readers.read_result_documents(spark, path)), "classified")
+    scores = results.explode_scores(classified, results.RUN)
+    categories = results.document_scores(classified).withColumnRenamed("score", "category_score")
+    weights = lookups.subset_weights(spark).select("subset", "category")
+    joined = scores.join(weights, "subset").join(categories, [*results.RUN, "category"])
+    return joined.select(*results.RUN, "subset", r6("score", "score"), r6("category_score", "category_score"))
+
+
+@query(
+    "stored_instances",
+    "judgements",
+    """select language, model, row_number() over (partition by language order by instance_id) - 1 as position, result
+from judgements where model = 'org/model-1'""",
+)
+def stored_instances(spark, folder):
+    """Instance results from the lists inside stored documents, as other tools write them."""
+    path = fresh_path(spark, "inline-results")
+    rows = derived.judgements(spark, folder).where(F.col("model") == "org/model-1")
+    listed = rows.groupBy("language", "model").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("instance_id", "result"))), lambda r: r["result"]).alias("results")
+    )
+    document = F.to_json(F.struct("model", F.struct("results").alias("scores")))
+    listed.select("language", document.alias("value")).write.partitionBy("language").text(path)
+    documents = readers.read_result_documents(spark, path)
+    found = results.model_results(results.instance_rows(documents), "org/model-1")
+    return found.select("language", "model", F.col("position").cast("long").alias("position"), "result")
+
+
 @query(
     "explode_scores",
     "subset_acc",

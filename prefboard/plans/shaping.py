@@ -100,10 +100,9 @@ def dialogue_multi(spark, folder):
     return _multi_output(shape.dialogues(derived.multi_turn_pairs(spark, folder)))
 
 
-@query("filter_max_turns", "multi_turn", _MULTI_SQL)
+@query("filter_max_turns", "multi_turn", _MULTI_SQL + " where n_messages <= 4")
 def filter_max_turns(spark, folder):
-    longer = shape.dialogues(derived.multi_turn_pairs(spark, folder, max_messages=8))
-    return _multi_output(shape.keep_max_turns(longer, 4))
+    return _multi_output(shape.keep_max_turns(shape.dialogues(derived.multi_turn_pairs(spark, folder)), 4))
 
 
 @query(

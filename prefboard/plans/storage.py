@@ -7,7 +7,7 @@ states what a loss-free round trip returns.
 from pyspark.sql import functions as F
 
 from prefboard import schemas
-from prefboard.operators import annotate, naming, shape, translate
+from prefboard.operators import naming, shape, translate
 from prefboard.plans import agreement, boards
 from prefboard.plans.registry import query, r6
 from prefboard.session import fresh_path
@@ -30,9 +30,8 @@ _KEY_COLUMNS = ["id", "language", "subset", "completion_a", "completion_b", "sco
 @query("scan_csv", "answer_key", f"select {', '.join(_KEY_COLUMNS)} from answer_key")
 def scan_csv(spark, folder):
     path = fresh_path(spark, "answer-key")
-    key = annotate.answer_key(agreement.scored_pairs(spark, folder), seed=7)
-    writers.write_csv_table(key.select(*_KEY_COLUMNS), path)
-    return readers.read_csv_table(spark, path, schemas.ANSWER_KEY)
+    writers.write_csv_table(agreement.answer_key(spark, folder).select(*_KEY_COLUMNS), path)
+    return readers.read_csv_table(spark, path, schemas.ANSWER_KEY, multi_line=True)
 
 
 @query("scan_rewards", "rewards", "select id, chosen, rejected from rewards")
@@ -64,10 +63,11 @@ def sink_json(spark, folder):
     )
 
 
-def _sql_translate(column):
+def _sql_translate(column, between="chr(10)"):
+    """The replacements, and a mark around every segment."""
     for word, other in translate.SAMPLE_DICTIONARY:
         column = f"replace({column}, '{word}', '{other}')"
-    return column
+    return f"'<' || replace({column}, {between}, '>' || {between} || '<') || '>'"
 
 
 def _translated(pairs, segment="lines"):
@@ -90,7 +90,7 @@ def translate_columns(spark, folder):
 @query(
     "translate_sentences",
     "pairs",
-    rf"""select id, {_sql_translate(r"regexp_replace(prompt, '([.!?])[ \t\r\n\f]+', '\1 ', 'g')")} as prompt,
+    rf"""select id, replace({_sql_translate(r"regexp_replace(prompt, '([.!?])[ \t\r\n\f]+', '\1' || chr(1), 'g')", "chr(1)")}, chr(1), ' ') as prompt,
  'deu_Latn' as target_language from pairs""",
 )
 def translate_sentences(spark, folder):
@@ -100,7 +100,12 @@ def translate_sentences(spark, folder):
     )
 
 
-@query("translate_bilingual")
+@query(
+    "translate_bilingual",
+    "bilingual",
+    f"""select id, source, 'deu_Latn' as language, {_sql_translate("en_input")} as prompt,
+ {_sql_translate("en_chosen")} as chosen_text, {_sql_translate("en_rejected")} as rejected_text from bilingual""",
+)
 def translate_bilingual(spark, folder):
     turned = translate.translate_bilingual(
         derived.bilingual_pairs(spark, folder), translate.dictionary_translator, "deu_Latn"
@@ -160,6 +165,24 @@ def sink_instances(spark, folder):
     return readers.read_instances(spark, path)
 
 
+@query(
+    "scan_label_matrix",
+    "judgements",
+    "select model, 'deu_Latn' as language, instance_id::varchar as instance_id, label from judgements where language = 'deu_Latn'",
+)
+def scan_label_matrix(spark, folder):
+    """A models x instances file of labels as other tools write it, one line per model."""
+    path = fresh_path(spark, "labels")
+    labels = derived.judgements(spark, folder).where(F.col("language") == "deu_Latn")
+    cells = F.array_sort(F.collect_list(F.struct("instance_id", "label")))
+    rows = labels.groupBy("model").agg(cells.alias("cells"))
+    text = lambda field: F.array_join(F.transform("cells", lambda c: c[field].cast("string")), ",")
+    header = rows.orderBy("model").limit(1).select(F.concat(F.lit("model,"), text("instance_id")))
+    lines = rows.select(F.concat("model", F.lit(","), text("label")))
+    header.union(lines).coalesce(1).write.text(path)
+    return readers.read_label_matrix(spark, path, "deu_Latn")
+
+
 @query(
     "sink_csv",
     "board",
@@ -170,7 +193,7 @@ def sink_csv(spark, folder):
     path = fresh_path(spark, "leaderboards")
     board = boards.boards(spark, folder)
     writers.write_csv_table(board, path)
-    stored = readers.read_csv_table(spark, path, board.schema, multi_line=False)
+    stored = readers.read_csv_table(spark, path, board.schema)
     return stored.withColumns({c: r6(c) for c in ("eng_Latn", "avg_multilingual", "std")})
 
 

@@ -67,18 +67,22 @@ select d.doc_id as id,
   when 3 then 'Feedback: ok [RESULT] A' when 4 then 'Feedback: ok [RESULT] B ' else 'no verdict' end as judgment
 from documents d""",
     "annotations": """
-select l.doc_id as id,
- case when l.doc_id % 11 = 0 then null when l.quality = 1 then 'A' else 'B' end as human_preference,
+select l.doc_id as id, d.language,
+ case when l.doc_id % 11 = 0 then null
+  when (l.quality = 1) <> (d.language = 'zho_Hans' and l.doc_id % 4 = 0) then 'A' else 'B' end as human_preference,
  case when l.toxic = 1 then 'toxic' end as notes
-from labels l""",
+from labels l
+join (select d.doc_id, l.language from documents d join dim_languages l on l.doc_lang = d.lang
+ union all select d.doc_id, 'zho_Hans' from documents d join dim_languages l on l.doc_lang = d.lang) d on d.doc_id = l.doc_id""",
     "done": "select doc_id as id, 'deu_Latn' as target_language from labels",
     "run_models": f"""
 select doc_id as id, names[doc_id % {len(derived.RUN_MODELS)} + 1] as model,
  names[(doc_id + 1) % {len(derived.RUN_MODELS)} + 1] as model_2, names[(doc_id + 2) % {len(derived.RUN_MODELS)} + 1] as model_3
 from (select doc_id, {_RUN_MODELS} as names from documents)""",
     "multi_turn": """
-select conv_id as id, count(*) as n_messages, list(role order by turn) as roles, list(text order by turn) as texts
-from conversations where role <> 'system' group by conv_id having count(*) <= 4""",
+select conv_id as id, count(*) as n_messages, list(role order by turn) as roles, list(text order by turn) as texts,
+ list(text order by turn) filter (role <> 'system') as talk
+from conversations group by conv_id having arg_max(role, turn) = 'assistant'""",
     # leaderboard steps
     "subset_acc": """
 select model, model_type, language, subset, sum(result) as num_correct, count(*) as num_total,
@@ -131,15 +135,16 @@ from (select *, a0*b0 + a1*b1 + a2*b2 as chance from (
   count(*) filter (label = 0) as a0, count(*) filter (label = 1) as a1, count(*) filter (label = 2) as a2,
   count(*) filter (label_eng = 0) as b0, count(*) filter (label_eng = 1) as b1, count(*) filter (label_eng = 2) as b2
  from label_pairs group by model, language))""",
+    "two_languages": "select * from pairs union all select * replace ('zho_Hans' as language) from pairs",
     "answer_key": """
 select p.id, p.language, p.subset, p.chosen as completion_a, p.rejected as completion_b, j.result as scores,
- case when substring(md5('7:' || p.language || ':' || p.id), 1, 1) < '8' then 1 else 0 end as swapped
-from pairs p join judgements j on j.language = p.language and j.instance_id = p.position and j.model = 'org/model-1'""",
+ case when substring(md5('swap:7:' || p.language || ':' || p.id), 1, 1) < '8' then 1 else 0 end as swapped
+from two_languages p join judgements j on j.language = p.language and j.instance_id = p.position and j.model = 'org/model-1'""",
     "human": """
 select k.*, a.notes, 'A' as gold_preference, case when k.scores = 1 then 'A' else 'B' end as model_preference,
  case when k.swapped = 1 and a.human_preference = 'A' then 'B'
   when k.swapped = 1 and a.human_preference = 'B' then 'A' else a.human_preference end as human_preference
-from answer_key k join annotations a on a.id = k.id""",
+from answer_key k join annotations a on a.id = k.id and a.language = k.language""",
 }
 
 NEEDS = {
@@ -156,7 +161,9 @@ NEEDS = {
     "label_pairs": ["judgements"],
     "kappa": ["label_pairs"],
     "model_kappa": ["label_pairs"],
-    "answer_key": ["pairs", "judgements"],
+    "two_languages": ["pairs"],
+    "annotations": ["dim_languages"],
+    "answer_key": ["two_languages", "judgements"],
     "human": ["answer_key", "annotations"],
 }
 

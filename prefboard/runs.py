@@ -8,35 +8,37 @@ run that is repeated replaces its earlier files.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefboard.functions import fixed, lookups
+from prefboard.functions import fixed
 from prefboard.operators import annotate, judging, leaderboard, naming, results, rewards, sampling, shape
 from prefboard.session import materialise, spread
 from prefboard.sources import readers, writers
 
-MAX_BROADCAST_SAMPLE = 100_000
 INSTANCE_COLUMNS = ["model", "model_type", "language", "subset", "id", "position", "result"]
 
 
 def run_judges(
-    pairs: DataFrame, judges: dict, folder, dataset, name_languages=False, answer_language="English", seed=0, tasks=None, sample=None
-) -> DataFrame:
+    pairs: DataFrame, judges: dict, folder, dataset, name_languages=False, answer_language="English", seed=0, tasks=None, sample=None,
+    max_turns=None,
+) -> DataFrame:
     """Judges all pairs with one judge or an odd ensemble and stores the run.
 
     `judges` maps model names to judge functions. The prompt family follows from
     the name of a single judge; an ensemble uses the default prompts.
     `name_languages` puts the language of the question and the `answer_language`
-    into the prompts. `sample` takes the first rows of every language.
+    into the prompts. `sample` takes the first rows of every language. Dialogues of
+    more than `max_turns` messages are not judged, where that is given.
+
+    Returns all rows with their `status`; only judged ones are stored and counted.
     """
-    spark = pairs.sparkSession
     names = list(judges)
     given = F.array(*[F.lit(n) for n in names])
-    family = spark.range(1).select(naming.prompt_family(F.lit(names[0]))).first()[0] if len(names) == 1 else None
+    family = naming.prompt_family_of(names[0]) if len(names) == 1 else None
     chosen = shape.first_rows(pairs, sample, groups=("language",)) if sample else pairs
     languages = (None, None)
     if name_languages:
         languages = (F.coalesce(naming.language_name(F.col("language")), F.col("language")), F.lit(answer_language))
     judged = judging.judge_pairs(
-        spread(shape.dialogues(chosen), tasks), list(judges.values()), family, *languages, seed
+        spread(shape.dialogues(chosen), tasks), list(judges.values()), family, *languages, seed, max_turns
     )
     named = judged.withColumns(
         {
@@ -45,8 +47,9 @@ def run_judges(
         }
     )
     # the calls are paid for once; everything below reads the written rows
-    rows = materialise(named.select(*INSTANCE_COLUMNS, "votes", "is_shuffled"), "judged")
-    return _store(rows, folder, dataset)
+    rows = materialise(named.select(*INSTANCE_COLUMNS, "votes", "is_shuffled", "status"), "judged")
+    _store(rows.where(F.col("status") == "judged").drop("status"), folder, dataset)
+    return rows
 
 
 def run_scorer(
@@ -141,14 +144,14 @@ def linguistic_table(wide: DataFrame, metadata: DataFrame, languages, n=None, or
 def sampled_pairs(pairs: DataFrame, instances: DataFrame, sample_size: int, seed=42) -> DataFrame:
     """Pairs with `scores`, equally many per language and score.
 
-    The sample is drawn from ids and scores; texts are fetched for sampled rows
-    only, by a broadcast of the sample unless it is large.
+    The sample is drawn from ids and scores and written; the written table's size
+    tells Spark whether to broadcast it when the texts are fetched.
     """
     keys = ["language", "position"]
-    # the sample reads these narrow rows three times; the join runs once
+    # the sample reads these narrow rows several times; the join runs once
     scored = materialise(results.attach_results(pairs.select(*keys, "id"), instances), "scored-ids")
     sample = sampling.stratified_sample(scored, sample_size, seed=seed).select(*keys, "scores")
-    return pairs.join(lookups.broadcast_if_small(sample, MAX_BROADCAST_SAMPLE), keys)
+    return pairs.join(materialise(sample, "sample"), keys)
 
 
 def annotation_files(pairs: DataFrame, folder, instances=None, sample_size=None, seed=42) -> DataFrame:
@@ -161,7 +164,8 @@ def annotation_files(pairs: DataFrame, folder, instances=None, sample_size=None,
         pairs = sampled_pairs(pairs, instances, sample_size, seed)
     elif instances is not None:
         pairs = results.attach_results(pairs, instances)
-    key = annotate.answer_key(pairs, seed)
+    # both files and the result come from one copy, so the texts are joined once
+    key = materialise(annotate.answer_key(pairs, seed), "answer-key")
     writers.write_csv_table(key, f"{folder}/answer_key", partition_by=("language",))
     writers.write_csv_table(annotate.annotation_task(key), f"{folder}/annotation", partition_by=("language",))
     return key

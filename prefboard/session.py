@@ -1,10 +1,13 @@
 """Session settings and the shared folder for written intermediate tables."""
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: For sessions within one machine that set no folder.
+LOCAL_FOLDER = "file:/tmp/prefboard-shared"
+
 # Long texts: small Arrow batches keep a Python worker's memory flat.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -30,7 +33,8 @@ def build_session(app="prefboard", master=None, **extra) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    Only a local session without that setting gets a folder of its own.
+    A session without that setting, such as a test's, uses one fixed folder if it
+    runs within one machine; on a cluster the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -38,10 +42,9 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="prefboard-"))
-    return spark.sparkContext.getCheckpointDir()
+    return LOCAL_FOLDER
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

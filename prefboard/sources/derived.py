@@ -29,6 +29,8 @@ MODELS = [
     ("org/model-6", "Sequence Classifier"),
     ("org/model-7", "Sequence Classifier"),
 ]
+# the language of translated annotation tasks
+TRANSLATED = "zho_Hans"
 # model 7 has no Spanish rows: its strict average must be null
 ABSENT = ("org/model-7", "spa_Latn")
 
@@ -169,13 +171,25 @@ def verdicts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def in_two_languages(pairs: DataFrame) -> DataFrame:
+    """Pairs and their translations, which share the ids of the originals."""
+    return pairs.unionByName(pairs.withColumn("language", F.lit(TRANSLATED)))
+
+
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
-    """Human answers for the labelled documents."""
-    return table(spark, folder, "labels").select(
+    """Human answers for the labelled documents and for their translations.
+
+    The two answers to one id differ for documents whose id divides by four.
+    """
+    languages = language_dimension(spark).select("language", "doc_lang")
+    docs = table(spark, folder, "documents").select("doc_id", "lang").join(languages, F.col("lang") == F.col("doc_lang"))
+    labelled = table(spark, folder, "labels").join(docs, "doc_id").select("doc_id", "language", "quality", "toxic")
+    both = in_two_languages(labelled)
+    says_a = F.expr(f"(quality = 1) <> (language = '{TRANSLATED}' and doc_id % 4 = 0)")
+    return both.select(
         F.col("doc_id").alias("id"),
-        F.expr("case when doc_id % 11 = 0 then null when quality = 1 then 'A' else 'B' end").alias(
-            "human_preference"
-        ),
+        "language",
+        F.when(F.col("doc_id") % 11 != 0, F.when(says_a, "A").otherwise("B")).alias("human_preference"),
         F.expr("case when toxic = 1 then 'toxic' end").alias("notes"),
     )
 
@@ -203,28 +217,25 @@ def run_models(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def short_dialogues(spark: SparkSession, folder: str, max_messages: int) -> DataFrame:
-    """Conversations of at most `max_messages` user and assistant messages.
+def conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """All messages of every conversation that ends with an assistant's answer.
 
-    Sizes are counted before any list is built, so a list never holds more than
-    `max_messages` entries however long a conversation is.
+    A conversation is one row, as it is for every later step.
     """
-    turns = table(spark, folder, "conversations").where(F.col("role") != "system")
-    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
-    kept = turns.join(sizes.where(F.col("n_messages") <= max_messages), "conv_id", "left_semi")
+    turns = table(spark, folder, "conversations")
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    return kept.groupBy("conv_id").agg(
+    listed = turns.groupBy("conv_id").agg(
         F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias(
             "messages"
         )
     )
+    return listed.where(F.element_at("messages", -1)["role"] == "assistant")
 
 
-def multi_turn_pairs(spark: SparkSession, folder: str, max_messages: int = 4) -> DataFrame:
+def multi_turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs whose prompt is a message list and whose answer is the last message."""
-    dialogues = short_dialogues(spark, folder, max_messages)
     last = F.element_at("messages", -1)["content"]
-    return dialogues.select(
+    return conversations(spark, folder).select(
         F.col("conv_id").alias("id"),
         F.slice("messages", F.lit(1), F.size("messages") - 1).alias("prompt"),
         last.alias("chosen"),

@@ -43,11 +43,11 @@ def parse_documents(texts: DataFrame, column="document") -> DataFrame:
     return texts.select("language", F.from_json(column, schemas.DOCUMENT).alias("d")).select("language", "d.*")
 
 
-def read_csv_table(spark: SparkSession, path, schema, multi_line=True) -> DataFrame:
-    """CSV files with header; quoted cells may contain line breaks and quotes.
+def read_csv_table(spark: SparkSession, path, schema, multi_line=False) -> DataFrame:
+    """CSV files with header; quoted cells may contain quotes.
 
-    Files with line breaks in cells cannot be split; `multi_line=False` reads
-    large files of plain cells with many tasks.
+    With `multi_line` they may contain line breaks too; such files cannot be split,
+    so that each is read by one task.
     """
     return (
         spark.read.schema(schema)
@@ -62,19 +62,25 @@ def read_csv_table(spark: SparkSession, path, schema, multi_line=True) -> DataFr
 def read_label_matrix(spark: SparkSession, path, language: str) -> DataFrame:
     """A models x instances label file as long `model, language, instance_id, label`.
 
-    A row's cells are laid out from one array; an unpivot would plan one
-    projection per instance.
+    Lines are read as text and cut into cells, which are matched with the header's
+    by position, so a file may have any number of instances. Cells are names and
+    numbers without quotes or commas; an empty cell has no label. Every file brings
+    its own header; a row must have as many cells as that.
     """
-    wide = spark.read.option("header", True).option("maxColumns", 1_000_000).csv(path)
-    instances = [c for c in wide.columns if c != "model"]
-    names = F.split(F.lit("\n".join(instances)), "\n")
-    cells = F.expr("array(" + ", ".join(f"`{c}`" for c in instances) + ")")
-    long = wide.select("model", F.posexplode(cells).alias("place", "label"))
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.split(F.rtrim(F.col("value")), ",").alias("cells")
+    )
+    rows = rows.where(F.size("cells") > 1)
+    first = F.col("cells")[0] == "model"
+    headers = rows.where(first).select("file", F.posexplode("cells").alias("place", "instance_id"))
+    cells = rows.where(~first).select("file", F.col("cells")[0].alias("model"), F.posexplode("cells").alias("place", "label"))
+    long = cells.where("place > 0").join(headers.where("place > 0"), ["file", "place"], "left")
+    unnamed = F.raise_error(F.concat(F.lit("more cells than the header has in "), F.col("file")))
     return long.select(
         "model",
         F.lit(language).alias("language"),
-        F.get(names, F.col("place")).alias("instance_id"),
-        F.col("label").cast("int").alias("label"),
+        F.coalesce("instance_id", unnamed).alias("instance_id"),
+        F.when(F.col("label") != "", F.col("label")).cast("double").cast("int").alias("label"),
     )
 
 

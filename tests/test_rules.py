@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from prefboard.functions import fixed, text
+from prefboard.functions import fixed, hashing, text
 from prefboard.operators import (
     agreement,
     annotate,
@@ -145,18 +145,29 @@ def test_gemma_judges_get_no_system_prompt(spark):
     assert {r.winner for r in judged} == {"B"}
 
 
-def test_rows_without_a_prompt_are_ties_and_not_asked(spark):
+def turns(n):
+    """A prompt of `n` messages, so that the dialogue has one more."""
+    return [(("user", "assistant")[i % 2], f"m{i}") for i in range(n)]
+
+
+def test_rows_that_are_not_judged_say_so(spark):
     messages = "array<struct<role:string,content:string>>"
-    one, two = [("user", "q")], [("user", "q"), ("assistant", "a")]
-    rows = [(1, "eng_Latn", one, "x", "yy"), (2, "eng_Latn", two, "x", "yy"), (3, "eng_Latn", [*two, ("user", "p")], "x", "yy")]
+    rows = [(n, "eng_Latn", turns(n - 1), "x", "yy") for n in range(1, 9)]
+    rows.append((10, "eng_Latn", [("system", "s"), *turns(1)], "x", "yy"))
     pairs = spark.createDataFrame(rows, f"id long, language string, prompt {messages}, chosen string, rejected string")
 
     def judge(systems, users):
         assert None not in users
         return ["[[A]]" for _ in users]
 
-    found = {r.id: r.winner for r in judging.judge_pairs(shape.dialogues(pairs), judge).collect()}
-    assert found == {1: "A", 2: "error", 3: "A"}
+    found = {r.id: r for r in judging.judge_pairs(shape.dialogues(pairs), judge, max_turns=6).collect()}
+    assert {i: r.status for i, r in found.items()} == {
+        1: "no_prompt", 2: "judged", 3: "no_prompt", 4: "judged", 5: "judged", 6: "judged", 7: "too_long", 8: "too_long", 10: "judged",
+    }
+    assert all((r.result is None) == (r.winner is None) == (r.votes is None) == (r.status != "judged") for r in found.values())
+    assert all(r.result in (0.0, 1.0) for r in found.values() if r.status == "judged")
+    every = judging.judge_pairs(shape.dialogues(pairs), judge).where("status = 'too_long'")
+    assert every.count() == 0
 
 
 def test_even_ensembles_are_refused(spark):
@@ -257,8 +268,8 @@ def test_model_type_comes_from_the_first_language(spark):
 def test_lookup_is_exact_and_fails_without_rows(spark):
     frame = result_frame(spark)
     assert results.model_results(frame, "o/g", "deu_Latn").count() == 69
-    with pytest.raises(ValueError, match="no results of model 'o'"):
-        results.model_results(frame, "o")
+    with pytest.raises(Exception, match="no results of model 'o'"):
+        results.model_results(frame, "o").count()
 
 
 def test_english_drop_without_english(spark):
@@ -375,11 +386,10 @@ def scored_rows(n=600):
     return [(i, CODES[i % 2], [1.0, 1.0, 1.0, 0.0, 0.5, None][i % 6], "x") for i in range(n)]
 
 
-@pytest.mark.parametrize("literal_strata", [0, 10_000])
-@pytest.mark.parametrize("n", [3, 30, 250, 10_000])
-def test_stratified_sample_against_brute_force(spark, monkeypatch, n, literal_strata):
-    monkeypatch.setattr(sampling, "MAX_LITERAL_STRATA", literal_strata)
-    monkeypatch.setattr("prefboard.functions.hashing.BUCKET_DIGITS", 1)
+@pytest.mark.parametrize("rounds", [(3, 6, 9), (1, 2)])
+@pytest.mark.parametrize("n", [3, 250, 10_000])
+def test_stratified_sample_against_brute_force(spark, monkeypatch, n, rounds):
+    monkeypatch.setattr(sampling, "ROUNDS", rounds)
     rows = scored_rows()
     frame = spark.createDataFrame(rows, "id long, language string, scores double, prompt string")
     wanted = set()
@@ -390,7 +400,7 @@ def test_stratified_sample_against_brute_force(spark, monkeypatch, n, literal_st
                 strata.setdefault(score, []).append(i)
         cap = min(n // len(strata), min(len(v) for v in strata.values()))
         for ids in strata.values():
-            wanted |= set(sorted(ids, key=lambda i: md5_order(42, language, i))[:cap])
+            wanted |= set(sorted(ids, key=lambda i: md5_order("sample", 42, language, i))[:cap])
     found = [r.id for r in sampling.stratified_sample(frame, n).collect()]
     assert sorted(found) == sorted(wanted)
 
@@ -401,12 +411,40 @@ def test_random_subset_against_brute_force(spark, size):
     for groups in (("language",), ()):
         wanted = []
         for ids in ([[i for i in range(600) if i % 2 == k] for k in (0, 1)] if groups else [list(range(600))]):
-            wanted += sorted(ids, key=lambda i: md5_order(42, CODES[i % 2], i))[:size]
+            wanted += sorted(ids, key=lambda i: md5_order("sample", 42, CODES[i % 2], i))[:size]
         found = sampling.random_subset(frame, size, groups=groups)
         assert found.columns == frame.columns
         assert sorted(r.id for r in found.collect()) == sorted(wanted)
 
 
+@pytest.mark.parametrize("n", [1, 7, 5_000])
+def test_first_rows_by_group(spark, n):
+    rows = [(i * i, CODES[0] if i % 3 else CODES[1]) for i in range(900)] + [(4, CODES[0])] * 5
+    frame = spark.createDataFrame(rows, "position long, language string").repartition(7)
+    wanted = [p for code in CODES[:2] for p in sorted(p for p, c in rows if c == code)[:n]]
+    assert sorted(r.position for r in shape.first_rows(frame, n, groups=("language",)).collect()) == sorted(wanted)
+
+
+def test_contradictory_labels_fail(spark):
+    rows = [("m", "eng_Latn", 1, 0), ("m", "eng_Latn", 1, 2), ("m", "deu_Latn", 1, 2)]
+    frame = spark.createDataFrame(rows, "model string, language string, instance_id long, label int")
+    with pytest.raises(Exception, match="different labels in eng_Latn"):
+        agreement.label_pairs(frame, CODES).collect()
+
+
+def test_scores_that_are_no_numbers_fail(spark):
+    frame = spark.createDataFrame([({"a": "0.5", "model": "m", "b": None},)], "s map<string,string>")
+    assert frame.select(results.numeric_entries(F.col("s"))).first()[0] == {"a": 0.5}
+    with pytest.raises(Exception, match="no number: x"):
+        frame.select(results.numeric_entries(F.create_map(F.lit("a"), F.lit("x")))).collect()
+
+
+def test_uses_of_one_seed_are_independent(spark):
+    frame = spark.range(20_000).select(F.lit("x").alias("language"), "id")
+    both = frame.select(hashing.coin("swap", 0, "id").alias("a"), hashing.coin("shuffle", 0, "id").alias("b"))
+    assert 0.23 < both.where("a and b").count() / 20_000 < 0.27
+
+
 def test_sample_sizes_hold_when_a_third_of_all_rows_share_an_id(spark):
     rows = [(0, "eng_Latn", 1.0, "x")] * 400 + [(i, "eng_Latn", [1.0, 0.0][i % 2], "x") for i in range(1, 801)]
     frame = spark.createDataFrame(rows, "id long, language string, scores double, prompt string")
@@ -453,8 +491,10 @@ def test_unswap_undoes_the_swap(spark):
 
 def test_missing_human_answers_count_as_wrong_unless_dropped(spark):
     key = annotated(spark)
-    rows = [(i, None if i % 4 == 0 else "A", "") for i in range(40)]
-    answers = spark.createDataFrame(rows, "id long, human_preference string, notes string")
+    says = F.when(F.col("id") % 4 != 0, "A").alias("human_preference")
+    answers = key.select("language", "id", says, F.lit("").alias("notes"))
+    other = answers.select(F.lit("xxx_Latn").alias("language"), "id", F.lit("B").alias("human_preference"), "notes")
+    answers = answers.union(other)
     data = annotate.join_annotations(key, answers).toPandas()
     for drop in (False, True):
         joined = annotate.join_annotations(key, answers, drop_missing=drop)
@@ -528,12 +568,38 @@ def test_resumed_job_adds_nothing_twice(spark, tmp_path):
     assert written.select("subset").distinct().count() == 23
 
 
+def test_a_job_that_broke_off_behind_its_output_adds_nothing_twice(spark, tmp_path, monkeypatch):
+    pairs, path = pair_frame(spark), str(tmp_path / "out")
+    arguments = (pairs, path, ["prompt"], translate.dictionary_translator, "deu_Latn")
+    with monkeypatch.context() as m:
+        m.setattr(translate.Ledger, "close", lambda self, batch: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            translate.run_translation(*arguments, parts=3)
+    assert 0 < spark.read.json(path).count() < 40
+    translate.run_translation(*arguments, parts=3)
+    assert spark.read.json(path).count() == spark.read.json(path).select("id").distinct().count() == 40
+
+
+def test_parts_are_read_from_their_own_folders(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def kept(rows, *others, **options):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return translate_columns(rows, *others, **options)
+
+    translate_columns = translate.translate_columns
+    monkeypatch.setattr(translate, "translate_columns", kept)
+    pairs = pair_frame(spark)
+    translate.run_translation(pairs, str(tmp_path / "out"), ["prompt"], translate.dictionary_translator, "x", parts=4)
+    assert len(plans) == 4 and all("Join" not in p and p.count("Relation") == 1 for p in plans)
+
+
 def test_random_part_of_the_pairs(spark, tmp_path):
     pairs = pair_frame(spark)
     path = str(tmp_path / "out")
     for _ in range(2):
         translate.run_translation(pairs, path, ["prompt"], translate.dictionary_translator, "deu_Latn", size=7)
-    wanted = sorted(range(40), key=lambda i: md5_order(42, i))[:7]
+    wanted = sorted(range(40), key=lambda i: md5_order("sample", 42, i))[:7]
     assert sorted(r.id for r in spark.read.json(path).collect()) == sorted(wanted)
 
 
@@ -541,9 +607,9 @@ def test_bilingual_job_is_turn_based_and_normalised(spark):
     rows = [(1, "s", "deu_Latn", "ｆｕｌｌ ①\nthe", "ﬁne", "and")]
     pairs = spark.createDataFrame(rows, "id long, source string, language string, en_input string, en_chosen string, en_rejected string")
     r = translate.translate_bilingual(pairs, translate.dictionary_translator, "fra_Latn").first()
-    assert (r.language, r.prompt) == ("fra_Latn", "full 1\nder")
-    assert [tuple(m) for m in r.chosen] == [("user", "full 1\nder"), ("assistant", "fine")]
-    assert [tuple(m) for m in r.rejected] == [("user", "full 1\nder"), ("assistant", "und")]
+    assert (r.language, r.prompt) == ("fra_Latn", "<full 1>\n<der>")
+    assert [tuple(m) for m in r.chosen] == [("user", "<full 1>\n<der>"), ("assistant", "<fine>")]
+    assert [tuple(m) for m in r.rejected] == [("user", "<full 1>\n<der>"), ("assistant", "<und>")]
 
 
 def test_nfkc(spark, folder):

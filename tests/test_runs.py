@@ -138,14 +138,14 @@ def test_annotation_round(spark, pairs, folder, tmp_path):
     per_stratum = key.groupBy("language", "scores").count().collect()
     assert {r["count"] for r in per_stratum} == {4} and len(per_stratum) == 9
     stored = readers.read_csv_table(
-        spark, out + "/answer_key", "position long, id long, subset string, prompt string, completion_a string, completion_b string, chosen_model string, rejected_model string, scores double, swapped int, language string"
+        spark, out + "/answer_key", "position long, id long, subset string, prompt string, completion_a string, completion_b string, chosen_model string, rejected_model string, scores double, swapped int, language string", multi_line=True
     )
     assert stored.count() == 36
     task = spark.read.option("header", True).csv(out + "/annotation")
     assert not {"scores", "swapped", "subset", "chosen_model"} & set(task.columns)
     # a human who always picks the chosen answer, seen through the swap
     answers = stored.select(
-        "id", F.when(F.col("swapped") == 1, "B").otherwise("A").alias("human_preference"), F.lit("").alias("notes")
+        "language", "id", F.when(F.col("swapped") == 1, "B").otherwise("A").alias("human_preference"), F.lit("").alias("notes")
     )
     report = runs.human_report(stored, answers)
     agreement = report["agreement"].first()
@@ -153,6 +153,15 @@ def test_annotation_round(spark, pairs, folder, tmp_path):
     assert report["disagreements"].count() == 12
 
 
+def test_a_sample_is_swapped_by_an_independent_coin(spark, tmp_path):
+    rows = [(i, i, "eng_Latn", "alpacaeval-easy", "q", "a", "b", "m", "n") for i in range(3000)]
+    columns = "id long, position long, language string, subset string, prompt string, chosen string, rejected string, chosen_model string, rejected_model string"
+    frame = spark.createDataFrame(rows, columns)
+    scored = frame.select("language", "position", (F.col("id") % 2).cast("double").alias("result"))
+    key = runs.annotation_files(frame, str(tmp_path / "task"), scored, sample_size=300)
+    assert key.count() == 300 and 120 <= key.where("swapped = 1").count() <= 180
+
+
 def test_leaderboard_without_one_language(spark, folder):
     tables = runs.leaderboard_tables(spark, folder + "/documents", CODES + ["spa_Latn"])
     assert all(r.avg is None and r.std is None for r in tables["overall"].collect())
