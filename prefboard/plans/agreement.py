@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from prefboard import runs
 from prefboard.functions import lookups
-from prefboard.operators import agreement, annotate, results, sampling
-from prefboard.plans.registry import query, r6
+from prefboard.operators import agreement, annotate, leaderboard, results, sampling
+from prefboard.plans.registry import placed, query, r6
 from prefboard.plans.scores import model_rows
 from prefboard.session import fresh_path
 from prefboard.sources import derived
@@ -40,6 +40,18 @@ def innermodel_agreement(spark, folder):
     return rows.withColumns({c: r6(c) for c in ("mean_kappa", "std_kappa")})
 
 
+@query(
+    "sorted_by_kappa",
+    "model_kappa",
+    """select model, round(mean_kappa, 6) as mean_kappa, row_number() over (order by mean_kappa desc, model) as place
+from (select model, avg(kappa) as mean_kappa from model_kappa where kappa is not null group by model)""",
+)
+def sorted_by_kappa(spark, folder):
+    rows = agreement.innermodel_agreement(derived.judgements(spark, folder), derived.LANGUAGE_CODES)
+    ordered = leaderboard.sort_scores(rows.select("model", "mean_kappa"), "mean_kappa")
+    return placed(ordered).withColumn("mean_kappa", r6("mean_kappa"))
+
+
 def _kappa_with_pairs(spark, folder):
     kappa = agreement.instance_kappa(derived.judgements(spark, folder), derived.LANGUAGE_CODES)
     return agreement.kappa_with_pairs(kappa, derived.pairs(spark, folder))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from prefboard.operators import leaderboard as lb
 from prefboard.operators import naming, results, shape
-from prefboard.plans.registry import query, r6
+from prefboard.plans.registry import placed, query, r6
 from prefboard.sources import derived
 
 LANGUAGES = derived.LANGUAGE_CODES
@@ -54,33 +54,39 @@ def join_model_type(spark, folder):
     return overall_board(spark, folder).select("model", "model_type")
 
 
-@query("leaderboard_sorted", "board", f"select model, model_type, {_BOARD} from board where category = 'Overall'")
+@query(
+    "leaderboard_sorted",
+    "board",
+    f"""select model, model_type, {_BOARD},
+ row_number() over (order by model_type desc, avg_multilingual desc nulls last, model) as place from board where category = 'Overall'""",
+)
 def leaderboard_sorted(spark, folder):
     ordered = lb.sorted_board(overall_board(spark, folder))
-    return _rounded(ordered).drop("category")
+    return _rounded(placed(ordered)).drop("category")
 
 
 @query(
     "top_models",
     "board",
-    f"select model, {_BOARD} from board where category = 'Overall' order by avg_multilingual desc nulls last, model limit 10",
+    f"""select model, {_BOARD}, row_number() over (order by avg_multilingual desc nulls last, model) as place
+from board where category = 'Overall' order by avg_multilingual desc nulls last, model limit 10""",
 )
 def top_models(spark, folder):
-    return _rounded(lb.top_models(overall_board(spark, folder))).drop("category", "model_type")
+    return _rounded(placed(lb.top_models(overall_board(spark, folder)))).drop("category", "model_type")
 
 
 @query(
     "top_n",
     "board",
-    """select model, model_type, round(eng_Latn * 100, 6) as eng_Latn, round(avg_multilingual * 100, 6) as avg_multilingual
-from (select model, case model_type when 'DPO' then 'Implicit RM' when 'Sequence Classifier' then 'Classifier RM' else model_type end as model_type,
+    """select model, model_type, round(eng_Latn * 100, 6) as eng_Latn, round(avg_multilingual * 100, 6) as avg_multilingual,
+ row_number() over (order by model) as place from (select model, case model_type when 'DPO' then 'Implicit RM' when 'Sequence Classifier' then 'Classifier RM' else model_type end as model_type,
  eng_Latn, avg_multilingual from board where category = 'Overall' and avg_multilingual is not null and eng_Latn is not null
  order by model limit 5)""",
 )
 def top_n(spark, folder):
     complete = shape.drop_missing(overall_board(spark, folder), ["eng_Latn", "avg_multilingual"])
     first = lb.top_in_order(naming.relabel_model_type(complete), 5, ["model"])
-    percent = shape.to_percent(first, ["eng_Latn", "avg_multilingual"])
+    percent = shape.to_percent(placed(first), ["eng_Latn", "avg_multilingual"])
     return _rounded(percent, ["eng_Latn", "avg_multilingual"]).drop("category", "std")
 
 
@@ -94,6 +100,28 @@ def sorted_by_score(spark, folder):
     return ordered.drop("category").withColumn("score", r6("score"))
 
 
+@query(
+    "sorted_by_drop",
+    "drops",
+    "select model, round(drop_pct, 6) as drop_pct, row_number() over (order by drop_pct, model) as place from drops",
+)
+def sorted_by_drop(spark, folder):
+    drops = lb.english_drop(overall_board(spark, folder)).select("model", "drop_pct")
+    return placed(lb.sort_scores(drops, "drop_pct", ascending=True)).withColumn("drop_pct", r6("drop_pct"))
+
+
+@query(
+    "sorted_by_delta",
+    "board",
+    """select model, round(delta, 6) as delta, row_number() over (order by delta desc, model) as place
+from (select model, (eng_Latn - avg_multilingual) * 100 as delta from board
+ where category = 'Overall' and avg_multilingual is not null and eng_Latn is not null)""",
+)
+def sorted_by_delta(spark, folder):
+    delta = lb.english_delta(overall_board(spark, folder)).select("model", "delta")
+    return placed(lb.sort_scores(delta, "delta")).withColumn("delta", r6("delta"))
+
+
 _DROP = "(avg_multilingual - eng_Latn) / nullif(eng_Latn, 0) * 100"
 
 
@@ -279,12 +307,13 @@ _ORDER = ["org/model-6", "org/model-1", "org/model-3", "org/model-0"]
 @query(
     "order_by_list",
     "board",
-    f"""select model, round(avg_multilingual, 6) as avg_multilingual from board
+    f"""select model, round(avg_multilingual, 6) as avg_multilingual,
+ list_position([{', '.join(repr(m) for m in _ORDER)}], model) as place from board
 where category = 'Overall' and model in ({', '.join(repr(m) for m in _ORDER)})""",
 )
 def order_by_list(spark, folder):
     ordered = lb.order_by_list(overall_board(spark, folder), "model", _ORDER)
-    return ordered.select("model", r6("avg_multilingual", "avg_multilingual"))
+    return placed(ordered.select("model", r6("avg_multilingual", "avg_multilingual")))
 
 
 _PIVOT = ", ".join(

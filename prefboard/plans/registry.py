@@ -1,5 +1,6 @@
 """Registry of queries and their SQL counterparts."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prefboard.plans.views import using
@@ -20,6 +21,12 @@ def query(name, views="", sql=None):
     return register
 
 
+def placed(ordered):
+    """A sorted result with the `place` of each row, so that its order is compared too."""
+    numbered = ordered.withColumn("_order", F.monotonically_increasing_id())
+    return numbered.withColumn("place", F.row_number().over(W.orderBy("_order"))).drop("_order")
+
+
 def r6(column, name=None):
     """A double rounded to six digits, as the SQL side does."""
     column = F.col(column) if isinstance(column, str) else column

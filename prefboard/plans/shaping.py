@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from prefboard.functions import fixed, lookups, text
 from prefboard.operators import naming, shape
-from prefboard.plans.registry import query
+from prefboard.plans.registry import placed, query
 from prefboard.plans.views import quote
 from prefboard.sources import derived
 
@@ -284,10 +284,11 @@ def model_file_key(spark, folder):
 @query(
     "value_counts",
     "pairs",
-    "select subset, count(*) as n from pairs where subset is not null group by subset",
+    """select subset, count(*) as n, row_number() over (order by count(*) desc, subset) as place
+from pairs where subset is not null group by subset""",
 )
 def value_counts(spark, folder):
-    return shape.value_counts(derived.pairs(spark, folder), "subset")
+    return placed(shape.value_counts(derived.pairs(spark, folder), "subset"))
 
 
 @query("distinct_values", "judgements", "select distinct subset from judgements")

@@ -8,12 +8,11 @@ PAIR = (
 )
 TRANSLATED_PAIR = PAIR + ", target_language string"
 REWARD = "id long, chosen double, rejected double"
-ANNOTATION = "id long, human_preference string, notes string"
+ANNOTATION = "id long, language string, human_preference string, notes string"
 ANSWER_KEY = (
     "id long, language string, subset string, completion_a string, completion_b string, "
     "scores double, swapped int"
 )
-LANGUAGE_METADATA = "language string, resource_type string, family string, script string"
 INSTANCE_RESULT = "model string, language string, position long, result double"
 
 # One schema for every kind of result document; absent fields are null.

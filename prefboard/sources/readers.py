@@ -3,6 +3,7 @@
 Schemas are given, never inferred, so no reader scans its input twice.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +96,11 @@ def read_instances(spark: SparkSession, path, schema=schemas.INSTANCE_RESULT) ->
 
 
 def has_files(spark: SparkSession, path) -> bool:
-    """Whether anything was written below `path` yet."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    """Whether `path` exists; Spark looks that up when a frame over it is made."""
+    try:
+        spark.read.format("binaryFile").load(str(path))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True

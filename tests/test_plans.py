@@ -4,9 +4,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as registered
+from prefboard.plans import catalog
 
-QUERIES = registered.queries()
+QUERIES = catalog.QUERIES
 PYTHON = {"normalize_nfkc", "judge_pairs", "score_pairs", "translate_columns", "translate_sentences", "translate_bilingual"}
 WRITING = {n for n in QUERIES if n.startswith(("sink_", "scan_"))}
 
