@@ -90,9 +90,9 @@ def read_rewards(spark: SparkSession, path, schema=schemas.REWARD) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_instances(spark: SparkSession, path, schema=schemas.INSTANCE_RESULT) -> DataFrame:
+def read_instances(spark: SparkSession, path, schema=schemas.INSTANCE_RESULT, fmt="json") -> DataFrame:
     """Per-instance rows written by `writers.write_instances` or `replace_instances`."""
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def has_files(spark: SparkSession, path) -> bool:

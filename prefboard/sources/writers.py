@@ -38,12 +38,12 @@ def write_result_documents(documents: DataFrame, path) -> None:
     _replace(runs, ["language", "model_key"], "text", path)
 
 
-def write_instances(rows: DataFrame, path, mode="errorifexists") -> None:
-    """Per-instance rows as JSON lines."""
-    rows.write.mode(mode).json(path)
+def write_instances(rows: DataFrame, path, mode="errorifexists", fmt="json") -> None:
+    """Per-instance rows, as JSON lines or in another format of Spark's."""
+    rows.write.mode(mode).format(fmt).save(path)
 
 
-def replace_instances(rows: DataFrame, path) -> None:
+def replace_instances(rows: DataFrame, path, fmt="json") -> None:
     """Per-instance rows in one folder per language and model.
 
     A repeated run replaces its own rows. Rebalancing gives a run few even files
@@ -51,7 +51,7 @@ def replace_instances(rows: DataFrame, path) -> None:
     """
     keyed = rows.withColumn("model_key", result_key(F.col("model")))
     keys = ["language", "model_key"]
-    _replace(keyed.hint("rebalance", *[F.col(k) for k in keys]), keys, "json", path)
+    _replace(keyed.hint("rebalance", *[F.col(k) for k in keys]), keys, fmt, path)
 
 
 def _replace(df, keys, fmt, path):
