@@ -61,11 +61,12 @@ def to_turns(spark, folder):
     )
 
 
-@query("dialogue_core", "pairs", _FLAT_TURNS)
+@query("dialogue_core", "pairs", _FLAT_TURNS.replace("select id, language,", "select id, language, prompt, chosen, rejected,"))
 def dialogue_core(spark, folder):
+    """Dialogues stand beside the texts they are made of."""
     d = shape.dialogues(derived.pairs(spark, folder))
     return d.select(
-        "id", "language", *_flat_messages(d, "text_chosen", "chosen"), *_flat_messages(d, "text_rejected", "rejected")
+        "id", "language", "prompt", "chosen", "rejected", *_flat_messages(d, "text_chosen", "chosen"), *_flat_messages(d, "text_rejected", "rejected")
     )
 
 
