@@ -182,5 +182,5 @@ def using(views, body):
         add(view)
     if not ordered:
         return body
-    ctes = ",\n".join(f"{name} as ({VIEWS[name].strip()})" for name in ordered)
+    ctes = ",\n".join(f"{name} as materialized ({VIEWS[name].strip()})" for name in ordered)
     return f"with {ctes}\n{body.strip()}"
