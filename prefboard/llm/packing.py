@@ -22,12 +22,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefboard.llm.texts import as_bytes
+from prefboard.llm.texts import as_bytes, in_use, lookup_table
 from prefboard.session import materialise
 
 CAPACITY = 2048
 RANK_PARTS = 64
-MAX_CACHED_PARTS = 1_000_000
+MAX_CACHED_PARTS = 500_000
 
 PIECES = T.ArrayType(
     T.StructType(
@@ -94,11 +94,11 @@ class WordTokenizer:
     def __init__(self, path, most=MAX_CACHED_PARTS):
         from tokenizers import Tokenizer
 
-        self._parts = _PartIds(Tokenizer.from_file(path), most)
+        self._parts = lookup_table(_PartIds(Tokenizer.from_file(path), most))
 
     def encode(self, text: bytes) -> bytes:
         parts = text if b"<|" in text else text.lower()  # special tokens are matched before anything else
-        return b"".join(map(self._parts.__getitem__, parts.replace(b"\n", b" ").split(b" ")))
+        return b"".join(map(in_use(self._parts).__getitem__, parts.replace(b"\n", b" ").split(b" ")))
 
 
 @lru_cache(1)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefboard.llm.texts import as_bytes, portions
+from prefboard.llm.texts import as_bytes, in_use, lookup_table, portions
 from prefboard.session import materialise
 
 BUCKETS, DIMENSIONS, NEAR = 1 << 13, 32, 2
@@ -34,7 +34,7 @@ SHARES = 9
 class _WordCodes(dict):
     """A word's bucket (13 bits), traits and hash in one number; bounded in size."""
 
-    MAX = 500_000
+    MAX = 250_000
 
     def __missing__(self, word):
         if len(self) >= self.MAX:
@@ -48,7 +48,7 @@ class _WordCodes(dict):
         return value
 
 
-_codes = _WordCodes()
+_codes = lookup_table(_WordCodes())
 
 
 def _coded(texts):
@@ -56,7 +56,7 @@ def _coded(texts):
     words = [t.split() for t in texts]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     distinct = np.fromiter((len(set(w)) for w in words), np.int64, len(words))
-    codes = np.fromiter(map(_codes.__getitem__, (w for ws in words for w in ws)), np.uint64, int(lengths.sum()))
+    codes = np.fromiter(map(in_use(_codes).__getitem__, (w for ws in words for w in ws)), np.uint64, int(lengths.sum()))
     return codes, np.repeat(np.arange(len(words)), lengths), lengths, distinct
 
 

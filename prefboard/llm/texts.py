@@ -36,10 +36,29 @@ def alnum_text(text: bytes) -> bytes:
     return text.translate(_ALNUM_LINES)
 
 
+#: Lookup tables of the operators in this Python worker.
+_tables = []
+
+
+def lookup_table(table):
+    """`table`, known to `in_use`."""
+    _tables.append(table)
+    return table
+
+
+def in_use(table):
+    """`table`, with the others emptied: a worker that serves several operators in
+    turn holds the table of one."""
+    for other in _tables:
+        if other is not table and other:
+            other.clear()
+    return table
+
+
 class _WordHashes(dict):
     """64-bit hash of each word; holds a bounded number of words."""
 
-    MAX = 500_000
+    MAX = 250_000
 
     def __missing__(self, word):
         if len(self) >= self.MAX:
@@ -48,15 +67,15 @@ class _WordHashes(dict):
         return value
 
 
-_hashes = _WordHashes()
+_hashes = lookup_table(_WordHashes())
 
 
 def word_hashes(words: list) -> np.ndarray:
     """64-bit hashes of words, in their order."""
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(in_use(_hashes).__getitem__, words), np.uint64, len(words))
 
 
-def portions(values: list, size=4 << 20):
+def portions(values: list, size=2 << 20):
     """`(first, last + 1)` of consecutive texts with about `size` bytes together."""
     start, total = 0, 0
     for at, value in enumerate(values):
