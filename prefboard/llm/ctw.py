@@ -34,6 +34,8 @@ MAX_FREQUENT_WORDS = 1_000_000
 #: Ends a text and fills the context before its first byte; UTF-8 never has it.
 END = 0xFF
 _WORDS, _GRAMS = 0, 1
+#: Distinct keys a task gathers before it merges them, and sends them on.
+GATHERED = 1 << 19
 
 
 def stream(texts: list):
@@ -64,7 +66,7 @@ def contexts(data: np.ndarray, places: np.ndarray) -> np.ndarray:
 class _Counts:
     """Distinct keys with their counts, merged when many have gathered."""
 
-    def __init__(self, most=1 << 21):
+    def __init__(self, most=GATHERED):
         self._parts, self._size, self._most = [], 0, most
 
     def add(self, keys):
@@ -113,7 +115,7 @@ def _count(batches):
             data, places, _ = stream(part)
             grams.add(contexts(data, places).astype(np.uint64) << np.uint64(8) | data[places])
             for kind, counts in ((_WORDS, words), (_GRAMS, grams)):
-                if (counted := counts.taken(1 << 21)) is not None:
+                if (counted := counts.taken(GATHERED)) is not None:
                     yield from _rows(kind, counted)
     for kind, counts in ((_WORDS, words), (_GRAMS, grams)):
         if (counted := counts.taken()) is not None:
