@@ -81,3 +81,21 @@ def test_packing_stage(spark, folder, stages):
     assert zlib.crc32(str(sorted(expected)).encode()) == zlib.crc32(
         str(sorted((str(r["doc_id"]), *r[1:5]) for r in corpus_pipeline.run(spark, folder).collect())).encode()
     )
+
+
+def test_stages_on_odd_rows(spark, folder, odd, none, clashing):
+    """Nulls, blank and long texts, repeated rows, no rows, clashing names."""
+    for docs in (odd, none, clashing):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, folder)
+            if name == "packing":
+                assert (out.count() > 0) == (docs.count() > 0)
+                continue
+            assert out.columns == docs.columns
+            kept = {r["doc_id"] for r in out.collect()}
+            if docs is none:
+                assert not kept
+            elif name == "near_duplicates":
+                assert kept == {1, 2, 3, 4, 5, 8, 9, 10, 11, None}
+            elif name in ("decontamination", "secrets"):
+                assert kept == {r["doc_id"] for r in docs.collect()}
