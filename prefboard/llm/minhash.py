@@ -5,9 +5,11 @@ are compared. A signature holds the minima of 128 universal hashes in 32 bands o
 4, which bring a pair of similarity 0.75 together with probability 0.999995.
 
 Within a bucket (classes that agree on a band) nobody compares all pairs. First
-every class is compared with the bucket's leader. Only buckets whose classes then
-lie in several components are looked at again: under another leader, and at last
-every class outside the bucket's largest component against all others, in blocks.
+every class is compared with the bucket's leader: the class whose buckets are
+largest over all bands, which is the middle of a group of copies if it has one.
+Only buckets whose classes then lie in several components are looked at again
+(under other leaders, if so chosen), and at last every class outside the bucket's
+largest component is compared with all others, in blocks that send on links only.
 So no two classes of one bucket end in different components uncompared.
 """
 
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefboard.llm.components import components
+from prefboard.llm.components import components, smallest_reached
 from prefboard.llm.texts import as_bytes, spaced_words, word_hashes
 from prefboard.session import materialise
 
@@ -110,18 +112,14 @@ def _prints(text: pa.Array) -> pa.Array:
 @F.arrow_udf(returnType=T.BooleanType())
 def _similar_texts(left: pa.Array, right: pa.Array) -> pa.Array:
     out, last, left_set = [], None, None
-    for a, b in zip(as_bytes(left), as_bytes(right)):
-        if a != last:  # pairs come sorted by their left side
-            last, left_set = a, shingle_set(a)
-        out.append(similar(left_set, shingle_set(b)))
+    for start in range(0, len(left), 256):
+        for a, b in zip(as_bytes(left.slice(start, 256)), as_bytes(right.slice(start, 256))):
+            if a != last:  # pairs come sorted by their left side
+                last, left_set = a, shingle_set(a)
+            out.append(similar(left_set, shingle_set(b)))
     return pa.array(out, pa.bool_())
 
 
-def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal minima of each signature in `a` with each in `b`."""
-    return np.stack([(b == row).mean(axis=1) for row in a]) if len(a) else np.zeros((0, len(b)))
-
-
 def _numbers_of(signatures) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), "<u4").reshape(len(signatures), BANDS * ROWS)
 
@@ -152,7 +150,9 @@ class _Classes:
         keys = members.select("class", F.explode(band_keys(F.col("signature"))).alias("key"))
         rows = materialise(keys, "bands")
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        self.buckets = materialise(rows.join(materialise(sizes, "shared-bands"), "key"), "buckets")
+        shared = materialise(rows.join(materialise(sizes, "shared-bands"), "key"), "shared")
+        weights = shared.groupBy("class").agg(F.sum("n").alias("weight"))
+        self.buckets = materialise(shared.join(materialise(weights, "weights"), "class"), "buckets")
         ids = materialise(self.buckets.select("class").distinct(), "candidates")
         self.signatures = materialise(members.join(ids, "class", "left_semi"), "signatures")
         texts = df.select(F.col(row_id).cast("long").alias("class"), F.col(text).cast("string").alias("text"))
@@ -160,7 +160,7 @@ class _Classes:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs `(u, v)` that are similar on their full sets."""
-        found = materialise(self.agreeing(materialise(pairs, "pairs")), "agreeing")
+        found = self.agreeing(pairs)
         left = self.texts.withColumnsRenamed({"class": "u", "text": "left"})
         right = self.texts.withColumnsRenamed({"class": "v", "text": "right"})
         checked = found.join(right, "v").join(left, "u")
@@ -174,10 +174,10 @@ class _Classes:
         agree = _agree.asNondeterministic()(F.col("left"), F.col("right"))
         return both.withColumn("agree", agree).where("agree").select("u", "v").distinct()
 
-    def with_leaders(self, buckets: DataFrame, seed: int) -> DataFrame:
-        """Pairs of each class with the leader of each of its buckets."""
-        order = F.struct(F.xxhash64("class", F.lit(seed)) if seed else F.lit(0), "class")
-        leaders = buckets.groupBy("key").agg(F.min(order).alias("first")).select("key", F.col("first.class").alias("u"))
+    def with_leaders(self, buckets: DataFrame, *order) -> DataFrame:
+        """Pairs of each class with the leader of each of its buckets, the first in `order`."""
+        first = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "class")).alias("first")
+        leaders = buckets.groupBy("key").agg(first).select("key", F.col("first.class").alias("u"))
         pairs = buckets.join(materialise(leaders, "leaders"), "key").where(F.col("class") != F.col("u"))
         return pairs.select(F.least("u", "class").alias("u"), F.greatest("u", "class").alias("v")).distinct()
 
@@ -189,47 +189,67 @@ class _Classes:
         return materialise(rooted.join(materialise(several.select("key"), "mixed-keys"), "key", "left_semi"), "mixed")
 
     def across(self, mixed: DataFrame) -> DataFrame:
-        """Agreeing pairs of different components in one bucket, all of them.
+        """Links between different components of one bucket.
 
         The largest component of a bucket needs no look inside; the others are
         compared with everything, in blocks of about 256 classes on either side.
+        Signatures name the pairs to check on the full sets, there and then.
         """
         sizes = mixed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
         largest = sizes.groupBy("key").agg(
             F.max_by("root", F.struct("size", "root")).alias("largest"),
             (F.sum("size") - F.max("size")).alias("others"),
         )
-        rows = mixed.join(materialise(largest, "largest"), "key").join(self.signatures, "class")
+        rows = mixed.join(materialise(largest, "largest"), "key").join(self.signatures, "class").join(self.texts, "class")
         spread = F.xxhash64("class", F.lit("block"))
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
         here = F.sequence(F.lit(0), blocks(F.col("others")) - 1)
         there = F.sequence(F.lit(0), blocks(F.col("n")) - 1)
-        columns = ("key", "class", "root", "signature")
+        columns = ("key", "class", "root", "signature", "text")
         targets = rows.select(
             *columns, F.lit(False).alias("asks"), F.explode(here).alias("i"), F.pmod(spread, blocks(F.col("n"))).cast("int").alias("j")
         )
         askers = rows.where("root <> largest").select(
             *columns, F.lit(True).alias("asks"), F.pmod(spread, blocks(F.col("others"))).cast("int").alias("i"), F.explode(there).alias("j")
         )
-
-        def compare(frame):
-            asks = frame["asks"].to_numpy(bool)
-            a, b = frame[asks], frame[~asks]
-            if not len(a) or not len(b):
-                return frame.iloc[:0][["class", "root"]].set_axis(["u", "v"], axis=1)
-            close = _agreeing(_numbers_of(a["signature"]), _numbers_of(b["signature"])) >= LEAST_AGREEING
-            close &= a["root"].to_numpy()[:, None] != b["root"].to_numpy()[None, :]
-            x, y = np.nonzero(close)
-            u, v = a["class"].to_numpy()[x], b["class"].to_numpy()[y]
-            return frame.iloc[:0][["class", "root"]].set_axis(["u", "v"], axis=1).reindex(range(len(u))).assign(
-                u=np.minimum(u, v), v=np.maximum(u, v)
-            )
-
-        pairs = targets.unionByName(askers).groupBy("key", "i", "j").applyInPandas(compare, "u long, v long")
-        return pairs.distinct()
-
-
-def near_duplicates(df: DataFrame, text="text", row_id="doc_id", star_rounds=2) -> DataFrame:
+        blocked = targets.unionByName(askers).groupBy("key", "i", "j")
+        return materialise(blocked.applyInArrow(_links_across, "u long, v long"), "links-across")
+
+
+def _links_across(table: pa.Table) -> pa.Table:
+    """Links of the asking classes with the others; a link of every class to the
+    smallest that it reaches."""
+    asks = table.column("asks").to_numpy()
+    ids, roots = table.column("class").to_numpy(), table.column("root").to_numpy()
+    numbers = _numbers_of(table.column("signature").to_pylist())
+    texts, sets = as_bytes(table.column("text").combine_chunks()), {}
+
+    def shingles(at):
+        if at not in sets:
+            sets[at] = shingle_set(texts[at])
+        return sets[at]
+
+    component = {int(r): int(r) for r in roots}
+
+    def find(r):
+        while component[r] != r:
+            r = component[r]
+        return r
+
+    targets, links = np.flatnonzero(~asks), []
+    for a in np.flatnonzero(asks):
+        close = (numbers[targets] == numbers[a]).mean(axis=1) >= LEAST_AGREEING
+        for b in targets[close & (roots[targets] != roots[a])]:
+            x, y = find(int(roots[a])), find(int(roots[b]))
+            if x != y and similar(shingles(a), shingles(b)):
+                component[x] = y
+                links.append((ids[a], ids[b]))
+    u, v = np.array(links, np.int64).reshape(-1, 2).T
+    nodes, reached = smallest_reached(u, v) if len(u) else (u, v)
+    return pa.table({"u": nodes, "v": reached})
+
+
+def near_duplicates(df: DataFrame, text="text", row_id="doc_id", star_rounds=1) -> DataFrame:
     """`row_id, n_shingles, component_id, kept` of every row.
 
     Documents are linked when their sets of 5-word shingles have a similarity of
@@ -244,15 +264,15 @@ def near_duplicates(df: DataFrame, text="text", row_id="doc_id", star_rounds=2)
     )
     prints = materialise(made.select(row_id, "id", "p.*"), "prints")
     run = _Classes(df, prints, text, row_id)
-    links = run.links(run.with_leaders(run.buckets, 0))
-    roots = components(links)
+    roots = components(run.links(run.with_leaders(run.buckets, -F.col("weight"))))
     for round_ in range(1, star_rounds + 1):
         mixed = run.mixed(roots)
         if mixed.isEmpty():
             break
-        more = run.with_leaders(mixed, round_) if round_ < star_rounds else run.across(mixed)
-        links = links.unionByName(run.links(more))
-        roots = components(links)
+        more = run.links(run.with_leaders(mixed)) if round_ < star_rounds else run.across(mixed)
+        if not more.isEmpty():
+            known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+            roots = components(known.unionByName(more))
     classes = run.classes.join(roots, F.col("class") == F.col("node"), "left")
     rooted = materialise(classes.select("digest", F.coalesce("root", "class").alias("component_id")), "rooted-classes")
     rows = prints.select(row_id, "id", "n_shingles", "digest")
