@@ -1,16 +1,21 @@
 """Language-model scores of texts by context-tree weighting.
 
 A byte is eight binary decisions, each at a node named by the bits before it and by
-the last 0 to 4 bytes of the text. A node estimates its bit with the
+the last 0 to `LONGEST` bytes of the text. A node estimates its bit with the
 Krichevsky-Trofimov rule; its weighted probability is half its own estimate and
 half the product over its longer contexts, so all depths are mixed. Trained once,
 the mixture gives a code length for every byte in every context.
 
-Contexts that make up less than one in `MAX_CONTEXTS` of all training bytes are not
-nodes of their own: their bytes are pooled in one further child of the longest
-frequent context. At most `MAX_CONTEXTS` contexts of each length can pass, so the
-trained table has a bound that does not depend on the corpus, and its counts are
-still those of every byte.
+Every context that occurs is a node. The tree is a table of the byte runs (a context
+and the byte behind it) of all texts, those of texts that are only scored with a count
+of 0. It is weighted upwards and mixed downwards in subtrees below three bytes,
+which Spark deals to tasks; what is above them is a second, smaller table. A text's
+score is the sum over its runs: runs that make up one in `MAX_FREQUENT_RUNS` bytes or
+more are looked up in the task, all others are joined. That bound decides where a run
+is looked up and never what it is worth.
+
+`train` builds the model of contexts up to `DEPTH` bytes as one table, without those
+that make up less than one in `max_contexts` of all training bytes.
 
 The unigram base score treats words alike: words that make up one in
 `MAX_FREQUENT_WORDS` or more are looked up in the task, all others are joined.
@@ -29,7 +34,12 @@ from prefboard.llm.texts import as_bytes, portions, spaced_words, word_hashes
 from prefboard.session import materialise
 
 DEPTH = 4
+#: Bytes of the longest contexts that texts are scored with; a run of seven bytes fits a long.
+LONGEST = 5
+#: Subtrees below contexts of so many bytes are worked on as a whole.
+CUT = 3
 MAX_CONTEXTS = 1 << 16
+MAX_FREQUENT_RUNS = 1 << 22
 MAX_FREQUENT_WORDS = 1_000_000
 #: Ends a text and fills the context before its first byte; UTF-8 never has it.
 END = 0xFF
@@ -38,28 +48,29 @@ _WORDS, _GRAMS = 0, 1
 GATHERED = 1 << 19
 
 
-def stream(texts: list):
+def stream(texts: list, depth=DEPTH):
     """Bytes of texts with ends, and the places to be predicted in it.
 
-    Every text is followed by its end, which is predicted, and by three more, so
-    that the next one begins in the context of four ends.
+    Every text is followed by its end, which is predicted, and by `depth - 1` more, so
+    that the next one begins in the context of ends alone.
     """
-    gap = bytes([END]) * DEPTH
+    gap = bytes([END]) * depth
     data = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(lengths + DEPTH) - DEPTH + DEPTH
+    ends = np.cumsum(lengths + depth)
     wanted = np.ones(len(data), bool)
-    wanted[:DEPTH] = False
-    for behind in range(1, DEPTH):
+    wanted[:depth] = False
+    for behind in range(1, depth):
         wanted[ends + behind] = False
     return data, np.flatnonzero(wanted), lengths + 1
 
 
-def contexts(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The four bytes before each place as one number, the nearest lowest."""
-    out = np.zeros(len(data), np.uint32)
-    for back in range(DEPTH, 0, -1):
-        out[back:] |= data[:-back].astype(np.uint32) << np.uint32(8 * (back - 1))
+def runs(data: np.ndarray, places: np.ndarray, depth=DEPTH) -> np.ndarray:
+    """Each place's byte and the bytes before it as one number: the byte lowest, the
+    nearest of the others highest, so that sorted runs stand in the order of the tree."""
+    out = data.astype(np.int64)
+    for back in range(1, depth + 1):
+        out[back:] |= data[:-back].astype(np.int64) << 8 * (depth - back + 1)
     return out[places]
 
 
@@ -69,9 +80,10 @@ class _Counts:
     def __init__(self, most=GATHERED):
         self._parts, self._size, self._most = [], 0, most
 
-    def add(self, keys):
+    def add(self, keys, times=1):
         if len(keys):
-            self._parts.append(np.unique(keys, return_counts=True))
+            distinct, counts = np.unique(keys, return_counts=True)
+            self._parts.append((distinct, counts * times))
             self._size += len(self._parts[-1][0])
             if self._size > self._most and len(self._parts) > 1:
                 self._merge()
@@ -104,16 +116,18 @@ def _rows(kind, counted):
         yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], schema=_COUNTED)
 
 
-def _count(batches):
-    """Counts of words and of five-byte runs; a task sends each about once."""
+def _count(batches, depth):
+    """Counts of words and of byte runs; a task sends each about once."""
     words, grams = _Counts(), _Counts()
     for batch in batches:
-        texts = as_bytes(batch.column(0))
+        texts, learned = as_bytes(batch.column(0)), batch.column(1).to_pylist()
         for first, last in portions(texts):
-            part = texts[first:last]
-            words.add(word_hashes([w for t in part for w in spaced_words(t)]))
-            data, places, _ = stream(part)
-            grams.add(contexts(data, places).astype(np.uint64) << np.uint64(8) | data[places])
+            for times in (1, 0):
+                part = [t for t, yes in zip(texts[first:last], learned[first:last]) if yes == times]
+                if times:
+                    words.add(word_hashes([w for t in part for w in spaced_words(t)]))
+                if part:
+                    grams.add(runs(*stream(part, depth)[:2], depth), times)
             for kind, counts in ((_WORDS, words), (_GRAMS, grams)):
                 if (counted := counts.taken(GATHERED)) is not None:
                     yield from _rows(kind, counted)
@@ -122,19 +136,30 @@ def _count(batches):
             yield from _rows(kind, counted)
 
 
-def corpus_counts(df: DataFrame, text="text") -> DataFrame:
-    """`kind, key, n` over all texts: word hashes, and five-byte runs of the streams."""
-    parts = df.select(F.col(text).cast("string")).mapInArrow(_count, "kind int, key long, n long")
+def corpus_counts(df: DataFrame, text="text", learned=None, depth=DEPTH) -> DataFrame:
+    """`kind, key, n` over all texts: word hashes, and byte runs of the streams.
+
+    Of rows that are not `learned` (a condition) only the runs are given, with 0.
+    """
+    learned = F.lit(True) if learned is None else learned
+    texts = df.select(F.col(text).cast("string"), learned)
+    parts = texts.mapInArrow(lambda batches: _count(batches, depth), "kind int, key long, n long")
     return materialise(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "corpus-counts")
 
 
 def context_counts(counts: DataFrame, max_contexts=MAX_CONTEXTS) -> DataFrame:
-    """`depth, context, symbol, n` of all frequent contexts of depth 0 to 4."""
+    """`depth, context, symbol, n` of all frequent contexts of depth 0 to 4.
+
+    A context is a number with its nearest byte lowest.
+    """
     grams = counts.where(F.col("kind") == _GRAMS)
     total = grams.agg(F.sum("n")).first()[0] or 0
     depths = F.explode(F.array(*[F.lit(d) for d in range(DEPTH + 1)])).alias("depth")
     spread = grams.select("key", "n", depths)
-    context = F.shiftright("key", 8).bitwiseAND((F.pow(F.lit(256), F.col("depth")) - 1).cast("long"))
+    context = F.lit(0).cast("long")
+    for back in range(1, DEPTH + 1):
+        byte = F.shiftright("key", 8 * (DEPTH - back + 1)).bitwiseAND(255)
+        context += F.when(F.col("depth") >= back, F.shiftleft(byte, 8 * (back - 1))).otherwise(0)
     symbols = (
         spread.select("depth", context.alias("context"), F.col("key").bitwiseAND(255).cast("int").alias("symbol"), "n")
         .groupBy("depth", "context", "symbol")
@@ -304,11 +329,234 @@ class ContextRows:
         return found
 
 
-def log10_probabilities(texts: list, rows: ContextRows, codes: np.ndarray) -> np.ndarray:
-    """Log10 probability of each text and its end."""
-    data, places, lengths = stream(texts)
-    each = codes[rows.find(contexts(data, places)), data[places]]
-    return np.add.reduceat(each.astype(np.float64), np.cumsum(lengths) - lengths)
+class _Branch:
+    """Nodes of the contexts below some, at one bit of the byte, level by level.
+
+    A node's name is its context, nearest byte highest, with the bits before its own
+    behind it. The nodes of the deepest level are given, in any order.
+    """
+
+    def __init__(self, bit, names, zeros, ones, log_weighted, levels):
+        self.names, self.zeros, self.ones, self.log_weighted = names, zeros, ones, log_weighted
+        self._above = []
+        low = (1 << bit) - 1
+        for _ in range(levels):
+            shorter = self.names >> bit + 8 << bit | self.names & low
+            self.names, parent = np.unique(shorter, return_inverse=True)
+            size = len(self.names)
+            children = np.bincount(parent, self.log_weighted, size)
+            self.zeros, self.ones = np.bincount(parent, self.zeros, size), np.bincount(parent, self.ones, size)
+            own = _log_kt_counted(self.zeros, self.ones)
+            self.log_weighted = np.logaddexp(own, children) - math.log(2)
+            stay = np.exp(own - math.log(2) - self.log_weighted)
+            self._above.append((parent, stay, _kt_one(self.zeros, self.ones)))
+
+    def descend(self, mixed, left):
+        """What the deepest nodes get of the shorter contexts, given what the highest do."""
+        for parent, stay, one in reversed(self._above):
+            mixed, left = mixed + left * stay * one, left * (1 - stay)
+            mixed, left = mixed[parent], left[parent]
+        return mixed, left
+
+
+#: Counts below this have the logs of their gamma functions in a table.
+_SMALL = 1 << 12
+_HALF, _WHOLE = _log_gamma(np.arange(_SMALL) + 0.5), _log_gamma(np.arange(_SMALL) + 1.0)
+
+
+def _log_kt_counted(zeros, ones):
+    """`_log_kt` of whole counts, mostly small ones."""
+    both = zeros + ones
+    small = both < _SMALL
+    z, o = np.where(small, zeros, 0).astype(np.int64), np.where(small, ones, 0).astype(np.int64)
+    out = _HALF[z] + _HALF[o] - _WHOLE[z + o] - math.log(math.pi)
+    large = np.flatnonzero(~small)
+    out[large] = _log_kt(zeros[large], ones[large])
+    return out
+
+
+def _subtrees(batches, subtree):
+    """Columns of whole subtrees, many at once; rows come sorted by `subtree(columns)`."""
+    parts, size, most = [], 0, _ROWS
+    for batch in batches:
+        parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size < most:
+            continue
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        whose = subtree(columns)
+        whole = np.searchsorted(whose, whose[-1])
+        if whole:
+            yield [c[:whole] for c in columns]
+        parts, size = [[c[whole:] for c in columns]], len(whose) - whole
+        most = max(_ROWS, 2 * size)
+    if size:
+        yield [np.concatenate(c) for c in zip(*parts)]
+
+
+#: Rows of subtrees worked on together, if one subtree has no more.
+_ROWS = 1 << 17
+
+
+def _leaves(keys, n, depth):
+    """Per bit of the byte: the bit, where each run's node is, the runs' bits, the branch up to the cut."""
+    for bit in range(8):
+        names = keys >> 8 - bit
+        new = np.ones(len(names), bool)
+        new[1:] = names[1:] != names[:-1]
+        at = np.cumsum(new) - 1
+        is_one = (keys >> 7 - bit & 1).astype(bool)
+        zeros, ones = np.bincount(at, np.where(is_one, 0, n)), np.bincount(at, np.where(is_one, n, 0))
+        yield bit, at, is_one, zeros, ones, _Branch(bit, names[new], zeros, ones, _log_kt_counted(zeros, ones), depth - CUT)
+
+
+def _node_rows(names, *columns):
+    """A batch of `at, node` and further columns, from names at each bit."""
+    at = np.concatenate([ns >> bit for bit, ns in enumerate(names)])
+    node = np.concatenate([ns & (1 << bit) - 1 | 1 << bit for bit, ns in enumerate(names)])
+    return [pa.array(c) for c in (at, node, *[np.concatenate(c) for c in columns])]
+
+
+_WEIGHED = ["at", "node", "zeros", "ones", "log_weighted"]
+
+
+def _weigh(depth):
+    def weigh(batches):
+        for keys, n in _subtrees(batches, lambda columns: columns[0] >> 8 * (depth - CUT + 1)):
+            tops = [branch for *_, branch in _leaves(keys, n, depth)]
+            columns = [[getattr(b, name) for b in tops] for name in ("zeros", "ones", "log_weighted")]
+            yield pa.RecordBatch.from_arrays(_node_rows([b.names for b in tops], *columns), _WEIGHED)
+
+    return weigh
+
+
+def _upper(table: pa.Table):
+    """Per bit: the branch from the cut up to contexts of one byte, and the names at the cut."""
+    at, node, zeros, ones, log_weighted = [table.column(c).to_numpy() for c in _WEIGHED]
+    for bit in range(8):
+        here = node >> bit == 1
+        names = at[here] << bit | node[here] & (1 << bit) - 1
+        yield names, _Branch(bit, names, zeros[here], ones[here], log_weighted[here], CUT - 1)
+
+
+def _weigh_upper(table: pa.Table) -> pa.Table:
+    tops = [branch for _, branch in _upper(table)]
+    columns = [[getattr(b, name) for b in tops] for name in ("zeros", "ones", "log_weighted")]
+    return pa.Table.from_arrays(_node_rows([b.names for b in tops], *columns), _WEIGHED)
+
+
+def _mix_upper(mixed, left):
+    def mix(table: pa.Table) -> pa.Table:
+        names, columns = [], ([], [])
+        for bit, (own, branch) in enumerate(_upper(table)):
+            node = branch.names & (1 << bit) - 1 | 1 << bit
+            names.append(own)
+            for column, values in zip(columns, branch.descend(mixed[node], left[node])):
+                column.append(values)
+        return pa.Table.from_arrays(_node_rows(names, *columns), ["at", "node", "mixed", "left"])
+
+    return mix
+
+
+def _finish(depth):
+    """Log10 probability of every run; a subtree's nodes come before its runs."""
+
+    def finish(batches):
+        for at, key, n, node, mixed, left in _subtrees(batches, lambda columns: columns[0]):
+            given, keys = key < 0, key[key >= 0]
+            logs = np.zeros(len(keys))
+            for bit, where, is_one, zeros, ones, branch in _leaves(keys, n[~given], depth):
+                here = np.flatnonzero(given)[node[given] >> bit == 1]
+                names = at[here] << bit | node[here] & (1 << bit) - 1
+                here = here[np.argsort(names)]
+                m, l = branch.descend(mixed[here], left[here])
+                one = (m + l * _kt_one(zeros, ones))[where]
+                logs += np.log10(np.where(is_one, one, 1 - one))
+            arrays = [pa.array(keys), pa.array(n[~given]), pa.array(logs.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "log"])
+
+    return finish
+
+
+def run_logs(counts: DataFrame, depth=LONGEST) -> DataFrame:
+    """`key, n, log` of every byte run: its log10 probability in the whole context tree.
+
+    The driver gets 255 sums; the nodes of contexts up to three bytes are a table.
+    """
+    grams = counts.where(F.col("kind") == _GRAMS).select("key", "n")
+    at = F.shiftright("key", 8 * (depth - CUT + 1))
+    weighed = grams.repartition(at).sortWithinPartitions("key").mapInArrow(
+        _weigh(depth), "at long, node long, zeros double, ones double, log_weighted double"
+    )
+    weighed = materialise(weighed, "nodes").withColumn("last", F.shiftright("at", 8 * (CUT - 1)))
+    upper = weighed.groupBy("last").applyInArrow(
+        _weigh_upper, "at long, node long, zeros double, ones double, log_weighted double"
+    )
+    mixed, left = np.zeros(256), np.ones(256)
+    sums = upper.groupBy("node").agg(*[F.sum(c).alias(c) for c in _WEIGHED[2:]])
+    for r in sums.collect():
+        zeros, ones = np.array([r["zeros"]]), np.array([r["ones"]])
+        own = _log_kt(zeros, ones)
+        stay = np.exp(own - np.logaddexp(own, r["log_weighted"]))
+        mixed[r["node"]], left[r["node"]] = (stay * _kt_one(zeros, ones))[0], 1 - stay[0]
+    above = weighed.groupBy("last").applyInArrow(_mix_upper(mixed, left), "at long, node long, mixed double, left double")
+    nothing, number = F.lit(0).cast("long"), F.lit(0.0)
+    rows = grams.select(at.alias("at"), "key", "n", nothing.alias("node"), number.alias("mixed"), number.alias("left"))
+    rows = rows.unionByName(above.withColumns({"key": F.lit(-1).cast("long"), "n": nothing}))
+    done = rows.repartition("at").sortWithinPartitions("at", "key").mapInArrow(_finish(depth), "key long, n long, log float")
+    return materialise(done, "run-logs")
+
+
+class RunLogs:
+    """Log10 probabilities of the frequent runs, the latest asked for in a table of fixed size."""
+
+    BITS = 20
+
+    def __init__(self, keys, logs):
+        self._keys, self._logs = keys, logs
+        self._known = np.full(1 << self.BITS, -1, np.int64)
+        self._log = np.zeros(1 << self.BITS, np.float32)
+
+    def _slots(self, wanted):
+        return (wanted.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The logs, not a number for runs that are not held."""
+        slots = self._slots(wanted)
+        logs = self._log[slots]
+        missing = np.flatnonzero(self._known[slots] != wanted)
+        if len(missing):
+            new, where = np.unique(wanted[missing], return_inverse=True)
+            found = np.full(len(new), np.nan, np.float32)
+            if len(self._keys):
+                at = np.minimum(np.searchsorted(self._keys, new), len(self._keys) - 1)
+                hit = self._keys[at] == new
+                found[hit] = self._logs[at[hit]]
+            logs[missing] = found[where]
+            slots = self._slots(new)
+            # of several runs of one slot the last one stays, in both tables
+            self._known[slots], self._log[slots] = new, found
+        return logs
+
+
+def _grouped(keys, owner):
+    """`owners, keys, times` of the distinct keys of each owner."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(keys)))
+    return owner[first], keys[first], times
+
+
+def frequent_runs(logs: DataFrame, max_runs=MAX_FREQUENT_RUNS):
+    """`(bytes learned, keys, logs)`; the runs are at most `max_runs`."""
+    total = logs.agg(F.sum("n")).first()[0] or 0
+    often = logs.where((F.col("n") > 0) & (F.col("n") * max_runs >= total)).select("key", "log").toArrow()
+    keys, values = often.column("key").to_numpy(), often.column("log").to_numpy()
+    order = np.argsort(keys)
+    return total, keys[order], values[order]
 
 
 def frequent_words(counts: DataFrame, max_words=MAX_FREQUENT_WORDS):
@@ -322,7 +570,7 @@ def frequent_words(counts: DataFrame, max_words=MAX_FREQUENT_WORDS):
 
 
 def _look_up(texts, keys, logs, ends):
-    """Per text: tokens, known ones and their sum; and its other words with counts.
+    """Per text: tokens, known ones and their sum; its other words, and whose they are.
 
     `ends`: known (0 or 1) and log10 of the count of the end token.
     """
@@ -334,30 +582,41 @@ def _look_up(texts, keys, logs, ends):
     known = keys[at] == hashed if len(keys) else np.zeros(len(hashed), bool)
     sums = np.bincount(owner[known], logs[at[known]] if len(keys) else None, len(words)) + ends[1]
     n_known = np.bincount(owner[known], minlength=len(words)) + ends[0]
-    rest, whose = hashed[~known], owner[~known]
-    order = np.lexsort((rest, whose))
-    rest, whose = rest[order], whose[order]
-    new = np.ones(len(rest), bool)
-    new[1:] = (rest[1:] != rest[:-1]) | (whose[1:] != whose[:-1])
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(rest)))
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(whose[first], minlength=len(words)))])
-    others = pa.ListArray.from_arrays(
-        pa.array(offsets.astype(np.int32)),
-        pa.StructArray.from_arrays([pa.array(rest[first]), pa.array(times)], ["key", "times"]),
-    )
-    return lengths + 1, n_known.astype(np.int64), sums, others
+    return lengths + 1, n_known.astype(np.int64), sums, (hashed[~known], owner[~known])
+
+
+def _look_up_runs(texts, known: RunLogs, depth):
+    """Per text the sum over its known runs; its other runs, and whose they are."""
+    data, places, lengths = stream(texts, depth)
+    keys = runs(data, places, depth)
+    logs = known.find(keys)
+    other = np.isnan(logs)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    sums = np.bincount(owner, np.where(other, 0, logs), len(texts))
+    return sums, (keys[other], owner[other])
 
 
+def _other_keys(size, by_kind):
+    """Lists of `kind, key, times`, one per text."""
+    found = [_grouped(*other) for other in by_kind.values()]
+    kinds = np.repeat(np.array(list(by_kind), np.int32), [len(owners) for owners, *_ in found])
+    owners, keys, times = [np.concatenate(c) for c in zip(*found)]
+    order = np.argsort(owners, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=size))])
+    columns = [pa.array(c[order]) for c in (kinds, keys, times)]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays(columns, _OTHERS.names))
+
+
+_OTHERS = T.StructType(
+    [T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("times", T.LongType())]
+)
 _SCORED = T.StructType(
     [
         T.StructField("n_tokens", T.LongType()),
         T.StructField("n_known", T.LongType()),
         T.StructField("base", T.DoubleType()),
         T.StructField("score", T.DoubleType()),
-        T.StructField(
-            "others", T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("times", T.LongType())]))
-        ),
+        T.StructField("others", T.ArrayType(_OTHERS)),
     ]
 )
 
@@ -367,44 +626,56 @@ def held_out(row_id, parts=5, part=1):
     return F.coalesce(F.crc32(F.col(row_id).cast("string")) % parts == part, F.lit(True))
 
 
-def score_texts(df: DataFrame, text="text", row_id="doc_id", max_contexts=MAX_CONTEXTS, max_words=MAX_FREQUENT_WORDS) -> DataFrame:
+def score_texts(
+    df: DataFrame, text="text", row_id="doc_id", max_runs=MAX_FREQUENT_RUNS, max_words=MAX_FREQUENT_WORDS, depth=LONGEST
+) -> DataFrame:
     """`row_id, held_out, n_tokens, n_known, train_tokens, base_score, score` of every row.
 
     Learns from the rows that are not held out. Null and empty texts are one token,
     their end, and are scored as such. Repeated rows are learned from and scored
     each. With nothing to learn from, every bit has probability 1/2. No rows: no
-    rows. Other columns are not read.
+    rows. Other columns are not read. `depth` is 4 to 6; `max_runs` and `max_words`
+    bound what a task holds and change no result.
     """
+    if not CUT < depth <= 6:
+        raise ValueError("contexts have 4 to 6 bytes")
     spark = df.sparkSession
-    learned = df.where(~held_out(row_id))
-    counts = corpus_counts(learned, text)
-    documents = learned.count()
+    counts = corpus_counts(df, text, ~held_out(row_id), depth)
+    documents = df.where(~held_out(row_id)).count()
     tokens, distinct, keys, n = frequent_words(counts, max_words)
     tokens, distinct = tokens + documents, distinct + (documents > 0)
     floor = math.log10(tokens + 0.5 * (distinct + 1))
-    model = spark.sparkContext.broadcast((train(counts, max_contexts), (keys, np.log10(n + 0.5))))
+    by_run = run_logs(counts, depth)
+    learned, *frequent = frequent_runs(by_run, max_runs)
+    model = spark.sparkContext.broadcast((frequent, (keys, np.log10(n + 0.5))))
     ends = (int(documents > 0), math.log10(documents + 0.5))
 
     @F.arrow_udf(returnType=_SCORED)
     def score(column: pa.Array) -> pa.Array:
-        (contexts_, codes), (often, logs) = model.value
-        rows, out = ContextRows(contexts_), []
+        often_runs, (often, logs) = model.value
+        known, out = RunLogs(*often_runs), []
         texts = as_bytes(column)
         for first, last in portions(texts):
             part = texts[first:last]
-            n_tokens, n_known, sums, others = _look_up(part, often, logs, ends)
-            scores = log10_probabilities(part, rows, codes)
-            arrays = [pa.array(n_tokens), pa.array(n_known), pa.array(sums), pa.array(scores), others]
+            n_tokens, n_known, sums, words = _look_up(part, often, logs, ends)
+            scores, others = _look_up_runs(part, known, depth)
+            lists = _other_keys(len(part), {_WORDS: words, _GRAMS: others})
+            arrays = [pa.array(n_tokens), pa.array(n_known), pa.array(sums), pa.array(scores), lists]
             out.append(pa.StructArray.from_arrays(arrays, _SCORED.names))
         return pa.concat_arrays(out) if out else pa.array([], pa.struct([(f, pa.null()) for f in _SCORED.names]))
 
     scored = df.select(F.col(row_id), score.asNondeterministic()(F.col(text).cast("string")).alias("s"))
     scored = materialise(scored.select(F.monotonically_increasing_id().alias("row"), row_id, "s.*"), "scored")
-    rare = counts.where((F.col("kind") == _WORDS) & (F.col("n") * max_words < tokens)).select("key", "n")
-    others = scored.select("row", F.inline("others")).join(rare, "key", "left")
+    rare = counts.where((F.col("kind") == _WORDS) & (F.col("n") * max_words < tokens))
+    rare = rare.select("kind", "key", "n", F.lit(None).cast("float").alias("log"))
+    rare_runs = by_run.where((F.col("n") == 0) | (F.col("n") * max_runs < learned))
+    rare = rare.unionByName(rare_runs.select(F.lit(_GRAMS).alias("kind"), "key", "n", "log"))
+    others = scored.select("row", F.inline("others")).join(rare, ["kind", "key"], "left")
+    is_word = F.col("kind") == _WORDS
     more = others.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(F.when(is_word, F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5))).alias("more"),
+        F.sum(F.when(is_word & F.col("n").isNotNull(), F.col("times"))).alias("more_known"),
+        F.sum(F.when(~is_word, F.col("times") * F.col("log").cast("double"))).alias("more_score"),
     )
     every = scored.drop("others").join(more, "row", "left")
     return every.select(
@@ -414,5 +685,5 @@ def score_texts(df: DataFrame, text="text", row_id="doc_id", max_contexts=MAX_CO
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

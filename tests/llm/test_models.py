@@ -120,6 +120,58 @@ def test_few_contexts_still_make_a_distribution(spark, folder):
         assert np.allclose((10.0 ** codes.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
 
 
+def code_lengths(df, depth):
+    """Scores by the recursion in plain Python, contexts shortest first."""
+    learned, held = {}, []
+    for doc_id, text in df.collect():
+        data = b"\xff" * depth + text.encode() + b"\xff"
+        runs_ = [(data[at - depth : at], data[at]) for at in range(depth, len(data))]
+        held.append((doc_id, runs_))
+        if zlib.crc32(str(doc_id).encode()) % 5 != 1:
+            for seen, symbol in runs_:
+                path = format(symbol, "08b")
+                for d in range(depth + 1):
+                    for k in range(8):
+                        node = learned.setdefault((seen[depth - d :], path[:k]), [0, 0, 0.0])
+                        node[int(path[k])] += 1
+    log_kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    stay = {}
+    for (seen, prefix), (zeros, ones, below) in sorted(learned.items(), key=lambda x: -len(x[0][0])):
+        below, own = learned[seen, prefix][2], log_kt(zeros, ones)
+        weighted = own if len(seen) == depth else float(np.logaddexp(own, below)) - math.log(2)
+        stay[seen, prefix] = math.exp(own - math.log(2) - weighted)
+        if seen:
+            learned[seen[1:], prefix][2] += weighted
+    found = {}
+    for doc_id, runs_ in held:
+        found[doc_id] = 0.0
+        for seen, symbol in runs_:
+            path = format(symbol, "08b")
+            for k in range(8):
+                mixed, left = 0.0, 1.0
+                for d in range(depth + 1):
+                    name = seen[depth - d :], path[:k]
+                    zeros, ones, _ = learned.get(name, (0, 0, 0.0))
+                    one = ((ones if path[k] == "1" else zeros) + 0.5) / (zeros + ones + 1)
+                    share = 1.0 if d == depth else stay.get(name, 0.5)
+                    mixed, left = mixed + left * share * one, left * (1 - share)
+                found[doc_id] += math.log10(mixed)
+    return found
+
+
+@pytest.mark.parametrize("depth, max_runs", [(5, 1 << 22), (5, 50), (4, 1), (6, 1000)])
+def test_rare_contexts_count_in_a_large_corpus(spark, folder, depth, max_runs):
+    """Above 65,536 bytes too, every context that occurs is a node."""
+    rows = spark.read.parquet(f"{folder}/documents.parquet").where("text is not null and length(text) > 0")
+    some = rows.orderBy("doc_id").limit(45).select("doc_id", "text")
+    wanted = code_lengths(some, depth)
+    assert sum(len(r["text"].encode()) for r in some.collect()) > 1 << 16
+    got = ctw.score_texts(some, max_runs=max_runs, depth=depth).collect()
+    assert len(got) == len(wanted) and any(r["held_out"] for r in got)
+    for r in got:
+        assert r["score"] == pytest.approx(wanted[r["doc_id"]], rel=1e-6)
+
+
 # quality
 
 
