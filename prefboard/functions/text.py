@@ -57,6 +57,21 @@ def two_turn_user(question: Column, answer_a: Column, answer_b: Column) -> Colum
     )
 
 
+def _conversation(messages: Column, side: str) -> Column:
+    """All messages of one side, laid out like those of the two-turn prompt."""
+    start = F.lit(f"<|The Start of Assistant {side}'s Conversation with User|>\n\n")
+
+    def said(so_far, m):
+        speaker = F.when(m["role"] == "user", "### User:\n").otherwise(f"### Assistant {side}:\n")
+        return F.concat(so_far, speaker, m["content"], F.lit("\n\n"))
+
+    return F.concat(F.aggregate(messages, start, said), F.lit(f"<|The End of Assistant {side}'s Conversation with User|>"))
+
+
+def many_turn_user(answer_a: Column, answer_b: Column) -> Column:
+    return F.concat(_conversation(answer_a, "A"), F.lit("\n\n\n"), _conversation(answer_b, "B"))
+
+
 def rubric_user(question: Column, answer_a: Column, answer_b: Column) -> Column:
     return fill(
         P.RUBRIC_USER,
@@ -67,32 +82,38 @@ def rubric_user(question: Column, answer_a: Column, answer_b: Column) -> Column:
     )
 
 
-def judge_prompts(answer_a: Column, answer_b: Column, modifier=None, src_lang=None, tgt_lang=None):
+def judge_prompts(answer_a: Column, answer_b: Column, modifier=None, src_lang=None, tgt_lang=None, all_turns=False):
     """System and user prompt columns for one prompt family.
 
     Both answers are message lists; system messages are no part of the question or
     the answers. The question is the first other message. Lists of more than two
-    other messages get the two-turn texts. The rubric family has no
+    other messages get the two-turn texts, which show the first four; with
+    `all_turns` lists of more than four get texts that show them all. The rubric family has no
     two-turn form: such rows fail the job. The prefix family has no system
     prompt; its instruction stands in front of the user prompt.
     """
     answer_a, answer_b = without_system(answer_a), without_system(answer_b)
     question = content(answer_a, 0)
     two_turns = F.size(answer_a) > 2
+    many_turns = (F.size(answer_a) > 4) if all_turns else F.lit(False)
     if modifier == "prometheus":
         user = F.when(
             two_turns, F.raise_error(F.lit("the rubric prompts do not support several turns"))
         ).otherwise(rubric_user(question, answer_a, answer_b))
         return _system(P.RUBRIC_SYSTEM, P.RUBRIC_SYSTEM_LANG, src_lang, tgt_lang), user
-    user = F.when(two_turns, two_turn_user(question, answer_a, answer_b)).otherwise(
-        single_turn_user(question, answer_a, answer_b)
+    user = (
+        F.when(many_turns, many_turn_user(answer_a, answer_b))
+        .when(two_turns, two_turn_user(question, answer_a, answer_b))
+        .otherwise(single_turn_user(question, answer_a, answer_b))
     )
     if modifier == "gemini":
         prefix = _system(P.PREFIX_INSTRUCTION, P.PREFIX_INSTRUCTION_LANG, src_lang, tgt_lang)
         return F.lit(None).cast("string"), F.concat(prefix, user)
-    system = F.when(
-        two_turns, _system(P.TWO_TURN_SYSTEM, P.TWO_TURN_SYSTEM_LANG, src_lang, tgt_lang)
-    ).otherwise(_system(P.JUDGE_SYSTEM, P.JUDGE_SYSTEM_LANG, src_lang, tgt_lang))
+    system = (
+        F.when(many_turns, _system(P.MANY_TURN_SYSTEM, P.MANY_TURN_SYSTEM_LANG, src_lang, tgt_lang))
+        .when(two_turns, _system(P.TWO_TURN_SYSTEM, P.TWO_TURN_SYSTEM_LANG, src_lang, tgt_lang))
+        .otherwise(_system(P.JUDGE_SYSTEM, P.JUDGE_SYSTEM_LANG, src_lang, tgt_lang))
+    )
     return system, user
 
 

@@ -74,15 +74,16 @@ def judge_column(judge, system: Column, user: Column) -> Column:
     return ask.asNondeterministic()(system, user)
 
 
-def with_prompts(df: DataFrame, modifier=None, src_lang=None, tgt_lang=None) -> DataFrame:
+def with_prompts(df: DataFrame, modifier=None, src_lang=None, tgt_lang=None, all_turns=False) -> DataFrame:
     """Adds `system_prompt` and `user_prompt` for the shuffled answers."""
-    system, user = text.judge_prompts(F.col("answer_a"), F.col("answer_b"), modifier, src_lang, tgt_lang)
+    system, user = text.judge_prompts(F.col("answer_a"), F.col("answer_b"), modifier, src_lang, tgt_lang, all_turns)
     return df.withColumns({"system_prompt": system, "user_prompt": user})
 
 
 def judge_pairs(
-    df: DataFrame, judges, modifier=None, src_lang=None, tgt_lang=None, seed=0, max_turns=None, keys=("language", "id")
-) -> DataFrame:
+    df: DataFrame, judges, modifier=None, src_lang=None, tgt_lang=None, seed=0, max_turns=None, keys=("language", "id"),
+    all_turns=False,
+) -> DataFrame:
     """Results of an ensemble of judges on dialogue pairs.
 
     `judges` is one judge or an odd number of them. Every judge adds one column,
@@ -90,12 +91,13 @@ def judge_pairs(
     `result` and `status`: `judged`; `too_long` for dialogues of more than
     `max_turns` messages, where that is given; `no_prompt` for dialogues that do
     not fill the prompt (of one message or three). Only judged rows are asked; the
-    others have neither votes nor a result.
+    others have neither votes nor a result. Dialogues of more than four messages are
+    shown whole with `all_turns`, and otherwise by their first four.
     """
     judges = list(judges) if isinstance(judges, (list, tuple)) else [judges]
     if len(judges) % 2 == 0:
         raise ValueError("an ensemble needs an odd number of judges")
-    prompted = with_prompts(shuffle_positions(df, seed, keys), modifier, src_lang, tgt_lang)
+    prompted = with_prompts(shuffle_positions(df, seed, keys), modifier, src_lang, tgt_lang, all_turns)
     too_long = F.size("text_chosen") > max_turns if max_turns else F.lit(False)
     status = F.when(too_long, "too_long").when(F.col("user_prompt").isNull(), "no_prompt").otherwise("judged")
     prompted = prompted.withColumn("status", status)

@@ -18,7 +18,7 @@ INSTANCE_COLUMNS = ["model", "model_type", "language", "subset", "id", "position
 
 def run_judges(
     pairs: DataFrame, judges: dict, folder, dataset, name_languages=False, answer_language="English", seed=0, tasks=None, sample=None,
-    max_turns=None,
+    max_turns=None, all_turns=False,
 ) -> DataFrame:
     """Judges all pairs with one judge or an odd ensemble and stores the run.
 
@@ -26,7 +26,8 @@ def run_judges(
     the name of a single judge; an ensemble uses the default prompts.
     `name_languages` puts the language of the question and the `answer_language`
     into the prompts. `sample` takes the first rows of every language. Dialogues of
-    more than `max_turns` messages are not judged, where that is given.
+    more than `max_turns` messages are not judged, where that is given. With
+    `all_turns` the prompt shows every message; without it the first four.
 
     Returns all rows with their `status`; only judged ones are stored and counted.
     """
@@ -38,7 +39,7 @@ def run_judges(
     if name_languages:
         languages = (F.coalesce(naming.language_name(F.col("language")), F.col("language")), F.lit(answer_language))
     judged = judging.judge_pairs(
-        spread(shape.dialogues(chosen), tasks), list(judges.values()), family, *languages, seed, max_turns
+        spread(shape.dialogues(chosen), tasks), list(judges.values()), family, *languages, seed, max_turns, all_turns=all_turns
     )
     named = judged.withColumns(
         {

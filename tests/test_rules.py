@@ -170,6 +170,26 @@ def test_rows_that_are_not_judged_say_so(spark):
     assert every.count() == 0
 
 
+@pytest.mark.parametrize("modifier", [None, "gemini", "gemma"])
+def test_long_dialogues_are_judged_on_all_turns(spark, modifier):
+    messages = "array<struct<role:string,content:string>>"
+    rows = [(n, "eng_Latn", turns(n - 1), "x" * (n % 2 + 1), "yy" if n % 2 == 0 else "y") for n in (2, 4, 5, 6, 9)]
+    rows.append((11, "eng_Latn", [*turns(4), ("user", None)], "x", "yy"))
+    pairs = spark.createDataFrame(rows, f"id long, language string, prompt {messages}, chosen string, rejected string")
+    by_length = judging.length_judge()
+
+    def judge(systems, users):
+        for u, s in zip(users, systems):
+            if "m5" in u or u.count("### User") > 4:
+                assert all(u.count(f"\nm{i}\n") == 2 for i in range(5)) and (s is None or "the last user question" in s)
+        return by_length(systems, users)
+
+    d = shape.dialogues(pairs)
+    found = {r.id: r for r in judging.judge_pairs(d, judge, modifier, all_turns=True).collect()}
+    assert {i: r.result for i, r in found.items()} == {2: 0.0, 4: 0.0, 5: 1.0, 6: 0.0, 9: 1.0, 11: None}
+    assert found[11].status == "no_prompt"
+
+
 def test_even_ensembles_are_refused(spark):
     with pytest.raises(ValueError, match="odd"):
         judging.judge_pairs(shape.dialogues(pair_frame(spark)), [judging.length_judge()] * 2)
