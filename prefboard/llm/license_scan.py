@@ -8,9 +8,14 @@ a word within their prefixes (prefix filter), if the block has enough words of t
 templates (length filter), and if enough words are left behind the shared ones
 (positional filter); then the overlap is counted on the full sets.
 
+With `windows`, templates that are not exact are looked for without regard to lines:
+in every run of half as many words again as the template has. So a notice may be
+wrapped anywhere, and words scattered over a long line are none.
+
 Templates are a parameter of fixed size and go to every task; texts do not move.
 """
 
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -141,6 +146,8 @@ class Index:
         order = sorted(vocabulary, key=lambda w: (frequencies.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(order)}
         self.sets = [sorted({self.rank[w] for w in ws}) for ws in self.words]
+        #: Words of a window in which a template is looked for.
+        self.reach = [len(ws) + (len(ws) + 1) // 2 for ws in self.words]
         self.needed = [_at_least(t.threshold, len(s)) for t, s in zip(self.templates, self.sets)]
         self.postings = {}
         for number, (ranks, needed) in enumerate(zip(self.sets, self.needed)):
@@ -166,16 +173,49 @@ class Index:
                     refused.add(number)
         return passed
 
-    def matches(self, text: bytes):
+    def _windows(self, words):
+        """`(template, first word, shared)` of the windows that begin with a word of the
+        template and have enough of them: of those that overlap, the first of the best."""
+        places = [(at, self.rank[w]) for at, w in enumerate(words) if w in self.rank]
+        for number in sorted(self._candidates(sorted({r for _, r in places}))):
+            if self.templates[number].exact:
+                continue
+            own, reach, needed = set(self.sets[number]), self.reach[number], self.needed[number]
+            events = [(at, r) for at, r in places if r in own]
+            have, behind, best, last = Counter(), 0, None, None
+            for at, rank in events:
+                while behind < len(events) and events[behind][0] < at + reach:
+                    have[events[behind][1]] += 1
+                    behind += 1
+                if len(have) >= needed:
+                    if best and at >= last + reach:
+                        yield number, *best
+                        best = None
+                    if best is None or len(have) > best[1]:
+                        best = at, len(have)
+                    last = at
+                have[rank] -= 1
+                if not have[rank]:
+                    del have[rank]
+            if best:
+                yield number, *best
+
+    def matches(self, text: bytes, windows=False):
         """`(number of words, [match])` of one text, in order of place."""
         words = alnum_words(text)
         if self.first_words.isdisjoint(words):
             return len(words), []
         found = []
-        for block, first, line, extended in blocks_of(text, self.tail):
+        blocks = list(blocks_of(text, self.tail))
+        if windows:
+            firsts = [first for _, first, _, _ in blocks]
+            for number, at, shared in self._windows(words):
+                block = blocks[bisect_right(firsts, at) - 1][0]
+                found.append((self.templates[number].label, False, block, at, shared / len(self.sets[number])))
+        for block, first, line, extended in blocks:
             if self.first_words.isdisjoint(extended):
                 continue
-            for exact, part in ((True, extended), (False, line)):
+            for exact, part in ((True, extended),) if windows else ((True, extended), (False, line)):
                 ranks = sorted({self.rank[w] for w in part if w in self.rank})
                 have = set(ranks)
                 for number in sorted(self._candidates(ranks)):
@@ -198,10 +238,11 @@ def _at_least(threshold, size):
     return max(1, -(-round(threshold * 10**6) * size // 10**6))
 
 
-def find_licenses(df: DataFrame, templates=PHRASES + NOTICES, text="text", into="licenses") -> DataFrame:
+def find_licenses(df: DataFrame, templates=PHRASES + NOTICES, text="text", into="licenses", windows=False) -> DataFrame:
     """`df` with `n_words` and `matches (label, base, block, start, containment)`.
 
-    Every block that meets a template's threshold is a match; `base` marks those
+    Every block that meets a template's threshold is a match (with `windows`, the best
+    of overlapping word windows, and `block` is the line it begins in); `base` marks those
     whose words stand consecutively, one match for each place. Null and empty
     texts have 0 words and no match. All other columns stay; one named like `into`
     is replaced. Two passes over the texts, nothing is shuffled but the counts.
@@ -212,7 +253,7 @@ def find_licenses(df: DataFrame, templates=PHRASES + NOTICES, text="text", into=
     def scan(column: pa.Array) -> pa.Array:
         rows = []
         for value in as_bytes(column):
-            count, found = index.matches(value)
+            count, found = index.matches(value, windows)
             matches = [dict(zip(MATCH.names, m)) for m in found]
             rows.append({"n_words": count, "matches": matches})
         return pa.array(rows, _ARROW_FOUND)

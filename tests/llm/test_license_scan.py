@@ -46,6 +46,57 @@ def test_filters_lose_nothing(seed):
         assert (count, sorted(found)) == plainly(" ".join(words), templates)
 
 
+def windows_plainly(text, templates):
+    """Every window that begins with a word of a template, no filter."""
+    words, found = alnum_words(text.encode()), []
+    for t in templates:
+        wanted = alnum_words(t.text.encode())
+        size, groups = len(wanted) + (len(wanted) + 1) // 2, []
+        for i, w in enumerate(words):
+            share = len(set(wanted) & set(words[i : i + size])) / len(set(wanted))
+            if w in wanted and share + 1e-9 >= t.threshold:
+                if not groups or i >= groups[-1][-1][0] + size:
+                    groups.append([])
+                groups[-1].append((i, share))
+        found += [(t.label, *max(g, key=lambda m: (m[1], -m[0]))) for g in groups]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_windows_lose_nothing(seed):
+    random.seed(seed)
+    vocabulary = [f"w{i}" for i in range(9)]
+    templates = [
+        Template(f"t{k}", " ".join(random.choices(vocabulary, k=random.randint(1, 8))), random.choice([0.5, 0.7, 0.8, 1.0]))
+        for k in range(5)
+    ]
+    index = Index(templates, {w.encode(): random.randint(0, 9) for w in vocabulary})
+    for _ in range(10):
+        text = " ".join(random.choices([*vocabulary, "other", "more", "é", "-", "\n"], k=random.randint(0, 90)))
+        found = index.matches(text.encode(), windows=True)[1]
+        assert sorted((m[0], m[3], m[4]) for m in found) == windows_plainly(text, templates)
+        lines = [n for n, line in enumerate(text.split("\n")) for _ in alnum_words(line.encode())]
+        assert all(m[2] == lines[m[3]] for m in found)
+
+
+def test_wrapped_notices_and_scattered_words(spark):
+    filler = lambda n: " ".join(["filler"] * n)
+    texts, wanted = [], {}
+    for t in NOTICES:
+        words = t.text.split()
+        for width in (1, 3, len(words) // 2):
+            lines = [" * " + " ".join(words[i : i + width]) for i in range(0, len(words), width)]
+            wanted[len(texts)] = t.label
+            texts.append(filler(20) + "\n" + "\n".join(lines) + "\n" + filler(20))
+    for t in NOTICES:
+        wanted[len(texts)] = None
+        texts.append(f" {filler(1000)} ".join(t.text.split()))
+    df = license_scan.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), NOTICES, windows=True)
+    for r in df.collect():
+        found = {m["label"] for m in r["licenses"]["matches"]}
+        assert wanted[r["doc_id"]] in found if wanted[r["doc_id"]] else not found
+
+
 def test_phrases_over_lines_and_signs(spark):
     rows = [
         (1, "All Rights\nReserved. ALL-RIGHTS/reserved cc\n\n by; xcc by cc byx"),
