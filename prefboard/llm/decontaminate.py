@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefboard.llm.texts import alnum_words, as_bytes
+from prefboard.llm.texts import alnum_places, alnum_words, as_bytes
 
 WINDOW = 13
 MAX_WORDS_PER_AUTOMATON = 1_000_000
@@ -243,3 +243,40 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, share=20, window=WIND
     """Rows whose hit words stay below the coverage limit, unchanged."""
     marked = find_overlaps(df, benchmark, into="__overlap", window=window)
     return marked.where(~is_contaminated(F.col("__overlap"), share)).drop("__overlap")
+
+
+def remove_spans(df: DataFrame, benchmark: DataFrame, longest=WINDOW - 1, share=20, window=WINDOW, text="text") -> DataFrame:
+    """All rows, without the hit spans beyond the limits.
+
+    A span of more than `longest` words goes, and every span goes where the hit words
+    reach the coverage limit, one word in `share`. A span is cut from the start of its
+    first word to the end of its last; what stands around it stays. Texts without such
+    spans, null and empty ones stay as they are. When there is an `n_chars` column, it
+    is set anew for changed texts.
+    """
+
+    @F.arrow_udf(returnType=T.StringType())
+    def cut(column: pa.Array, overlaps: pa.Array) -> pa.Array:
+        out = []
+        for value, overlap in zip(column.cast(pa.binary()).to_pylist(), overlaps.to_pylist()):
+            spans = overlap["spans"]
+            hit = sum(end - start for start, end in spans)
+            if hit * share < overlap["n_words"]:
+                spans = [s for s in spans if s[1] - s[0] > longest]
+            if value and spans:
+                places, parts, at = alnum_places(value), [], 0
+                for start, end in spans:
+                    parts.append(value[at : places[start][0]])
+                    at = places[end - 1][1]
+                value = b"".join(parts) + value[at:]
+            out.append(value)
+        return pa.array(out, pa.binary()).cast(pa.string())
+
+    names = df.columns
+    found = find_overlaps(df, benchmark, text, "__overlap", window)
+    cleaned = found.withColumn("__cleaned", cut.asNondeterministic()(F.col(text).cast("string"), F.col("__overlap")))
+    if "n_chars" in names:
+        kept = F.col("__cleaned").eqNullSafe(F.col(text))
+        count = F.char_length("__cleaned").cast(df.schema["n_chars"].dataType)
+        cleaned = cleaned.withColumn("n_chars", F.when(kept, F.col("n_chars")).otherwise(count))
+    return cleaned.withColumn(text, F.col("__cleaned")).select(*[F.col(f"`{n}`") for n in names])

@@ -4,6 +4,8 @@ All word rules of these operators are ASCII rules, so they hold byte by byte in
 UTF-8: a byte of 0x80 and above always belongs to a code point outside ASCII.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -14,6 +16,7 @@ _WORD = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(0x80, 0x100))
 _ALNUM = bytes(b if b in _WORD else 0x20 for b in _LOWERED)
 #: The same, with line feeds kept.
 _ALNUM_LINES = _ALNUM[:10] + b"\n" + _ALNUM[11:]
+_RUN = re.compile(rb"[^ ]+")
 
 
 def as_bytes(column: pa.Array) -> list:
@@ -31,6 +34,11 @@ def alnum_words(text: bytes) -> list:
     return text.translate(_ALNUM).split()
 
 
+def alnum_places(text: bytes) -> list:
+    """`(first byte, last + 1)` of each of `alnum_words`."""
+    return [m.span() for m in _RUN.finditer(text.translate(_ALNUM))]
+
+
 def alnum_text(text: bytes) -> bytes:
     """The text with words as in `alnum_words`; spaces and line feeds between them."""
     return text.translate(_ALNUM_LINES)

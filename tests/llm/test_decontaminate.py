@@ -64,3 +64,29 @@ def test_contaminated_rows_go(spark, benchmark):
     rows = [(1, item), (2, item + " clean" * 1000), (3, "clean"), (4, None)]
     kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
     assert {r["doc_id"] for r in kept.collect()} == {2, 3, 4} and kept.columns == ["doc_id", "text"]
+
+
+def test_spans_beyond_the_limits_are_cut(spark, odd, none, clashing):
+    long, short = " ".join(f"q{i}" for i in range(40)), "short item"
+    benchmark = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    clean = " ".join(f"c{i}" for i in range(2000))
+    texts = {
+        1: (f"é {long.upper()}, ü " + clean, "é , ü " + clean),
+        2: (f"{clean}\n({short}) {clean}", f"{clean}\n({short}) {clean}"),
+        3: (f"a (Short, Item) b {short}", "a () b "),
+        4: (f"{clean} {' '.join(long.split()[5:20])}! and {short} ", f"{clean} ! and {short} "),
+        5: (long, ""),
+        6: ("", ""),
+        7: (None, None),
+        8: (f"{clean} {' '.join(long.split()[:12])}", f"{clean} {' '.join(long.split()[:12])}"),
+    }
+    rows = [(i, t, "en", "a", -1) for i, (t, _) in texts.items()]
+    df = spark.createDataFrame(rows, odd.schema)
+    got = {r["doc_id"]: r for r in decontaminate.remove_spans(df, benchmark).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {i: after for i, (_, after) in texts.items()}
+    assert all(r["n_chars"] == (-1 if texts[i][0] == texts[i][1] else len(r["text"])) for i, r in got.items())
+    patient = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(df, benchmark, longest=40).collect()}
+    assert patient[1] == texts[1][0] and patient[5] == ""
+    assert decontaminate.remove_spans(clashing, benchmark).columns == clashing.columns
+    assert decontaminate.remove_spans(clashing, benchmark).select(*odd.columns).exceptAll(odd).count() == 0
+    assert decontaminate.remove_spans(none, benchmark).count() == 0
