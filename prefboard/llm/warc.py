@@ -67,7 +67,7 @@ _ARROW = {
 }
 _PAYLOAD_COLUMNS = {"payload_length", "payload_sha1", "payload"}
 _HEADER_OF = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri"}
-_MANIFEST = "_committed.json"
+_MANIFEST = "_committed"
 PARTITION_BYTES = 32 << 20
 FILE_BYTES = 32 << 20
 
@@ -247,16 +247,24 @@ def _passes(test, value):
     return not isinstance(test, StringStartsWith) or value.startswith(test.value)
 
 
+def _manifests(system, top):
+    """Lists of committed files, one of each commit to a folder."""
+    inside = system.get_file_info(fs.FileSelector(top))
+    return sorted(x.path for x in inside if x.base_name.startswith(_MANIFEST) and x.base_name.endswith(".json"))
+
+
 def _files(uri):
     """`(path, bytes)` of a folder's committed files, or of all archives below it."""
     system, top = fs.FileSystem.from_uri(uri)
     info = system.get_file_info(top)
     if info.type == fs.FileType.File:
         return [(top, info.size)]
-    manifest = f"{top}/{_MANIFEST}"
-    if system.get_file_info(manifest).type == fs.FileType.File:
-        with system.open_input_stream(manifest) as f:
-            return [(f"{top}/{name}", size) for name, size in json.loads(f.read())]
+    if manifests := _manifests(system, top):
+        found = []
+        for manifest in manifests:
+            with system.open_input_stream(manifest) as f:
+                found += [(f"{top}/{name}", size) for name, size in json.loads(f.read())]
+        return found
     found = system.get_file_info(fs.FileSelector(top, recursive=True))
     return [(x.path, x.size) for x in found if x.path.endswith((".warc", ".warc.gz"))]
 
@@ -287,11 +295,13 @@ def record_bytes(headers, http, payload) -> bytes:
 class WarcWriter(DataSourceArrowWriter):
     """Rows `record_type, headers, http_headers, payload` as records.
 
-    Headers are lists of pairs `(k, v)`; http headers may be null. Each task writes files under new names; only what is committed is listed in
-    the folder's manifest, so what a lost or repeated task wrote is never read.
+    Headers are lists of pairs `(k, v)`; http headers may be null. Each task writes files under new names; only what is committed is listed in a
+    manifest, so what a lost or repeated task wrote is never read. Every commit adds a
+    manifest to the folder's; one that overwrites removes the earlier ones.
     """
 
-    def __init__(self, options):
+    def __init__(self, options, overwrite=False):
+        self._overwrite = overwrite
         self._path = options["path"]
         self._gzip = options.get("compress", "false") == "true"
         self._bytes = int(options.get("filebytes", FILE_BYTES))
@@ -321,8 +331,11 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         system, top = fs.FileSystem.from_uri(self._path)
         system.create_dir(top, recursive=True)
-        with system.open_output_stream(f"{top}/{_MANIFEST}") as f:
+        earlier = _manifests(system, top) if self._overwrite else []
+        with system.open_output_stream(f"{top}/{_MANIFEST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([file for m in messages if m for file in m.files]).encode())
+        for manifest in earlier:
+            system.delete_file(manifest)
 
     def abort(self, messages):
         system, top = fs.FileSystem.from_uri(self._path)
@@ -345,7 +358,7 @@ class WarcDataSource(DataSource):
         return (PushingWarcReader if options.get("pushdown") == "true" else WarcReader)(schema, options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter({k.lower(): v for k, v in self.options.items()})
+        return WarcWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def register(spark: SparkSession):

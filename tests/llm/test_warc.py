@@ -92,3 +92,16 @@ def test_plans_partitions_of_even_bytes(tmp_path):
     assert [len(p.paths) for p in reader.partitions()] == [2, 2, 1]
     (tmp_path / "_committed.json").write_text('[["3.warc", 1040]]')
     assert [len(p.paths) for p in reader.partitions()] == [1]
+
+
+def test_every_append_to_a_folder_is_read(spark, pages, tmp_path):
+    path = warc.write_pages(pages, path=f"file:{tmp_path}/pages")
+    for times in (2, 3):
+        warc.write_pages(pages, path=path)
+        assert warc.read_warc(spark, path).count() == times * pages.count()
+    warc.write_pages(pages.limit(0), path=path)
+    assert warc.read_warc(spark, path).count() == 3 * pages.count()
+    (tmp_path / "pages" / "part-lost.warc").write_bytes(b"half a rec")
+    assert warc.read_warc(spark, path).count() == 3 * pages.count()
+    warc.page_records(pages).write.format("warc").mode("overwrite").save(path)
+    assert warc.read_warc(spark, path).count() == pages.count()
