@@ -7,7 +7,8 @@ item, when that is shorter) makes its words hit.
 
 Items are grouped into automata of a bounded number of words. Each automaton is
 sent to the tasks once; with more than one, documents pass through them in turn
-within the same task, so texts never move.
+within the same task, so texts never move. A worker keeps `KEPT` automata; with more
+groups the documents are written behind every so many, so that none is built twice.
 """
 
 import uuid
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefboard.llm.texts import alnum_places, alnum_words, as_bytes
+from prefboard.session import materialise
 
 WINDOW = 13
 MAX_WORDS_PER_AUTOMATON = 1_000_000
+KEPT = 4
 
 OVERLAP = T.StructType(
     [
@@ -186,12 +189,14 @@ def find_overlaps(
 
     Null and empty texts have no words. Without items nothing is hit. Repeated
     items count once per id. All other columns stay; one named like `into` is
-    replaced. Row-wise, no shuffle.
+    replaced. Row-wise, no shuffle; more than `KEPT` groups of items need passes.
     """
     spark = df.sparkSession
     out, started = df.withColumn(into, F.lit(None).cast(OVERLAP)), False
-    for group in chain(item_groups(benchmark, text=text, max_words=max_words), [None]):
+    for number, group in enumerate(chain(item_groups(benchmark, text=text, max_words=max_words), [None])):
         if group is not None or not started:
+            if number and number % KEPT == 0:
+                out = materialise(out, "overlaps")
             scan = _scanner(spark.sparkContext.broadcast(group or []), window)
             out = out.withColumn(into, scan(F.col(text).cast("string"), F.col(into)))
             started = True
@@ -205,7 +210,7 @@ _built = OrderedDict()
 def _automaton(key, items, window):
     if key not in _built:
         _built[key] = SuffixAutomaton(items.value, window)
-        if len(_built) > 4:
+        if len(_built) > KEPT:
             _built.popitem(last=False)
     return _built[key]
 

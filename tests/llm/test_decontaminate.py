@@ -90,3 +90,13 @@ def test_spans_beyond_the_limits_are_cut(spark, odd, none, clashing):
     assert decontaminate.remove_spans(clashing, benchmark).columns == clashing.columns
     assert decontaminate.remove_spans(clashing, benchmark).select(*odd.columns).exceptAll(odd).count() == 0
     assert decontaminate.remove_spans(none, benchmark).count() == 0
+
+
+def test_many_groups_go_in_passes(spark, odd, benchmark):
+    """No task holds more automata than a worker keeps."""
+    whole = decontaminate.find_overlaps(odd, benchmark)
+    parts = decontaminate.find_overlaps(odd, benchmark, max_words=15)
+    assert len(list(decontaminate.item_groups(benchmark, max_words=15))) > decontaminate.KEPT
+    assert 0 < parts._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= decontaminate.KEPT
+    overlap = lambda df: sorted(map(str, df.select("doc_id", "overlap").collect()))
+    assert overlap(whole) == overlap(parts)
