@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefboard.llm import ctw, decontaminate, license_scan, metric_join, minhash, oracles, packing, quality, secret_scan, sharding, spelling, warc
+from prefboard.llm import chunk_bpe, ctw, decontaminate, license_scan, metric_join, minhash, oracles, packing, quality, secret_scan, sharding, spelling, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -133,3 +133,17 @@ def op2_warc(spark, folder):
 def op12_spelling_variants(spark, folder):
     """Frequent words of all documents with their more frequent spelling."""
     return spelling.spelling_variants(spelling.count_words(_table(spark, folder, "documents")))
+
+
+@query("op11_chunk_bpe")
+def op11_chunk_bpe(spark, folder):
+    """Token ids of every whole text and the text decoded from them, as counts and digests."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    encoded = chunk_bpe.encode_texts(_table(spark, folder, "documents").select("doc_id", "text"), tokenizer)
+    decoded = chunk_bpe.decode_ids(encoded, tokenizer)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
