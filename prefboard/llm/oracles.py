@@ -194,3 +194,37 @@ chain(word, root, step) as (
 ),
 ends as (select word, arg_max(root, step) as root from chain group by word)
 select word, form, root, n, n_near, form_n from told join ends using (word)"""
+
+
+COLLOCATIONS = f"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex({_lowered('text')}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents
+),
+split as materialized (
+  select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') as w from pieces
+),
+totals as (select lang, sum(len(w))::bigint as n from split group by lang),
+grams as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) as p
+  from split, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k
+),
+f as materialized (select lang, k, p, count(*) as f from grams group by all having count(*) >= 30),
+cuts as (select lang, k, p, f as a, unnest(range(1, k)) as c from f where k >= 2),
+scored as (
+  select x.*, y.f as l, z.f as r, (2000000::hugeint * a) // (y.f + z.f) as score
+  from cuts x join f y on y.lang = x.lang and y.p = x.p[:c] join f z on z.lang = x.lang and z.p = x.p[c + 1:]
+),
+worst as (
+  select lang, k, p, a, arg_min(l, (score, c)) as l, arg_min(r, (score, c)) as r, min(score) as score from scored group by lang, k, p, a
+),
+inner_parts as (
+  select lang, f, unnest([p[x[1]:x[1] + x[2] - 1] for x in [[1, 2], [2, 2], [3, 2], [1, 3], [2, 3]] if x[1] + x[2] - 1 <= k and x[2] < k]) as p
+  from f where k >= 3
+),
+held as (select lang, p, max(f) as f from inner_parts group by lang, p),
+kept as (
+  select w.*, array_to_string(w.p, ' ') as phrase from worst w left join held h on h.lang = w.lang and h.p = w.p
+  where h.f is null or 100::hugeint * h.f < 80::hugeint * a
+),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join totals using (lang) where rank <= 2000"""

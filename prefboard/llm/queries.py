@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefboard.llm import chunk_bpe, ctw, decontaminate, license_scan, metric_join, minhash, oracles, packing, quality, secret_scan, sharding, spelling, warc
+from prefboard.llm import chunk_bpe, collocations, ctw, decontaminate, license_scan, metric_join, minhash, oracles, packing, quality, secret_scan, sharding, spelling, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -147,3 +147,9 @@ def op11_chunk_bpe(spark, folder):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op13_phrase_collocations", oracles.COLLOCATIONS)
+def op13_phrase_collocations(spark, folder):
+    """The 2,000 best phrases of every language."""
+    return collocations.collocations(_table(spark, folder, "documents"))
