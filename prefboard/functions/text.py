@@ -82,14 +82,14 @@ def rubric_user(question: Column, answer_a: Column, answer_b: Column) -> Column:
     )
 
 
-def judge_prompts(answer_a: Column, answer_b: Column, modifier=None, src_lang=None, tgt_lang=None, all_turns=False):
+def judge_prompts(answer_a: Column, answer_b: Column, modifier=None, src_lang=None, tgt_lang=None, all_turns=True):
     """System and user prompt columns for one prompt family.
 
     Both answers are message lists; system messages are no part of the question or
     the answers. The question is the first other message. Lists of more than two
-    other messages get the two-turn texts, which show the first four; with
-    `all_turns` lists of more than four get texts that show them all. The rubric family has no
-    two-turn form: such rows fail the job. The prefix family has no system
+    other messages get the two-turn texts, which show four; lists of more than four get
+    texts that show them all, or their first four without `all_turns`. The rubric
+    family has no two-turn form: such rows fail the job. The prefix family has no system
     prompt; its instruction stands in front of the user prompt.
     """
     answer_a, answer_b = without_system(answer_a), without_system(answer_b)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from prefboard.functions import text
 from prefboard.functions.hashing import coin
+from prefboard.operators.answers import prompt_key
 
 VERDICTS = ("A", "B", "error")
 
@@ -74,29 +75,21 @@ def judge_column(judge, system: Column, user: Column) -> Column:
     return ask.asNondeterministic()(system, user)
 
 
-def with_prompts(df: DataFrame, modifier=None, src_lang=None, tgt_lang=None, all_turns=False) -> DataFrame:
+def with_prompts(df: DataFrame, modifier=None, src_lang=None, tgt_lang=None, all_turns=True) -> DataFrame:
     """Adds `system_prompt` and `user_prompt` for the shuffled answers."""
     system, user = text.judge_prompts(F.col("answer_a"), F.col("answer_b"), modifier, src_lang, tgt_lang, all_turns)
     return df.withColumns({"system_prompt": system, "user_prompt": user})
 
 
-def judge_pairs(
-    df: DataFrame, judges, modifier=None, src_lang=None, tgt_lang=None, seed=0, max_turns=None, keys=("language", "id"),
-    all_turns=False,
+def asked_pairs(
+    df: DataFrame, modifier=None, src_lang=None, tgt_lang=None, seed=0, max_turns=None, keys=("language", "id"), all_turns=True
 ) -> DataFrame:
-    """Results of an ensemble of judges on dialogue pairs.
+    """Dialogue pairs with shuffled answers, `status`, `system_prompt` and the `user_prompt` to ask.
 
-    `judges` is one judge or an odd number of them. Every judge adds one column,
-    so the vote needs neither a join nor a shuffle. Adds `votes`, `winner`,
-    `result` and `status`: `judged`; `too_long` for dialogues of more than
-    `max_turns` messages, where that is given; `no_prompt` for dialogues that do
-    not fill the prompt (of one message or three). Only judged rows are asked; the
-    others have neither votes nor a result. Dialogues of more than four messages are
-    shown whole with `all_turns`, and otherwise by their first four.
+    `status` is `judged`; `too_long` for dialogues of more than `max_turns` messages,
+    where that is given; `no_prompt` for dialogues that do not fill the prompt (of one
+    message or three). Only judged rows have a user prompt.
     """
-    judges = list(judges) if isinstance(judges, (list, tuple)) else [judges]
-    if len(judges) % 2 == 0:
-        raise ValueError("an ensemble needs an odd number of judges")
     prompted = with_prompts(shuffle_positions(df, seed, keys), modifier, src_lang, tgt_lang, all_turns)
     too_long = F.size("text_chosen") > max_turns if max_turns else F.lit(False)
     status = F.when(too_long, "too_long").when(F.col("user_prompt").isNull(), "no_prompt").otherwise("judged")
@@ -105,17 +98,59 @@ def judge_pairs(
         # this family has no system role: its text goes in front of the question
         merged = F.concat("system_prompt", F.lit("\n\n"), "user_prompt")
         prompted = prompted.withColumns({"user_prompt": merged, "system_prompt": F.lit(None).cast("string")})
-    asked = F.when(F.col("status") == "judged", F.col("user_prompt"))
-    answers = [judge_column(j, F.col("system_prompt"), asked) for j in judges]
-    judged = prompted.withColumns({f"judgment_{i}": a for i, a in enumerate(answers)})
-    votes = F.array(*[text.parse_verdict(F.col(f"judgment_{i}"), modifier) for i in range(len(judges))])
+    return prompted.withColumn("user_prompt", F.when(F.col("status") == "judged", F.col("user_prompt")))
+
+
+def voted_pairs(answered: DataFrame, n_judges: int, modifier=None) -> DataFrame:
+    """Asked pairs with `judgment_0` and so on as `votes`, `winner` and `result`; prompts are left out."""
+    votes = F.array(*[text.parse_verdict(F.col(f"judgment_{i}"), modifier) for i in range(n_judges)])
     votes = F.when(F.col("status") == "judged", votes)
-    voted = judged.withColumn("votes", votes).withColumn("winner", F.when(votes.isNotNull(), majority(F.col("votes"))))
+    voted = answered.withColumn("votes", votes).withColumn("winner", F.when(votes.isNotNull(), majority(F.col("votes"))))
     result = F.when(F.col("winner").isNotNull(), verdict_result(F.col("winner"), F.col("is_shuffled")))
     helpers = ["answer_a", "answer_b", "system_prompt", "user_prompt"]
     return voted.withColumn("result", result).drop(*helpers)
 
 
+def require_odd(judges) -> None:
+    if len(judges) % 2 == 0:
+        raise ValueError("an ensemble needs an odd number of judges")
+
+
+def judge_pairs(
+    df: DataFrame, judges, modifier=None, src_lang=None, tgt_lang=None, seed=0, max_turns=None, keys=("language", "id"),
+    all_turns=True,
+) -> DataFrame:
+    """Results of an ensemble of judges on dialogue pairs.
+
+    `judges` is one judge or an odd number of them. Every judge adds one column,
+    so the vote needs neither a join nor a shuffle. Adds `votes`, `winner`,
+    `result` and the `status` of `asked_pairs`. Only judged rows are asked; the
+    others have neither votes nor a result. Dialogues are shown whole; without
+    `all_turns` those of more than four messages by their first four.
+    """
+    judges = list(judges) if isinstance(judges, (list, tuple)) else [judges]
+    require_odd(judges)
+    asked = asked_pairs(df, modifier, src_lang, tgt_lang, seed, max_turns, keys, all_turns)
+    answers = [judge_column(j, F.col("system_prompt"), F.col("user_prompt")) for j in judges]
+    return voted_pairs(asked.withColumns({f"judgment_{i}": a for i, a in enumerate(answers)}), len(judges), modifier)
+
+
+def judge_pairs_from(
+    df: DataFrame, judges: dict, store, modifier=None, src_lang=None, tgt_lang=None, seed=0, max_turns=None,
+    keys=("language", "id"), all_turns=True, parts=1, tasks=None,
+) -> DataFrame:
+    """`judge_pairs` with answers from a store (`answers.AnswerStore`), which is filled first.
+
+    `judges` maps names to judges. What the store lacks is asked in `parts` parts, each
+    of which stays answered if the run stops behind it.
+    """
+    require_odd(judges)
+    asked = asked_pairs(df, modifier, src_lang, tgt_lang, seed, max_turns, keys, all_turns)
+    keyed = asked.withColumn("prompt_key", prompt_key(F.col("system_prompt"), F.col("user_prompt")))
+    store.ask(keyed.select(F.col("prompt_key").alias("key"), "system_prompt", "user_prompt"), judges, parts, tasks)
+    return voted_pairs(store.attach(keyed, list(judges)), len(judges), modifier).drop("prompt_key")
+
+
 def length_judge(margin=0):
     """A rule-based judge for tests: the side longer by more than `margin` wins.
 

@@ -17,9 +17,8 @@ from prefboard.functions import text
 from prefboard.functions.hashing import part
 from prefboard.operators.sampling import random_subset
 from prefboard.operators.shape import is_code, require_columns
-from prefboard.session import fresh_path, materialise, spread
-from prefboard.sources.readers import has_files
-from prefboard.sources.writers import append_translated
+from prefboard.session import fresh_path, spread
+from prefboard.sources.batches import Batches, has_files
 
 SEGMENTERS = {
     "lines": (text.lines, text.join_lines),
@@ -99,44 +98,34 @@ def translate_columns(
     return merged.drop(*[f"_new_{c}" for c in columns]).withColumn("target_language", F.lit(target_language))
 
 
-class Ledger:
-    """Which ids a translation job has written, as Parquet next to its output.
+class Output:
+    """Translated rows of a job, as batches, and the ids of every batch beside them.
 
-    A batch of ids is entered before its rows are written and closed behind them.
-    Only if a job ended in between are the ids looked up in the output itself.
+    Files of rows and ids are written first and the batch is closed behind both. What a
+    stopped job wrote of an open batch is no part of the output: it is neither read nor
+    searched for ids, and its rows are translated again.
     """
 
-    def __init__(self, spark, path, fmt, id_type):
-        self._spark, self._output, self._fmt = spark, path, fmt
-        base = str(path).rstrip("/")
-        self._ids, self._closed = f"{base}.ledger/ids", f"{base}.ledger/closed"
+    def __init__(self, spark, path, fmt="json", id_type="long"):
+        self._spark = spark
+        self._rows, self._ids = Batches(spark, path, fmt), Batches(spark, f"{str(path).rstrip('/')}.ids")
         self._id_type = id_type
 
-    def _read(self, path, schema):
-        if has_files(self._spark, path):
-            return self._spark.read.schema(schema).parquet(path)
-        return self._spark.createDataFrame([], schema)
-
     def done(self) -> DataFrame:
-        """`id, target_language` of all rows written so far."""
-        entered = self._read(self._ids, f"id {self._id_type}, target_language string, batch string")
-        closed = self._read(self._closed, "batch string")
-        finished = entered.join(closed, "batch", "left_semi").select("id", "target_language")
-        open_batches = entered.join(closed, "batch", "left_anti")
-        known = has_files(self._spark, self._ids)
-        if not has_files(self._spark, self._output) or (known and open_batches.isEmpty()):
-            return finished
-        written = self._spark.read.format(self._fmt).schema(f"id {self._id_type}, target_language string")
-        return written.load(self._output).select("id", "target_language")
-
-    def enter(self, rows: DataFrame, target_language: str) -> str:
+        """`id, target_language` of all rows of closed batches."""
+        return self._ids.read(f"id {self._id_type}, target_language string", self._rows.closed())
+
+    def add(self, translated: DataFrame, ids: DataFrame) -> None:
+        """Adds the rows of one batch, whose ids (`id, target_language`) are `ids`."""
         batch = uuid.uuid4().hex
-        ids = rows.select("id", F.lit(target_language).alias("target_language"), F.lit(batch).alias("batch"))
-        ids.write.mode("append").parquet(self._ids)
-        return batch
+        self._ids.store(ids, batch)
+        keys = ["target_language", "subset"]
+        self._rows.store(translated.hint("rebalance", *[F.col(k) for k in keys]), batch, keys)
+        self._rows.close(batch)
 
-    def close(self, batch: str) -> None:
-        self._spark.createDataFrame([(batch,)], "batch string").write.mode("append").parquet(self._closed)
+    def read(self, schema) -> DataFrame:
+        """Rows of all closed batches."""
+        return self._rows.read(schema)
 
 
 def run_translation(
@@ -145,14 +134,14 @@ def run_translation(
     """Translates what `path` lacks and appends it; a stopped job can be run again.
 
     What is to do is found and written once, in `parts` even parts by a hash of the
-    id; every part is then read from its own folder and committed on its own, so a
-    job that ends early loses one part at most. Ids done are kept in a ledger next
-    to the output. `size` translates a random subset only, the same in every run.
+    id; every part is then read from its own folder and is a batch of the output, so a
+    job that ends early loses one part at most. `read_translation` reads the output.
+    `size` translates a random subset only, the same in every run.
     """
     spark = pairs.sparkSession
-    ledger = Ledger(spark, path, fmt, pairs.schema["id"].dataType.simpleString())
+    output = Output(spark, path, fmt, pairs.schema["id"].dataType.simpleString())
     todo = random_subset(pairs, size, groups=(), keys=("id",)) if size else pairs
-    todo = untranslated(todo, materialise(ledger.done(), "translated-ids"), target_language)
+    todo = untranslated(todo, output.done(), target_language)
     stored = fresh_path(spark, "to-translate")
     numbered = todo.withColumn("_part", part("part", 0, parts, "id").cast("int"))
     numbered.hint("rebalance", F.col("_part")).write.partitionBy("_part").parquet(stored)
@@ -161,10 +150,13 @@ def run_translation(
         if not has_files(spark, folder):
             continue
         rows = spark.read.schema(todo.schema).parquet(folder)
-        batch = ledger.enter(rows, target_language)
         translated = translate_columns(spread(rows, tasks), columns, translate, target_language, **options)
-        append_translated(translated, path, fmt)
-        ledger.close(batch)
+        output.add(translated, rows.select("id", F.lit(target_language).alias("target_language")))
+
+
+def read_translation(spark, path, schema, fmt="json") -> DataFrame:
+    """Rows that `run_translation` has written to `path`, without those of parts in work."""
+    return Output(spark, path, fmt).read(schema)
 
 
 def translate_bilingual(pairs: DataFrame, translate, target_language: str, batch_size=32) -> DataFrame:

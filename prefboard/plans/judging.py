@@ -9,6 +9,7 @@ from prefboard.functions import prompt_texts as P
 from prefboard.functions import text
 from prefboard.functions.hashing import coin
 from prefboard.operators import judging, rewards, shape
+from prefboard.operators.answers import AnswerStore
 from prefboard.plans.registry import query, r6
 from prefboard.plans.views import quote
 from prefboard.session import fresh_path
@@ -62,13 +63,23 @@ _TWO_TURN_USER = _sql_fill(
 )
 
 
+def _sql_conversation(messages, side):
+    said = f"case when m[1] = 'user' then '### User:' else '### Assistant {side}:' end || chr(10) || m[2] || chr(10) || chr(10)"
+    return f"""'<|The Start of Assistant {side}''s Conversation with User|>' || chr(10) || chr(10)
+ || array_to_string(list_transform(list_zip(speakers, {messages}), lambda m: {said}), '')
+ || '<|The End of Assistant {side}''s Conversation with User|>'"""
+
+
+_MANY_TURN_USER = f"{_sql_conversation('a', 'A')} || chr(10) || chr(10) || chr(10) || {_sql_conversation('b', 'B')}"
+
+
 @query(
     "judge_prompt_multi",
     "multi_turn",
     f"""select id, n_messages,
- case when len(a) > 2 then {quote(P.TWO_TURN_SYSTEM)} else {quote(P.JUDGE_SYSTEM)} end as system_prompt,
- case when len(a) > 2 then {_TWO_TURN_USER} else {_sql_fill(P.JUDGE_USER, question="a[1]", answer_a="a[2]", answer_b="b[2]")} end as user_prompt
-from (select id, n_messages, talk as a, list_append(talk[1:-2], '[alt] ' || talk[-1]) as b from multi_turn)""",
+ case when len(a) > 4 then {quote(P.MANY_TURN_SYSTEM)} when len(a) > 2 then {quote(P.TWO_TURN_SYSTEM)} else {quote(P.JUDGE_SYSTEM)} end as system_prompt,
+ case when len(a) > 4 then {_MANY_TURN_USER} when len(a) > 2 then {_TWO_TURN_USER} else {_sql_fill(P.JUDGE_USER, question="a[1]", answer_a="a[2]", answer_b="b[2]")} end as user_prompt
+from (select id, n_messages, speakers, talk as a, list_append(talk[1:-2], '[alt] ' || talk[-1]) as b from multi_turn)""",
 )
 def judge_prompt_multi(spark, folder):
     d = shape.dialogues(derived.multi_turn_pairs(spark, folder))
@@ -235,24 +246,52 @@ def judge_pairs(spark, folder):
     return judged.select("id", "language", "is_shuffled", "winner", "result")
 
 
+def _multi_turn_pairs(spark, folder):
+    return derived.multi_turn_pairs(spark, folder).withColumns(
+        {"language": F.lit("eng_Latn"), "subset": F.lit("alpacaeval-easy"), "position": F.col("id")}
+    )
+
+
+def _count_answers(store, name):
+    return store.known().groupBy(F.lit("eng_Latn").alias("language")).agg(F.count(F.lit(1)).alias(name))
+
+
+@query(
+    "resume_judging",
+    "multi_turn",
+    """select 'eng_Latn' as language, count(*) as num_total, sum(0.0) as num_correct,
+ count(distinct prompt) filter (n_messages <= 4) as asked_first, count(distinct prompt) as asked
+from (select n_messages, case when substring(md5('shuffle:3:eng_Latn:' || id), 1, 1) < '8' then [alt, talk] else [talk, alt] end as prompt
+ from (select *, list_append(talk[1:-2], '[alt] ' || talk[-1]) as alt from multi_turn))""",
+)
+def resume_judging(spark, folder):
+    """A run that has stopped behind the dialogues of up to four messages and is run again.
+
+    `asked` counts the answers stored, one for each different prompt, whichever run asked.
+    """
+    store, judge = AnswerStore(spark, fresh_path(spark, "answers")), {"org/by-length": judging.length_judge()}
+    pairs = shape.dialogues(_multi_turn_pairs(spark, folder))
+    judging.judge_pairs_from(pairs, judge, store, seed=3, max_turns=4)
+    first = _count_answers(store, "asked_first")
+    judged = judging.judge_pairs_from(pairs, judge, store, seed=3, parts=3)
+    scores = judged.groupBy("language").agg(F.count("result").alias("num_total"), F.sum("result").alias("num_correct"))
+    return scores.join(first, "language").join(_count_answers(store, "asked"), "language")
+
+
 @query(
     "run_judges",
     "multi_turn",
     """select 'eng_Latn' as language, count(*) filter (n_messages <= 6) as num_total,
- sum(case when len(talk) > 4 then 0.5 else 0.0 end) filter (n_messages <= 6) as num_correct,
- round(avg(case when len(talk) > 4 then 0.5 else 0.0 end) filter (n_messages <= 6), 6) as accuracy,
+ sum(0.0) filter (n_messages <= 6) as num_correct, avg(0.0) filter (n_messages <= 6) as accuracy,
  count(*) filter (n_messages > 6) as not_judged from multi_turn""",
 )
 def run_judges(spark, folder):
     """A whole judging run over dialogues of one or several turns, from stored documents.
 
-    The sample judge prefers the longer last answer, here always the rejected one;
-    where the prompt does not show the last answer both are equal: half a point.
+    The sample judge prefers the longer conversation, here always the rejected one.
     """
     path = fresh_path(spark, "judged")
-    pairs = derived.multi_turn_pairs(spark, folder).withColumns(
-        {"language": F.lit("eng_Latn"), "subset": F.lit("alpacaeval-easy"), "position": F.col("id")}
-    )
+    pairs = _multi_turn_pairs(spark, folder)
     rows = runs.run_judges(pairs, {"org/by-length": judging.length_judge()}, path, "dialogues", max_turns=6)
     documents = readers.read_result_documents(spark, f"{path}/documents")
     left_out = rows.where("status <> 'judged'").groupBy("language").agg(F.count(F.lit(1)).alias("not_judged"))

@@ -193,7 +193,7 @@ def model_modifier(spark, folder):
 @query(
     "drop_missing",
     "annotations",
-    "select id, human_preference, notes from annotations where human_preference is not null",
+    "select id, language, human_preference, notes from annotations where human_preference is not null",
 )
 def drop_missing(spark, folder):
     return shape.drop_missing(derived.annotations(spark, folder), ["human_preference"])

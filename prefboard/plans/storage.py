@@ -147,8 +147,7 @@ def sink_append(spark, folder):
     first = pairs.join(derived.done(spark, folder).select("id"), "id", "left_semi")
     translate.run_translation(first, path, columns, translate.dictionary_translator, "deu_Latn")
     translate.run_translation(pairs, path, columns, translate.dictionary_translator, "deu_Latn", parts=2)
-    schema = pairs.schema.add("target_language", "string")
-    return spark.read.schema(schema).json(path)
+    return translate.read_translation(spark, path, pairs.schema.add("target_language", "string"))
 
 
 @query(

@@ -81,7 +81,7 @@ select doc_id as id, names[doc_id % {len(derived.RUN_MODELS)} + 1] as model,
 from (select doc_id, {_RUN_MODELS} as names from documents)""",
     "multi_turn": """
 select conv_id as id, count(*) as n_messages, list(role order by turn) as roles, list(text order by turn) as texts,
- list(text order by turn) filter (role <> 'system') as talk
+ list(text order by turn) filter (role <> 'system') as talk, list(role order by turn) filter (role <> 'system') as speakers
 from conversations group by conv_id having arg_max(role, turn) = 'assistant'""",
     # leaderboard steps
     "subset_acc": """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from prefboard.functions import fixed
 from prefboard.operators import annotate, judging, leaderboard, naming, results, rewards, sampling, shape
+from prefboard.operators.answers import AnswerStore, open_run
 from prefboard.session import materialise, spread
 from prefboard.sources import readers, writers
 
@@ -18,7 +19,7 @@ INSTANCE_COLUMNS = ["model", "model_type", "language", "subset", "id", "position
 
 def run_judges(
     pairs: DataFrame, judges: dict, folder, dataset, name_languages=False, answer_language="English", seed=0, tasks=None, sample=None,
-    max_turns=None, all_turns=False,
+    max_turns=None, all_turns=True, answers=None, parts=8,
 ) -> DataFrame:
     """Judges all pairs with one judge or an odd ensemble and stores the run.
 
@@ -26,8 +27,13 @@ def run_judges(
     the name of a single judge; an ensemble uses the default prompts.
     `name_languages` puts the language of the question and the `answer_language`
     into the prompts. `sample` takes the first rows of every language. Dialogues of
-    more than `max_turns` messages are not judged, where that is given. With
-    `all_turns` the prompt shows every message; without it the first four.
+    more than `max_turns` messages are not judged, where that is given. The
+    prompt shows every message; without `all_turns` the first four.
+
+    Answers are stored in `parts` parts while the run goes on: a stopped run that is
+    started again asks only what is missing, and equal prompts are asked once. A repeated
+    run asks anew. With `answers`, a folder shared by several runs, none of them asks
+    what another had answered.
 
     Returns all rows with their `status`; only judged ones are stored and counted.
     """
@@ -38,8 +44,13 @@ def run_judges(
     languages = (None, None)
     if name_languages:
         languages = (F.coalesce(naming.language_name(F.col("language")), F.col("language")), F.lit(answer_language))
-    judged = judging.judge_pairs(
-        spread(shape.dialogues(chosen), tasks), list(judges.values()), family, *languages, seed, max_turns, all_turns=all_turns
+    spark = pairs.sparkSession
+    if answers:
+        store, finish = AnswerStore(spark, answers), None
+    else:
+        store, finish = open_run(spark, f"{folder}/answers/{'+'.join(n.replace('/', '___') for n in names)}-{dataset}")
+    judged = judging.judge_pairs_from(
+        shape.dialogues(chosen), judges, store, family, *languages, seed, max_turns, all_turns=all_turns, parts=parts, tasks=tasks
     )
     named = judged.withColumns(
         {
@@ -47,9 +58,11 @@ def run_judges(
             "model_type": F.lit("Generative RM PoLL" if len(names) > 1 else "Generative RM"),
         }
     )
-    # the calls are paid for once; everything below reads the written rows
+    # everything below reads the written rows
     rows = materialise(named.select(*INSTANCE_COLUMNS, "votes", "is_shuffled", "status"), "judged")
     _store(rows.where(F.col("status") == "judged").drop("status"), folder, dataset)
+    if finish:
+        finish()
     return rows
 
 

@@ -3,7 +3,6 @@
 Schemas are given, never inferred, so no reader scans its input twice.
 """
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,14 +92,3 @@ def read_rewards(spark: SparkSession, path, schema=schemas.REWARD) -> DataFrame:
 def read_instances(spark: SparkSession, path, schema=schemas.INSTANCE_RESULT, fmt="json") -> DataFrame:
     """Per-instance rows written by `writers.write_instances` or `replace_instances`."""
     return spark.read.schema(schema).format(fmt).load(path)
-
-
-def has_files(spark: SparkSession, path) -> bool:
-    """Whether `path` exists; Spark looks that up when a frame over it is made."""
-    try:
-        spark.read.format("binaryFile").load(str(path))
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True

@@ -22,11 +22,6 @@ def write_translated(df: DataFrame, path, mode="errorifexists", fmt="json") -> N
     df.hint("rebalance", *keys).write.mode(mode).partitionBy("target_language", "subset").format(fmt).save(path)
 
 
-def append_translated(df: DataFrame, path, fmt="json") -> None:
-    """Adds newly translated pairs; files written before are not touched."""
-    write_translated(df, path, "append", fmt)
-
-
 def write_result_documents(documents: DataFrame, path) -> None:
     """One JSON document per model and language; a repeated run replaces its own.
 

@@ -23,6 +23,7 @@ from prefboard.operators import (
     shape,
     translate,
 )
+from prefboard.sources import batches
 
 CODES = ["eng_Latn", "deu_Latn", "fra_Latn"]
 
@@ -592,12 +593,22 @@ def test_a_job_that_broke_off_behind_its_output_adds_nothing_twice(spark, tmp_pa
     pairs, path = pair_frame(spark), str(tmp_path / "out")
     arguments = (pairs, path, ["prompt"], translate.dictionary_translator, "deu_Latn")
     with monkeypatch.context() as m:
-        m.setattr(translate.Ledger, "close", lambda self, batch: 1 / 0)
+        m.setattr(batches.Batches, "close", lambda self, batch: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             translate.run_translation(*arguments, parts=3)
-    assert 0 < spark.read.json(path).count() < 40
+    assert 0 < spark.read.json(path).count() < 40  # files of an open batch
+    assert translate.read_translation(spark, path, "id long").count() == 0
     translate.run_translation(*arguments, parts=3)
-    assert spark.read.json(path).count() == spark.read.json(path).select("id").distinct().count() == 40
+    written = translate.read_translation(spark, path, "id long, target_language string, prompt string")
+    assert written.count() == written.select("id").distinct().count() == 40
+
+
+def test_what_is_done_is_not_looked_up_in_the_output(spark, tmp_path):
+    pairs, path = pair_frame(spark), str(tmp_path / "out")
+    translate.run_translation(pairs, path, ["prompt"], translate.dictionary_translator, "deu_Latn", parts=2)
+    plan = translate.Output(spark, path).done()._jdf.queryExecution().optimizedPlan().toString()
+    assert "json" not in plan and plan.count("Relation") == 1
+    assert set(translate.Output(spark, path).done().inputFiles()).isdisjoint(spark.read.json(path).inputFiles())
 
 
 def test_parts_are_read_from_their_own_folders(spark, tmp_path, monkeypatch):
