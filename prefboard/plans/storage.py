@@ -31,7 +31,7 @@ _KEY_COLUMNS = ["id", "language", "subset", "completion_a", "completion_b", "sco
 def scan_csv(spark, folder):
     path = fresh_path(spark, "answer-key")
     writers.write_csv_table(agreement.answer_key(spark, folder).select(*_KEY_COLUMNS), path)
-    return readers.read_csv_table(spark, path, schemas.ANSWER_KEY, multi_line=True)
+    return readers.read_csv_table(spark, path, schemas.ANSWER_KEY, line_breaks=True)
 
 
 @query("scan_rewards", "rewards", "select id, chosen, rejected from rewards")
@@ -167,19 +167,13 @@ def sink_instances(spark, folder):
 @query(
     "scan_label_matrix",
     "judgements",
-    "select model, 'deu_Latn' as language, instance_id::varchar as instance_id, label from judgements where language = 'deu_Latn'",
+    "select model, language, instance_id::varchar as instance_id, label from judgements",
 )
 def scan_label_matrix(spark, folder):
-    """A models x instances file of labels as other tools write it, one line per model."""
+    """Models x instances files of labels of every language, with few lines of any length."""
     path = fresh_path(spark, "labels")
-    labels = derived.judgements(spark, folder).where(F.col("language") == "deu_Latn")
-    cells = F.array_sort(F.collect_list(F.struct("instance_id", "label")))
-    rows = labels.groupBy("model").agg(cells.alias("cells"))
-    text = lambda field: F.array_join(F.transform("cells", lambda c: c[field].cast("string")), ",")
-    header = rows.orderBy("model").limit(1).select(F.concat(F.lit("model,"), text("instance_id")))
-    lines = rows.select(F.concat("model", F.lit(","), text("label")))
-    header.union(lines).coalesce(1).write.text(path)
-    return readers.read_label_matrix(spark, path, "deu_Latn")
+    writers.write_label_matrix(derived.judgements(spark, folder).select("model", "language", "instance_id", "label"), path)
+    return readers.read_label_matrix(spark, path)
 
 
 @query(

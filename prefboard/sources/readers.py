@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefboard import schemas
+from prefboard.sources import blocks
 
 
 def read_pairs(spark: SparkSession, path, language=None, split="filtered", fmt="parquet", schema=schemas.PAIR):
@@ -43,44 +44,41 @@ def parse_documents(texts: DataFrame, column="document") -> DataFrame:
     return texts.select("language", F.from_json(column, schemas.DOCUMENT).alias("d")).select("language", "d.*")
 
 
-def read_csv_table(spark: SparkSession, path, schema, multi_line=False) -> DataFrame:
-    """CSV files with header; quoted cells may contain quotes.
+def read_csv_table(spark: SparkSession, path, schema, line_breaks=False) -> DataFrame:
+    """CSV files with header; quoted cells may contain quotes, and with `line_breaks` line breaks.
 
-    With `multi_line` they may contain line breaks too; such files cannot be split,
-    so that each is read by one task.
+    Either way many tasks read one file.
     """
+    if line_breaks:
+        return blocks.read_csv_records(spark, path, schema)
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
     )
 
 
-def read_label_matrix(spark: SparkSession, path, language: str) -> DataFrame:
-    """A models x instances label file as long `model, language, instance_id, label`.
+def read_label_matrix(spark: SparkSession, path, language=None) -> DataFrame:
+    """Models x instances label files as long `model, language, instance_id, label`.
 
-    Lines are read as text and cut into cells, which are matched with the header's
-    by position, so a file may have any number of instances. Cells are names and
-    numbers without quotes or commas; an empty cell has no label. Every file brings
-    its own header; a row must have as many cells as that.
+    The first line of every file names its instances; a line may be of any length and is
+    read by many tasks. Cells are names and numbers without quotes or commas; an empty
+    cell has no label. A row may not have more cells than the first line. Without a
+    `language`, the folder `language=<code>` of a file tells it.
     """
-    rows = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.split(F.rtrim(F.col("value")), ",").alias("cells")
-    )
-    rows = rows.where(F.size("cells") > 1)
-    first = F.col("cells")[0] == "model"
-    headers = rows.where(first).select("file", F.posexplode("cells").alias("place", "instance_id"))
-    cells = rows.where(~first).select("file", F.col("cells")[0].alias("model"), F.posexplode("cells").alias("place", "label"))
-    long = cells.where("place > 0").join(headers.where("place > 0"), ["file", "place"], "left")
+    cells = blocks.read_cells(spark, path)
+    header = cells.where("line = 0 and place > 0").select("file_id", "place", F.col("value").alias("instance_id"))
+    names = cells.where("line > 0 and place = 0 and value <> ''").select("file_id", "line", F.col("value").alias("model"))
+    labels = cells.where("line > 0 and place > 0").join(header, ["file_id", "place"], "left").join(names, ["file_id", "line"])
     unnamed = F.raise_error(F.concat(F.lit("more cells than the header has in "), F.col("file")))
-    return long.select(
+    told = F.regexp_extract("file", "/language=([^/]+)/", 1)
+    return labels.select(
         "model",
-        F.lit(language).alias("language"),
+        (F.lit(language) if language else F.when(told != "", told)).alias("language"),
         F.coalesce("instance_id", unnamed).alias("instance_id"),
-        F.when(F.col("label") != "", F.col("label")).cast("double").cast("int").alias("label"),
+        F.when(F.col("value") != "", F.col("value")).cast("double").cast("int").alias("label"),
     )
 
 

@@ -1,6 +1,7 @@
 """Writers. Every writer is a distributed append or overwrite of row files."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prefboard.operators.naming import result_key
@@ -76,3 +77,46 @@ def write_csv_table(df: DataFrame, path, mode="errorifexists", partition_by=())
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
+
+
+def write_label_matrix(labels: DataFrame, path, cells_per_file=10_000_000) -> None:
+    """Labels (`model, language, instance_id, label`) as models x instances files.
+
+    A file, below `language=<code>/chunk=<number>`, has about `cells_per_file` cells: some
+    of the language's instances, for all models. Its first line names them; an instance
+    without a label of a model is an empty cell. Cells are rows that are sorted and written
+    with a comma behind each, so no line is put together in memory; the comma behind the
+    last line is a line without a name. Models and instances must be free of commas,
+    quotes and line breaks; at most one label of a model and an instance is expected.
+    """
+    named = F.concat_ws("", "model", F.col("instance_id").cast("string")).rlike('[,"\\r\\n]')
+    known = labels.select(
+        "language",
+        F.when(named, F.raise_error(F.lit("a name with a comma, quote or line break"))).otherwise(F.col("model")).alias("model"),
+        F.col("instance_id").cast("string").alias("instance_id"),
+        F.col("label").cast("string").alias("label"),
+    )
+    sizes = known.groupBy("language").agg(F.ceil(F.count(F.lit(1)) / cells_per_file).cast("int").alias("chunks"))
+    known = known.join(sizes, "language").withColumn("chunk", F.pmod(F.xxhash64("instance_id"), F.col("chunks")).cast("int")).drop("chunks")
+    keys = ["language", "chunk"]
+    of_file = W.partitionBy(*keys)
+    places = known.select(*keys, "instance_id").distinct().withColumns(
+        {"place": F.row_number().over(of_file.orderBy("instance_id")), "n": F.count(F.lit(1)).over(of_file)}
+    )
+    models = known.select(*keys, "model").distinct().withColumns(
+        {"line": F.row_number().over(of_file.orderBy("model")), "next": F.lead("model").over(of_file.orderBy("model"))}
+    )
+    in_line = W.partitionBy(*keys, "model").orderBy("place")
+    cells = known.join(places, [*keys, "instance_id"]).join(models, [*keys, "model"])
+    cells = cells.withColumns({"before": F.lag("place", 1, 0).over(in_line), "last": F.lead("place").over(in_line).isNull()})
+    commas = lambda n: F.expr(f"repeat(',', {n})")
+    behind = F.concat(commas("n - place"), F.lit("\n"), F.coalesce("next", F.lit("")))
+    value = F.concat(commas("place - before - 1"), F.coalesce("label", F.lit("")), F.when(F.col("last"), behind).otherwise(F.lit("")))
+    rows = cells.select(*keys, "line", "place", value.alias("value"))
+    first = models.where("line = 1").select(*keys, F.col("model").alias("first"))
+    ends = F.when(F.col("place") == F.col("n"), F.concat(F.lit("\n"), "first")).otherwise(F.lit(""))
+    header = places.join(first, keys).select(*keys, F.lit(0).alias("line"), "place", F.concat("instance_id", ends).alias("value"))
+    corner = first.select(*keys, F.lit(0).alias("line"), F.lit(0).alias("place"), F.lit("model").alias("value"))
+    every = rows.unionByName(header).unionByName(corner)
+    ordered = every.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "line", "place")
+    ordered.select(*keys, "value").write.partitionBy(*keys).option("lineSep", ",").text(path)

@@ -1,0 +1,135 @@
+"""Files that are read in ranges: CSV with line breaks in cells, and very long lines."""
+
+import csv
+import io
+import random
+
+import pytest
+
+from prefboard.sources import blocks, readers, writers
+
+
+@pytest.fixture
+def ranges(spark):
+    """Sets the size of a range for the time of a test."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+
+    def set_to(size):
+        spark.conf.set(names[0], str(size))
+        spark.conf.set(names[1], "1")
+
+    yield set_to
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def table(draw, n):
+    parts = ["x", '"', "\n", ",", " é", "漢", "\r\n", "long " * 30]
+    cell = lambda k: "".join(draw.choice(parts) for _ in range(draw.randrange(k)))
+    return [[str(i), cell(12), draw.choice(["", "z", '\n\n"', "q,", cell(60)])] for i in range(n)]
+
+
+def as_csv(rows, ends, quoting):
+    out = io.StringIO()
+    csv.writer(out, lineterminator=ends, quoting=quoting).writerows([["id", "a", "b\nof the header"], *rows])
+    return out.getvalue()
+
+
+SCHEMA = "id long, a string, b string"
+
+
+@pytest.mark.parametrize("size", [40, 700, 1 << 27])
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_csv_in_ranges(spark, tmp_path, ranges, size, ends):
+    draw, wanted = random.Random(size), []
+    for number in range(2):
+        rows = table(draw, 12 if size == 40 else 120)
+        text = as_csv(rows, ends, [csv.QUOTE_MINIMAL, csv.QUOTE_ALL][number])
+        text = text if number else text.removesuffix(ends)
+        (tmp_path / f"{number}.csv").write_bytes(text.encode())
+        wanted += [(int(i), a or None, b or None) for i, a, b in rows]
+    ranges(size)
+    lines = blocks.pieces(spark, str(tmp_path), "\n")
+    assert (lines.select("block").distinct().count() > 10) == (size < 1000)
+    found = [tuple(r) for r in readers.read_csv_table(spark, str(tmp_path), SCHEMA, line_breaks=True).collect()]
+    key = lambda r: [str(c) for c in r]
+    assert sorted(found, key=key) == sorted(wanted, key=key)
+
+
+def test_same_rows_as_read_whole(spark, tmp_path, ranges):
+    (tmp_path / "a.csv").write_bytes(as_csv(table(random.Random(9), 150), "\n", csv.QUOTE_MINIMAL).encode())
+    whole = spark.read.schema(SCHEMA).options(header=True, multiLine=True, quote='"', escape='"').csv(str(tmp_path))
+    ranges(500)
+    found = readers.read_csv_table(spark, str(tmp_path), SCHEMA, line_breaks=True)
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_a_cell_over_several_ranges_and_empty_files(spark, tmp_path, ranges):
+    long = "line\n" * 400
+    (tmp_path / "a.csv").write_text(f'id,a\n1,"{long}"\n\n2,"y"\n3,"{long}"')
+    (tmp_path / "b.csv").write_text("")
+    (tmp_path / "c.csv").write_text("id,a\n")
+    ranges(100)
+    found = readers.read_csv_table(spark, str(tmp_path), "id long, a string", line_breaks=True).collect()
+    assert sorted(tuple(r) for r in found) == [(1, long), (2, "y"), (3, long)]
+
+
+def test_batches_within_a_range(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = table(random.Random(1), 60)
+        (tmp_path / "a.csv").write_bytes(as_csv(rows, "\n", csv.QUOTE_MINIMAL).encode())
+        found = readers.read_csv_table(spark, str(tmp_path), SCHEMA, line_breaks=True).collect()
+        assert sorted((r.id, r.a or "", r.b or "") for r in found) == sorted((int(i), a, b) for i, a, b in rows)
+        (tmp_path / "m").mkdir()
+        (tmp_path / "m" / "l.csv").write_text("model,a,b,c\nx,1,2,3\ny,,5,\n")
+        cells = {(r.line, r.place): r.value for r in blocks.read_cells(spark, str(tmp_path / "m")).collect()}
+        assert cells[2, 0] == "y" and cells[2, 2] == "5" and cells[1, 3] == "3" and cells[3, 0] == "" and len(cells) == 13
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+@pytest.mark.parametrize("size", [16, 333, 1 << 27])
+def test_places_of_cells(spark, tmp_path, ranges, size):
+    draw, wanted = random.Random(size), set()
+    for number, ends in enumerate(("\n", "\r\n")):
+        lines = [[draw.choice(["", "a", "bcd", "12345678"]) for _ in range(draw.choice([1, 2, 30]))] for _ in range(9)]
+        (tmp_path / f"{number}.csv").write_bytes((ends.join(map(",".join, lines)) + ends).encode())
+        wanted |= {(f"{number}.csv", i, j, c) for i, cells in enumerate([*lines, [""]]) for j, c in enumerate(cells)}
+    ranges(size)
+    found = blocks.read_cells(spark, str(tmp_path)).collect()
+    assert {(r.file[-5:], r.line, r.place, r.value) for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_label_matrix_round_trip(spark, tmp_path, ranges):
+    rows = [(f"m{k}", code, f"i{i}", (i + k) % 3) for code in ("deu_Latn", "fra_Latn") for k in range(3) for i in range(k, 90, k + 1)]
+    labels = spark.createDataFrame(rows, "model string, language string, instance_id string, label int")
+    for cells in (10_000, 40):
+        path = str(tmp_path / f"labels-{cells}")
+        writers.write_label_matrix(labels, path, cells)
+        ranges(64)
+        found = readers.read_label_matrix(spark, path).where("label is not null").collect()
+        assert sorted(tuple(r) for r in found) == sorted(rows)
+    text = next((tmp_path / "labels-10000").glob("language=deu_Latn/chunk=0/*.txt")).read_text()
+    assert text.startswith("model,i0,i1,i10,") and text.endswith("\n,") and text.count("\n") == 4
+    assert len({line.count(",") for line in text.splitlines()[:-1]}) == 1
+
+
+def test_no_line_is_put_together_or_read_by_one_task(spark, tmp_path, ranges):
+    path = str(tmp_path / "labels.csv")
+    n = 3000
+    with open(path, "w") as out:
+        out.write("model," + ",".join(map(str, range(n))) + "\nm," + ",".join(str(i % 3) for i in range(n)))
+    ranges(1000)
+    found = readers.read_label_matrix(spark, path, "deu_Latn")
+    assert {r.instance_id: r.label for r in found.collect()} == {str(i): i % 3 for i in range(n)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "split(" not in plan
+    assert blocks.pieces(spark, path, ",").rdd.getNumPartitions() > 10
+
+
+def test_names_that_would_break_the_file_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("a,b", "deu_Latn", 1, 0)], "model string, language string, instance_id long, label int")
+    with pytest.raises(Exception, match="comma"):
+        writers.write_label_matrix(rows, str(tmp_path / "x"))

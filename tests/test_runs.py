@@ -138,7 +138,7 @@ def test_annotation_round(spark, pairs, folder, tmp_path):
     per_stratum = key.groupBy("language", "scores").count().collect()
     assert {r["count"] for r in per_stratum} == {4} and len(per_stratum) == 9
     stored = readers.read_csv_table(
-        spark, out + "/answer_key", "position long, id long, subset string, prompt string, completion_a string, completion_b string, chosen_model string, rejected_model string, scores double, swapped int, language string", multi_line=True
+        spark, out + "/answer_key", "position long, id long, subset string, prompt string, completion_a string, completion_b string, chosen_model string, rejected_model string, scores double, swapped int, language string", line_breaks=True
     )
     assert stored.count() == 36
     task = spark.read.option("header", True).csv(out + "/annotation")

@@ -134,7 +134,7 @@ def test_csv_keeps_awkward_texts(spark, tmp_path):
     frame = spark.createDataFrame(rows, "id long, notes string, human_preference string, more string")
     path = str(tmp_path / "csv")
     writers.write_csv_table(frame, path)
-    found = [tuple(r) for r in readers.read_csv_table(spark, path, frame.schema, multi_line=True).orderBy("id").collect()]
+    found = [tuple(r) for r in readers.read_csv_table(spark, path, frame.schema, line_breaks=True).orderBy("id").collect()]
     assert found == [(1, " a\nb ", None, None), *rows[1:]]
 
 
