@@ -17,17 +17,19 @@ For tokenizers that drop white space and never join across it.
 """
 
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefboard.llm.bitmap import BITS, bitmap_of, possible
-from prefboard.llm.packing import WordTokenizer
-from prefboard.llm.texts import as_bytes
+from prefboard.llm.packing import _PLAIN, WordTokenizer, _PartIds
+from prefboard.llm.texts import as_bytes, lookup_table, portions
 from prefboard.session import materialise
 
 #: Bytes of a chunk: at least, at most, and the bits that the hash needs at a cut
@@ -35,6 +37,8 @@ from prefboard.session import materialise
 LEAST, MOST, CUT_BITS = 256, 1 << 14, 10
 #: Digests a task keeps to send a chunk on once.
 MOST_SEEN = 200_000
+#: Parts of texts a Python worker keeps with their ids.
+MOST_PARTS = 250_000
 
 _GEAR = np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 32, 256, np.uint32)
 
@@ -74,37 +78,89 @@ def chunk_digests(text: bytes) -> tuple:
     return ends, digests, np.frombuffer(b"".join(digests), "<u8")[::2]
 
 
-class Tokens:
-    """A tokenizer by parts and on whole texts; ids as little-endian 32-bit bytes."""
-
-    def __init__(self, path):
+class _Parts(_PartIds):
+    """Ids of blank-separated parts; ids of words are kept apart from what stands behind them."""
+
+    def __init__(self, tokenizer, most):
+        super().__init__(tokenizer, most)
+        self._words, self._ends = {}, {}
+
+    def clear(self):
+        super().clear()
+        if len(self._words) >= self._most:
+            self._words.clear()
+
+    def __missing__(self, part):
+        word = part.rstrip(b".,")
+        if not word or not _PLAIN(word.decode()):
+            return super().__missing__(part)
+        if len(self) >= self._most:
+            self.clear()
+        ids = self._words.get(word)
+        if ids is None:
+            ids = self._words[word] = self._merged(word)
+        if word != part:
+            end = part[len(word) :]
+            behind = self._ends.get(end)
+            if behind is None:
+                behind = self._merged(end)
+                if len(end) < 9:
+                    self._ends[end] = behind
+            ids += behind
+        self[part] = ids
+        return ids
+
+
+class Tokens(WordTokenizer):
+    """A tokenizer by parts (`encode`) and on whole texts; ids as little-endian 32-bit bytes."""
+
+    def __init__(self, path, most=MOST_PARTS):
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
         self._whole.no_truncation()
         self._whole.no_padding()
-        self.encode = WordTokenizer(path).encode
+        self._parts = lookup_table(_Parts(self._whole, most))
         if self.whole(b"a bc\nd") != self.whole(b"a") + self.whole(b"bc") + self.whole(b"d"):
             raise ValueError("the tokenizer does not drop white space")
-        if self._whole.decoder is None:
-            size = self._whole.get_vocab_size(with_added_tokens=True)
-            self._shown = np.array([self._whole.id_to_token(i) or "" for i in range(size)], object)
 
     def whole(self, text: bytes) -> bytes:
         return np.array(self._whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
+
+class Decoder:
+    """Texts of token ids, special tokens included."""
+
+    def __init__(self, path):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        self._whole = whole if whole.decoder is not None else None
+        size = whole.get_vocab_size(with_added_tokens=True)
+        self._shown = np.array([whole.id_to_token(i) or "" for i in range(size)], object)
+        self._digits = np.array([b"%d" % i for i in range(size)], object)
+
     def decode(self, ids: np.ndarray) -> str:
         """Without a decoder, tokens stand as they are with a space between them."""
-        if self._whole.decoder is None:
+        if self._whole is None:
             return " ".join(self._shown[ids])
         return self._whole.decode(ids.tolist(), skip_special_tokens=False)
 
+    def listed(self, ids: np.ndarray) -> bytes:
+        """Decimal ids with a space between them."""
+        return b" ".join(self._digits[ids])
+
 
 @lru_cache(1)
 def _tokens(path):
     return Tokens(path)
 
 
+@lru_cache(1)
+def _decoder(path):
+    return Decoder(path)
+
+
 def _part_start(text, at, parts):
     """Start of the last so many blank-separated parts of `text[:at]`."""
     for _ in range(parts):
@@ -186,14 +242,18 @@ def _id_lists(encoded: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
 
 
-def _hashes(batches):
+def _portioned(batches):
+    """Batches in portions of bounded size, each with the texts of its column `text`."""
     for batch in batches:
-        found = [chunk_digests(t)[2] for t in as_bytes(batch.column(0))]
-        yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, "<u8"), *found]).view(np.int64))], ["hash"])
+        texts = as_bytes(batch.column("text"))
+        for first, last in portions(texts):
+            yield batch.slice(first, last - first), texts[first:last]
 
 
-_KNOWN = "array<struct<start: int, end: int, digest: binary>>"
-_ARROW_KNOWN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())]))
+def _hashes(batches):
+    for _, texts in _portioned(batches):
+        found = [chunk_digests(t)[2] for t in texts]
+        yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["hash"])
 
 
 def encode_texts(df: DataFrame, tokenizer: str, text="text", into="ids", bits=BITS) -> DataFrame:
@@ -206,8 +266,14 @@ def encode_texts(df: DataFrame, tokenizer: str, text="text", into="ids", bits=BI
     texts with shared chunks encoded.
     """
     spark = df.sparkSession
-    column = F.col(f"`{text}`").cast("string")
-    hashes = df.select(column.alias("text")).mapInArrow(_hashes, "hash long")
+    names = [n for n in df.columns if n != into]
+    rows = df.select(F.struct(F.lit(0).alias(""), *[F.col(f"`{n}`") for n in names if n != text]).alias("row"), F.col(f"`{text}`").alias("text"))
+    if rows.schema["text"].dataType != T.StringType():
+        rows = rows.withColumn("text", F.col("text").cast("string"))
+    with_ids = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    with_key = T.StructType([*rows.schema.fields, T.StructField("key", T.BinaryType())])
+
+    hashes = rows.select("text").mapInArrow(_hashes, "hash long")
     shared = materialise(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "shared-chunks")
     members = spark.sparkContext.broadcast(bitmap_of(shared, bits))
 
@@ -218,65 +284,86 @@ def encode_texts(df: DataFrame, tokenizer: str, text="text", into="ids", bits=BI
             return []
         return [((0, *ends)[i], ends[i], digests[i]) for i in np.flatnonzero(possible(members.value, numbers)).tolist()]
 
-    @F.arrow_udf(returnType=T.BooleanType())
-    def has_shared(column: pa.Array) -> pa.Array:
-        return pa.array([bool(known_in(t)) for t in as_bytes(column)], pa.bool_())
+    def without_shared(batches):
+        for part, texts in _portioned(batches):
+            alone = [i for i, t in enumerate(texts) if not known_in(t)]
+            encoded = _id_lists([_tokens(tokenizer).encode(texts[i]) for i in alone])
+            kept = part.take(pa.array(alone, pa.int32()))
+            yield pa.record_batch([*kept.columns, encoded], with_ids.names)
 
-    @F.arrow_udf(returnType="array<int>")
-    def encoded(column: pa.Array) -> pa.Array:
-        return _id_lists([_tokens(tokenizer).encode(t) for t in as_bytes(column)])
-
-    @F.arrow_udf(returnType="binary")
-    def encoded_chunk(column: pa.Array) -> pa.Array:
-        return pa.array([_tokens(tokenizer).encode(t) for t in as_bytes(column)], pa.binary())
-
-    @F.arrow_udf(returnType="binary")
-    def digest(column: pa.Array) -> pa.Array:
-        return pa.array([xxhash.xxh3_128_digest(t) for t in as_bytes(column)], pa.binary())
-
-    @F.arrow_udf(returnType=_KNOWN)
-    def known_chunks(column: pa.Array) -> pa.Array:
-        rows = [[dict(zip(("start", "end", "digest"), k)) for k in known_in(t)] for t in as_bytes(column)]
-        return pa.array(rows, _ARROW_KNOWN)
+    def with_shared(batches):
+        for part, texts in _portioned(batches):
+            some = [i for i, t in enumerate(texts) if known_in(t)]
+            kept = part.take(pa.array(some, pa.int32()))
+            yield pa.record_batch([*kept.columns, pa.array([xxhash.xxh3_128_digest(texts[i]) for i in some], pa.binary())], with_key.names)
 
     def chunk_texts(batches):
         seen = set()
-        for batch in batches:
+        for _, texts in _portioned(batches):
             out = {}
-            for value in as_bytes(batch.column(0)):
+            for value in texts:
                 for start, end, key in known_in(value):
                     if key not in seen:
                         if len(seen) >= MOST_SEEN:
                             seen.clear()
                         seen.add(key)
                         out[key] = value[start:end]
-            yield pa.record_batch([pa.array(out, pa.binary()), pa.array(out.values(), pa.binary())], ["digest", "chunk"])
-
-    @F.arrow_udf(returnType="array<int>")
-    def joined(column: pa.Array, chunks: pa.Array) -> pa.Array:
-        out, tokens = [], _tokens(tokenizer)
-        for value, known in zip(as_bytes(column), chunks):
-            known = sorted((k["start"], k["end"], k["ids"]) for k in known.as_py() or [])
-            out.append(put_together(value, known, tokens))
-        return _id_lists(out)
-
-    rows = df.select(F.struct("*").alias("row"), column.alias("text"))
-    some = has_shared.asNondeterministic()("text")
-    alone = rows.withColumn("some", some).where(~F.col("some")).select("row", encoded.asNondeterministic()("text").alias("ids"))
-    marked = rows.withColumn("some", some).where("some").select("row", "text", digest.asNondeterministic()("text").alias("key"))
-    marked = materialise(marked, "texts-with-shared-chunks")
-
+            yield pa.record_batch([pa.array(out, pa.binary()), pa.array(out.values(), pa.binary())], ["digest", "text"])
+
+    def encoded_chunks(batches):
+        for part, texts in _portioned(batches):
+            ids = pa.array([_tokens(tokenizer).encode(t) for t in texts], pa.binary())
+            yield pa.record_batch([part.column("digest"), ids], ["digest", "ids"])
+
+    def places_of_chunks(batches):
+        for part, texts in _portioned(batches):
+            found = [(key, *k) for key, t in zip(part.column("key").to_pylist(), texts) for k in known_in(t)]
+            yield pa.RecordBatch.from_pylist([dict(zip(places.names, f)) for f in found], places)
+
+    places = pa.schema([("key", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())])
+
+    def joined(batches):
+        for part, texts in _portioned(batches):
+            out, chunks = [], part.column("chunks")
+            for i, value in enumerate(texts):
+                known = sorted((k["start"], k["end"], k["ids"]) for k in chunks[i].as_py() or [])
+                out.append(put_together(value, known, _tokens(tokenizer)))
+            yield pa.record_batch([part.column("row"), part.column("text"), _id_lists(out)], with_ids.names)
+
+    alone = rows.mapInArrow(without_shared, with_ids)
+    marked = materialise(rows.mapInArrow(with_shared, with_key), "texts-with-shared-chunks")
     # each shared chunk is encoded once ...
-    chunks = marked.select("text").mapInArrow(chunk_texts, "digest binary, chunk binary")
-    chunks = chunks.groupBy("digest").agg(F.first("chunk").alias("chunk"))
-    chunks = materialise(chunks.select("digest", encoded_chunk.asNondeterministic()("chunk").alias("ids")), "encoded-chunks")
+    chunks = marked.select("text").mapInArrow(chunk_texts, "digest binary, text binary")
+    chunks = chunks.groupBy("digest").agg(F.first("text").alias("text"))
+    chunks = materialise(chunks.mapInArrow(encoded_chunks, "digest binary, ids binary"), "encoded-chunks")
     # ... and goes to the texts in which it stands; equal texts ask for it once
-    places = marked.select("key", F.inline(known_chunks.asNondeterministic()("text"))).distinct()
-    by_text = places.join(chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("start", "end", "ids")).alias("chunks"))
-    together = marked.join(by_text, "key", "left").select("row", joined.asNondeterministic()("text", "chunks").alias("ids"))
+    asked = marked.select("key", "text").mapInArrow(places_of_chunks, "key binary, start int, end int, digest binary").distinct()
+    by_text = asked.join(chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("start", "end", "ids")).alias("chunks"))
+    together = marked.join(by_text, "key", "left").select("row", "text", "chunks").mapInArrow(joined, with_ids)
+
+    back = [F.col("text").cast(df.schema[n].dataType).alias(n) if n == text else F.col(f"row.`{n}`") for n in names]
+    return alone.unionByName(together).select(*back, F.col("ids").alias(into))
 
+
+def _mapped_ids(df, ids, into, kind, values):
+    """`df` with one more column, made in portions of bounded size from the ids of each row."""
     names = [n for n in df.columns if n != into]
-    return alone.unionByName(together).select(*[F.col(f"row.`{n}`") for n in names], F.col("ids").alias(into))
+    rows = df.select(F.struct(F.lit(0).alias(""), *[F.col(f"`{n}`") for n in names if n != ids]).alias("row"), F.col(f"`{ids}`").cast("array<int>").alias("ids"))
+    made = T.StructType([*rows.schema.fields, T.StructField("made", kind)])
+
+    def run(batches):
+        for batch in batches:
+            sizes = [range(n or 0) for n in pc.list_value_length(batch.column("ids")).to_pylist()]
+            for first, last in portions(sizes, 1 << 18):
+                part = batch.slice(first, last - first)
+                column = part.column("ids")
+                flat, offsets, known = column.values.to_numpy(), column.offsets.to_numpy(), column.is_valid().to_pylist()
+                lists = [flat[a:b] if k else None for a, b, k in zip(offsets, offsets[1:], known)]
+                yield pa.record_batch([*part.columns, values(lists)], made.names)
+
+    out = rows.mapInArrow(run, made)
+    back = [F.col("ids").cast(df.schema[n].dataType).alias(n) if n == ids else F.col(f"row.`{n}`") for n in names if n != into]
+    return out.select(*back, F.col("made").alias(into))
 
 
 def decode_ids(df: DataFrame, tokenizer: str, ids="ids", into="decoded") -> DataFrame:
@@ -286,10 +373,26 @@ def decode_ids(df: DataFrame, tokenizer: str, ids="ids", into="decoded") -> Data
     `into` is replaced.
     """
 
-    @F.arrow_udf(returnType=T.StringType())
-    def decoded(column: pa.Array) -> pa.Array:
-        decode = _tokens(tokenizer).decode
-        values, offsets, known = column.values.to_numpy(), column.offsets.to_numpy(), column.is_valid().to_pylist()
-        return pa.array([decode(values[a:b]) if k else None for a, b, k in zip(offsets, offsets[1:], known)], pa.string())
+    def decoded(lists):
+        return pa.array([None if i is None else _decoder(tokenizer).decode(i) for i in lists], pa.string())
+
+    return _mapped_ids(df, ids, into, T.StringType(), decoded)
+
+
+_DIGESTS = T.StructType([T.StructField("n", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())])
+
+
+def digest_ids(df: DataFrame, tokenizer: str, ids="ids", into="digests") -> DataFrame:
+    """`df` with a struct of the number of ids, and SHA-256 of their decimal list and of their
+    decoded text; texts as in `decode_ids`, which need not leave the task for that."""
+
+    def digests(lists):
+        decoder, rows = _decoder(tokenizer), []
+        for i in lists:
+            told = None
+            if i is not None:
+                told = {"n": len(i), "ids": sha256(decoder.listed(i)).hexdigest(), "decoded": sha256(decoder.decode(i).encode()).hexdigest()}
+            rows.append(told)
+        return pa.array(rows, pa.struct([("n", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())]))
 
-    return df.withColumn(into, decoded.asNondeterministic()(F.col(ids)))
+    return _mapped_ids(df, ids, into, _DIGESTS, digests)

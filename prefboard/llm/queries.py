@@ -140,12 +140,12 @@ def op11_chunk_bpe(spark, folder):
     """Token ids of every whole text and the text decoded from them, as counts and digests."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     encoded = chunk_bpe.encode_texts(_table(spark, folder, "documents").select("doc_id", "text"), tokenizer)
-    decoded = chunk_bpe.decode_ids(encoded, tokenizer)
-    return decoded.select(
+    told = chunk_bpe.digest_ids(encoded.select("doc_id", "ids"), tokenizer)
+    return told.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.col("digests.n").alias("n_tokens"),
+        F.col("digests.ids").alias("ids_sha256"),
+        F.col("digests.decoded").alias("decoded_sha256"),
     )
 
 
