@@ -151,9 +151,43 @@ def join_lines(segments: Column) -> Column:
     return F.array_join(F.transform(segments, lambda s: F.replace(s, F.lit("\n"), F.lit(""))), "\n")
 
 
+# Marks that end a sentence before white space (Latin, Greek, Cyrillic, Hebrew,
+# Arabic, Urdu and Indic texts) and without it (Chinese and Japanese), and what may close behind.
+SENTENCE_END, SENTENCE_END_CJK = ".!?\u2026\u061f\u06d4\u0964\u0965\u05c3\u037e", "\u3002\uff01\uff1f\uff61"
+SENTENCE_CLOSE = "\"')\u00bb\u2019\u201d\u203a\u300d\u300f\u3011\uff09]"
+# Abbreviations behind which a sentence goes on.
+ABBREVIATIONS = (
+    "Dr", "Mr", "Mrs", "Ms", "Prof", "St", "Sr", "Jr", "vs", "etc", "e.g", "i.e", "cf", "No", "Nr", "Fig", "approx",
+    "z.B", "d.h", "u.a", "bzw", "ca", "Sra", "Dra", "p.ej", "Mme", "Mlle", "p.ex", "Sig", "Dott", "\u0434\u0440", "\u0442.\u0435",
+)
+
+
+def sentence_marks():
+    """`(pattern, replacement)` in turn, which put U+0001 at every boundary of a text.
+
+    The patterns mean the same to every engine of regular expressions; groups are `$1`.
+    """
+    white, close = "[ \\t\\r\\n\\f]", SENTENCE_CLOSE.replace("]", "\\]")
+    known = "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS)
+    return [
+        (f"([{SENTENCE_END}][{close}]*)({white})", "$1\x01$2"),
+        (f"([{SENTENCE_END_CJK}]+[{close}]*)([^{SENTENCE_END_CJK}{close}\x01])", "$1\x01$2"),
+        # abbreviations, initials and ordinals do not end a sentence
+        (f"(^|[^\\p{{L}}\\p{{N}}])((?:{known}|\\p{{Lu}}|[0-9]{{1,2}})\\.)\x01", "$1$2"),
+    ]
+
+
 def sentences(text: Column) -> Column:
-    """Sentences by our rule: white space behind `.`, `!` or `?` separates them."""
-    return F.split(text, "(?<=[.!?])[ \\t\\r\\n\\f]+")
+    """Sentences of a text in any of the languages.
+
+    A full stop or another ending mark, with closing quotes or brackets behind it, ends a
+    sentence before white space; Chinese and Japanese marks need none. Abbreviations, single
+    capital letters and numbers of one or two digits go on behind their full stop, and a
+    full stop inside a word or number is none.
+    """
+    for pattern, replacement in sentence_marks():
+        text = F.regexp_replace(text, pattern, replacement)
+    return F.split(text, "\x01[ \\t\\r\\n\\f]*")
 
 
 def join_sentences(segments: Column) -> Column:

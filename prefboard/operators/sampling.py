@@ -20,17 +20,18 @@ from prefboard.session import materialise
 ROUNDS = (3, 6, 9)
 
 
-def take_first(keyed: DataFrame, by, key, caps: DataFrame, ties=(), name="border") -> DataFrame:
+def take_first(keyed: DataFrame, by, key, caps: DataFrame, ties=(), name="border", rounds=ROUNDS) -> DataFrame:
     """The first `_cap` rows of every stratum `by` in the order of `key`.
 
     `keyed` is read once per round and should be repeatable; `key` is a column of
-    hexadecimal digits and `ties` are the columns that decide between equal keys.
+    hexadecimal digits, of which each of the `rounds` looks at some more, and `ties` are
+    the columns that decide between equal keys.
     `caps` has one row per stratum. Rows are joined on stratum and bucket, so no
     stratum is one hot key.
     """
     columns = keyed.columns
     rows, room, taken = keyed, caps.select(*by, F.col("_cap").alias("_room")), []
-    for digits in ROUNDS:
+    for digits in rounds:
         placed = rows.withColumn("_bucket", F.substring(key, 1, digits))
         sizes = placed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
         upto = F.sum("_size").over(W.partitionBy(*by).orderBy("_bucket"))
@@ -49,6 +50,8 @@ def take_first(keyed: DataFrame, by, key, caps: DataFrame, ties=(), name="border
         taken.append(marked.where("_whole").select(*columns))
         rows = materialise(marked.where("not _whole").select(*columns), name)
         room = reached.where("not _whole").select(*by, F.col("_left").alias("_room"))
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
     rank = F.row_number().over(W.partitionBy(*by).orderBy(key, *ties))
     last = rows.withColumn("_rank", rank).join(room, list(by)).where(F.col("_rank") <= F.col("_room"))
     return reduce(DataFrame.unionByName, [*taken, last.select(*columns)])
@@ -91,16 +94,38 @@ def random_subset(df: DataFrame, size: int, groups=("language",), keys=("languag
     return _sample(df, list(groups), [], lambda rows, k, smallest: F.least(F.lit(size), rows), list(keys), seed)
 
 
+#: Rounds over the digits of `_number_digits`: sign, length and three digits, then three more each.
+NUMBER_ROUNDS = (5, 8, 11, 14, 18, 24, 31)
+
+
+def _number_digits(number):
+    """Hexadecimal digits that are in the order of the numbers; null comes last.
+
+    Sign and length stand in front of the digits, so a few of them tell small numbers
+    apart whatever the largest one is. Numbers with a fraction have 13 digits for it
+    behind; beyond the range of 64 bits they keep their order as the ends of it.
+    """
+    whole = F.floor(number).cast("long")
+    size = F.when(whole >= 0, whole).otherwise(-(whole + 1))
+    digits = F.lower(F.hex(size))
+    shown = F.concat(F.lower(F.hex(F.length(digits) - 1)), digits)
+    below = F.translate(shown, "0123456789abcdef", "fedcba9876543210")
+    ordered = F.when(whole >= 0, F.concat(F.lit("1"), shown)).otherwise(F.concat(F.lit("0"), below))
+    fraction = F.floor((number.cast("double") - F.floor(number.cast("double"))) * F.lit(16.0**13)).cast("long")
+    behind = F.lpad(F.lower(F.hex(fraction)), 13, "0")
+    return F.coalesce(F.concat(F.rpad(ordered, 18, "0"), behind), F.lit("2"))
+
+
 def first_per_group(df: DataFrame, n: int, order: str, groups) -> DataFrame:
-    """The first `n` rows of every group by the number `order`.
+    """The first `n` rows of every group by the number `order`; nulls come last.
 
-    The place of a row between the smallest and the largest number stands in for
-    a random key, so a group is never ranked as a whole.
+    Rounds over the digits of the number find the border: counts of one round give the
+    bucket that the next looks into, wherever the smallest and the largest number are,
+    so a group is never ranked as a whole. Of rows with the border's number as many are
+    taken as fit.
     """
-    low, high = df.agg(F.min(order)).scalar(), df.agg(F.max(order)).scalar()
-    steps = 16.0 ** ROUNDS[-1]
-    place = (F.col(order) - low) / (high - low + 1) * F.lit(steps)
-    digits = F.lpad(F.lower(F.hex(F.least(F.floor(place), F.lit(int(steps) - 1)).cast("long"))), ROUNDS[-1], "0")
-    keyed = df.withColumn("_key", F.coalesce(digits, F.lit("g" * ROUNDS[-1])))
+    whole_number = df.schema[order].dataType.typeName() in ("byte", "short", "integer", "long")
+    rounds = NUMBER_ROUNDS[:5] if whole_number else NUMBER_ROUNDS
+    keyed = df.withColumn("_key", _number_digits(F.col(order)))
     caps = keyed.select(*groups).distinct().withColumn("_cap", F.lit(n))
-    return take_first(keyed, list(groups), F.col("_key"), caps, [F.asc_nulls_last(order)], "first").select(*df.columns)
+    return take_first(keyed, list(groups), F.col("_key"), caps, [F.asc_nulls_last(order)], "first", rounds).select(*df.columns)

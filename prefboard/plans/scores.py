@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from prefboard.functions import fixed, lookups
 from prefboard.operators import results, shape
+from prefboard.operators.ranking import places
 from prefboard.plans.registry import query, r6
 from prefboard.session import fresh_path, materialise
 from prefboard.sources import derived, readers, writers
+from prefboard.sources.documents import read_instance_lists, write_instance_lists
 
 _RUN = "model, model_type, language"
 
@@ -256,21 +258,18 @@ def stored_imports(spark, folder):
 @query(
     "stored_instances",
     "judgements",
-    """select language, model, row_number() over (partition by language order by instance_id) - 1 as position, result
-from judgements where model = 'org/model-1'""",
+    """select language, model, row_number() over (partition by language, model order by instance_id) - 1 as position, result
+from judgements""",
 )
 def stored_instances(spark, folder):
-    """Instance results from the lists inside stored documents, as other tools write them."""
+    """Instance results of all models from the lists inside stored documents."""
     path = fresh_path(spark, "inline-results")
-    rows = derived.judgements(spark, folder).where(F.col("model") == "org/model-1")
-    listed = rows.groupBy("language", "model").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("instance_id", "result"))), lambda r: r["result"]).alias("results")
-    )
-    document = F.to_json(F.struct("model", F.struct("results").alias("scores")))
-    listed.select("language", document.alias("value")).write.partitionBy("language").text(path)
-    documents = readers.read_result_documents(spark, path)
-    found = results.model_results(results.instance_rows(documents), "org/model-1")
-    return found.select("language", "model", F.col("position").cast("long").alias("position"), "result")
+    rows = derived.judgements(spark, folder)
+    # documents have the same ids for every model: their places, without a window over all of them
+    place = places(rows.select("language", "instance_id").distinct(), ["language"], "instance_id", "position")
+    placed = rows.join(place, ["language", "instance_id"]).select("language", "model", "position", "result")
+    write_instance_lists(placed, path, elements=1_000)
+    return read_instance_lists(spark, path)
 
 
 @query(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from prefboard.functions import fixed, lookups, text
 from prefboard.operators import naming, shape
 from prefboard.plans.registry import placed, query
-from prefboard.plans.views import quote
+from prefboard.plans.views import quote, sql_sentences
 from prefboard.sources import derived
 
 
@@ -240,8 +240,8 @@ def segment_lines(spark, folder):
 @query(
     "segment_sentences",
     "pairs",
-    r"""select id, len(regexp_extract_all(chosen, '[.!?][ \t\r\n\f]+')) + 1 as n_sentences,
- regexp_replace(chosen, '([.!?])[ \t\r\n\f]+', '\1 ', 'g') as rejoined from pairs""",
+    f"""select id, len(parts) as n_sentences, array_to_string(parts, ' ') as rejoined
+from (select id, {sql_sentences("chosen")} as parts from pairs)""",
 )
 def segment_sentences(spark, folder):
     return derived.pairs(spark, folder).select(
@@ -251,11 +251,6 @@ def segment_sentences(spark, folder):
     )
 
 
-@query("normalize_nfkc")
-def normalize_nfkc(spark, folder):
-    return derived.pairs(spark, folder).select("id", "language", text.normalize_nfkc(F.col("chosen")).alias("chosen"))
-
-
 @query(
     "subset_category",
     "pairs",

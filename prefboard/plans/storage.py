@@ -10,6 +10,7 @@ from prefboard import schemas
 from prefboard.operators import naming, shape, translate
 from prefboard.plans import agreement, boards
 from prefboard.plans.registry import query, r6
+from prefboard.plans.views import sql_sentences
 from prefboard.session import fresh_path
 from prefboard.sources import derived, readers, writers
 
@@ -90,7 +91,7 @@ def translate_columns(spark, folder):
 @query(
     "translate_sentences",
     "pairs",
-    rf"""select id, replace({_sql_translate(r"regexp_replace(prompt, '([.!?])[ \t\r\n\f]+', '\1' || chr(1), 'g')", "chr(1)")}, chr(1), ' ') as prompt,
+    f"""select id, array_to_string(list_transform({sql_sentences("prompt")}, lambda s: {_sql_translate("s", "chr(1)")}), ' ') as prompt,
  'deu_Latn' as target_language from pairs""",
 )
 def translate_sentences(spark, folder):

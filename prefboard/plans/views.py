@@ -1,6 +1,6 @@
 """The derived frames as SQL views for the comparison engine."""
 
-from prefboard.functions import fixed
+from prefboard.functions import fixed, text
 from prefboard.sources import derived
 
 
@@ -184,3 +184,11 @@ def using(views, body):
         return body
     ctes = ",\n".join(f"{name} as materialized ({VIEWS[name].strip()})" for name in ordered)
     return f"with {ctes}\n{body.strip()}"
+
+
+def sql_sentences(column):
+    """List of a text's sentences."""
+    for pattern, replacement in text.sentence_marks():
+        swapped = replacement.replace("$", "\\")
+        column = f"regexp_replace({column}, {quote(pattern)}, {quote(swapped)}, 'g')"
+    return f"string_split_regex({column}, {quote(chr(1) + '[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n' + chr(92) + 'f]*')})"

@@ -17,13 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def pieces(spark: SparkSession, path, separator) -> DataFrame:
+def pieces(spark: SparkSession, path, separator, **options) -> DataFrame:
     """`file, start, block, value`: the pieces of all files between separators.
 
     Pieces of one range are neighbours in one partition, in their order. `block` is a
-    hash of file and first byte of the range.
+    hash of file and first byte of the range; `options` are those of Spark's text reader.
     """
-    texts = spark.read.option("lineSep", separator).text(path)
+    texts = spark.read.options(**options).option("lineSep", separator).text(path)
     where = F.col("_metadata")
     named = texts.select(where["file_path"].alias("file"), where["file_block_start"].alias("start"), "value")
     return named.withColumn("block", F.xxhash64("file", "start"))

@@ -7,7 +7,8 @@ import pytest
 from prefboard.plans import catalog
 
 QUERIES = catalog.QUERIES
-PYTHON = {"normalize_nfkc", "judge_pairs", "score_pairs", "translate_columns", "translate_sentences", "translate_bilingual"}
+# run_judges and resume_judging return what they have written
+PYTHON = {"stored_instances", "judge_pairs", "score_pairs", "translate_columns", "translate_sentences", "translate_bilingual"}
 WRITING = {n for n in QUERIES if n.startswith(("sink_", "scan_"))}
 
 

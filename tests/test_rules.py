@@ -5,6 +5,7 @@ import math
 import statistics
 import unicodedata
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -17,12 +18,14 @@ from prefboard.operators import (
     judging,
     leaderboard,
     naming,
+    ranking,
     results,
     rewards,
     sampling,
     shape,
     translate,
 )
+from prefboard.plans import views
 from prefboard.sources import batches
 
 CODES = ["eng_Latn", "deu_Latn", "fra_Latn"]
@@ -446,6 +449,69 @@ def test_first_rows_by_group(spark, n):
     assert sorted(r.position for r in shape.first_rows(frame, n, groups=("language",)).collect()) == sorted(wanted)
 
 
+@pytest.mark.parametrize("far", [10**15, -(10**15)])
+def test_first_rows_with_one_far_position(spark, monkeypatch, far):
+    rows = [(i, "a") for i in range(-40, 3000)] + [(far, "a"), (None, "a"), (5, "b"), (None, "b")]
+    frame = spark.createDataFrame(rows, "position long, g string").repartition(5)
+    left = []
+
+    def kept(df, name="stage"):
+        out = materialise(df, name)
+        if name == "first":
+            left.append(out.count())
+        return out
+
+    materialise = sampling.materialise
+    monkeypatch.setattr(sampling, "materialise", kept)
+    for n in (1, 100, 2990, 3041):
+        wanted = sorted(p for p, g in rows if g == "a" and p is not None)[:n]
+        found = shape.first_rows(frame, n, groups=("g",)).where("g = 'a' and position is not null").collect()
+        assert sorted(r.position for r in found) == wanted
+    # what a round passes on is a bucket, not the group; at last equal numbers only
+    assert max(left) <= 300 and sorted(left)[0] == 0
+
+
+@pytest.mark.parametrize("n", [3, 50, 400])
+def test_first_rows_by_numbers_with_fractions(spark, n):
+    values = [(-1) ** i * (i % 37) / 64 * 10 ** (i % 5) for i in range(500)] + [None, 0.5, 0.5]
+    frame = spark.createDataFrame([(v, "a") for v in values], "position double, g string")
+    found = [r.position for r in shape.first_rows(frame, n, groups=("g",)).collect()]
+    assert sorted(found) == sorted(v for v in values if v is not None)[:n]
+
+
+def test_places_without_a_window_over_all(spark):
+    rows = [(i % 3, i * 7 % 101, i) for i in range(101)]
+    frame = spark.createDataFrame(rows, "g int, v int, i int").repartition(6)
+    found = ranking.places(frame, ["g"], "v")
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for g in range(3):
+        wanted = [v for k, v, _ in sorted(rows, key=lambda r: r[1]) if k == g]
+        assert [r.v for r in found.where(f"g = {g}").orderBy("place").collect()] == wanted
+        assert [r.place for r in found.where(f"g = {g}").orderBy("place").collect()] == list(range(len(wanted)))
+    ordered = ranking.numbered(frame.orderBy(F.desc("v"))).orderBy("place").collect()
+    assert [(r.place, r.v) for r in ordered] == list(enumerate(sorted((v for _, v, _ in rows), reverse=True), 1))
+
+
+SENTENCES = [
+    ("Dr. Who is here. He left at 3.5 km. \"Really?\" Yes! (It was.) So\u2026  ok", ["Dr. Who is here.", "He left at 3.5 km.", '"Really?"', "Yes!", "(It was.)", "So\u2026", "ok"]),
+    ("\u4eca\u65e5\u306f\u6674\u308c\u3002\u672c\u5f53\uff1f\u300c\u306f\u3044\u3002\u300d\u305d\u3046\u3002", ["\u4eca\u65e5\u306f\u6674\u308c\u3002", "\u672c\u5f53\uff1f", "\u300c\u306f\u3044\u3002\u300d", "\u305d\u3046\u3002"]),
+    ("\u092e\u0948\u0902 \u0939\u0942\u0901\u0964 \u0906\u092a?", ["\u092e\u0948\u0902 \u0939\u0942\u0901\u0964", "\u0906\u092a?"]),
+    ("\u0645\u0631\u062d\u0628\u0627\u061f \u0628\u062e\u064a\u0631\u06d4 \u0646\u0639\u0645", ["\u0645\u0631\u062d\u0628\u0627\u061f", "\u0628\u062e\u064a\u0631\u06d4", "\u0646\u0639\u0645"]),
+    ("Am 3. Mai 2020. Dann z.B. das.  J. Smith", ["Am 3. Mai 2020.", "Dann z.B. das.", "J. Smith"]),
+    ("a.\nb!\tc? ", ["a.", "b!", "c?", ""]),
+    ("", [""]),
+]
+
+
+def test_sentences_of_many_languages(spark):
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SENTENCES)], "i int, t string")
+    found = {r.i: list(r.s) for r in frame.select("i", text.sentences(F.col("t")).alias("s")).collect()}
+    assert found == {i: s for i, (_, s) in enumerate(SENTENCES)}
+    connection = duckdb.connect()
+    for i, (t, sentences) in enumerate(SENTENCES):
+        assert connection.execute(f"select {views.sql_sentences(views.quote(t))}").fetchall() == [(sentences,)]
+
+
 def test_contradictory_labels_fail(spark):
     rows = [("m", "eng_Latn", 1, 0), ("m", "eng_Latn", 1, 2), ("m", "deu_Latn", 1, 2)]
     frame = spark.createDataFrame(rows, "model string, language string, instance_id long, label int")
