@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 
 from prefboard.functions import text
 from prefboard.functions.hashing import part
+from prefboard.operators.answers import prompt_key
 from prefboard.operators.sampling import random_subset
 from prefboard.operators.shape import is_code, require_columns
-from prefboard.session import fresh_path, spread
+from prefboard.session import fresh_path, materialise, spread
 from prefboard.sources.batches import Batches, has_files
 
 SEGMENTERS = {
@@ -33,12 +34,12 @@ def untranslated(pairs: DataFrame, done: DataFrame, target_language: str) -> Dat
     return pairs.join(written, "id", "left_anti")
 
 
-def _translated_segments(translate, target_language, batch_size, normalize):
-    """Column function: array of segments -> array of translated segments.
+def _in_batches(translate, target_language, batch_size, normalize):
+    """Function of any number of texts that calls `translate` with at most `batch_size`.
 
-    With `normalize` every segment is brought to NFKC without line breaks. The
-    separators put between segments never combine with their neighbours, so this
-    equals normalising the joined text and saves a second way to Python.
+    With `normalize` every text is brought to NFKC without line breaks. The separators
+    put between segments never combine with their neighbours, so this equals normalising
+    the joined text and saves a second way to Python.
     """
 
     def finish(translated):
@@ -46,14 +47,25 @@ def _translated_segments(translate, target_language, batch_size, normalize):
             return list(translated)
         return [unicodedata.normalize("NFKC", t.replace("\n", "")) for t in translated]
 
+    def run(texts):
+        out = []
+        for start in range(0, len(texts), batch_size):
+            out.extend(finish(translate(texts[start : start + batch_size], target_language)))
+        if len(out) != len(texts):
+            raise ValueError("the translate function must return one text per text")
+        return out
+
+    return run
+
+
+def _translated_segments(translate, target_language, batch_size, normalize):
+    """Column function: array of segments -> array of translated segments."""
+    in_batches = _in_batches(translate, target_language, batch_size, normalize)
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(cells: pd.Series) -> pd.Series:
         segments = [s for cell in cells if cell is not None for s in cell]
-        out = []
-        for start in range(0, len(segments), batch_size):
-            out.extend(finish(translate(segments[start : start + batch_size], target_language)))
-        if len(out) != len(segments):
-            raise ValueError("the translate function must return one text per text")
+        out = in_batches(segments)
         result, at = [], 0
         for cell in cells:
             if cell is None:
@@ -82,22 +94,85 @@ def translate_columns(
     translated texts to NFKC.
     """
     require_columns(pairs, columns)
-    split, rejoin = SEGMENTERS[segment]
     run = _translated_segments(translate, target_language, batch_size, normalize)
-    untouched = is_code() if code_prompt_only and "subset" in pairs.columns else F.lit(False)
+    rejoin = SEGMENTERS[segment][1]
+    cells = _cells(pairs, columns, segment, code_prompt_only)
+    done = pairs.withColumns({f"_new_{c}": rejoin(run(cell)) for c, cell in cells.items()})
+    return _merged(done, pairs, columns, target_language, code_prompt_only)
+
 
-    def translated(name) -> Column:
-        cell = split(F.col(name))
-        if name != "prompt":
-            cell = F.when(~untouched, cell)
-        return rejoin(run(cell))
+def _untouched(pairs, code_prompt_only):
+    """Rows of which only the prompt is translated."""
+    return is_code() if code_prompt_only and "subset" in pairs.columns else F.lit(False)
 
-    done = pairs.withColumns({f"_new_{c}": translated(c) for c in columns})
+
+def _cells(pairs, columns, segment, code_prompt_only):
+    """The segments of every column to translate, null where it is not translated."""
+    split, untouched = SEGMENTERS[segment][0], _untouched(pairs, code_prompt_only)
+    return {c: split(F.col(c)) if c == "prompt" else F.when(~untouched, split(F.col(c))) for c in columns}
+
+
+def _merged(done, pairs, columns, target_language, code_prompt_only):
+    """Translated columns `_new_<name>` in place of the old ones, and `target_language`."""
+    untouched = _untouched(pairs, code_prompt_only)
     kept = {c: F.col(c) if c == "prompt" else F.when(untouched, F.col(c)) for c in columns}
     merged = done.withColumns({c: F.coalesce(F.col(f"_new_{c}"), kept[c]) for c in columns})
     return merged.drop(*[f"_new_{c}" for c in columns]).withColumn("target_language", F.lit(target_language))
 
 
+#: Segments that stand in more than one of so many places are joined by broadcast: at most as many rows.
+FREQUENT = 1000
+
+
+def translate_distinct(
+    pairs: DataFrame, columns, translate, target_language: str, store, keys=("id",), segment="lines", batch_size=32,
+    normalize=False, code_prompt_only=True, parts=1, tasks=None,
+) -> DataFrame:
+    """`translate_columns` that translates every different segment once.
+
+    Segments of all rows and columns are brought together by their digest; what the
+    store (`answers.AnswerStore`) does not know yet is translated, in `parts` parts that
+    a stopped job keeps, and goes back to its rows by row and place. `keys` identify a
+    row. A segment that stands in very many places is sent to all tasks, of which there
+    are few; so it is no hot key.
+    """
+    require_columns(pairs, columns)
+    keys, rejoin = list(keys), SEGMENTERS[segment][1]
+    numbers = F.array(
+        *[
+            F.struct(F.lit(i).alias("column"), cell.alias("segments"))
+            for i, cell in enumerate(_cells(pairs, columns, segment, code_prompt_only).values())
+        ]
+    )
+    cells = pairs.select(*keys, F.inline(numbers)).where("segments is not null")
+    places = cells.select(*keys, "column", F.posexplode("segments").alias("place", "segment"))
+    system = F.lit(None).cast("string")
+    places = places.withColumn("key", prompt_key(system, F.col("segment")))
+    run = _in_batches(translate, target_language, batch_size, normalize)
+    asked = places.select("key", system.alias("system_prompt"), F.col("segment").alias("user_prompt"))
+    store.ask(asked, {target_language: lambda systems, users: run(users)}, parts, tasks)
+
+    known = store.known().where(F.col("judge") == target_language).groupBy("key").agg(F.max("answer").alias("answer"))
+    narrow = places.select(*keys, "column", "place", "key")
+    counts = materialise(narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "segment-counts")
+    total = counts.agg(F.sum("n")).scalar()
+    often = counts.where(F.col("n") * FREQUENT > total).select("key")
+    frequent = materialise(known.join(F.broadcast(often), "key"), "frequent-segments")  # fewer than FREQUENT rows
+    marked = narrow.join(F.broadcast(frequent.withColumnRenamed("answer", "shared")), "key", "left")
+    rare = marked.where("shared is null").join(known, "key", "left")
+    lost = F.raise_error(F.lit("a segment has no translation"))
+    found = marked.where("shared is not null").select(*keys, "column", "place", F.col("shared").alias("answer"))
+    found = found.unionByName(rare.select(*keys, "column", "place", F.coalesce("answer", lost).alias("answer")))
+
+    def of_column(i):
+        listed = F.array_sort(F.collect_list(F.when(F.col("column") == i, F.struct("place", "answer"))))
+        return F.transform(listed, lambda s: s["answer"])
+
+    new = found.groupBy(*keys).agg(*[of_column(i).alias(f"_new_{c}") for i, c in enumerate(columns)])
+    new = new.withColumns({f"_new_{c}": F.when(F.size(f"_new_{c}") > 0, rejoin(F.col(f"_new_{c}"))) for c in columns})
+    return _merged(pairs.join(new, keys, "left"), pairs, columns, target_language, code_prompt_only)
+
+
 class Output:
     """Translated rows of a job, as batches, and the ids of every batch beside them.
 

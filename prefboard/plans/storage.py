@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from prefboard import schemas
 from prefboard.operators import naming, shape, translate
+from prefboard.operators.answers import AnswerStore
 from prefboard.plans import agreement, boards
 from prefboard.plans.registry import query, r6
 from prefboard.plans.views import sql_sentences
@@ -88,6 +89,15 @@ def translate_columns(spark, folder):
     return _translated(derived.pairs(spark, folder).select(*_PAIR_COLUMNS))
 
 
+@query("translate_distinct", "pairs", _TRANSLATED_SQL)
+def translate_distinct(spark, folder):
+    """Every different line of all texts is translated once."""
+    store = AnswerStore(spark, fresh_path(spark, "segments"))
+    pairs = derived.pairs(spark, folder).select(*_PAIR_COLUMNS)
+    columns = ["prompt", "chosen", "rejected"]
+    return translate.translate_distinct(pairs, columns, translate.dictionary_translator, "deu_Latn", store, parts=2)
+
+
 @query(
     "translate_sentences",
     "pairs",

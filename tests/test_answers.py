@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefboard import runs
-from prefboard.operators import answers, judging, shape
+from prefboard.operators import answers, judging, shape, translate
 from prefboard.sources.batches import Batches
 
 PAIRS = "id long, position long, language string, subset string, prompt string, chosen string, rejected string, chosen_model string, rejected_model string"
@@ -125,3 +125,39 @@ def test_open_batches_are_no_part_of_a_table(spark, tmp_path):
     assert table.read("n long").count() == 10
     table.write(frame.where("n > 9"))
     assert table.read("n long").count() == 10 and table.read("n long", [name]).count() == 5
+
+
+class CountingTranslator:
+    def __init__(self, folder, breaks_at=None):
+        self.judge = CountingJudge(folder)
+        self.breaks_at = breaks_at
+
+    def __call__(self, texts, language):
+        if self.breaks_at in texts:
+            raise RuntimeError("the service is down")
+        self.judge([None] * len(texts), [f"[The Start of Assistant A's Answer]\n\n[The End of Assistant A's Answer][The Start of Assistant B's Answer]\n\n[The End of Assistant B's Answer]{t}" for t in texts])
+        return [f"<{t}>" for t in texts]
+
+    def asked(self):
+        return [a.rsplit("]", 1)[1] for a in self.judge.asked()]
+
+
+def test_equal_lines_are_translated_once(spark, tmp_path):
+    rows = [(i, f"the same\nline {i % 7}\n", None if i == 3 else "the same", "hep-x" if i % 5 == 0 else "other") for i in range(50)]
+    pairs = spark.createDataFrame(rows, "id long, prompt string, chosen string, subset string")
+    plain = translate.translate_columns(pairs, ["prompt", "chosen"], lambda ts, _: [f"<{t}>" for t in ts], "x")
+    store = answers.AnswerStore(spark, tmp_path / "segments")
+    broken, counted = CountingTranslator(tmp_path / "b", "line 2"), CountingTranslator(tmp_path / "c")
+    with pytest.raises(Exception, match="the service is down"):
+        translate.translate_distinct(pairs, ["prompt", "chosen"], broken, "x", store, parts=6)
+    kept = broken.asked()
+    found = translate.translate_distinct(pairs, ["prompt", "chosen"], counted, "x", store, parts=2)
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    distinct = {"the same", "", *(f"line {i}" for i in range(7))}
+    asked = counted.asked()
+    # what was in work when the job broke off is asked again, what was stored is not
+    assert len(asked) == len(set(asked)) and set(asked) | set(kept) == distinct and 0 < len(asked) < len(distinct) + 1
+    again = translate.translate_distinct(pairs, ["prompt", "chosen"], counted, "x", store)
+    assert again.count() == 50 and len(counted.asked()) == len(asked)
+    other = translate.translate_distinct(pairs, ["prompt"], counted, "y", store)
+    assert other.count() == 50 and len(counted.asked()) == len(asked) + len(distinct)
