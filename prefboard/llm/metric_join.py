@@ -42,12 +42,12 @@ def _matrix(column) -> np.ndarray:
     return array.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(array), -1)
 
 
-def comparable(df: DataFrame, row_id, vector, label) -> DataFrame:
-    """`id, label, v` of the rows that can be linked at all."""
+def comparable(df: DataFrame, row_id, vector, label, *more) -> DataFrame:
+    """`id, label, v` of the rows that can be linked at all, with the columns `more`."""
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda x: F.coalesce(F.abs(x) < F.lit(math.inf), F.lit(False)) & ~F.isnan(x))
     some = F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(label).alias("label"), v.alias("v"))
+    rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(label).alias("label"), v.alias("v"), *more)
     ok = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
     return rows.where(ok & F.coalesce(finite & some, F.lit(False)))
 
@@ -176,13 +176,20 @@ def near_vectors(
     double precision is `cosine` or more. Rows whose label or vector is null, and
     vectors that are empty, zero or hold null or non-finite numbers, link with
     nothing; so do vectors of different lengths. Equal vectors are one class and
-    count as linked with each other; repeated rows count each. A row without an id
-    has no link and no component and is not kept. No rows: no rows. Other columns
-    are not read.
+    count as linked with each other; repeated rows count each. Every row is a vector
+    of its own: several rows of one id with different vectors have their own links and
+    components. A row without an id has no link and no component and is not kept. No
+    rows: no rows. Other columns are not read.
     """
-    rows = materialise(comparable(df, row_id, vector, label), "vectors")
-    grouped = rows.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    classes = materialise(grouped, "vector-classes")
+    named = df.select(
+        F.col(row_id).alias("name"), F.col(row_id).alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    named = materialise(named, "numbered-vectors")
+    rows = materialise(comparable(named, "id", "v", "label", "row"), "vectors")
+    grouped = rows.groupBy("label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # classes have numbers of their own, since two of them may have the same ids
+    classes = materialise(grouped.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     pairs = blocks(materialise(place(classes, cosine, cell), "cells"), block)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -198,14 +205,16 @@ def near_vectors(
         "label",
         "v",
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("root", "id").alias("component_id"),
+        "least",
+        F.coalesce("root", "id").alias("class_root"),
     )
-    linked = rows.join(materialise(known, "class-links"), ["label", "v"]).select("id", "n_links", "component_id")
-    linked = materialise(linked.distinct(), "linked")
-    every = df.select(F.col(row_id), F.col(row_id).cast("long").alias("id")).join(linked, "id", "left")
+    known = materialise(known, "class-links")
+    smallest = materialise(known.groupBy("class_root").agg(F.min("least").alias("component_id")), "smallest-ids")
+    linked = rows.join(known.join(smallest, "class_root"), ["label", "v"]).select("row", "n_links", "component_id")
+    every = named.select("name", "row", F.col("id").cast("long").alias("id")).join(linked, "row", "left")
     component = F.coalesce("component_id", "id")
     return every.select(
-        row_id,
+        F.col("name").alias(row_id),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),

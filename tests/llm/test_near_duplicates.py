@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prefboard.llm import components, metric_join, minhash
 from tests.llm.conftest import COPY
@@ -147,6 +148,17 @@ def test_vectors(spark, cosine, cell, block):
             assert r["kept"] == (wanted[i] == i)
 
 
+def test_one_row_per_vector_of_an_id(spark):
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [0.0, -1.0]
+    rows = [(5, a, 0, "x"), (5, b, 0, "x"), (5, b, 0, "x"), (3, a, 0, "y"), (7, b, 0, "y"), (8, c, 0, "y"), (8, None, 0, "y")]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>, label int, row string")
+    for named in (df, df.withColumns({n: F.lit("z") for n in ("id", "v", "n", "name", "least", "class_root", "component_id", "n_links")})):
+        got = metric_join.near_vectors(named)
+        assert sorted(tuple(r) for r in got.collect()) == [
+            (3, 1, 3, True), (5, 1, 3, False), (5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 0, 8, True), (8, 0, 8, True),
+        ]
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int, id int, v int")
     assert metric_join.near_vectors(df).count() == 0
