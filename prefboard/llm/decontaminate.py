@@ -32,11 +32,11 @@ OVERLAP = T.StructType(
     [
         T.StructField("n_words", T.LongType(), False),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType(), False), False), False),
-        T.StructField("items", T.ArrayType(T.LongType(), False), False),
+        T.StructField("items", T.ArrayType(T.StringType(), False), False),
     ]
 )
 _ARROW_OVERLAP = pa.struct(
-    [("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))]
+    [("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))]
 )
 
 
@@ -165,12 +165,13 @@ def merge_spans(spans):
 def item_groups(benchmark: DataFrame, item_id="item_id", text="text", max_words=MAX_WORDS_PER_AUTOMATON):
     """Lists of `(item_id, words)` with at most `max_words` words each.
 
-    Items come to the driver one group at a time. Null ids and texts without
-    words are left out; they have no window that could be named.
+    Items come to the driver one group at a time. Ids of any type are texts here; an
+    item without an id keeps its windows, which then name nothing. Texts without words
+    are left out.
     """
-    rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
+    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t"))
     group, size = [], 0
-    for row in rows.where("i is not null and t is not null").toLocalIterator():
+    for row in rows.where("t is not null").toLocalIterator():
         words = alnum_words(row["t"].encode())
         if group and size + len(words) > max_words:
             yield group
@@ -185,10 +186,10 @@ def item_groups(benchmark: DataFrame, item_id="item_id", text="text", max_words=
 def find_overlaps(
     df: DataFrame, benchmark: DataFrame, text="text", into="overlap", window=WINDOW, max_words=MAX_WORDS_PER_AUTOMATON
 ) -> DataFrame:
-    """`df` with `n_words`, hit word ranges `spans` and `items` that have a window in the text.
+    """`df` with `n_words`, hit word ranges `spans` and ids of `items` (as texts) with a window in the text.
 
     Null and empty texts have no words. Without items nothing is hit. Repeated
-    items count once per id. All other columns stay; one named like `into` is
+    items count once per id; items without an id hit words, but are not in `items`. All other columns stay; one named like `into` is
     replaced. Row-wise, no shuffle; more than `KEPT` groups of items need passes.
     """
     spark = df.sparkSession
@@ -226,7 +227,7 @@ def _scanner(items, window):
             spans, found = automaton.overlaps(words)
             if before:
                 spans, found = merge_spans(before["spans"] + spans), found.union(before["items"])
-            rows.append({"n_words": len(words), "spans": spans, "items": sorted(found)})
+            rows.append({"n_words": len(words), "spans": spans, "items": sorted(found - {None})})
         return pa.array(rows, _ARROW_OVERLAP)
 
     return scan.asNondeterministic()

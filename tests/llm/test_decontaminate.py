@@ -40,7 +40,7 @@ def benchmark(spark):
 @pytest.mark.parametrize("max_words", [10**6, 15])
 def test_groups_of_items_give_the_same(spark, odd, benchmark, max_words):
     random.seed(3)
-    items = [(r["item_id"], (r["text"] or "").lower().split()) for r in benchmark.collect() if r["item_id"] is not None and r["text"] != "..."]
+    items = [(r["item_id"], (r["text"] or "").lower().split()) for r in benchmark.collect() if r["text"] != "..."]
     parts = [" ".join(w) for _, w in items if w]
     rows = [(100 + i, " X ".join(random.choices(parts, k=3)) + " z" * (i % 9)) for i in range(20)]
     df = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -50,7 +50,7 @@ def test_groups_of_items_give_the_same(spark, odd, benchmark, max_words):
         words = [w.decode() for w in decontaminate.alnum_words((r["text"] or "").encode())]
         hit, found = plainly(items, words, 13)
         overlap = r["overlap"]
-        assert overlap["n_words"] == len(words) and set(overlap["items"]) == found
+        assert overlap["n_words"] == len(words) and set(overlap["items"]) == {str(i) for i in found if i is not None}
         assert {k for a, b in overlap["spans"] for k in range(a, b)} == hit
 
 
@@ -100,3 +100,14 @@ def test_many_groups_go_in_passes(spark, odd, benchmark):
     assert 0 < parts._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= decontaminate.KEPT
     overlap = lambda df: sorted(map(str, df.select("doc_id", "overlap").collect()))
     assert overlap(whole) == overlap(parts)
+
+
+def test_items_without_an_id_and_with_text_ids(spark, odd):
+    rows = [(None, " ".join(f"copied{i}" for i in range(20))), ("ü-1", " ".join(f"copied{i}" for i in range(15, 40))), ("b", "Ünïcode ß")]
+    benchmark = spark.createDataFrame(rows, "item_id string, text string")
+    found = {r["doc_id"]: r["overlap"] for r in decontaminate.find_overlaps(odd.dropDuplicates(["doc_id"]), benchmark).collect()}
+    assert found[5]["spans"] == [[0, 40]] and found[5]["items"] == ["ü-1"]
+    assert found[8]["items"] == ["b"]
+    alone = spark.createDataFrame(rows[:1], "item_id string, text string")
+    kept = decontaminate.drop_contaminated(odd, alone)
+    assert {5, 6, 7}.isdisjoint({r["doc_id"] for r in kept.collect()})
