@@ -1,6 +1,7 @@
 """Queries on judge prompts, verdicts, votes and the judging and scoring jobs."""
 
 import string
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -252,8 +253,8 @@ def _multi_turn_pairs(spark, folder):
     )
 
 
-def _count_answers(store, name):
-    return store.known().groupBy(F.lit("eng_Latn").alias("language")).agg(F.count(F.lit(1)).alias(name))
+def _counted(df, **columns):
+    return df.groupBy(F.lit("eng_Latn").alias("language")).agg(*[c.alias(name) for name, c in columns.items()])
 
 
 @query(
@@ -272,10 +273,15 @@ def resume_judging(spark, folder):
     store, judge = AnswerStore(spark, fresh_path(spark, "answers")), {"org/by-length": judging.length_judge()}
     pairs = shape.dialogues(_multi_turn_pairs(spark, folder))
     judging.judge_pairs_from(pairs, judge, store, seed=3, max_turns=4)
-    first = _count_answers(store, "asked_first")
+    first = _counted(store.known(), asked_first=F.count(F.lit(1)))
     judged = judging.judge_pairs_from(pairs, judge, store, seed=3, parts=3)
-    scores = judged.groupBy("language").agg(F.count("result").alias("num_total"), F.sum("result").alias("num_correct"))
-    return scores.join(first, "language").join(_count_answers(store, "asked"), "language")
+    counts = [
+        _counted(judged, num_total=F.count("result"), num_correct=F.sum("result")),
+        first,
+        _counted(store.known(), asked=F.count(F.lit(1))),
+    ]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), counts)
+    return every.groupBy("language").agg(*[F.sum(c).alias(c) for c in every.columns if c != "language"])
 
 
 @query(

@@ -1,8 +1,8 @@
 """Registry of queries and their SQL counterparts."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prefboard.operators.ranking import numbered
 from prefboard.plans.views import using
 
 QUERIES = {}
@@ -22,8 +22,9 @@ def query(name, views="", sql=None):
 
 
 def placed(ordered):
-    """A sorted result with the `place` of each row, so that its order is compared too."""
-    return numbered(ordered)
+    """A sorted board, of one row per model, with the `place` of each row, so that its order is compared too."""
+    numbered = ordered.withColumn("_order", F.monotonically_increasing_id())
+    return numbered.withColumn("place", F.row_number().over(W.orderBy("_order"))).drop("_order")
 
 
 def r6(column, name=None):

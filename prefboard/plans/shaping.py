@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from prefboard.functions import fixed, lookups, text
 from prefboard.operators import naming, shape
-from prefboard.plans.registry import placed, query
+from prefboard.operators.ranking import numbered
+from prefboard.plans.registry import query
 from prefboard.plans.views import quote, sql_sentences
 from prefboard.sources import derived
 
@@ -284,7 +285,7 @@ def model_file_key(spark, folder):
 from pairs where subset is not null group by subset""",
 )
 def value_counts(spark, folder):
-    return placed(shape.value_counts(derived.pairs(spark, folder), "subset"))
+    return numbered(shape.value_counts(derived.pairs(spark, folder), "subset"))
 
 
 @query("distinct_values", "judgements", "select distinct subset from judgements")

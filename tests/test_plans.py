@@ -46,3 +46,20 @@ def test_row_wise_work_does_not_shuffle(spark, folder, name):
 def test_texts_are_read_only_where_used(spark, folder, name):
     wanted = name == "random_subset"
     assert ("text:string" in plan_of(spark, folder, name)) == wanted
+
+
+def test_values_are_placed_without_one_window(spark, folder):
+    plan = plan_of(spark, folder, "value_counts")
+    assert "Window" not in plan
+
+
+@pytest.mark.parametrize("name", ["scan_csv", "scan_label_matrix", "stored_instances"])
+def test_files_are_read_in_ranges(spark, folder, name):
+    plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    formats = set(re.findall(r"Relation \[[^\]]*\] (\w+)", plan))
+    assert "text" in formats and formats <= {"text", "parquet"}
+
+
+@pytest.mark.parametrize("name", ["run_judges", "resume_judging", "translate_distinct"])
+def test_results_of_calls_come_from_the_store(spark, folder, name):
+    assert "EvalPython" not in plan_of(spark, folder, name)
