@@ -339,6 +339,7 @@ def encode_texts(df: DataFrame, tokenizer: str, text="text", into="ids", bits=BI
     # ... and goes to the texts in which it stands; equal texts ask for it once
     asked = marked.select("key", "text").mapInArrow(places_of_chunks, "key binary, start int, end int, digest binary").distinct()
     by_text = asked.join(chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("start", "end", "ids")).alias("chunks"))
+    by_text = materialise(by_text, "chunks-of-texts")  # so that copies of one text are split over tasks in the join
     together = marked.join(by_text, "key", "left").select("row", "text", "chunks").mapInArrow(joined, with_ids)
 
     back = [F.col("text").cast(df.schema[n].dataType).alias(n) if n == text else F.col(f"row.`{n}`") for n in names]
