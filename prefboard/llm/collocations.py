@@ -9,9 +9,10 @@ phrases, in both indexes at once; the widths are the counts in this shard. Phras
 grown from words, to the right and to the left in turn, and counts are added up over
 shards.
 
-A phrase cannot occur often when two neighbouring words of it do not. So words and
-word pairs are counted first, and a bitmap of fixed size tells the shards which of
-them are frequent somewhere; what is not is not grown further. The bitmap may let
+A phrase cannot occur often when two or three neighbouring words of it do not. So words
+and pairs, and then triples of frequent pairs, are counted first, and a bitmap of fixed
+size tells the shards which of them are frequent somewhere; what is not is not grown
+further. The bitmap may let
 others through, whose true counts then drop them.
 
 Word ids are 64-bit hashes of language and word, the same in every shard.
@@ -36,7 +37,7 @@ INSIDE = 80
 SCALE = 2_000_000
 NO_LANGUAGE = "und"
 #: Places of a shard; one text of more is a shard of its own.
-SHARD = 1 << 20
+SHARD = 3 << 18
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _END = b"\xff"  # in no UTF-8 text
@@ -55,11 +56,6 @@ def piece_words(text: bytes) -> list:
     return [w for w in words if w] + [_END]
 
 
-def word_id(language: bytes, word: bytes) -> int:
-    """64-bit hash, never 0."""
-    return xxhash.xxh3_64_intdigest(word, seed=xxhash.xxh3_64_intdigest(language)) or 1
-
-
 def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     x = left * _U(0x9E3779B97F4A7C15) + right
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -67,29 +63,44 @@ def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def triple_hashes(first, second, third) -> np.ndarray:
+    return pair_hashes(pair_hashes(first, second), third)
+
+
+class _Numbers(dict):
+    """Numbers of a language's words, given as they come; `named` lists all words of the shard."""
+
+    def __init__(self, language, named):
+        super().__init__({_END: 0})
+        self._language, self._named = language, named
+
+    def __missing__(self, word):
+        self._named.append((self._language, word))
+        number = self[word] = len(self._named)
+        return number
+
+
 class Shard:
     """Texts as local word numbers, 0 between pieces, with what the numbers stand for."""
 
     def __init__(self):
-        self._numbers, self._parts, self.size = {}, [], 0
+        self._numbers, self._named, self._parts, self.size = {}, [], [], 0
 
     def add(self, language: bytes, text: bytes):
         words = piece_words(text)
-        known = self._numbers.setdefault(language, {_END: 0})
-        start = sum(map(len, self._numbers.values())) - len(self._numbers)
-        for word in set(words) - known.keys():
-            start += 1
-            known[word] = start
+        known = self._numbers.get(language)
+        if known is None:
+            known = self._numbers[language] = _Numbers(language, self._named)
         self._parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
         self.size += len(words)
 
     def closed(self):
         """`(places, languages, words, ids)`; the last three by number, from 1 on."""
         places = np.concatenate([np.zeros(1, np.int64), *self._parts])
-        named = sorted((n, lang, word) for lang, known in self._numbers.items() for word, n in known.items() if n)
-        ids = np.zeros(len(named) + 1, np.uint64)
-        ids[1:] = [word_id(lang, word) for _, lang, word in named]
-        return places, [lang for _, lang, _ in named], [word for _, _, word in named], ids
+        seeds = {language: xxhash.xxh3_64_intdigest(language) for language in self._numbers}
+        ids = np.zeros(len(self._named) + 1, np.uint64)
+        ids[1:] = [xxhash.xxh3_64_intdigest(word, seeds[language]) or 1 for language, word in self._named]
+        return places, [language for language, _ in self._named], [word for _, word in self._named], ids
 
 
 def shards_of(batches, size=None):
@@ -106,8 +117,8 @@ def shards_of(batches, size=None):
 
 
 def _grouped(keys):
-    """`(order, starts, counts)` of equal keys; `order` is stable."""
-    order = np.argsort(keys, kind="stable")
+    """`(order, starts, counts)` of equal keys."""
+    order = np.argsort(keys)
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return order, starts, np.diff(np.append(starts, len(keys)))
@@ -129,9 +140,9 @@ class Direction:
         rank = np.empty(n, np.int64)
         rank[order] = np.repeat(np.arange(len(starts)), counts)
         later = np.append(rank[2:], [0, 0])[:n]
-        rows = np.argsort(rank * len(starts) + later, kind="stable")
+        rows = np.argsort(rank * len(starts) + later)
         self.before = places[rows - 1]  # in front of the first place stands the last one, 0
-        order = np.argsort(self.before, kind="stable")
+        order = np.argsort(self.before * n + np.arange(n))
         self.moved = np.empty(n, np.int64)
         self.moved[order] = np.arange(n)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(places, minlength=words + 1))])
@@ -147,11 +158,11 @@ class Direction:
         rows = np.arange(int(width.sum())) - offset[owner] + low[owner]
         front = self.before[rows]
         order, starts, counts = _grouped(owner * len(self.first) + front)
-        of = order[starts]
-        parent, word = owner[of], front[of]
+        parent, word = owner[order[starts]], front[order[starts]]
+        moved = np.minimum.reduceat(self.moved[rows[order]], starts) if len(starts) else starts
         smaller = starts - offset[parent]
         some = word > 0
-        return parent[some], word[some], self.moved[rows[of]][some], counts[some], smaller[some]
+        return parent[some], word[some], moved[some], counts[some], smaller[some]
 
 
 class TwoWayIndex:
@@ -185,15 +196,15 @@ def _kept(phrases, which):
     return tuple(part[which] for part in phrases)
 
 
-def frequent_phrases(places, ids, bitmap=None, longest=LONGEST):
+def frequent_phrases(places, ids, bitmap=None, longest=LONGEST, triples=False):
     """Yields `(word numbers, counts)` of the phrases of 1, 2, ... words of a shard.
 
-    With a bitmap, only those whose words and neighbouring pairs may be in it.
+    With a bitmap, only those whose words and neighbouring pairs may be in it, and
+    with `triples` their neighbouring triples too.
     """
     n = len(ids) - 1
     if bitmap is not None:
-        kept = np.concatenate([[False], possible(bitmap, ids[1:])]) if n else np.zeros(1, bool)
-        places = np.where(kept[places], places, 0)
+        places = _only(places, ids, bitmap)
     index = TwoWayIndex(places, n)
     phrases = index.words()
     phrases = _kept(phrases, phrases[3] > 0)
@@ -202,12 +213,24 @@ def frequent_phrases(places, ids, bitmap=None, longest=LONGEST):
         left = length % 2 == 1
         phrases = index.extend(phrases, left)
         if bitmap is not None:
-            at = 0 if left else length - 2
-            pairs = pair_hashes(ids[phrases[0][:, at]], ids[phrases[0][:, at + 1]])
-            phrases = _kept(phrases, possible(bitmap, pairs))
+            new = ids[phrases[0][:, :3] if left else phrases[0][:, -3:]]  # words around the one that was added
+            which = possible(bitmap, pair_hashes(*(new[:, :2] if left else new[:, -2:]).T))
+            if triples and length > 2:
+                which &= possible(bitmap, triple_hashes(*new.T))
+            phrases = _kept(phrases, which)
         yield phrases[0], phrases[3]
 
 
+def _hash_batch(hashes, counts):
+    return pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(counts)], ["hash", "n"])
+
+
+def _only(places, ids, bitmap):
+    """Places with separators for all words that are not in the bitmap."""
+    kept = np.append(False, possible(bitmap, ids[1:])) if len(ids) > 1 else np.zeros(1, bool)
+    return np.where(kept[places], places, 0)
+
+
 def _word_and_pair_counts(batches):
     for places, _, _, ids in shards_of(batches):
         left, right = places[:-1], places[1:]
@@ -215,9 +238,16 @@ def _word_and_pair_counts(batches):
         order, starts, counts = _grouped((left * len(ids) + right)[both])
         of = order[starts]
         pairs = pair_hashes(ids[left[both][of]], ids[right[both][of]])
-        per_word = np.bincount(places, minlength=len(ids))[1:]
-        hashes = np.concatenate([ids[1:], pairs]).view(np.int64)
-        yield pa.record_batch([pa.array(hashes), pa.array(np.concatenate([per_word, counts]))], ["hash", "n"])
+        yield _hash_batch(np.append(ids[1:], pairs), np.append(np.bincount(places, minlength=len(ids))[1:], counts))
+
+
+def _triple_counts(members):
+    def count(batches):
+        for places, _, _, ids in shards_of(batches):
+            *_, (numbers, counts) = frequent_phrases(places, ids, members.value, 3)
+            yield _hash_batch(triple_hashes(*ids[numbers].T), counts)
+
+    return count
 
 
 #: Rows of a shard: `n` occurrences of the words `w1` to `w4` (0 behind a shorter phrase),
@@ -232,7 +262,7 @@ def _phrase_counts(members, longest):
             for language, n in zip(languages, per_word.tolist()):
                 totals[language] += n
             yield _count_batch(np.zeros((len(totals), 1), np.uint64), list(totals.values()), list(totals))
-            for numbers, counts in frequent_phrases(places, ids, members.value, longest):
+            for numbers, counts in frequent_phrases(places, ids, members.value, longest, triples=True):
                 told = numbers[:, 0].tolist() if numbers.shape[1] == 1 else None
                 for start in range(0, len(counts), 200_000):
                     part = slice(start, start + 200_000)
@@ -269,9 +299,14 @@ class Counts:
 
     def __init__(self, df, text, lang, min_count, longest, bits):
         rows = df.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)), F.col(text).cast("string"))
-        seen = rows.mapInArrow(_word_and_pair_counts, "hash long, n long")
-        often = seen.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-        members = df.sparkSession.sparkContext.broadcast(bitmap_of(materialise(often.select("hash"), "frequent-pairs"), bits))
+        broadcast = df.sparkSession.sparkContext.broadcast
+
+        def often(function, name):
+            sums = rows.mapInArrow(function, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+            return bitmap_of(materialise(sums.where(F.col("n") >= min_count).select("hash"), name), bits)
+
+        pairs = often(_word_and_pair_counts, "frequent-pairs")
+        members = broadcast(pairs | often(_triple_counts(broadcast(pairs)), "frequent-triples"))
         counts = materialise(rows.mapInArrow(_phrase_counts(members, longest), _COUNTS), "phrase-counts")
         summed = counts.where("w1 <> 0").groupBy(*_WORDS).agg(F.sum("n").alias("f"))
         self.phrases = materialise(summed.where(F.col("f") >= min_count), "frequent-phrases")
