@@ -1,16 +1,17 @@
 """Licence notices in texts as an exact set-similarity join with templates.
 
-A block is a line of a text, continued by the first words after it so that a short
-phrase may run over a line end. A template is found in a block when the block has
-at least `threshold` of the template's distinct words. Words are ordered by their
-frequency over all blocks, rarest first. A pair is looked at only if the two share
+A template is found in a block when the block has at least `threshold` of the
+template's distinct words. Blocks are all runs of half as many words again as the
+template has, so a notice may be wrapped anywhere, and words scattered over a long
+line are none. Phrases whose words must also stand consecutively are looked for in
+the lines of a text, each continued by the first words after it. Words are ordered by their
+frequency over all lines, rarest first. A pair is looked at only if the two share
 a word within their prefixes (prefix filter), if the block has enough words of the
 templates (length filter), and if enough words are left behind the shared ones
-(positional filter); then the overlap is counted on the full sets.
+(positional filter); then the overlap is counted on the full sets. A text whose words
+do not pass the filters has no run that does.
 
-With `windows`, templates that are not exact are looked for without regard to lines:
-in every run of half as many words again as the template has. So a notice may be
-wrapped anywhere, and words scattered over a long line are none.
+Without `windows`, lines are the blocks of all templates.
 
 Templates are a parameter of fixed size and go to every task; texts do not move.
 """
@@ -44,19 +45,47 @@ PHRASES = (
     Template("reserved", "all rights reserved", 1.0, True),
 )
 
-# First sentences of widely used notices.
+# Openings of widely used notices, and short names of licences.
 NOTICES = (
     Template("agpl-3.0", "gnu affero general public license version 3", 1.0),
     Template("apache-2.0", "licensed under the apache license version 2.0 you may not use this file except in compliance with the license"),
+    Template(
+        "apache-2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an "
+        "as is basis without warranties or conditions of any kind either express or implied see the license for the specific "
+        "language governing permissions and limitations under the license",
+    ),
     Template("apache-2.0", "licensed under the apache license version 2.0", 1.0),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     Template("cc-by-4.0", "this work is licensed under a creative commons attribution 4.0 international license"),
     Template("cc-by-nc-4.0", "licensed under cc by nc 4.0", 1.0),
     Template("cc-by-sa-4.0", "licensed under cc by sa 4.0", 1.0),
+    Template(
+        "gnu",
+        "is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+        "published by the free software foundation either version 3 of the license or at your option any later version",
+    ),
     Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", 0.9),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    Template("lgpl", "gnu lesser general public license", 1.0),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation the rights "
+        "to use copy modify merge publish distribute sublicense and or sell copies of the software",
+    ),
     Template("mit", "released under the mit license", 1.0),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license version 2.0"),
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use "
+        "compile sell or distribute this software either in source code form or as a compiled binary",
+    ),
 )
 
 MATCH = T.StructType(
@@ -238,11 +267,11 @@ def _at_least(threshold, size):
     return max(1, -(-round(threshold * 10**6) * size // 10**6))
 
 
-def find_licenses(df: DataFrame, templates=PHRASES + NOTICES, text="text", into="licenses", windows=False) -> DataFrame:
+def find_licenses(df: DataFrame, templates=PHRASES + NOTICES, text="text", into="licenses", windows=True) -> DataFrame:
     """`df` with `n_words` and `matches (label, base, block, start, containment)`.
 
-    Every block that meets a template's threshold is a match (with `windows`, the best
-    of overlapping word windows, and `block` is the line it begins in); `base` marks those
+    Of overlapping word windows that meet a template's threshold the best is a match, and
+    `block` is the line it begins in (without `windows`, every line that meets it); `base` marks those
     whose words stand consecutively, one match for each place. Null and empty
     texts have 0 words and no match. All other columns stay; one named like `into`
     is replaced. Two passes over the texts, nothing is shuffled but the counts.

@@ -94,7 +94,7 @@ from d left join hits h using (doc_id) left join items i using (doc_id)"""
 
 
 def _license_sql():
-    """Templates as literal rows; lines of a text with their first word."""
+    """Templates as literal rows; phrases by lines and the words behind them, notices by every window that begins with one of their words."""
     rows = []
     for number, t in enumerate(license_scan.PHRASES + license_scan.NOTICES):
         words = [w.decode() for w in license_scan.alnum_words(t.text.encode())]
@@ -119,19 +119,27 @@ blocks as materialized (
   from placed p join d using (doc_id) where len(p.w) > 0
 ),
 tried as (
-  select doc_id, first, label, exact, words, len(line) as size, case when exact then longer else line end as part,
-    needed, distinct_words from blocks, t
-  where list_has_any(line, distinct_words)
+  select doc_id, first, label, words, len(line) as size, longer as part from blocks, t
+  where exact and len(list_filter(distinct_words, lambda x: list_contains(longer, x))) >= needed
 ),
-alike as materialized (
-  select *, len(list_filter(distinct_words, lambda x: list_contains(part, x))) as shared from tried
-  where len(list_filter(distinct_words, lambda x: list_contains(part, x))) >= needed
+own_words as (select number, needed, len(distinct_words) as own, len(words) + (len(words) + 1) // 2 as reach,
+  unnest(distinct_words) as word from t where not exact),
+noticed as materialized (
+  select doc_id, place, number, needed, own, reach, word
+  from (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as place from d) join own_words using (word)
+),
+possible as (select doc_id, number from noticed group by doc_id, number having count(distinct word) >= any_value(needed)),
+windows as (
+  select doc_id, number, needed, own, count(distinct word) over (
+    partition by doc_id, number order by place range between current row and reach - 1 following) as shared
+  from noticed join possible using (doc_id, number)
 ),
 places as (
-  select doc_id, label, first + i - 1 as start, shared / len(distinct_words) as containment, true as base
-  from (select *, unnest(range(1, size + 1)) as i from alike where exact) where part[i:i + len(words) - 1] = words
+  select doc_id, label, first + i - 1 as start, 1.0::double as containment, true as base
+  from (select *, unnest(range(1, size + 1)) as i from tried) where part[i:i + len(words) - 1] = words
   union all
-  select doc_id, label, null, shared / len(distinct_words), false from alike where not exact
+  select doc_id, label, null, max(shared / own), false
+  from windows join t using (number) where shared >= windows.needed group by doc_id, number, label
 ),
 found as (
   select doc_id, count_if(base) as n_base, min(start) as first_word, max(start) as last_word,

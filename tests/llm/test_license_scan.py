@@ -91,7 +91,7 @@ def test_wrapped_notices_and_scattered_words(spark):
     for t in NOTICES:
         wanted[len(texts)] = None
         texts.append(f" {filler(1000)} ".join(t.text.split()))
-    df = license_scan.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), NOTICES, windows=True)
+    df = license_scan.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), NOTICES)
     for r in df.collect():
         found = {m["label"] for m in r["licenses"]["matches"]}
         assert wanted[r["doc_id"]] in found if wanted[r["doc_id"]] else not found
@@ -118,12 +118,19 @@ def test_odd_rows(odd, none, clashing):
     assert license_scan.find_licenses(none).count() == 0
 
 
-def test_whole_table_with_all_templates(spark, folder):
+@pytest.mark.parametrize("windows", [True, False])
+def test_whole_table_with_all_templates(spark, folder, windows):
     texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    rows = license_scan.find_licenses(texts).collect()
+    rows = license_scan.find_licenses(texts, windows=windows).collect()
     some = 0
     for r in rows:
-        matches = sorted(tuple(m) for m in r["licenses"]["matches"])
-        assert (r["licenses"]["n_words"], matches) == plainly(r["text"] or "", PHRASES + NOTICES)
+        text, matches = r["text"] or "", sorted(tuple(m) for m in r["licenses"]["matches"])
+        count, expected = plainly(text, PHRASES + NOTICES)
+        if windows:
+            assert [m for m in matches if m[1]] == [m for m in expected if m[1]]
+            assert sorted((m[0], m[3], m[4]) for m in matches if not m[1]) == windows_plainly(text, NOTICES)
+        else:
+            assert matches == expected
+        assert r["licenses"]["n_words"] == count
         some += bool(matches)
     assert some > 5
