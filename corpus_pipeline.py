@@ -24,8 +24,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir) -> DataFrame:
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir) -> DataFrame:
-    """Documents of which less than a twentieth stands in a benchmark item."""
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents of which less than a twentieth stands in benchmark items, without the
+    spans of 13 and more words that do."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefboard.llm.texts import alnum_places, alnum_words, as_bytes
+from prefboard.llm.texts import alnum_places, alnum_words, as_bytes, unused_name
 from prefboard.session import materialise
 
 WINDOW = 13
@@ -247,19 +247,13 @@ def is_contaminated(overlap: Column, share=20) -> Column:
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, share=20, window=WINDOW) -> DataFrame:
     """Rows whose hit words stay below the coverage limit, unchanged."""
-    marked = find_overlaps(df, benchmark, into="__overlap", window=window)
-    return marked.where(~is_contaminated(F.col("__overlap"), share)).drop("__overlap")
+    overlap = unused_name("overlap", df.columns)
+    marked = find_overlaps(df, benchmark, into=overlap, window=window)
+    return marked.where(~is_contaminated(F.col(overlap), share)).drop(overlap)
 
 
-def remove_spans(df: DataFrame, benchmark: DataFrame, longest=WINDOW - 1, share=20, window=WINDOW, text="text") -> DataFrame:
-    """All rows, without the hit spans beyond the limits.
-
-    A span of more than `longest` words goes, and every span goes where the hit words
-    reach the coverage limit, one word in `share`. A span is cut from the start of its
-    first word to the end of its last; what stands around it stays. Texts without such
-    spans, null and empty ones stay as they are. When there is an `n_chars` column, it
-    is set anew for changed texts.
-    """
+def _without_spans(found: DataFrame, overlap, names, longest, share, text) -> DataFrame:
+    """Columns `names` of `found`, whose texts lose the spans in `overlap` beyond the limits."""
 
     @F.arrow_udf(returnType=T.StringType())
     def cut(column: pa.Array, overlaps: pa.Array) -> pa.Array:
@@ -278,11 +272,36 @@ def remove_spans(df: DataFrame, benchmark: DataFrame, longest=WINDOW - 1, share=
             out.append(value)
         return pa.array(out, pa.binary()).cast(pa.string())
 
-    names = df.columns
-    found = find_overlaps(df, benchmark, text, "__overlap", window)
-    cleaned = found.withColumn("__cleaned", cut.asNondeterministic()(F.col(text).cast("string"), F.col("__overlap")))
+    after = unused_name("cleaned", found.columns)
+    cleaned = found.withColumn(after, cut.asNondeterministic()(F.col(text).cast("string"), F.col(overlap)))
     if "n_chars" in names:
-        kept = F.col("__cleaned").eqNullSafe(F.col(text))
-        count = F.char_length("__cleaned").cast(df.schema["n_chars"].dataType)
+        kept = F.col(after).eqNullSafe(F.col(text))
+        count = F.char_length(after).cast(found.schema["n_chars"].dataType)
         cleaned = cleaned.withColumn("n_chars", F.when(kept, F.col("n_chars")).otherwise(count))
-    return cleaned.withColumn(text, F.col("__cleaned")).select(*[F.col(f"`{n}`") for n in names])
+    return cleaned.withColumn(text, F.col(after)).select(*[F.col(f"`{n}`") for n in names])
+
+
+def remove_spans(df: DataFrame, benchmark: DataFrame, longest=WINDOW - 1, share=20, window=WINDOW, text="text") -> DataFrame:
+    """All rows, without the hit spans beyond the limits.
+
+    A span of more than `longest` words goes, and every span goes where the hit words
+    reach the coverage limit, one word in `share`. A span is cut from the start of its
+    first word to the end of its last; what stands around it stays. Texts without such
+    spans, null and empty ones stay as they are. When there is an `n_chars` column, it
+    is set anew for changed texts.
+    """
+    overlap = unused_name("overlap", df.columns)
+    found = find_overlaps(df, benchmark, text, overlap, window)
+    return _without_spans(found, overlap, df.columns, longest, share, text)
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, longest=WINDOW - 1, share=20, window=WINDOW, text="text") -> DataFrame:
+    """Rows whose hit words stay below the coverage limit, without their hit spans of
+    more than `longest` words (as `remove_spans`).
+
+    Rows at the limit go whole. All others stay, null and empty texts too, and texts
+    without such a span are unchanged. One pass over the texts.
+    """
+    overlap = unused_name("overlap", df.columns)
+    found = find_overlaps(df, benchmark, text, overlap, window)
+    return _without_spans(found.where(~is_contaminated(F.col(overlap), share)), overlap, df.columns, longest, share, text)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefboard.llm.texts import as_bytes, in_use, lookup_table, portions
+from prefboard.llm.texts import as_bytes, in_use, lookup_table, portions, unused_name
 from prefboard.session import materialise
 
 BUCKETS, DIMENSIONS, NEAR = 1 << 13, 32, 2
@@ -282,5 +282,5 @@ def keep_good(df: DataFrame, labels: DataFrame, threshold=THRESHOLD) -> DataFram
     model = fit_quality(df, labels)
     if isinstance(model.network, Constant):
         return df
-    scored = model.score(df, into="__score")
-    return scored.where(F.col("__score") >= threshold).drop("__score")
+    score = unused_name("score", df.columns)
+    return model.score(df, into=score).where(F.col(score) >= threshold).drop(score)

@@ -93,3 +93,11 @@ def portions(values: list, size=2 << 20):
             start, total = at + 1, 0
     if start < len(values):
         yield start, len(values)
+
+
+def unused_name(name: str, columns) -> str:
+    """`name`, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from prefboard.llm import decontaminate
 
@@ -111,3 +112,25 @@ def test_items_without_an_id_and_with_text_ids(spark, odd):
     alone = spark.createDataFrame(rows[:1], "item_id string, text string")
     kept = decontaminate.drop_contaminated(odd, alone)
     assert {5, 6, 7}.isdisjoint({r["doc_id"] for r in kept.collect()})
+
+
+def test_documents_go_or_lose_their_spans(spark, odd, none, clashing):
+    item = " ".join(f"q{i}" for i in range(40))
+    benchmark = spark.createDataFrame([(1, item), (2, "short item")], "item_id long, text string")
+    clean = " ".join(f"c{i}" for i in range(1000))
+    texts = {
+        1: (f"{clean} ({item}). {clean}", f"{clean} (). {clean}"),
+        2: (f"{item} {clean[:100]}", None),
+        3: (f"{clean} short item", f"{clean} short item"),
+        4: (clean, clean),
+        5: ("", ""),
+    }
+    df = spark.createDataFrame([(i, t, "en", "a", -1) for i, (t, _) in texts.items()], odd.schema).withColumn("overlap", F.lit(3))
+    df = df.withColumn("_overlap", F.lit(4)).withColumn("cleaned", F.lit(5)).unionByName(df.limit(0), allowMissingColumns=True)
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(df, benchmark).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {i: after for i, (_, after) in texts.items() if i != 2}
+    assert all((r["overlap"], r["_overlap"], r["cleaned"]) == (3, 4, 5) for r in got.values())
+    assert got[1]["n_chars"] == len(texts[1][1]) and got[3]["n_chars"] == -1
+    assert decontaminate.decontaminate(clashing, benchmark).columns == clashing.columns
+    assert decontaminate.decontaminate(odd, benchmark).exceptAll(odd).count() == 0
+    assert decontaminate.decontaminate(none, benchmark).count() == 0

@@ -54,8 +54,16 @@ def test_decontamination_stage(spark, folder, stages):
         own = words(r["text"])
         hit = {p for k in range(len(own) - 12) if tuple(own[k : k + 13]) in seen for p in range(k, k + 13)}
         if not (hit and 20 * len(hit) >= len(own)):
-            kept.append(tuple(r))
-    assert rows_of(stages[3]) == sorted(kept) and len(kept) < stages[2].count()
+            left = [w for p, w in enumerate(own) if p not in hit]
+            kept.append((r, left, hit))
+    after = {r["doc_id"]: r for r in stages[3].collect()}
+    assert len(after) == len(kept) == stages[3].count() < stages[2].count()
+    for r, left, hit in kept:
+        if hit:
+            assert words(after[r["doc_id"]]["text"]) == left and after[r["doc_id"]]["n_chars"] == len(after[r["doc_id"]]["text"])
+        else:
+            assert after[r["doc_id"]] == r
+    assert all(len(w) >= 13 for _, w in items if w)
 
 
 def test_secret_stage(stages):
