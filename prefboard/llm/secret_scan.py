@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefboard.llm.texts import as_bytes
+from prefboard.llm.texts import as_bytes, unused_name
 
 # Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "github", "npm", "xprv")
@@ -183,9 +183,10 @@ def redact_secrets(df: DataFrame, text="text", mark="<secret>") -> DataFrame:
         return pa.array(out, pa.string())
 
     names = df.columns
-    cleaned = df.withColumn("__cleaned", cut.asNondeterministic()(F.col(text).cast("string")))
+    after = unused_name("cleaned", names)
+    cleaned = df.withColumn(after, cut.asNondeterministic()(F.col(text).cast("string")))
     if "n_chars" in names:
-        kept = F.col("__cleaned").eqNullSafe(F.col(text))
-        count = F.char_length("__cleaned").cast(df.schema["n_chars"].dataType)
+        kept = F.col(after).eqNullSafe(F.col(text))
+        count = F.char_length(after).cast(df.schema["n_chars"].dataType)
         cleaned = cleaned.withColumn("n_chars", F.when(kept, F.col("n_chars")).otherwise(count))
-    return cleaned.withColumn(text, F.col("__cleaned")).select(*[F.col(f"`{n}`") for n in names])
+    return cleaned.withColumn(text, F.col(after)).select(*[F.col(f"`{n}`") for n in names])
