@@ -5,11 +5,13 @@ score`, where `category` is `Overall` or one of the four categories. It holds on
 row per run and category, however many instances were scored.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prefboard.functions import fixed, metrics
+from prefboard.operators import ranking
+from prefboard.session import materialise
 
 ENGLISH = fixed.ENGLISH
 
@@ -144,19 +146,23 @@ def pearson(frame: DataFrame, first="eng_Latn", second="avg_multilingual") -> Da
     return complete.agg(F.corr(first, second).alias("pearson"))
 
 
-def _average_rank(column: str) -> Column:
-    ties = F.count(F.lit(1)).over(W.partitionBy(column))
-    return F.rank().over(W.orderBy(column)) + (ties - 1) / 2.0
+def _average_ranks(frame: DataFrame, column: str, into: str) -> DataFrame:
+    """Values of a column with their ranks: the mean of the places that equal ones take."""
+    placed = ranking.numbered(frame.select(column).orderBy(column), "_place")
+    return placed.groupBy(column).agg(F.avg("_place").alias(into))
 
 
 def spearman(frame: DataFrame, first="eng_Latn", second="avg_multilingual") -> DataFrame:
-    """Rank correlation with average ranks.
+    """Rank correlation with average ranks; rows that miss a value are left out. Null where
+    all ranks are equal.
 
-    Ranks need one ordered pass over the frame, which has one row per model.
+    Rows are ordered over many tasks, and equal values share one row of the ranks.
     """
-    complete = frame.dropna("any", subset=[first, second])
-    ranked = complete.select(_average_rank(first).alias("r1"), _average_rank(second).alias("r2"))
-    return ranked.agg(F.corr("r1", "r2").alias("spearman"))
+    complete = materialise(frame.dropna("any", subset=[first, second]).select(first, second), "complete")
+    ranked = complete.join(_average_ranks(complete, first, "_r1"), first)
+    ranked = ranked.join(_average_ranks(complete, second, "_r2"), second)
+    spread = F.stddev_pop("_r1") * F.stddev_pop("_r2")
+    return ranked.agg(F.try_divide(F.covar_pop("_r1", "_r2"), spread).alias("spearman"))
 
 
 def merge_scripts(long: DataFrame) -> DataFrame:

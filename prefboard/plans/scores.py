@@ -294,6 +294,19 @@ def scan_results(spark, folder):
     return results.document_scores(classified).withColumn("score", r6("score"))
 
 
+@query(
+    "model_documents",
+    "long_board",
+    f"select {_RUN}, category, round(score, 6) as score from long_board where model in ('org/model-1', 'org/model-3')",
+)
+def model_documents(spark, folder):
+    """Scores of two models from the stored documents of all; other files are not opened."""
+    path = fresh_path(spark, "documents")
+    writers.write_result_documents(_documents(spark, folder), path)
+    documents = readers.read_result_documents(spark, path, models=["org/model-1", "org/model-3"])
+    return results.document_scores(results.classify_documents(documents)).withColumn("score", r6("score"))
+
+
 @query(
     "model_results_lookup",
     "judgements",

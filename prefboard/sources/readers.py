@@ -3,6 +3,8 @@
 Schemas are given, never inferred, so no reader scans its input twice.
 """
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +22,14 @@ def read_pairs(spark: SparkSession, path, language=None, split="filtered", fmt="
     return pairs
 
 
-def read_result_documents(spark: SparkSession, path, multi_line=True) -> DataFrame:
+def read_result_documents(spark: SparkSession, path, multi_line=True, models=None, languages=None) -> DataFrame:
     """Result documents of every language folder below `path`, one per file.
 
     The language is the value of a `language=` folder or else the name of the
-    folder that holds the file.
+    folder that holds the file. With `languages` or `models`, only files that are
+    named so are opened: those in a folder `model_key=<key>`, or whose own name is the
+    key and then `-` or `.`; a model's key is its name with `/` as `___`. Of these,
+    documents of the very models are kept.
     """
     documents = (
         spark.read.schema(schemas.DOCUMENT)
@@ -36,7 +41,29 @@ def read_result_documents(spark: SparkSession, path, multi_line=True) -> DataFra
     file_path = F.col("_metadata.file_path")
     named = F.regexp_extract(file_path, "/language=([^/]+)/", 1)
     parent = F.element_at(F.split(file_path, "/"), -2)
-    return documents.withColumn("language", F.when(named != "", named).otherwise(parent))
+    language = F.when(named != "", named).otherwise(parent)
+    if languages is not None:
+        documents = documents.where(language.isin(list(languages)))
+    if models is not None:
+        documents = documents.where(_named_after(file_path, models)).where(F.col("model").isin(list(models)))
+    return documents.withColumn("language", language)
+
+
+def _named_after(file_path, models):
+    """Whether a file's path tells one of the models. It depends on the path alone, so
+    other files are left out when they are listed.
+
+    Paths are escaped; models with other signs than letters, digits, `.`, `_`, `-` are
+    looked for in all files.
+    """
+    keys = [m.replace("/", "___") for m in models]
+    if any(re.search(r"[^A-Za-z0-9._-]", k) for k in keys):
+        return F.lit(True)
+    file_name = F.element_at(F.split(file_path, "/"), -1)
+    told = F.regexp_extract(file_path, "/model_key=([^/]+)/", 1).isin(keys)
+    for key in keys:
+        told = told | file_name.startswith(f"{key}-") | file_name.startswith(f"{key}.")
+    return told
 
 
 def parse_documents(texts: DataFrame, column="document") -> DataFrame:

@@ -104,6 +104,37 @@ def test_stored_categories_are_averaged_as_they_are(spark):
     assert scores == {"Overall": pytest.approx(0.7), "Chat": 0.5, "Chat Hard": None, "Safety": 0.9, "Reasoning": None}
 
 
+def _files_opened(df):
+    """Rows, and the files that the scan behind them opens."""
+    rows = df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    files = scan.metrics().get("numFiles")
+    assert files.isDefined() or not rows  # no scan is left where nothing can be found
+    return rows, files.get().value() if files.isDefined() else 0
+
+
+def test_files_of_other_models_are_not_opened(spark, imported, tmp_path):
+    read = lambda path=imported, **options: _files_opened(readers.read_result_documents(spark, path, **options))
+    rows, files = read(models=["org/seq"])
+    assert {(r.model, r.language) for r in rows} == {("org/seq", "deu_Latn"), ("org/seq", "eng_Latn")} and files == 2
+    rows, files = read(models=["org/seq", "org/dpo"], languages=["deu_Latn"])
+    assert sorted(r.model for r in rows) == ["org/dpo", "org/seq"] and files == 2
+    rows, files = read(languages=["eng_Latn"])
+    assert {r.language for r in rows} == {"eng_Latn"} and files == len(rows) == 4
+    assert read(models=["none/such"]) == ([], 0) and read(models=[]) == ([], 0)
+    rows, files = read()
+    assert len(rows) == files == 8
+    frame = spark.createDataFrame(
+        [(m, "DPO", k, s, 1.0) for m in ("o/a", "o/a-1", "o/a b") for k in ("deu_Latn", "fra_Latn") for s in ACCURACY],
+        "model string, model_type string, language string, subset string, result double",
+    )
+    path = str(tmp_path / "documents")
+    writers.write_result_documents(results.result_documents(frame, "set", ref_model=F.lit("r")), path)
+    rows, files = read(path, models=["o/a"])
+    assert [r.model for r in rows] == ["o/a"] * 2 and files == 2
+    assert [r.model for r in read(path, models=["o/a b"], languages=["fra_Latn"])[0]] == ["o/a b"]
+
+
 def test_written_documents_have_the_published_fields(spark, tmp_path):
     rows = [
         (m, k, "deu_Latn", s, v)
