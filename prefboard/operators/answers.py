@@ -6,12 +6,13 @@ yet are dealt to parts; the answers of a part are one batch, which later runs re
 the moment it is closed. Equal prompts of any number of rows are asked once.
 """
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefboard.functions.hashing import part
+from prefboard.functions.portions import joined, portions
 from prefboard.session import fresh_path, spread
 from prefboard.sources.batches import Batches, has_files
 
@@ -27,14 +28,19 @@ def prompt_key(system: Column, user: Column) -> Column:
 def _asking(judges):
     """Column function: judge's name, system and user prompt -> answer."""
 
-    @F.pandas_udf(T.StringType())
-    def ask(names: pd.Series, systems: pd.Series, users: pd.Series) -> pd.Series:
-        answers = pd.Series([None] * len(users), index=users.index, dtype=object)
-        for name in names.unique():
-            own = names == name
-            answers[own] = list(judges[name](systems[own].tolist(), users[own].tolist()))
+    def answered(names, systems, users):
+        answers = [None] * len(users)
+        for name in dict.fromkeys(names):
+            own = [i for i, n in enumerate(names) if n == name]
+            given = list(judges[name]([systems[i] for i in own], [users[i] for i in own]))
+            for i, answer in zip(own, given, strict=True):
+                answers[i] = answer
         return answers
 
+    @F.arrow_udf(returnType=T.StringType())
+    def ask(names: pa.Array, systems: pa.Array, users: pa.Array) -> pa.Array:
+        return joined((answered(*part) for part in portions(names, systems, users)), pa.string())
+
     return ask.asNondeterministic()
 
 

@@ -1,8 +1,10 @@
 """Answers kept while a judging run goes on."""
 
 import os
+import tracemalloc
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +163,33 @@ def test_equal_lines_are_translated_once(spark, tmp_path):
     assert again.count() == 50 and len(counted.asked()) == len(asked)
     other = translate.translate_distinct(pairs, ["prompt"], counted, "y", store)
     assert other.count() == 50 and len(counted.asked()) == len(asked) + len(distinct)
+
+
+def test_one_long_text_does_not_widen_the_others():
+    # 10,000 short answers and a long one: as fixed-width texts they took 4 GB
+    users = ["short"] * 9_999 + ["long " * 20_000]
+    ask = answers._asking({"j": lambda systems, texts: [f"<{t}>" for t in texts]}).func
+    tracemalloc.start()
+    try:
+        found = ask(*[pa.array(c, pa.string()) for c in (["j"] * len(users), [None] * len(users), users)])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.to_pylist() == [f"<{t}>" for t in users]
+    assert most < 50 << 20
+
+
+def test_answers_of_several_judges_and_portions_keep_their_places():
+    names, users = ["a", "b", "a"] * 700, [f"{i} " * 1_500 for i in range(2_100)]
+    sizes = []
+
+    def judge(name):
+        return lambda systems, texts: sizes.append(len(texts)) or [None if t.startswith("7 ") else name + t for t in texts]
+
+    ask = answers._asking({n: judge(n) for n in "ab"}).func
+    found = ask(pa.array(names), pa.nulls(len(users), pa.string()), pa.array(users))
+    assert found.to_pylist() == [None if i == 7 else n + u for i, (n, u) in enumerate(zip(names, users))]
+    assert sum(sizes) == len(users) and max(sizes) < 1_000
+    with pytest.raises(ValueError):
+        answers._asking({"a": lambda systems, texts: texts[1:]}).func(pa.array(["a"]), pa.nulls(1, pa.string()), pa.array(["x"]))
+    assert len(ask(*[pa.array([], pa.string())] * 3)) == 0
