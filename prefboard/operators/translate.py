@@ -8,13 +8,14 @@ of the columns to translate travel to Python, in Arrow batches.
 import unicodedata
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefboard.functions import text
 from prefboard.functions.hashing import part
+from prefboard.functions.portions import joined, portions
 from prefboard.operators.answers import prompt_key
 from prefboard.operators.sampling import random_subset
 from prefboard.operators.shape import is_code, require_columns
@@ -62,18 +63,19 @@ def _translated_segments(translate, target_language, batch_size, normalize):
     """Column function: array of segments -> array of translated segments."""
     in_batches = _in_batches(translate, target_language, batch_size, normalize)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(cells: pd.Series) -> pd.Series:
-        segments = [s for cell in cells if cell is not None for s in cell]
-        out = in_batches(segments)
-        result, at = [], 0
+    def translated(cells):
+        out = in_batches([s for cell in cells if cell is not None for s in cell])
+        at = 0
         for cell in cells:
             if cell is None:
-                result.append(None)
+                yield None
             else:
-                result.append(out[at : at + len(cell)])
+                yield out[at : at + len(cell)]
                 at += len(cell)
-        return pd.Series(result, dtype=object)
+
+    @F.arrow_udf(returnType=T.ArrayType(T.StringType()))
+    def run(cells: pa.Array) -> pa.Array:
+        return joined((list(translated(part)) for (part,) in portions(cells)), pa.list_(pa.string()))
 
     return run.asNondeterministic()
 

@@ -3,11 +3,13 @@
 import hashlib
 import math
 import statistics
+import tracemalloc
 import unicodedata
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -722,3 +724,25 @@ def test_fixed_weights():
     assert len(fixed.SUBSETS) == 23 and len(fixed.SUBSET_TITLES) == 30
     assert len(fixed.LANGUAGE_NAMES) == 24 and len(fixed.LANGUAGE_LABELS) == 22
     assert math.isclose(sum(sums.values()), 3405)
+
+
+def test_a_batch_is_translated_in_portions():
+    # 30 MB of lines, which as Python texts of a whole batch took more than as much again
+    rows = [[f"{i} " * 150, "x" * 1_000, ""] if i % 10 else None for i in range(20_000)]
+    cells, kept = pa.array(rows, pa.list_(pa.string())), []
+
+    def upper(texts, language):
+        kept.append((len(texts), tracemalloc.get_traced_memory()[0]))
+        return [t.upper() for t in texts]
+
+    run = translate._translated_segments(upper, "x", 32, False).func
+    tracemalloc.start()
+    try:
+        found = run(cells)
+    finally:
+        tracemalloc.stop()
+    assert found.to_pylist() == [r and [t.upper() for t in r] for r in rows]
+    assert max(n for n, _ in kept) == 32 and sum(n for n, _ in kept) == 3 * 18_000
+    assert max(size for _, size in kept) < 12 << 20
+    assert run(pa.array([], pa.list_(pa.string()))).to_pylist() == []
+    assert run(pa.array([None, []], pa.list_(pa.string()))).to_pylist() == [None, []]
