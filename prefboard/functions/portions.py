@@ -18,5 +18,5 @@ def portions(*columns, size=SIZE):
 
 
 def joined(parts, of: pa.DataType) -> pa.Array:
-    """One column of the values of all `parts`, each a list; NaN is null."""
+    """One column of the values of all `parts`, each a list or NumPy array; NaN is null."""
     return pa.concat_arrays([pa.array([], of), *(pa.array(p, of, from_pandas=True) for p in parts)])

@@ -1,10 +1,13 @@
 """Scalar rewards: scoring job, wins, statistics and histogram."""
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefboard.functions.portions import joined, portions
+
 
 def win(chosen="chosen", rejected="rejected") -> Column:
     """1 when the chosen score is larger, else 0; ties, nulls and NaN lose."""
@@ -67,20 +70,32 @@ def reward_histogram(scores: DataFrame, bins=30) -> DataFrame:
     )
 
 
+def _scoring(scorer):
+    """Column function: dialogue -> score, null where the scorer gives none or NaN."""
+
+    def scored(dialogues):
+        batch = [[{"role": m["role"], "content": m["content"]} for m in dialogue] for dialogue in dialogues]
+        scores = np.asarray(scorer(batch), dtype="float64")
+        if scores.shape != (len(batch),):
+            raise ValueError("the scorer must return one number per dialogue")
+        return scores
+
+    @F.arrow_udf(returnType=T.DoubleType())
+    def score(dialogues: pa.Array) -> pa.Array:
+        return joined((scored(part) for (part,) in portions(dialogues)), pa.float64())
+
+    return score
+
+
 def score_pairs(df: DataFrame, scorer) -> DataFrame:
     """Scores both dialogues of every pair with `scorer(dialogues) -> numbers`.
 
     A dialogue is a list of messages with `role` and `content`. Only the two
-    dialogue columns travel to Python; both calls share one crossing. Adds
-    `chosen_score`, `rejected_score` and `result`.
+    dialogue columns travel to Python; both calls share one crossing, in which the
+    scorer gets a part of the batch at a time. Adds `chosen_score`, `rejected_score`
+    and `result`.
     """
-
-    @F.pandas_udf(T.DoubleType())
-    def score(dialogues: pd.Series) -> pd.Series:
-        batch = [[{"role": m["role"], "content": m["content"]} for m in dialogue] for dialogue in dialogues]
-        return pd.Series(scorer(batch), dtype="float64")
-
-    call = score.asNondeterministic()
+    call = _scoring(scorer).asNondeterministic()
     scored = df.withColumns({"chosen_score": call("text_chosen"), "rejected_score": call("text_rejected")})
     return scored.withColumn("result", win("chosen_score", "rejected_score"))
 

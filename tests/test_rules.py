@@ -746,3 +746,26 @@ def test_a_batch_is_translated_in_portions():
     assert max(size for _, size in kept) < 12 << 20
     assert run(pa.array([], pa.list_(pa.string()))).to_pylist() == []
     assert run(pa.array([None, []], pa.list_(pa.string()))).to_pylist() == [None, []]
+
+
+def test_a_batch_is_scored_in_portions():
+    dialogues = [[{"role": "user", "content": "q"}, {"role": "assistant", "content": "x" * (i % 4_000)}] for i in range(10_000)]
+    kind = pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]))
+    column, kept = pa.array(dialogues, kind), []
+
+    def scorer(batch):
+        kept.append((len(batch), tracemalloc.get_traced_memory()[0]))
+        scores = rewards.length_scorer(batch)
+        return [None if s == 7 else math.nan if s == 8 else s for s in scores]
+
+    score = rewards._scoring(scorer).func
+    tracemalloc.start()
+    try:
+        found = score(column).to_pylist()
+    finally:
+        tracemalloc.stop()
+    assert found == [None if i % 4_000 in (7, 8) else float(i % 4_000) for i in range(10_000)]
+    assert sum(n for n, _ in kept) == 10_000 and max(size for _, size in kept) < 8 << 20
+    assert len(score(column.slice(0, 0))) == 0
+    with pytest.raises(ValueError, match="one number per dialogue"):
+        rewards._scoring(lambda batch: [1.0]).func(column)
