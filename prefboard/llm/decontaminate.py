@@ -13,7 +13,7 @@ groups the documents are written behind every so many, so that none is built twi
 
 import uuid
 from collections import OrderedDict
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefboard.llm.texts import alnum_places, alnum_words, as_bytes, unused_name
+from prefboard.functions.portions import joined, portions
+from prefboard.llm.texts import alnum_places, alnum_words, unused_name
 from prefboard.session import materialise
 
 WINDOW = 13
@@ -192,16 +193,21 @@ def find_overlaps(
     items count once per id; items without an id hit words, but are not in `items`. All other columns stay; one named like `into` is
     replaced. Row-wise, no shuffle; more than `KEPT` groups of items need passes.
     """
-    spark = df.sparkSession
-    out, started = df.withColumn(into, F.lit(None).cast(OVERLAP)), False
-    for number, group in enumerate(chain(item_groups(benchmark, text=text, max_words=max_words), [None])):
-        if group is not None or not started:
-            if number and number % KEPT == 0:
+    out, finder = _but_last(df, benchmark, text, into, window, max_words)
+    return out.withColumn(into, _scan(finder)(F.col(text).cast("string"), F.col(into)))
+
+
+def _but_last(df, benchmark, text, into, window, max_words=MAX_WORDS_PER_AUTOMATON):
+    """`df` with its overlaps with all groups of items but the last, and the finder for that one."""
+    context = df.sparkSession.sparkContext
+    out, finder = df.withColumn(into, F.lit(None).cast(OVERLAP)), None
+    for number, group in enumerate(item_groups(benchmark, text=text, max_words=max_words)):
+        if finder:
+            out = out.withColumn(into, _scan(finder)(F.col(text).cast("string"), F.col(into)))
+            if number % KEPT == 0:
                 out = materialise(out, "overlaps")
-            scan = _scanner(spark.sparkContext.broadcast(group or []), window)
-            out = out.withColumn(into, scan(F.col(text).cast("string"), F.col(into)))
-            started = True
-    return out
+        finder = _finder(context.broadcast(group), window)
+    return out, finder or _finder(context.broadcast([]), window)
 
 
 #: Automata of this Python worker, the latest last.
@@ -216,19 +222,29 @@ def _automaton(key, items, window):
     return _built[key]
 
 
-def _scanner(items, window):
+def _finder(items, window):
+    """Function of texts and what was found in them before, by portions: lists of texts and of overlaps."""
     key = uuid.uuid4().hex
 
+    def overlaps(automaton, value, before):
+        words = alnum_words(value or b"")
+        spans, found = automaton.overlaps(words)
+        if before:
+            spans, found = merge_spans(before["spans"] + spans), found.union(before["items"])
+        return {"n_words": len(words), "spans": spans, "items": sorted(found - {None})}
+
+    def find(column, earlier):
+        automaton = _automaton(key, items, window)
+        for values, before in portions(column.cast(pa.binary()), earlier):
+            yield values, [overlaps(automaton, v, b) for v, b in zip(values, before)]
+
+    return find
+
+
+def _scan(finder):
     @F.arrow_udf(returnType=OVERLAP)
     def scan(column: pa.Array, earlier: pa.Array) -> pa.Array:
-        automaton, rows = _automaton(key, items, window), []
-        for value, before in zip(as_bytes(column), earlier.to_pylist()):
-            words = alnum_words(value)
-            spans, found = automaton.overlaps(words)
-            if before:
-                spans, found = merge_spans(before["spans"] + spans), found.union(before["items"])
-            rows.append({"n_words": len(words), "spans": spans, "items": sorted(found - {None})})
-        return pa.array(rows, _ARROW_OVERLAP)
+        return joined((found for _, found in finder(column, earlier)), _ARROW_OVERLAP)
 
     return scan.asNondeterministic()
 
@@ -252,33 +268,53 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, share=20, window=WIND
     return marked.where(~is_contaminated(F.col(overlap), share)).drop(overlap)
 
 
-def _without_spans(found: DataFrame, overlap, names, longest, share, text) -> DataFrame:
-    """Columns `names` of `found`, whose texts lose the spans in `overlap` beyond the limits."""
-
-    @F.arrow_udf(returnType=T.StringType())
-    def cut(column: pa.Array, overlaps: pa.Array) -> pa.Array:
-        out = []
-        for value, overlap in zip(column.cast(pa.binary()).to_pylist(), overlaps.to_pylist()):
-            spans = overlap["spans"]
-            hit = sum(end - start for start, end in spans)
-            if hit * share < overlap["n_words"]:
-                spans = [s for s in spans if s[1] - s[0] > longest]
-            if value and spans:
-                places, parts, at = alnum_places(value), [], 0
-                for start, end in spans:
-                    parts.append(value[at : places[start][0]])
-                    at = places[end - 1][1]
-                value = b"".join(parts) + value[at:]
-            out.append(value)
-        return pa.array(out, pa.binary()).cast(pa.string())
-
-    after = unused_name("cleaned", found.columns)
-    cleaned = found.withColumn(after, cut.asNondeterministic()(F.col(text).cast("string"), F.col(overlap)))
+_CLEANED = T.StructType([T.StructField("text", T.StringType()), T.StructField("contaminated", T.BooleanType(), False)])
+_ARROW_CLEANED = pa.struct([("text", pa.binary()), ("contaminated", pa.bool_())])
+
+
+def _cleaned(value, overlap, longest, share, drops):
+    """The text without the spans in `overlap` beyond the limits, and whether these reach the coverage limit."""
+    spans = overlap["spans"]
+    hit = sum(end - start for start, end in spans)
+    contaminated = hit > 0 and hit * share >= overlap["n_words"]
+    if contaminated and drops:
+        return {"text": None, "contaminated": True}
+    if not contaminated:
+        spans = [s for s in spans if s[1] - s[0] > longest]
+    if value and spans:
+        places, parts, at = alnum_places(value), [], 0
+        for start, end in spans:
+            parts.append(value[at : places[start][0]])
+            at = places[end - 1][1]
+        value = b"".join(parts) + value[at:]
+    return {"text": value, "contaminated": contaminated}
+
+
+def _without_spans(df, benchmark, longest, share, window, text, drops) -> DataFrame:
+    """`df` whose texts lose the spans beyond the limits; with `drops` without contaminated rows.
+
+    The last (mostly only) group of items is looked for and cut in one crossing to
+    Python: a second one would take a second worker of every task.
+    """
+    names = df.columns
+    overlap = unused_name("overlap", names)
+    found, finder = _but_last(df, benchmark, text, overlap, window)
+
+    @F.arrow_udf(returnType=_CLEANED)
+    def clean(column: pa.Array, earlier: pa.Array) -> pa.Array:
+        rows = ([_cleaned(v, o, longest, share, drops) for v, o in zip(*part)] for part in finder(column, earlier))
+        texts, flags = joined(rows, _ARROW_CLEANED).flatten()
+        return pa.StructArray.from_arrays([texts.cast(pa.string()), flags], _CLEANED.names)
+
+    new = unused_name("cleaned", found.columns)
+    cleaned = found.withColumn(new, clean.asNondeterministic()(F.col(text).cast("string"), F.col(overlap)))
+    if drops:
+        cleaned = cleaned.where(~F.col(new)["contaminated"])
+    after = F.col(new)["text"]
     if "n_chars" in names:
-        kept = F.col(after).eqNullSafe(F.col(text))
-        count = F.char_length(after).cast(found.schema["n_chars"].dataType)
-        cleaned = cleaned.withColumn("n_chars", F.when(kept, F.col("n_chars")).otherwise(count))
-    return cleaned.withColumn(text, F.col(after)).select(*[F.col(f"`{n}`") for n in names])
+        count = F.char_length(after).cast(df.schema["n_chars"].dataType)
+        cleaned = cleaned.withColumn("n_chars", F.when(after.eqNullSafe(F.col(text)), F.col("n_chars")).otherwise(count))
+    return cleaned.withColumn(text, after).select(*[F.col(f"`{n}`") for n in names])
 
 
 def remove_spans(df: DataFrame, benchmark: DataFrame, longest=WINDOW - 1, share=20, window=WINDOW, text="text") -> DataFrame:
@@ -290,9 +326,7 @@ def remove_spans(df: DataFrame, benchmark: DataFrame, longest=WINDOW - 1, share=
     spans, null and empty ones stay as they are. When there is an `n_chars` column, it
     is set anew for changed texts.
     """
-    overlap = unused_name("overlap", df.columns)
-    found = find_overlaps(df, benchmark, text, overlap, window)
-    return _without_spans(found, overlap, df.columns, longest, share, text)
+    return _without_spans(df, benchmark, longest, share, window, text, False)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, longest=WINDOW - 1, share=20, window=WINDOW, text="text") -> DataFrame:
@@ -302,6 +336,4 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, longest=WINDOW - 1, share
     Rows at the limit go whole. All others stay, null and empty texts too, and texts
     without such a span are unchanged. One pass over the texts.
     """
-    overlap = unused_name("overlap", df.columns)
-    found = find_overlaps(df, benchmark, text, overlap, window)
-    return _without_spans(found.where(~is_contaminated(F.col(overlap), share)), overlap, df.columns, longest, share, text)
+    return _without_spans(df, benchmark, longest, share, window, text, True)

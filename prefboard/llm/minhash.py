@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefboard.llm.components import components, smallest_reached
-from prefboard.llm.texts import as_bytes, spaced_words, word_hashes
+from prefboard.llm.texts import as_bytes, each_as_bytes, spaced_words, word_hashes
 from prefboard.session import materialise
 
 WORDS = 5
@@ -97,7 +97,7 @@ _PRINT = T.StructType(
 @F.arrow_udf(returnType=_PRINT)
 def _prints(text: pa.Array) -> pa.Array:
     sizes, digests, signatures, known = [], [], [], {}
-    for value in as_bytes(text):
+    for value in each_as_bytes(text):
         shingles = shingle_set(value)
         sizes.append(len(shingles))
         digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None

@@ -134,3 +134,11 @@ def test_documents_go_or_lose_their_spans(spark, odd, none, clashing):
     assert decontaminate.decontaminate(clashing, benchmark).columns == clashing.columns
     assert decontaminate.decontaminate(odd, benchmark).exceptAll(odd).count() == 0
     assert decontaminate.decontaminate(none, benchmark).count() == 0
+
+
+def test_cutting_crosses_to_python_once(spark):
+    docs = spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, n_chars long")
+    items = spark.createDataFrame([("x", "a b c")], "item_id string, text string")
+    for made in (decontaminate.decontaminate(docs, items), decontaminate.remove_spans(docs, items)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
