@@ -139,22 +139,28 @@ def band_keys(signature: Column) -> Column:
 
 
 class _Classes:
-    """Candidate classes of one run: their signatures, texts and buckets."""
+    """Candidate classes of one run: their signatures, texts and buckets.
+
+    No table of numbers has more rows than there are bands of documents; the texts and
+    the pairs compared in Python stay in the tasks of their joins.
+    """
 
     def __init__(self, df, prints, text, row_id):
+        self.rows = prints.count()
+        self.most = BANDS * self.rows
         alone = prints.where("digest is not null and id is not null")
-        self.classes = materialise(alone.groupBy("digest").agg(F.min("id").alias("class")), "classes")
+        self.classes = materialise(alone.groupBy("digest").agg(F.min("id").alias("class")), "classes", self.most)
         members = alone.join(
             self.classes, (alone["digest"] == self.classes["digest"]) & (alone["id"] == self.classes["class"])
         ).select("class", "signature")
         keys = members.select("class", F.explode(band_keys(F.col("signature"))).alias("key"))
-        rows = materialise(keys, "bands")
+        rows = materialise(keys, "bands", self.most)
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = materialise(rows.join(materialise(sizes, "shared-bands"), "key"), "shared")
+        shared = materialise(rows.join(materialise(sizes, "shared-bands", self.most), "key"), "shared", self.most)
         weights = shared.groupBy("class").agg(F.sum("n").alias("weight"))
-        self.buckets = materialise(shared.join(materialise(weights, "weights"), "class"), "buckets")
-        ids = materialise(self.buckets.select("class").distinct(), "candidates")
-        self.signatures = materialise(members.join(ids, "class", "left_semi"), "signatures")
+        self.buckets = materialise(shared.join(materialise(weights, "weights", self.most), "class"), "buckets", self.most)
+        ids = materialise(self.buckets.select("class").distinct(), "candidates", self.most)
+        self.signatures = materialise(members.join(ids, "class", "left_semi"), "signatures", self.most)
         texts = df.select(F.col(row_id).cast("long").alias("class"), F.col(text).cast("string").alias("text"))
         self.texts = materialise(texts.join(ids, "class", "left_semi"), "candidate-texts")
 
@@ -178,15 +184,17 @@ class _Classes:
         """Pairs of each class with the leader of each of its buckets, the first in `order`."""
         first = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "class")).alias("first")
         leaders = buckets.groupBy("key").agg(first).select("key", F.col("first.class").alias("u"))
-        pairs = buckets.join(materialise(leaders, "leaders"), "key").where(F.col("class") != F.col("u"))
+        pairs = buckets.join(materialise(leaders, "leaders", self.most), "key").where(F.col("class") != F.col("u"))
         return pairs.select(F.least("u", "class").alias("u"), F.greatest("u", "class").alias("v")).distinct()
 
     def mixed(self, roots: DataFrame) -> DataFrame:
         """Rows `key, class, n, root` of the buckets with several components."""
         rooted = self.buckets.where("n > 2").join(roots.withColumnRenamed("node", "class"), "class", "left")
-        rooted = materialise(rooted.select("key", "class", "n", F.coalesce("root", "class").alias("root")), "rooted")
+        rooted = rooted.select("key", "class", "n", F.coalesce("root", "class").alias("root"))
+        rooted = materialise(rooted, "rooted", self.most)
         several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-        return materialise(rooted.join(materialise(several.select("key"), "mixed-keys"), "key", "left_semi"), "mixed")
+        keys = materialise(several.select("key"), "mixed-keys", self.most)
+        return materialise(rooted.join(keys, "key", "left_semi"), "mixed", self.most)
 
     def across(self, mixed: DataFrame) -> DataFrame:
         """Links between different components of one bucket.
@@ -200,7 +208,8 @@ class _Classes:
             F.max_by("root", F.struct("size", "root")).alias("largest"),
             (F.sum("size") - F.max("size")).alias("others"),
         )
-        rows = mixed.join(materialise(largest, "largest"), "key").join(self.signatures, "class").join(self.texts, "class")
+        largest = materialise(largest, "largest", self.most)
+        rows = mixed.join(largest, "key").join(self.signatures, "class").join(self.texts, "class")
         spread = F.xxhash64("class", F.lit("block"))
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
         here = F.sequence(F.lit(0), blocks(F.col("others")) - 1)
@@ -259,6 +268,11 @@ def near_duplicates(df: DataFrame, text="text", row_id="doc_id", star_rounds=1)
     `n_shingles`; it has no component and is not kept. No rows: no rows. Other
     columns are not read.
     """
+    return _marked(df, text, row_id, star_rounds)[0]
+
+
+def _marked(df, text, row_id, star_rounds=1):
+    """The rows of `near_duplicates`, and how many there are."""
     made = df.select(
         F.col(row_id), F.col(row_id).cast("long").alias("id"), _prints.asNondeterministic()(F.col(text).cast("string")).alias("p")
     )
@@ -274,16 +288,16 @@ def near_duplicates(df: DataFrame, text="text", row_id="doc_id", star_rounds=1)
             known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
             roots = components(known.unionByName(more))
     classes = run.classes.join(roots, F.col("class") == F.col("node"), "left")
-    rooted = materialise(classes.select("digest", F.coalesce("root", "class").alias("component_id")), "rooted-classes")
+    rooted = classes.select("digest", F.coalesce("root", "class").alias("component_id"))
+    rooted = materialise(rooted, "rooted-classes", run.most)
     rows = prints.select(row_id, "id", "n_shingles", "digest")
     linked = rows.where("digest is not null").join(rooted, "digest", "left")
     alone = rows.where("digest is null").withColumn("component_id", F.col("id"))
     columns = (row_id, "id", "n_shingles", "component_id")
     every = linked.select(*columns).unionByName(alone.select(*columns))
     component = F.when(F.col("id").isNotNull(), F.col("component_id"))
-    return every.select(
-        row_id, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept")
-    )
+    kept = F.coalesce(component == F.col("id"), F.lit(False))
+    return every.select(row_id, "n_shingles", component.alias("component_id"), kept.alias("kept")), run.rows
 
 
 def drop_near_duplicates(df: DataFrame, text="text", row_id="doc_id") -> DataFrame:
@@ -291,6 +305,7 @@ def drop_near_duplicates(df: DataFrame, text="text", row_id="doc_id") -> DataFra
 
     Rows without an id stay, since nothing can be said to be their copy.
     """
-    dropped = near_duplicates(df, text, row_id).where(~F.col("kept") & F.col(row_id).isNotNull())
-    gone = materialise(dropped.select(row_id).distinct(), "near-copies")
+    marked, rows = _marked(df, text, row_id)
+    dropped = marked.where(~F.col("kept") & F.col(row_id).isNotNull())
+    gone = materialise(dropped.select(row_id).distinct(), "near-copies", rows)
     return df.join(gone, row_id, "left_anti")

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefboard.llm.texts import as_bytes, in_use, lookup_table
+from prefboard.llm.texts import each_as_bytes, in_use, lookup_table
 from prefboard.session import materialise
 
 CAPACITY = 2048
@@ -124,7 +124,7 @@ def tokenize_pieces(df: DataFrame, tokenizer: str, capacity=CAPACITY, text="text
         encode = _tokenizer(tokenizer).encode
         names = ("piece", "start", "length", "ids_crc32")
         rows = []
-        for value in as_bytes(column):
+        for value in each_as_bytes(column):
             ids = encode(value) + bytes(4)
             rows.append([dict(zip(names, p)) for p in cut_pieces(ids, capacity)])
         return pa.array(rows, _ARROW_PIECES)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefboard.llm.texts import as_bytes, in_use, lookup_table, portions, unused_name
+from prefboard.llm.texts import bytes_by_portions, in_use, lookup_table, portions, unused_name
 from prefboard.session import materialise
 
 BUCKETS, DIMENSIONS, NEAR = 1 << 13, 32, 2
@@ -64,13 +64,19 @@ def _buckets(codes):
     return (codes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def _few(column: pa.Array):
+    """Lists of consecutive texts with about 2 MB together."""
+    for texts in bytes_by_portions(column):
+        for first, last in portions(texts):
+            yield texts[first:last]
+
+
 def _near_sums(batches):
     """`cell, n`: sums of index vectors near each bucket's words, of one task."""
     total = np.zeros(BUCKETS * DIMENSIONS, np.int64)
     for batch in batches:
-        texts = as_bytes(batch.column(0))
-        for first, last in portions(texts):
-            codes, owner, _, _ = _coded(texts[first:last])
+        for texts in _few(batch.column(0)):
+            codes, owner, _, _ = _coded(texts)
             bucket = _buckets(codes)
             for apart in range(1, NEAR + 1):
                 same = owner[apart:] == owner[:-apart]
@@ -90,7 +96,8 @@ def word_vectors(df: DataFrame, text="text") -> np.ndarray:
     A task sends sums of a fixed number of cells, and the driver gets as many.
     """
     parts = df.select(F.col(text).cast("string")).mapInArrow(_near_sums, "cell int, n long")
-    sums = materialise(parts.groupBy("cell").agg(F.sum("n").alias("n")), "near-sums").toArrow()
+    summed = parts.groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = materialise(summed, "near-sums", BUCKETS * DIMENSIONS).toArrow()
     total = np.zeros(BUCKETS * DIMENSIONS)
     total[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
     rows = total.reshape(BUCKETS, DIMENSIONS)
@@ -217,8 +224,8 @@ class QualityModel:
     def __init__(self, vectors, network):
         self.vectors, self.network = vectors, network
 
-    def predict(self, texts: list) -> np.ndarray:
-        scores = [self.network.predict(features(texts[a:b], self.vectors)) for a, b in portions(texts)]
+    def predict(self, texts: pa.Array) -> np.ndarray:
+        scores = [self.network.predict(features(few, self.vectors)) for few in _few(texts)]
         return np.concatenate([np.zeros(0), *scores])
 
     def score(self, df: DataFrame, text="text", into="score") -> DataFrame:
@@ -227,7 +234,7 @@ class QualityModel:
 
         @F.arrow_udf(returnType=T.DoubleType())
         def probability(column: pa.Array) -> pa.Array:
-            return pa.array(model.value.predict(as_bytes(column)), pa.float64())
+            return pa.array(model.value.predict(column), pa.float64())
 
         return df.withColumn(into, probability.asNondeterministic()(F.col(text).cast("string")))
 
@@ -248,8 +255,7 @@ def fit_quality(df: DataFrame, labels: DataFrame, text="text", row_id="doc_id",
 
     @F.arrow_udf(returnType=T.ArrayType(T.FloatType()))
     def described(column: pa.Array) -> pa.Array:
-        texts = as_bytes(column)
-        rows = [features(texts[a:b], model.value) for a, b in portions(texts)]
+        rows = [features(few, model.value) for few in _few(column)]
         return pa.array(list(np.concatenate(rows)) if rows else [], pa.list_(pa.float32()))
 
     # at most `most` rows of ids and labels

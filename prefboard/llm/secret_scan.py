@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefboard.llm.texts import as_bytes, unused_name
+from prefboard.functions.portions import joined, portions
+from prefboard.llm.texts import each_as_bytes, unused_name
 
 # Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "github", "npm", "xprv")
@@ -139,7 +140,7 @@ def find_spans(text: bytes) -> list:
 
 @F.arrow_udf(returnType=T.ArrayType(SPAN, False))
 def _spans(text: pa.Array) -> pa.Array:
-    return pa.array([find_spans(t) for t in as_bytes(text)], _ARROW_SPANS)
+    return pa.array([find_spans(t) for t in each_as_bytes(text)], _ARROW_SPANS)
 
 
 def scan_secrets(df: DataFrame, text="text", into="secrets") -> DataFrame:
@@ -167,20 +168,20 @@ def redact_secrets(df: DataFrame, text="text", mark="<secret>") -> DataFrame:
     `n_chars` column, it is set anew for changed texts.
     """
 
+    def redacted(value):
+        spans = find_spans(value.encode()) if value else []
+        if not spans:
+            return value
+        parts, at = [], 0
+        for _, start, end in spans:
+            if start >= at:
+                parts += [value[at:start], mark]
+            at = max(at, end)
+        return "".join(parts) + value[at:]
+
     @F.arrow_udf(returnType=T.StringType())
     def cut(column: pa.Array) -> pa.Array:
-        out = []
-        for value in column.to_pylist():
-            spans = find_spans(value.encode()) if value else []
-            if spans:
-                parts, at = [], 0
-                for _, start, end in spans:
-                    if start >= at:
-                        parts += [value[at:start], mark]
-                    at = max(at, end)
-                value = "".join(parts) + value[at:]
-            out.append(value)
-        return pa.array(out, pa.string())
+        return joined(([redacted(v) for v in values] for (values,) in portions(column)), pa.string())
 
     names = df.columns
     after = unused_name("cleaned", names)

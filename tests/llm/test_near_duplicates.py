@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from prefboard import session
 from prefboard.llm import components, metric_join, minhash
 from tests.llm.conftest import COPY
 
@@ -86,6 +87,35 @@ def test_groups_whose_members_differ(spark):
     assert 6 < len(set(wanted.values())) < 150
 
 
+def test_small_tables_go_to_few_files(spark, monkeypatch):
+    """Not to a file for each of many shuffle partitions; all links are kept."""
+    random.seed(6)
+    rows = []
+    for group in range(40):
+        words = [f"g{group}w{i}" for i in range(60)]
+        rows += [(len(rows) + k, " ".join([*words, f"own{group}.{k}"])) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _, wanted = plainly(rows := df.collect())
+    written, fresh = [], session.fresh_path
+    monkeypatch.setattr(session, "fresh_path", lambda s, name: written.append((name, path := fresh(s, name))) or path)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in held}
+    for key, value in held.items():
+        spark.conf.set(key, value)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+        links = spark.createDataFrame([(i, i + 1) for i in range(500)], "u long, v long").repartition(50)
+        ends = {(r["node"], r["root"]) for r in components.components(links).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == wanted and ends == {(i, 0) for i in range(1, 501)}
+    files = {name: spark.read.parquet(path).select(F.input_file_name()).distinct().count() for name, path in written}
+    few = set(files) - {"candidate-texts", "confirmed", "links-across", "links"}
+    assert {"classes", "bands", "buckets", "signatures", "large-star", "small-star"} <= few
+    assert max(files[name] for name in few) <= spark.sparkContext.defaultParallelism
+
+
 def test_signatures_estimate_similarity():
     a = minhash.shingle_set(" ".join(f"w{i}" for i in range(400)).encode())
     b = minhash.shingle_set(" ".join(f"w{i}" for i in range(40, 440)).encode())
