@@ -146,8 +146,7 @@ class _Classes:
     """
 
     def __init__(self, df, prints, text, row_id):
-        self.rows = prints.count()
-        self.most = BANDS * self.rows
+        self.most = BANDS * prints.count()
         alone = prints.where("digest is not null and id is not null")
         self.classes = materialise(alone.groupBy("digest").agg(F.min("id").alias("class")), "classes", self.most)
         members = alone.join(
@@ -272,7 +271,7 @@ def near_duplicates(df: DataFrame, text="text", row_id="doc_id", star_rounds=1)
 
 
 def _marked(df, text, row_id, star_rounds=1):
-    """The rows of `near_duplicates`, and how many there are."""
+    """The rows of `near_duplicates`, and a bound of the rows of the tables behind them."""
     made = df.select(
         F.col(row_id), F.col(row_id).cast("long").alias("id"), _prints.asNondeterministic()(F.col(text).cast("string")).alias("p")
     )
@@ -297,7 +296,7 @@ def _marked(df, text, row_id, star_rounds=1):
     every = linked.select(*columns).unionByName(alone.select(*columns))
     component = F.when(F.col("id").isNotNull(), F.col("component_id"))
     kept = F.coalesce(component == F.col("id"), F.lit(False))
-    return every.select(row_id, "n_shingles", component.alias("component_id"), kept.alias("kept")), run.rows
+    return every.select(row_id, "n_shingles", component.alias("component_id"), kept.alias("kept")), run.most
 
 
 def drop_near_duplicates(df: DataFrame, text="text", row_id="doc_id") -> DataFrame:
@@ -305,7 +304,7 @@ def drop_near_duplicates(df: DataFrame, text="text", row_id="doc_id") -> DataFra
 
     Rows without an id stay, since nothing can be said to be their copy.
     """
-    marked, rows = _marked(df, text, row_id)
+    marked, most = _marked(df, text, row_id)
     dropped = marked.where(~F.col("kept") & F.col(row_id).isNotNull())
-    gone = materialise(dropped.select(row_id).distinct(), "near-copies", rows)
+    gone = materialise(dropped.select(row_id).distinct(), "near-copies", most)
     return df.join(gone, row_id, "left_anti")

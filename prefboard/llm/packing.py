@@ -27,7 +27,7 @@ from prefboard.session import materialise
 
 CAPACITY = 2048
 RANK_PARTS = 64
-MAX_CACHED_PARTS = 500_000
+MAX_CACHED_PARTS = 100_000
 
 PIECES = T.ArrayType(
     T.StructType(

@@ -34,7 +34,7 @@ SHARES = 9
 class _WordCodes(dict):
     """A word's bucket (13 bits), traits and hash in one number; bounded in size."""
 
-    MAX = 250_000
+    MAX = 100_000
 
     def __missing__(self, word):
         if len(self) >= self.MAX:
