@@ -45,41 +45,76 @@ _ARROW_PIECES = pa.list_(
 )
 
 
-#: Words that are one run of lower-case Latin letters, in every normal form.
-_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+#: Parts that the tokenizer cuts into runs of Latin letters, digits and runs of ASCII signs:
+#: letters that every normal form keeps, no apostrophe, no mark of a special token.
+_PLAIN = re.compile(f"[{_LETTERS}!-&(-;=-@\\[-`{{-~]+").fullmatch
+_runs = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+").findall
 
 
 class _PartIds(dict):
     """Token ids of a blank-separated part as little-endian 32-bit bytes.
 
-    A plain word, with full stops or commas behind it or not, goes straight to the
-    tokenizer's merges; any other part goes through the whole tokenizer.
+    Runs of plain parts go straight to the tokenizer's merges; any other part goes
+    through the whole tokenizer. New parts wait apart until they are asked for
+    again, so that the many rare ones do not drive out the frequent ones.
     """
 
+    #: Runs of signs kept, and bytes of one at most.
+    SIGNS, LONGEST_SIGNS = 4096, 8
+
     def __init__(self, tokenizer, most):
         self._tokenizer, self._model, self._most = tokenizer, tokenizer.model, most
+        self._new, self._signs = {}, {}
         # a byte-level tokenizer shows printable bytes as themselves, others from 256 on
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = iter(range(256, 512))
-        self._letters = {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
+        self._letters = "".join(chr(b) if b in shown else chr(next(hidden)) for b in range(256))
+
+    def __bool__(self):
+        return bool(len(self) or self._new)
+
+    def clear(self):
+        super().clear()
+        self._new.clear()
 
     def __missing__(self, part):
-        if len(self) >= self._most:
-            self.clear()
-        word = part.rstrip(b".,")
-        if not part:
-            ids = b""
-        elif not word or not _PLAIN(word.decode()):
-            ids = np.array(self._tokenizer.encode(part.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        elif word != part:
-            ids = self[word] + self._merged(part[len(word) :])
-        else:
-            ids = self._merged(word)
-        self[part] = ids
+        ids = self._new.pop(part, None)
+        if ids is not None:
+            if len(self) >= self._most:
+                super().clear()
+            self[part] = ids
+            return ids
+        ids = self._made(part)
+        if len(self._new) >= self._most // 2:
+            self._new.clear()
+        self._new[part] = ids
+        return ids
+
+    def _made(self, part):
+        if part.isalpha():
+            return self._merged(part.decode().lower())
+        text = part.decode()
+        if not text:
+            return b""
+        if not _PLAIN(text):
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([self._of_word(run) if run[0].isalpha() else self._of_signs(run) for run in _runs(text.lower())])
+
+    def _of_word(self, run):
+        ids = self.get(run.encode())
+        return self._merged(run) if ids is None else ids
+
+    def _of_signs(self, run):
+        ids = self._signs.get(run)
+        if ids is None:
+            ids = self._merged(run)
+            if len(run) <= self.LONGEST_SIGNS and len(self._signs) < self.SIGNS:
+                self._signs[run] = ids
         return ids
 
     def _merged(self, run):
-        shown = run.decode() if run.isascii() else "".join(map(self._letters.__getitem__, run))
+        shown = run if run.isascii() else run.encode().decode("latin-1").translate(self._letters)
         return b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(shown)])
 
 
@@ -87,8 +122,8 @@ class WordTokenizer:
     """Token ids as little-endian 32-bit bytes, kept for each blank-separated part.
 
     For byte-level tokenizers that lower-case, drop white space and never join
-    across it: a text's ids are then those of its lower-cased parts in turn. The
-    parts kept are bounded in number.
+    across it: a text's ids are then those of its lower-cased parts in turn. At most
+    `most` parts that came again are kept, and half as many new ones.
     """
 
     def __init__(self, path, most=MAX_CACHED_PARTS):

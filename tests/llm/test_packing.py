@@ -76,6 +76,40 @@ def test_parts_give_the_ids_of_the_whole_text(tokenizer, text):
     assert packing.WordTokenizer(PATH, most=5).encode(text.encode()) == ids
 
 
+class _Counting:
+    """A tokenizer, or its merges, that notes what it is asked."""
+
+    def __init__(self, of):
+        self.of, self.asked = of, []
+
+    def tokenize(self, text):
+        self.asked.append(text)
+        return self.of.tokenize(text)
+
+    def encode(self, text, **how):
+        self.asked.append(text)
+        return self.of.encode(text, **how)
+
+
+def test_rare_parts_do_not_drive_out_frequent_ones(tokenizer):
+    words = packing.WordTokenizer(PATH, most=100)
+    merges = words._parts._model = _Counting(words._parts._model)
+    frequent = ["alpha", "beta", "gamma", "delta"]
+    draw = random.Random(5)
+    rare = ["".join(draw.choices("bcdfgh", k=9)) for _ in range(2000)]
+    text = " ".join(w for i, r in enumerate(rare) for w in (frequent[i % 4], r))
+    assert words.encode(text.encode()) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert sum(merges.asked.count(w) for w in frequent) <= 2 * len(frequent)
+
+
+def test_plain_parts_need_the_merges_alone(tokenizer):
+    words = packing.WordTokenizer(PATH)
+    text = "a$$$ re%%%x, È. ÉTÉ_12 (a.b);c [x]^{y}~ " + "a" * 60 + "…" + " end"
+    whole = words._parts._tokenizer = _Counting(words._parts._tokenizer)
+    assert words.encode(text.encode()) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert whole.asked == ["a" * 60 + "…"]
+
+
 def one_by_one(counts, capacity):
     """Best two fit, a sequence at a time."""
     left = sorted((x for x, n in counts.items() for _ in range(n)), reverse=True)
