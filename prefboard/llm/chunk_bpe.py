@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefboard.llm.bitmap import BITS, bitmap_of, possible
-from prefboard.llm.packing import _PLAIN, WordTokenizer, _PartIds
-from prefboard.llm.texts import as_bytes, lookup_table, portions
+from prefboard.llm.packing import MAX_CACHED_PARTS, WordTokenizer, _PartIds
+from prefboard.llm.texts import bytes_by_portions, lookup_table, portions
 from prefboard.session import materialise
 
 #: Bytes of a chunk: at least, at most, and the bits that the hash needs at a cut
@@ -37,8 +37,6 @@ from prefboard.session import materialise
 LEAST, MOST, CUT_BITS = 256, 1 << 14, 10
 #: Digests a task keeps to send a chunk on once.
 MOST_SEEN = 200_000
-#: Parts of texts a Python worker keeps with their ids.
-MOST_PARTS = 250_000
 
 _GEAR = np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 32, 256, np.uint32)
 
@@ -78,49 +76,16 @@ def chunk_digests(text: bytes) -> tuple:
     return ends, digests, np.frombuffer(b"".join(digests), "<u8")[::2]
 
 
-class _Parts(_PartIds):
-    """Ids of blank-separated parts; ids of words are kept apart from what stands behind them."""
-
-    def __init__(self, tokenizer, most):
-        super().__init__(tokenizer, most)
-        self._words, self._ends = {}, {}
-
-    def clear(self):
-        super().clear()
-        if len(self._words) >= self._most:
-            self._words.clear()
-
-    def __missing__(self, part):
-        word = part.rstrip(b".,")
-        if not word or not _PLAIN(word.decode()):
-            return super().__missing__(part)
-        if len(self) >= self._most:
-            self.clear()
-        ids = self._words.get(word)
-        if ids is None:
-            ids = self._words[word] = self._merged(word)
-        if word != part:
-            end = part[len(word) :]
-            behind = self._ends.get(end)
-            if behind is None:
-                behind = self._merged(end)
-                if len(end) < 9:
-                    self._ends[end] = behind
-            ids += behind
-        self[part] = ids
-        return ids
-
-
 class Tokens(WordTokenizer):
     """A tokenizer by parts (`encode`) and on whole texts; ids as little-endian 32-bit bytes."""
 
-    def __init__(self, path, most=MOST_PARTS):
+    def __init__(self, path, most=MAX_CACHED_PARTS):
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
         self._whole.no_truncation()
         self._whole.no_padding()
-        self._parts = lookup_table(_Parts(self._whole, most))
+        self._parts = lookup_table(_PartIds(self._whole, most))
         if self.whole(b"a bc\nd") != self.whole(b"a") + self.whole(b"bc") + self.whole(b"d"):
             raise ValueError("the tokenizer does not drop white space")
 
@@ -245,9 +210,11 @@ def _id_lists(encoded: list) -> pa.Array:
 def _portioned(batches):
     """Batches in portions of bounded size, each with the texts of its column `text`."""
     for batch in batches:
-        texts = as_bytes(batch.column("text"))
-        for first, last in portions(texts):
-            yield batch.slice(first, last - first), texts[first:last]
+        at = 0
+        for texts in bytes_by_portions(batch.column("text")):
+            for first, last in portions(texts):
+                yield batch.slice(at + first, last - first), texts[first:last]
+            at += len(texts)
 
 
 def _hashes(batches):
@@ -256,7 +223,7 @@ def _hashes(batches):
         yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["hash"])
 
 
-def encode_texts(df: DataFrame, tokenizer: str, text="text", into="ids", bits=BITS) -> DataFrame:
+def encode_texts(df: DataFrame, tokenizer: str, text="text", into="ids", bits=BITS, of_ids=None, keep_text=True) -> DataFrame:
     """`df` with the token ids of each whole text in `into` (`array<int>`), without special tokens added.
 
     `tokenizer` is the file of a tokenizer that every executor can open. The ids are those
@@ -264,13 +231,19 @@ def encode_texts(df: DataFrame, tokenizer: str, text="text", into="ids", bits=BI
     rows have the same ids. All other columns stay; one named like `into` is replaced.
     No rows: no rows. Texts are read three times: chunks counted, texts without and
     texts with shared chunks encoded.
+
+    With `of_ids`, a pair of a type and a function from a list of id arrays to an Arrow
+    array (`digests_of`), `into` holds what it makes of the ids, in the task that has them.
+    Without `keep_text` the texts stay away from the result.
     """
+    kind, finished = (T.ArrayType(T.IntegerType()), _id_lists) if of_ids is None else (of_ids[0], lambda e: of_ids[1]([np.frombuffer(i, "<i4") for i in e]))
     spark = df.sparkSession
     names = [n for n in df.columns if n != into]
     rows = df.select(F.struct(F.lit(0).alias(""), *[F.col(f"`{n}`") for n in names if n != text]).alias("row"), F.col(f"`{text}`").alias("text"))
     if rows.schema["text"].dataType != T.StringType():
         rows = rows.withColumn("text", F.col("text").cast("string"))
-    with_ids = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    given = rows.schema.names if keep_text else ["row"]
+    with_ids = T.StructType([*[rows.schema[n] for n in given], T.StructField("ids", kind)])
     with_key = T.StructType([*rows.schema.fields, T.StructField("key", T.BinaryType())])
 
     hashes = rows.select("text").mapInArrow(_hashes, "hash long")
@@ -287,9 +260,10 @@ def encode_texts(df: DataFrame, tokenizer: str, text="text", into="ids", bits=BI
     def without_shared(batches):
         for part, texts in _portioned(batches):
             alone = [i for i, t in enumerate(texts) if not known_in(t)]
-            encoded = _id_lists([_tokens(tokenizer).encode(texts[i]) for i in alone])
-            kept = part.take(pa.array(alone, pa.int32()))
-            yield pa.record_batch([*kept.columns, encoded], with_ids.names)
+            if alone:
+                made = finished([_tokens(tokenizer).encode(texts[i]) for i in alone])
+                kept = part.select(given).take(pa.array(alone, pa.int32()))
+                yield pa.record_batch([*kept.columns, made], with_ids.names)
 
     def with_shared(batches):
         for part, texts in _portioned(batches):
@@ -328,7 +302,7 @@ def encode_texts(df: DataFrame, tokenizer: str, text="text", into="ids", bits=BI
             for i, value in enumerate(texts):
                 known = sorted((k["start"], k["end"], k["ids"]) for k in chunks[i].as_py() or [])
                 out.append(put_together(value, known, _tokens(tokenizer)))
-            yield pa.record_batch([part.column("row"), part.column("text"), _id_lists(out)], with_ids.names)
+            yield pa.record_batch([*part.select(given).columns, finished(out)], with_ids.names)
 
     alone = rows.mapInArrow(without_shared, with_ids)
     marked = materialise(rows.mapInArrow(with_shared, with_key), "texts-with-shared-chunks")
@@ -342,7 +316,7 @@ def encode_texts(df: DataFrame, tokenizer: str, text="text", into="ids", bits=BI
     by_text = materialise(by_text, "chunks-of-texts")  # so that copies of one text are split over tasks in the join
     together = marked.join(by_text, "key", "left").select("row", "text", "chunks").mapInArrow(joined, with_ids)
 
-    back = [F.col("text").cast(df.schema[n].dataType).alias(n) if n == text else F.col(f"row.`{n}`") for n in names]
+    back = [F.col("text").cast(df.schema[n].dataType).alias(n) if n == text else F.col(f"row.`{n}`") for n in names if n != text or keep_text]
     return alone.unionByName(together).select(*back, F.col("ids").alias(into))
 
 
@@ -383,9 +357,9 @@ def decode_ids(df: DataFrame, tokenizer: str, ids="ids", into="decoded") -> Data
 _DIGESTS = T.StructType([T.StructField("n", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())])
 
 
-def digest_ids(df: DataFrame, tokenizer: str, ids="ids", into="digests") -> DataFrame:
-    """`df` with a struct of the number of ids, and SHA-256 of their decimal list and of their
-    decoded text; texts as in `decode_ids`, which need not leave the task for that."""
+def digests_of(tokenizer: str) -> tuple:
+    """Type and function (for `encode_texts`) of a struct of the number of ids, and SHA-256 of
+    their decimal list and of their decoded text; texts as in `decode_ids`."""
 
     def digests(lists):
         decoder, rows = _decoder(tokenizer), []
@@ -396,4 +370,9 @@ def digest_ids(df: DataFrame, tokenizer: str, ids="ids", into="digests") -> Data
             rows.append(told)
         return pa.array(rows, pa.struct([("n", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())]))
 
-    return _mapped_ids(df, ids, into, _DIGESTS, digests)
+    return _DIGESTS, digests
+
+
+def digest_ids(df: DataFrame, tokenizer: str, ids="ids", into="digests") -> DataFrame:
+    """`df` with the digests of `digests_of` in `into`; decoded texts need not leave the task for that."""
+    return _mapped_ids(df, ids, into, *digests_of(tokenizer))

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -97,6 +99,21 @@ def test_null_ids(spark):
     assert [r["decoded"] for r in chunk_bpe.decode_ids(rows, PATH).orderBy("n").collect()] == [None, "", "a</w> <|endoftext|>"]
 
 
+def test_a_batch_becomes_texts_by_portions():
+    batch = pa.record_batch([pa.array([f"{i:06d} " * 1000 for i in range(4000)])], ["text"])
+    tracemalloc.start()
+    assert sum(len(texts) for _, texts in chunk_bpe._portioned([batch])) == 4000
+    assert sum(part.num_rows for part, _ in chunk_bpe._portioned([batch])) == 4000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 << 20
+
+
+def test_ids_are_digested_where_they_are_made(spark, folder):
+    plan = queries.op11_chunk_bpe(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # texts without and with shared chunks
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         chunk_bpe.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
