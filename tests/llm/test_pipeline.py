@@ -30,6 +30,18 @@ def test_all_but_the_last_return_the_columns_of_documents(stages):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "packing"]
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_batches_are_small_in_any_session(spark, folder, name, stage, monkeypatch):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "10000")
+    try:
+        stage(spark, spark.read.parquet(f"{folder}/documents.parquet").limit(5), folder)
+        assert spark.conf.get(rows) == "1000"
+    finally:
+        spark.conf.set(rows, before)
+
+
 def test_quality_stage(spark, folder, stages):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     scores = quality.quality_scores(stages[0], labels).where("predicted = 1").select("doc_id")
