@@ -22,14 +22,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prefboard.llm.bitmap import BITS, bitmap_of, possible
-from prefboard.llm.texts import as_bytes
-from prefboard.session import materialise
+from prefboard.llm.texts import as_bytes, bytes_by_portions, portions
+from prefboard.session import materialise, text_batches
 
 LONGEST, MIN_COUNT, TOP = 4, 30, 2000
 #: Per cent of a phrase's occurrences inside a longer one from which it is dropped.
@@ -38,6 +39,8 @@ SCALE = 2_000_000
 NO_LANGUAGE = "und"
 #: Places of a shard; one text of more is a shard of its own.
 SHARD = 3 << 18
+#: Bytes of the texts added to a shard at a time.
+PORTION = 1 << 19
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _END = b"\xff"  # in no UTF-8 text
@@ -67,51 +70,65 @@ def triple_hashes(first, second, third) -> np.ndarray:
     return pair_hashes(pair_hashes(first, second), third)
 
 
-class _Numbers(dict):
-    """Numbers of a language's words, given as they come; `named` lists all words of the shard."""
-
-    def __init__(self, language, named):
-        super().__init__({_END: 0})
-        self._language, self._named = language, named
-
-    def __missing__(self, word):
-        self._named.append((self._language, word))
-        number = self[word] = len(self._named)
-        return number
+def _listed(words: pa.Array) -> list:
+    """The values of a binary column from its buffers, which is faster than one by one."""
+    offsets, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset :], words.buffers()[2]
+    data, at = data.to_pybytes() if data else b"", offsets[: len(words) + 1].tolist()
+    return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 class Shard:
     """Texts as local word numbers, 0 between pieces, with what the numbers stand for."""
 
     def __init__(self):
-        self._numbers, self._named, self._parts, self.size = {}, [], [], 0
+        self._languages, self._of, self._words, self.size = {}, [], [], 0
 
-    def add(self, language: bytes, text: bytes):
-        words = piece_words(text)
-        known = self._numbers.get(language)
-        if known is None:
-            known = self._numbers[language] = _Numbers(language, self._named)
-        self._parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        self.size += len(words)
+    def add(self, languages: list, texts: list):
+        """A portion of texts with the language of each; words stay in Arrow columns."""
+        marked = [t.translate(_READ).replace(b"\xff ", _END).replace(_END, b" \xff ") + b" \xff" for t in texts]
+        split = pc.split_pattern(pa.array(marked, pa.binary()), b" ")
+        of = [self._languages.setdefault(language, len(self._languages)) for language in languages]
+        self._of.append(np.repeat(np.array(of, np.int32), np.diff(split.offsets.to_numpy())))
+        self._words.append(split.flatten())
+        self.size += len(self._of[-1])
 
     def closed(self):
         """`(places, languages, words, ids)`; the last three by number, from 1 on."""
-        places = np.concatenate([np.zeros(1, np.int64), *self._parts])
-        seeds = {language: xxhash.xxh3_64_intdigest(language) for language in self._numbers}
-        ids = np.zeros(len(self._named) + 1, np.uint64)
-        ids[1:] = [xxhash.xxh3_64_intdigest(word, seeds[language]) or 1 for language, word in self._named]
-        return places, [language for language, _ in self._named], [word for _, word in self._named], ids
+        encoded = pa.chunked_array(self._words).dictionary_encode()
+        words = _listed(encoded.chunk(0).dictionary)
+        word = np.concatenate([c.indices.to_numpy() for c in encoded.chunks])
+        keys = np.concatenate(self._of) * np.int64(len(words)) + word + 1
+        keys[word == words.index(_END)] = 0
+        if b"" in words:  # between two blanks
+            keys = keys[word != words.index(b"")]
+        highest = len(self._languages) * len(words)
+        if highest <= 8 * len(keys):
+            seen = np.zeros(highest + 1, bool)
+            seen[keys] = True
+            named, places = np.flatnonzero(seen), (np.cumsum(seen) - 1)[keys]
+        else:
+            named, places = np.unique(keys, return_inverse=True)
+        named = named[1:] - 1  # the first is the separator
+        known, languages = list(self._languages), (named // len(words)).tolist()
+        names = [words[at] for at in (named % len(words)).tolist()]
+        seeds = [xxhash.xxh3_64_intdigest(language) for language in known]
+        ids = np.zeros(len(names) + 1, np.uint64)
+        ids[1:] = [xxhash.xxh3_64_intdigest(name, seeds[language]) or 1 for language, name in zip(languages, names)]
+        return np.append(0, places), [known[language] for language in languages], names, ids
 
 
 def shards_of(batches, size=None):
     """Shards of a task's rows `language, text`."""
-    shard = Shard()
+    shard, most = Shard(), size or SHARD
     for batch in batches:
-        for language, text in zip(as_bytes(batch.column(0)), as_bytes(batch.column(1))):
-            shard.add(language, text)
-            if shard.size >= (size or SHARD):
-                yield shard.closed()
-                shard = Shard()
+        languages, at = as_bytes(batch.column(0)), 0
+        for texts in bytes_by_portions(batch.column(1)):
+            for first, last in portions(texts, min(most, PORTION)):
+                shard.add(languages[at + first : at + last], texts[first:last])
+                if shard.size >= most:
+                    yield shard.closed()
+                    shard = Shard()
+            at += len(texts)
     if shard.size:
         yield shard.closed()
 
@@ -142,9 +159,9 @@ class Direction:
         later = np.append(rank[2:], [0, 0])[:n]
         rows = np.argsort(rank * len(starts) + later)
         self.before = places[rows - 1]  # in front of the first place stands the last one, 0
-        order = np.argsort(self.before * n + np.arange(n))
-        self.moved = np.empty(n, np.int64)
-        self.moved[order] = np.arange(n)
+        row_of = np.empty(n, np.int64)
+        row_of[rows] = np.arange(n)
+        self.moved = row_of[rows - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(places, minlength=words + 1))])
 
     def split(self, low, width):
@@ -226,9 +243,10 @@ def _hash_batch(hashes, counts):
 
 
 def _only(places, ids, bitmap):
-    """Places with separators for all words that are not in the bitmap."""
+    """Places with one separator for any run of separators and words that are not in the bitmap."""
     kept = np.append(False, possible(bitmap, ids[1:])) if len(ids) > 1 else np.zeros(1, bool)
-    return np.where(kept[places], places, 0)
+    some = kept[places]
+    return np.where(some, places, 0)[some | np.append(True, some[:-1])]
 
 
 def _word_and_pair_counts(batches):
@@ -303,11 +321,14 @@ class Counts:
 
         def often(function, name):
             sums = rows.mapInArrow(function, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-            return bitmap_of(materialise(sums.where(F.col("n") >= min_count).select("hash"), name), bits)
+            with text_batches(df.sparkSession):
+                found = materialise(sums.where(F.col("n") >= min_count).select("hash"), name)
+            return bitmap_of(found, bits)
 
         pairs = often(_word_and_pair_counts, "frequent-pairs")
         members = broadcast(pairs | often(_triple_counts(broadcast(pairs)), "frequent-triples"))
-        counts = materialise(rows.mapInArrow(_phrase_counts(members, longest), _COUNTS), "phrase-counts")
+        with text_batches(df.sparkSession):
+            counts = materialise(rows.mapInArrow(_phrase_counts(members, longest), _COUNTS), "phrase-counts")
         summed = counts.where("w1 <> 0").groupBy(*_WORDS).agg(F.sum("n").alias("f"))
         self.phrases = materialise(summed.where(F.col("f") >= min_count), "frequent-phrases")
         text_of = lambda c: F.col(c).cast("string").alias(c)

@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,22 @@ def test_equals_counting_all_phrases(spark, rows, monkeypatch, shard, bits):
     assert found(df, min_count=5, top=3, longest=3) == plain(rows, 5, 3, 3)
 
 
+def test_a_shard_holds_words_not_texts():
+    batch = pa.record_batch([pa.array(["en"] * 4000), pa.array([f"{i % 50:06d} word, " * 700 for i in range(4000)])], ["lang", "text"])
+    tracemalloc.start()
+    assert sum(int((places > 0).sum()) for places, *_ in collocations.shards_of([batch])) == 2 * 700 * 4000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20
+
+
+def test_runs_of_rare_words_are_one_separator():
+    places, ids = np.array([0, 1, 2, 2, 0, 2, 1, 0, 0]), np.array([0, 5, 9], np.uint64)
+    bitmap = np.zeros(1, np.uint64)
+    bitmap[0] = 1 << 5 | 1  # the low and the high bits of 5
+    assert collocations._only(places, ids, bitmap).tolist() == [0, 1, 0, 1, 0]
+
+
 def test_odd_rows(spark, odd, clashing, none):
     rows = [(r["lang"], r["text"]) for r in odd.collect()]
     wanted = plain(rows, 2)
