@@ -77,7 +77,7 @@ def test_a_shard_holds_words_not_texts():
     assert sum(int((places > 0).sum()) for places, *_ in collocations.shards_of([batch])) == 2 * 700 * 4000
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert most < 64 << 20
+    assert most < 44 << 20
 
 
 def test_runs_of_rare_words_are_one_separator():
