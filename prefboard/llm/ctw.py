@@ -10,19 +10,19 @@ Every context that occurs is a node. The tree is a table of the byte runs (a con
 and the byte behind it) of all texts, those of texts that are only scored with a count
 of 0. It is weighted upwards and mixed downwards in subtrees below three bytes,
 which Spark deals to tasks; what is above them is a second, smaller table. A text's
-score is the sum over its runs: runs that make up one in `MAX_FREQUENT_RUNS` bytes or
-more are looked up in the task, all others are joined. That bound decides where a run
-is looked up and never what it is worth.
+score is the sum over its runs: frequent ones, `MAX_FREQUENT_RUNS` at most, are looked
+up in the task, all others are joined. That bound decides where a run is looked up and
+never what it is worth.
 
 `train` builds the model of contexts up to `DEPTH` bytes as one table, without those
 that make up less than one in `max_contexts` of all training bytes.
 
-The unigram base score treats words alike: words that make up one in
-`MAX_FREQUENT_WORDS` or more are looked up in the task, all others are joined.
-Words are told apart by 64-bit hashes.
+The unigram base score treats words alike: frequent ones, `MAX_FREQUENT_WORDS` at most,
+are looked up in the task, all others are joined. Words are told apart by 64-bit hashes.
 """
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefboard.llm.texts import as_bytes, portions, spaced_words, word_hashes
+from prefboard.functions.portions import portions as column_portions
+from prefboard.llm.texts import bytes_by_portions, hashed_spaced_words, portions
 from prefboard.session import materialise
 
 DEPTH = 4
@@ -44,8 +45,14 @@ MAX_FREQUENT_WORDS = 1_000_000
 #: Ends a text and fills the context before its first byte; UTF-8 never has it.
 END = 0xFF
 _WORDS, _GRAMS = 0, 1
+#: What makes up one in so many times the bound is held too, if that keeps to the bound.
+MORE = (16, 8, 4, 2, 1)
 #: Distinct keys a task gathers before it merges them, and sends them on.
 GATHERED = 1 << 19
+#: Bytes of texts worked on at once; arrays of their runs stay in the processor's cache.
+PORTION = 1 << 18
+#: Keys that are sorted at once.
+SORTED = 1 << 20
 
 
 def stream(texts: list, depth=DEPTH):
@@ -79,12 +86,21 @@ class _Counts:
 
     def __init__(self, most=GATHERED):
         self._parts, self._size, self._most = [], 0, most
+        self._raw = {0: [], 1: []}
 
     def add(self, keys, times=1):
+        """`keys`, each counted so often, 0 or 1."""
         if len(keys):
-            distinct, counts = np.unique(keys, return_counts=True)
+            self._raw[times].append(keys)
+        if sum(map(len, self._raw[times])) >= SORTED:
+            self._sort(times)
+
+    def _sort(self, times):
+        raw, self._raw[times] = self._raw[times], []
+        if sum(map(len, raw)):
+            distinct, counts = np.unique(np.concatenate(raw), return_counts=True)
             self._parts.append((distinct, counts * times))
-            self._size += len(self._parts[-1][0])
+            self._size += len(distinct)
             if self._size > self._most and len(self._parts) > 1:
                 self._merge()
 
@@ -95,8 +111,15 @@ class _Counts:
         merged = np.bincount(where, counts, len(distinct)).astype(np.int64)
         self._parts, self._size = [(distinct, merged)], len(distinct)
 
-    def taken(self, more_than=0):
-        """What was gathered, if that is more than so many keys; then starts anew."""
+    def taken(self, more_than=None):
+        """What was gathered, if that is more than so many keys; then starts anew.
+
+        Without a number everything is given, if there is anything.
+        """
+        if more_than is None:
+            more_than = 0
+            for times in self._raw:
+                self._sort(times)
         if self._size <= more_than:
             return None
         self._merge()
@@ -120,14 +143,15 @@ def _count(batches, depth):
     """Counts of words and of byte runs; a task sends each about once."""
     words, grams = _Counts(), _Counts()
     for batch in batches:
-        texts, learned = as_bytes(batch.column(0)), batch.column(1).to_pylist()
-        for first, last in portions(texts):
-            for times in (1, 0):
-                part = [t for t, yes in zip(texts[first:last], learned[first:last]) if yes == times]
-                if times:
-                    words.add(word_hashes([w for t in part for w in spaced_words(t)]))
-                if part:
-                    grams.add(runs(*stream(part, depth)[:2], depth), times)
+        for texts, learned in column_portions(batch.column(0).cast(pa.binary()), batch.column(1)):
+            texts = [t or b"" for t in texts]
+            for first, last in portions(texts, PORTION):
+                for times in (1, 0):
+                    part = [t for t, yes in zip(texts[first:last], learned[first:last]) if yes == times]
+                    if times:
+                        words.add(hashed_spaced_words(part)[0])
+                    if part:
+                        grams.add(runs(*stream(part, depth)[:2], depth), times)
             for kind, counts in ((_WORDS, words), (_GRAMS, grams)):
                 if (counted := counts.taken(GATHERED)) is not None:
                     yield from _rows(kind, counted)
@@ -507,36 +531,44 @@ def run_logs(counts: DataFrame, depth=LONGEST) -> DataFrame:
     return materialise(done, "run-logs")
 
 
-class RunLogs:
-    """Log10 probabilities of the frequent runs, the latest asked for in a table of fixed size."""
+class Held:
+    """Values of the frequent keys, the latter of the given ones found sooner.
 
-    BITS = 20
+    A key stands at its own slot or at the next free one behind it; at least half of
+    the slots are free.
+    """
 
-    def __init__(self, keys, logs):
-        self._keys, self._logs = keys, logs
-        self._known = np.full(1 << self.BITS, -1, np.int64)
-        self._log = np.zeros(1 << self.BITS, np.float32)
+    def __init__(self, keys, values):
+        self._bits = (2 * len(keys) - 1).bit_length()
+        self._key = np.zeros(1 << self._bits, np.int64)
+        self._value = np.full(1 << self._bits, np.nan, values.dtype)
+        at = self._slots(keys)
+        while len(keys):
+            free = np.isnan(self._value[at])
+            # of several keys of one slot the last one stays, in both tables
+            self._key[at[free]], self._value[at[free]] = keys[free], values[free]
+            lost = self._key[at] != keys
+            keys, values, at = keys[lost], values[lost], self._next(at[lost])
 
     def _slots(self, wanted):
-        return (wanted.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
+        mixed = wanted.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self._bits)).view(np.int64)
+
+    def _next(self, at):
+        return at + 1 & len(self._key) - 1
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """The logs, not a number for runs that are not held."""
-        slots = self._slots(wanted)
-        logs = self._log[slots]
-        missing = np.flatnonzero(self._known[slots] != wanted)
-        if len(missing):
-            new, where = np.unique(wanted[missing], return_inverse=True)
-            found = np.full(len(new), np.nan, np.float32)
-            if len(self._keys):
-                at = np.minimum(np.searchsorted(self._keys, new), len(self._keys) - 1)
-                hit = self._keys[at] == new
-                found[hit] = self._logs[at[hit]]
-            logs[missing] = found[where]
-            slots = self._slots(new)
-            # of several runs of one slot the last one stays, in both tables
-            self._known[slots], self._log[slots] = new, found
-        return logs
+        """The values, not a number for keys that are not held."""
+        at = self._slots(wanted)
+        values = self._value[at]
+        others = np.flatnonzero((self._key[at] != wanted) & ~np.isnan(values))
+        at = at[others]
+        while len(others):
+            at = self._next(at)
+            values[others] = found = self._value[at]
+            on = (self._key[at] != wanted[others]) & ~np.isnan(found)
+            others, at = others[on], at[on]
+        return values
 
 
 def _grouped(keys, owner):
@@ -550,50 +582,62 @@ def _grouped(keys, owner):
     return owner[first], keys[first], times
 
 
+def _least(rows: DataFrame, total, most):
+    """The count from which on rows are held: `most` of them, if so many make up enough."""
+    least = [max(1, -(-total // (most * more))) for more in MORE]
+    held = rows.agg(*[F.count(F.when(F.col("n") >= n, 1)) for n in least]).first()
+    return next(n for n, rows_held in zip(least, held) if rows_held <= most)
+
+
+def _held(rows: DataFrame, least, value):
+    """`(keys, values)` of the rows with that count or more, the most frequent last."""
+    often = rows.where(F.col("n") >= least).select("key", F.col("n").cast("float").alias("often"), F.col(value).alias("value"))
+    often = often.toArrow()
+    order = np.argsort(often.column("often").to_numpy())
+    return [often.column(c).to_numpy()[order] for c in ("key", "value")]
+
+
 def frequent_runs(logs: DataFrame, max_runs=MAX_FREQUENT_RUNS):
-    """`(bytes learned, keys, logs)`; the runs are at most `max_runs`."""
-    total = logs.agg(F.sum("n")).first()[0] or 0
-    often = logs.where((F.col("n") > 0) & (F.col("n") * max_runs >= total)).select("key", "log").toArrow()
-    keys, values = often.column("key").to_numpy(), often.column("log").to_numpy()
-    order = np.argsort(keys)
-    return total, keys[order], values[order]
+    """`(least count, keys, logs)`; the runs are at most `max_runs`."""
+    least = _least(logs, logs.agg(F.sum("n")).first()[0] or 0, max_runs)
+    return least, *_held(logs, least, "log")
 
 
 def frequent_words(counts: DataFrame, max_words=MAX_FREQUENT_WORDS):
-    """`(tokens, distinct, hashes, counts)`; the words are at most `max_words`."""
+    """`(tokens, distinct, least count, hashes, counts)`; the words are at most `max_words`."""
     words = counts.where(F.col("kind") == _WORDS)
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    often = words.where(F.col("n") * max_words >= tokens).select("key", "n").toArrow()
-    keys, n = often.column("key").to_numpy(), often.column("n").to_numpy()
-    order = np.argsort(keys)
-    return tokens, distinct, keys[order], n[order]
+    least = _least(words, tokens, max_words)
+    return tokens, distinct, least, *_held(words, least, "n")
 
 
-def _look_up(texts, keys, logs, ends):
+def _look_up(texts, known: Held, ends):
     """Per text: tokens, known ones and their sum; its other words, and whose they are.
 
     `ends`: known (0 or 1) and log10 of the count of the end token.
     """
-    words = [spaced_words(t) for t in texts]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    hashed = word_hashes([w for ws in words for w in ws]).view(np.int64)
-    owner = np.repeat(np.arange(len(words)), lengths)
-    at = np.minimum(np.searchsorted(keys, hashed), max(len(keys) - 1, 0))
-    known = keys[at] == hashed if len(keys) else np.zeros(len(hashed), bool)
-    sums = np.bincount(owner[known], logs[at[known]] if len(keys) else None, len(words)) + ends[1]
-    n_known = np.bincount(owner[known], minlength=len(words)) + ends[0]
-    return lengths + 1, n_known.astype(np.int64), sums, (hashed[~known], owner[~known])
-
-
-def _look_up_runs(texts, known: RunLogs, depth):
+    hashed, lengths = hashed_spaced_words(texts)
+    hashed = hashed.view(np.int64)
+    logs = known.find(hashed)
+    other = np.flatnonzero(np.isnan(logs))
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    whose = owner[other]
+    n_known = lengths - np.bincount(whose, minlength=len(texts)) + ends[0]
+    logs[other] = 0
+    sums = np.bincount(owner, logs, len(texts)) + ends[1]
+    return lengths + 1, n_known, sums, (hashed[other], whose)
+
+
+def _look_up_runs(texts, known: Held, depth):
     """Per text the sum over its known runs; its other runs, and whose they are."""
     data, places, lengths = stream(texts, depth)
     keys = runs(data, places, depth)
     logs = known.find(keys)
-    other = np.isnan(logs)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    sums = np.bincount(owner, np.where(other, 0, logs), len(texts))
-    return sums, (keys[other], owner[other])
+    other = np.flatnonzero(np.isnan(logs))
+    logs[other] = 0
+    ends = np.cumsum(lengths)
+    sums = np.add.reduceat(logs, ends - lengths, dtype=np.float64)
+    return sums, (keys[other], np.searchsorted(ends, other, "right"))
 
 
 def _other_keys(size, by_kind):
@@ -642,33 +686,34 @@ def score_texts(
     spark = df.sparkSession
     counts = corpus_counts(df, text, ~held_out(row_id), depth)
     documents = df.where(~held_out(row_id)).count()
-    tokens, distinct, keys, n = frequent_words(counts, max_words)
+    tokens, distinct, least_word, keys, n = frequent_words(counts, max_words)
     tokens, distinct = tokens + documents, distinct + (documents > 0)
     floor = math.log10(tokens + 0.5 * (distinct + 1))
     by_run = run_logs(counts, depth)
-    learned, *frequent = frequent_runs(by_run, max_runs)
+    least_run, *frequent = frequent_runs(by_run, max_runs)
     model = spark.sparkContext.broadcast((frequent, (keys, np.log10(n + 0.5))))
     ends = (int(documents > 0), math.log10(documents + 0.5))
 
     @F.arrow_udf(returnType=_SCORED)
-    def score(column: pa.Array) -> pa.Array:
-        often_runs, (often, logs) = model.value
-        known, out = RunLogs(*often_runs), []
-        texts = as_bytes(column)
-        for first, last in portions(texts):
-            part = texts[first:last]
-            n_tokens, n_known, sums, words = _look_up(part, often, logs, ends)
-            scores, others = _look_up_runs(part, known, depth)
-            lists = _other_keys(len(part), {_WORDS: words, _GRAMS: others})
-            arrays = [pa.array(n_tokens), pa.array(n_known), pa.array(sums), pa.array(scores), lists]
-            out.append(pa.StructArray.from_arrays(arrays, _SCORED.names))
-        return pa.concat_arrays(out) if out else pa.array([], pa.struct([(f, pa.null()) for f in _SCORED.names]))
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known_runs, known_words = [Held(*held) for held in model.value]
+        for column in columns:
+            out = []
+            for texts in bytes_by_portions(column):
+                for first, last in portions(texts, PORTION):
+                    part = texts[first:last]
+                    n_tokens, n_known, sums, words = _look_up(part, known_words, ends)
+                    scores, others = _look_up_runs(part, known_runs, depth)
+                    lists = _other_keys(len(part), {_WORDS: words, _GRAMS: others})
+                    arrays = [pa.array(n_tokens), pa.array(n_known), pa.array(sums), pa.array(scores), lists]
+                    out.append(pa.StructArray.from_arrays(arrays, _SCORED.names))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.struct([(f, pa.null()) for f in _SCORED.names]))
 
     scored = df.select(F.col(row_id), score.asNondeterministic()(F.col(text).cast("string")).alias("s"))
     scored = materialise(scored.select(F.monotonically_increasing_id().alias("row"), row_id, "s.*"), "scored")
-    rare = counts.where((F.col("kind") == _WORDS) & (F.col("n") * max_words < tokens))
+    rare = counts.where((F.col("kind") == _WORDS) & (F.col("n") < least_word))
     rare = rare.select("kind", "key", "n", F.lit(None).cast("float").alias("log"))
-    rare_runs = by_run.where((F.col("n") == 0) | (F.col("n") * max_runs < learned))
+    rare_runs = by_run.where(F.col("n") < least_run)
     rare = rare.unionByName(rare_runs.select(F.lit(_GRAMS).alias("kind"), "key", "n", "log"))
     others = scored.select("row", F.inline("others")).join(rare, ["kind", "key"], "left")
     is_word = F.col("kind") == _WORDS

@@ -1,12 +1,15 @@
 import itertools
 import math
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prefboard.llm import ctw, quality, queries
+from prefboard.llm.texts import hashed_spaced_words
 
 
 def tokens(text):
@@ -172,6 +175,53 @@ def test_rare_contexts_count_in_a_large_corpus(spark, folder, depth, max_runs):
         assert r["score"] == pytest.approx(wanted[r["doc_id"]], rel=1e-6)
 
 
+def test_counting_makes_no_call_for_each_word():
+    texts = [" ".join(f"w{i} x{i * i}" for i in range(k, k + 2500)) for k in range(0, 10_000, 2500)]
+    batch = pa.record_batch([pa.array(texts), pa.array([True] * len(texts))], ["text", "learned"])
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        rows = list(ctw._count([batch], 5))
+    finally:
+        sys.setprofile(None)
+    words = Counter(w for t in texts for w in t.split())
+    assert len(words) > 15_000 and calls.total() < 5000
+    found = [n for r in rows for kind, n in zip(r["kind"].to_pylist(), r["n"].to_pylist()) if kind == 0]
+    assert sorted(found) == sorted(words.values())
+
+
+def test_words_are_told_apart_by_their_hashes():
+    texts = [b"", b" \t\n\x0b ", b"a\0 a A a\0\0 \0 b", b"x" * 64 + b" " + b"x" * 65 + b"\x0c" + b"X" * 72 + b"\rx\x1c\xff x", b"", b"eightlet eightlett"]
+    texts += [b" ".join(bytes([97 + i % 3]) * i + b"%d" % k for i in range(80)) for k in range(20)]
+    hashed, lengths = hashed_spaced_words(texts)
+    words = [w for t in texts for w in t.lower().split()]
+    assert lengths.tolist() == [len(t.split()) for t in texts]
+    assert len(set(zip(words, hashed.tolist()))) == len(set(words)) == len(set(hashed.tolist()))
+    alone = [h for w in words for h in hashed_spaced_words([w])[0].tolist()]
+    assert alone == hashed.tolist()
+    assert [len(x) for x in hashed_spaced_words([b""])] == [0, 1]
+
+
+@pytest.mark.parametrize("seldom, held", [(60, 61), (99, 100), (100, 1), (5000, 1)])
+def test_frequent_words_are_held_up_to_the_bound(spark, seldom, held):
+    rows = [(ctw._WORDS, -1, 10_000), *((ctw._WORDS, k, 10) for k in range(seldom)), (ctw._GRAMS, 7, 9)]
+    counts = spark.createDataFrame(rows, "kind int, key long, n long")
+    *_, keys, n = ctw.frequent_words(counts, 100)
+    assert len(keys) == held and dict(zip(keys.tolist(), n.tolist()))[-1] == 10_000
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 1000, 4096])
+def test_what_is_held_is_found(size):
+    make = np.random.default_rng(size)
+    keys = np.unique(np.concatenate([[-1, 0, 1], make.integers(-(1 << 63), (1 << 63) - 1, 5000)]))
+    make.shuffle(keys)
+    values = make.random(size)
+    asked = np.concatenate([keys, keys[::-1]])
+    wanted = dict(zip(keys[:size].tolist(), values.tolist()))
+    found = ctw.Held(keys[:size], values).find(asked)
+    assert np.array_equal(found, [wanted.get(k, math.nan) for k in asked.tolist()], equal_nan=True)
+
+
 # quality
 
 
